@@ -110,11 +110,12 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def arrow_schema(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+ARROW = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
 
-    return to_arrow_schema(_parse_datatype_string(schema))
+def arrow_schema(schema: str) -> pa.Schema:
+    """Of a schema string with plain types, where a worker has no session to parse it."""
+    return pa.schema([(name, ARROW[kind]) for name, kind in (field.split() for field in schema.split(","))])
 
 
 def letters(column: str) -> F.Column:
