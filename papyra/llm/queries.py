@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from papyra.llm import byte_bpe, token_blocks
+from papyra.llm import byte_bpe, language, simhash, token_blocks
 
 QUERIES = {
     "op2_token_blocks": token_blocks.op2_token_blocks,
+    "op3_simhash": simhash.op3_simhash,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op10_language": language.op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
