@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from papyra.llm import byte_bpe, language, simhash, token_blocks
+from papyra.llm import byte_bpe, language, shards, simhash, token_blocks, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_token_blocks": token_blocks.op2_token_blocks,
     "op3_simhash": simhash.op3_simhash,
+    "op4_kd_shards": shards.op4_kd_shards,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op10_language": language.op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL}
