@@ -41,9 +41,11 @@ PERCENTILE = 0.95
 END_ID = 0
 HEAD = struct.Struct("<IHBBI")
 TAIL = struct.Struct("<QQQQ8s")
-#: Most entries of each of a worker's two caches.
-CACHE = 300_000
+#: Most entries of each of a worker's caches.
+CACHE = 500_000
 UNIT = re.compile(r"(?<=\S) (?=\S)")
+#: White space beside white space or at an end, or other than spaces and line feeds.
+UNEVEN = re.compile(r"\s(?=\s)|\A\s|\s\Z|[^\S \n]")
 
 
 # --- blocks ----------------------------------------------------------------
@@ -214,11 +216,27 @@ class Reader:
 # --- encoding --------------------------------------------------------------
 
 
+class Cache(dict):
+    """Ids of what has been looked up, up to CACHE entries; then it starts anew."""
+
+    def __init__(self, find) -> None:
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.find(piece)
+        if len(piece) < 100:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library, each distinct pre-token once while it stays in the cache.
 
-    A text is cut before single spaces between characters that are not white space, where no pre-token
-    crosses; what has not been seen is cut by the pattern and given to the library's model.
+    A text is cut into units where no pre-token crosses: before single spaces, and around single line
+    feeds, that stand between characters that are not white space. A unit that has not been seen is cut
+    by the pattern, and its pre-tokens are given to the library's model.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -226,38 +244,32 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.model = tokenizer.model
+        self.model = Tokenizer.from_file(path).model
         self.pattern = regex.compile(pattern)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
         others = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
-        self.units: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
-
-    def token(self, piece: str) -> bytes:
-        ids = self.tokens.get(piece)
-        if ids is None:
-            if len(self.tokens) >= CACHE:
-                self.tokens.clear()
-            mapped = piece.encode().decode("latin1").translate(self.letters)
-            ids = self.tokens[piece] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        return ids
+        self.tokens = Cache(self._token)
+        self.plain = Cache(self._unit)
+        self.spaced = Cache(lambda unit: self._unit(" " + unit))
+
+    def _token(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(unit)))
 
     def text(self, text: str) -> bytes:
-        first, *rest = UNIT.split(text)
-        out = [b"".join(map(self.token, self.pattern.findall(first)))]
-        units = self.units
-        for unit in rest:
-            ids = units.get(unit)
-            if ids is None:
-                ids = b"".join(map(self.token, self.pattern.findall(" " + unit)))
-                if len(unit) < 100:
-                    if len(units) >= CACHE:
-                        units.clear()
-                    units[unit] = ids
-            out.append(ids)
-        return b"".join(out)
+        spaced = self.spaced.__getitem__
+        if UNEVEN.search(text):
+            first, *rest = UNIT.split(text)
+            return self.plain[first] + b"".join(map(spaced, rest))
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(self.plain[first] + b"".join(map(spaced, rest)))
+        return self.plain["\n"].join(lines)
 
 
 @lru_cache(maxsize=2)
