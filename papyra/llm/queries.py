@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from papyra.llm import byte_bpe, decontaminate, language, quality, shards, simhash, token_blocks, url_filter
+from papyra.llm import byte_bpe, decontaminate, language, quality, shards, simhash, suffix_dedup, token_blocks, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_token_blocks": token_blocks.op2_token_blocks,
     "op3_simhash": simhash.op3_simhash,
     "op4_kd_shards": shards.op4_kd_shards,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality": quality.op6_quality,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
