@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import byte_bpe, decontaminate, language, quality, shards, simhash, suffix_dedup, token_blocks, url_filter
+from papyra.llm import byte_bpe, decontaminate, html_text, language, quality, shards, simhash, suffix_dedup, token_blocks, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_html_text": html_text.op9_html_text,
     "op10_language": language.op10_language,
 }
 
