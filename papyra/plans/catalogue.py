@@ -1,6 +1,456 @@
-"""The query catalogue: each operator applied to the supplied tables, and its SQL."""
+"""The query catalogue: each operator applied to the supplied tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from papyra.functions import fuzzy, scoring
+from papyra.functions import text as tx
+from papyra.operators import chunking, joins, relational, search, sensitive, tables
+from papyra.sources import documents as sources
+from papyra.streaming import events as ev
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    repo = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if repo not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), repo]))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(name: str, places: int = 6) -> F.Column:
+    return F.round(name, places).alias(name)
+
+
+# --- vectors ---------------------------------------------------------------
+
+_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+_ONE = "FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+@query(f"SELECT vec_id, round(similarity, 6) AS similarity FROM (SELECT e.vec_id, {_COS} AS similarity {_ONE}) ORDER BY similarity DESC, vec_id LIMIT 20")
+def vector_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return search.top_k(e, e.filter("vec_id = 0"), 20, "vec_id").select("vec_id", rounded("similarity"))
+
+
+@query(f"""WITH hits AS (SELECT e.label, {_COS} AS s {_ONE}),
+g AS (SELECT label, max(CASE WHEN s > 0.1 THEN s END) AS best, count(*) FILTER (s > 0.1) AS matched, count(*) AS total FROM hits GROUP BY label HAVING count(*) FILTER (s > 0.1) > 0),
+c AS (SELECT *, matched * 100.0::DOUBLE / total AS coverage, 0.9::DOUBLE * coalesce((best - 0.1::DOUBLE) / nullif(max(best) OVER () - 0.1::DOUBLE, 0), 0) * 100 + 0.1::DOUBLE * (matched * 100.0::DOUBLE / total) AS score FROM g)
+SELECT label, matched, total, round(coverage, 6) AS coverage, round(score, 6) AS score,
+ CASE WHEN score BETWEEN 0 AND 25 THEN 'Very Low' WHEN score <= 60 THEN 'Low' WHEN score <= 80 THEN 'Medium' WHEN score <= 95 THEN 'High' WHEN score <= 100 THEN 'Very High' END AS relevance FROM c""")
+def vector_rank_coverage(spark, d):
+    e = table(spark, d, "embeddings")
+    return search.rank_by_coverage(e, e.filter("vec_id = 0"), "label", 0.1).select("label", "matched", "total", rounded("coverage"), rounded("score"), "relevance")
+
+
+@query(f"SELECT vec_id, label, round(similarity, 6) AS similarity FROM (SELECT e.vec_id, e.label, {_COS} AS similarity {_ONE} WHERE e.label IN (1, 2, 3, 5) AND e.label NOT IN (5)) WHERE similarity > 0.1")
+def vector_filtered(spark, d):
+    e = table(spark, d, "embeddings")
+    own = relational.scan(e, {"label": [1, 2, 3, 5]}).filter(~F.col("label").isin(5))
+    return search.scored(own, e.filter("vec_id = 0"), above=0.1).select("vec_id", "label", rounded("similarity"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s
+ FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
+SELECT query, vec_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def vector_topk_many(spark, d):
+    e = table(spark, d, "embeddings")
+    return search.top_k_many(e, e.filter("vec_id % 20 = 0"), 5, "vec_id", "vec_id").select("query", "vec_id", "rank")
+
+
+# --- fuzzy text --------------------------------------------------------------
+
+def _tri(c: str) -> str:
+    return f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def _sim(a: str, b: str) -> str:
+    return f"(len(list_intersect({_tri(a)}, {_tri(b)})) / (len({_tri(a)}) + len({_tri(b)}) - len(list_intersect({_tri(a)}, {_tri(b)})))::DOUBLE)"
+
+
+@query(f"SELECT p_partkey, round({_sim('p_name', 'p_brand')}, 6) AS similarity, round({_sim('p_name', 'p_name')}, 6) AS itself FROM part")
+def trigram_similarity(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", F.round(tx.trigram_similarity(F.col("p_name"), F.col("p_brand")), 6).alias("similarity"), F.round(tx.trigram_similarity(F.col("p_name"), F.col("p_name")), 6).alias("itself"))
+
+
+_NAMES = "(SELECT DISTINCT p_name AS name FROM part)"
+
+
+@query(f"SELECT name, other, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, other) AS k FROM (SELECT a.name, b.name AS other, {_sim('a.name', 'b.name')} AS similarity FROM {_NAMES} a, {_NAMES} b WHERE a.name <> b.name) WHERE similarity > 0.25) WHERE k = 1")
+def fuzzy_join_best(spark, d):
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    pairs = joins.fuzzy_pairs(names, names.withColumnRenamed("name", "other"), "name", "other", 0.25).filter("name <> other")
+    return relational.best(pairs, ["name"], [F.col("similarity").desc_nulls_first(), F.col("other")]).select("name", "other", rounded("similarity"))
+
+
+@query(f"""WITH c AS (SELECT name FROM {_NAMES} WHERE name LIKE '%bolt%' UNION ALL SELECT 'UNKNOWN')
+SELECT n.name, coalesce(b.other, 'UNKNOWN') AS matched FROM {_NAMES} n LEFT JOIN (SELECT * FROM (SELECT a.name, c.name AS other, row_number() OVER (PARTITION BY a.name ORDER BY {_sim('a.name', 'c.name')} DESC, c.name) AS k FROM {_NAMES} a, c WHERE {_sim('a.name', 'c.name')} > 0.5) WHERE k = 1) b ON n.name = b.name""")
+def fuzzy_left_sentinel(spark, d):
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    known = names.filter("name like '%bolt%'").unionByName(spark.createDataFrame([("UNKNOWN",)], "name string")).withColumnRenamed("name", "other")
+    pairs = relational.best(joins.fuzzy_pairs(names, known, "name", "other", 0.5), ["name"], [F.col("similarity").desc_nulls_first(), F.col("other")])
+    return names.join(pairs, "name", "left").select("name", F.coalesce("other", F.lit("UNKNOWN")).alias("matched"))
+
+
+@query()
+def fuzz_ratio(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", fuzzy.ratio("p_name", "p_brand").alias("ratio"), fuzzy.token_set_ratio("p_name", "p_type").alias("token_set"))
+
+
+# --- relational --------------------------------------------------------------
+
+
+@query("SELECT c_custkey, coalesce(l.label, c_mktsegment) AS segment FROM customer LEFT JOIN (VALUES (' building ', 'BLD'), ('Machinery', 'MCH')) l(name, label) ON trim(lower(c_mktsegment)) = trim(lower(l.name))")
+def normalised_left_join(spark, d):
+    lookup = spark.createDataFrame([(" building ", "BLD"), ("Machinery", "MCH")], "name string, label string").select(F.trim(F.lower("name")).alias("k"), "label")
+    return table(spark, d, "customer").withColumn("k", F.trim(F.lower("c_mktsegment"))).join(lookup, "k", "left").select("c_custkey", F.coalesce("label", "c_mktsegment").alias("segment"))
+
+
+@query("SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey AND o_orderstatus IN ('F', 'O') JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def multi_key_status_join(spark, d):
+    o = table(spark, d, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    return o.join(table(spark, d, "customer"), o.o_custkey == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), 2).cast("double").alias("total"))
+
+
+@query("SELECT c_custkey, round(r.ratio, 6) AS ratio FROM customer LEFT JOIN (SELECT o_custkey, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) / count(*) FILTER (o_orderstatus IN ('F', 'O'))::DOUBLE AS ratio FROM orders GROUP BY 1) r ON c_custkey = o_custkey")
+def acceptance_ratio(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    r = relational.ratio(o, ["c_custkey"], F.col("o_orderstatus") == "F", F.col("o_orderstatus").isin("F", "O"))
+    return table(spark, d, "customer").join(r, "c_custkey", "left").select("c_custkey", rounded("ratio"))
+
+
+_SCALED = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, coalesce((l_quantity - lo) / nullif(hi - lo, 0), 0) * 100 AS scaled FROM lineitem JOIN (SELECT l_returnflag AS f, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1) ON f = l_returnflag"
+
+
+def _scaled(spark, d):
+    return relational.scaled_by_group(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "scaled")
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(scaled, 6) AS scaled FROM ({_SCALED})")
+def minmax_scaled(spark, d):
+    return _scaled(spark, d).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", rounded("scaled"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_discount FROM lineitem, (SELECT 0.05 AS threshold) WHERE l_discount > threshold")
+def threshold_constant_join(spark, d):
+    config = spark.createDataFrame([("offer_threshold", "0.05", True), ("old", "0.9", False)], "name string, val string, isactive boolean").filter("isactive").select(F.col("val").cast("double").alias("threshold"))
+    return relational.with_constant(table(spark, d, "lineitem"), config).filter("l_discount > threshold").select("l_orderkey", "l_partkey", "l_linenumber", "l_discount")
+
+
+_WEIGHTS = [("offer", "offerbased", "0.5"), ("similarity", "offerbased", "0.3"), ("acceptance", "offerbased", "0.2"), ("similarity", "search", "0.7"), ("acceptance", "search", "0.3"), ("offer", "search", "none")]
+_WEIGHTS_SQL = "(VALUES " + ", ".join(map(str, _WEIGHTS)) + ") w(name, method, val)"
+_PIVOT_SQL = f"SELECT method, max(CASE WHEN name = 'offer' THEN try_cast(val AS DOUBLE) END) AS offer, max(CASE WHEN name = 'similarity' THEN try_cast(val AS DOUBLE) END) AS similarity, max(CASE WHEN name = 'acceptance' THEN try_cast(val AS DOUBLE) END) AS acceptance FROM {_WEIGHTS_SQL} GROUP BY method"
+
+
+def _weights(spark):
+    return relational.pivot_settings(spark.createDataFrame(_WEIGHTS, "name string, method string, val string"), "method", "name", "val", ["offer", "similarity", "acceptance"])
+
+
+@query(_PIVOT_SQL)
+def weight_pivot(spark, d):
+    return _weights(spark)
+
+
+_BLEND = f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (CASE WHEN w.method = 'offerbased' THEN w.offer * scaled ELSE 0 END + w.similarity * (l_orderkey % 101) + w.acceptance * (l_partkey % 101)) * (0.95::DOUBLE + 0.05::DOUBLE * least(l_orderkey % 101, l_partkey % 101)::DOUBLE / 100) AS score
+ FROM ({_SCALED}) s JOIN ({_PIVOT_SQL}) w ON w.method = CASE WHEN l_returnflag <> 'A' THEN 'search' ELSE 'offerbased' END"""
+
+
+def _blend(spark, d):
+    s = _scaled(spark, d).withColumn("method", F.when(F.col("l_returnflag") != "A", "search").otherwise("offerbased"))
+    w = _weights(spark).select("method", *(F.col(c).alias(f"w_{c}") for c in ("offer", "similarity", "acceptance")))
+    sim, acc = (F.col("l_orderkey") % 101).cast("double"), (F.col("l_partkey") % 101).cast("double")
+    offer = F.when(F.col("method") == "offerbased", F.col("w_offer") * F.col("scaled")).otherwise(0.0)
+    return s.join(w, "method").withColumn("score", scoring.blended([(F.lit(1.0), offer), (F.col("w_similarity"), sim), (F.col("w_acceptance"), acc)], sim, acc))
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(score, 6) AS score FROM ({_BLEND})")
+def blended_relevance(spark, d):
+    return _blend(spark, d).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", rounded("score", 6))
+
+
+@query(f"""SELECT contiguous, literal, count(*) AS n FROM (SELECT
+ CASE WHEN score > 90 THEN 'Very High' WHEN score > 75 THEN 'High' WHEN score > 50 THEN 'Medium' WHEN score > 25 THEN 'Low' WHEN score > -1 THEN 'Very Low' END AS contiguous,
+ CASE WHEN score BETWEEN 91 AND 100 THEN 'Very High' WHEN score BETWEEN 76 AND 90 THEN 'High' WHEN score BETWEEN 51 AND 75 THEN 'Medium' WHEN score BETWEEN 26 AND 50 THEN 'Low' WHEN score BETWEEN 0 AND 25 THEN 'Very Low' END AS literal
+ FROM (SELECT round(score, 6) AS score FROM ({_BLEND}))) GROUP BY ALL""")
+def relevance_buckets(spark, d):
+    s = _blend(spark, d).select(rounded("score", 6))
+    return s.groupBy(scoring.relevance(F.col("score")).alias("contiguous"), scoring.relevance(F.col("score"), literal=True).alias("literal")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, level, CASE WHEN g IS NULL THEN '' ELSE 'P' || (g * 3 + CASE level WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END) END AS priority FROM (
+ SELECT d.doc_id, CASE WHEN n_chars % 101 > 75 THEN 'High' WHEN n_chars % 101 > 40 THEN 'Medium' ELSE 'Low' END AS level, CASE quality WHEN 1 THEN 0 WHEN 0 THEN 4 END AS g
+ FROM documents d LEFT JOIN labels l ON d.doc_id = coalesce(l.doc_id, -1))""")
+def priority_matrix(spark, d):
+    labels = table(spark, d, "labels").select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "quality")
+    rows = table(spark, d, "documents").select("doc_id", "n_chars").join(labels, "doc_id", "left")
+    level = scoring.similarity_level(F.col("n_chars") % 101)
+    grade = F.when(F.col("quality") == 1, "A").when(F.col("quality") == 0, "E")
+    return rows.select("doc_id", level.alias("level"), scoring.priority(grade, level).alias("priority"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC NULLS FIRST, l_linenumber, l_partkey) AS k FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_extendedprice FROM lineitem)) WHERE k = 1")
+def distinct_best_offer(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice").distinct()
+    return relational.best(rows, ["l_orderkey"], [F.col("l_extendedprice").desc_nulls_first(), F.col("l_linenumber"), F.col("l_partkey")])
+
+
+@query("SELECT event_id, round((SELECT avg(CASE WHEN s.event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0 END) FROM events s WHERE s.user_id = e.user_id AND s.ts < e.ts AND s.event_type IN ('purchase', 'error')), 6) AS ratio FROM events e WHERE event_type IN ('purchase', 'error')")
+def asof_ratio(spark, d):
+    e = table(spark, d, "events").filter(F.col("event_type").isin("purchase", "error"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.select("event_id", F.round(relational.earlier_ratio(e, "user_id", at, F.col("event_type") == "purchase"), 6).alias("ratio"))
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def unmatched_anti(spark, d):
+    return relational.unmatched(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"]).select("doc_id", "lang")
+
+
+@query("SELECT event_id, c_name FROM events LEFT JOIN customer ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def outer_filtered_log(spark, d):
+    return table(spark, d, "events").join(table(spark, d, "customer"), F.col("user_id") == F.col("c_custkey"), "left").filter("c_mktsegment = 'BUILDING'").select("event_id", "c_name")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def latest_row_per_key(spark, d):
+    return relational.latest(table(spark, d, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT p_partkey, is_promo, rank::INTEGER AS rank FROM (SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END AS is_promo, row_number() OVER (PARTITION BY CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 5")
+def computed_partition_rank(spark, d):
+    p = table(spark, d, "part").withColumn("is_promo", F.when(F.col("p_type") == "PROMO", 1).otherwise(0))
+    w = Window.partitionBy("is_promo").orderBy(F.col("p_retailprice").desc(), "p_partkey")
+    return p.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("p_partkey", "is_promo", "rank")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
+SELECT doc_id, pos::INTEGER AS pos, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, pos) AS k FROM l) WHERE k <= 5""")
+def top_contexts_per_group(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return relational.best(lines, ["doc_id"], [F.length("line").desc(), F.col("pos")], 5)
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, try_cast(json_extract_string(props, '$.k') AS INTEGER) * 2 AS twice FROM events")
+def json_extract(spark, d):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, d, "events").select("event_id", k.alias("k"), (k.try_cast("int") * 2).alias("twice"))
+
+
+_OFFERS = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN '{\"name\": \"x\"}' ELSE '[{\"name\": \"o' || (event_id % 3) || '\", \"score\": \"' || (event_id % 10) || '\"}, {\"name\": \"p\", \"score\": \"bad\"}]' END"
+
+
+@query(f"SELECT event_id, json_extract_string(o, '$.name') AS name, try_cast(json_extract_string(o, '$.score') AS DOUBLE) AS score FROM (SELECT event_id, unnest(from_json(j, '[\"JSON\"]')) AS o FROM (SELECT event_id, {_OFFERS} AS j FROM events) WHERE json_type(j) = 'ARRAY')")
+def json_array_explode(spark, d):
+    offers = F.expr(_OFFERS.replace("||", "||"))
+    one = F.from_json("j", "array<struct<name: string, score: string>>")
+    rows = table(spark, d, "events").select("event_id", offers.alias("j")).filter(F.trim("j").startswith("["))
+    return rows.select("event_id", F.explode(one).alias("o")).select("event_id", "o.name", F.col("o.score").try_cast("double").alias("score"))
+
+
+@query("SELECT p_partkey, types, list_contains(string_split(types, '|'), 'PROMO') AS has_promo FROM (SELECT p_partkey, p_type || '|' || p_brand || '|' || p_type AS types FROM part)")
+def pipe_split_membership(spark, d):
+    t = F.concat_ws("|", "p_type", "p_brand", "p_type")
+    return table(spark, d, "part").select("p_partkey", t.alias("types"), F.array_contains(tx.pipe_list(t), "PROMO").alias("has_promo"))
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || left(text, 40), ' | ' ORDER BY turn) AS joined FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id")
+def reason_concat(spark, d):
+    c = table(spark, d, "conversations").filter("conv_id is not null")
+    line = F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 40)).alias("t"))
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), " | ").alias("joined"))
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id DESC) AS k FROM documents) WHERE k = 1")
+def keep_last_dedup(spark, d):
+    return relational.keep_last(table(spark, d, "documents").select("doc_id", "source", F.sha2(F.lower(F.trim("text")), 256).alias("h")), [F.col("h")], "doc_id").select("doc_id", "source")
+
+
+@query("SELECT c_custkey, concat(c_name, '/', nullif(c_mktsegment, 'BUILDING'), '/', c_nationkey) AS label, coalesce(nullif(trim(nullif(c_mktsegment, 'BUILDING')), ''), 'n/a') AS segment FROM customer")
+def null_safe_concat(spark, d):
+    seg = F.nullif(F.col("c_mktsegment"), F.lit("BUILDING"))
+    return table(spark, d, "customer").select("c_custkey", tx.concat_some("c_name", F.lit("/"), seg, F.lit("/"), F.col("c_nationkey").cast("string")).alias("label"), tx.blank_to(seg, "n/a").alias("segment"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l)
+SELECT doc_id, count(*) AS kept, sum(length(line))::BIGINT AS chars FROM p WHERE line IS DISTINCT FROM before AND len(list_filter(regexp_split_to_array(trim(line), '[ \t\r\n]+'), lambda x: x <> '')) >= 3 AND NOT starts_with(lower(line), 'copyright') GROUP BY doc_id""")
+def line_denoise(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("pos"))
+    words = F.size(F.filter(F.split(F.trim("line"), "[ \t\r\n]+"), lambda x: x != ""))
+    kept = lines.withColumn("before", before).filter(~F.col("line").eqNullSafe(F.col("before")) & (words >= 3) & ~F.lower("line").startswith("copyright"))
+    return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("line")).alias("chars"))
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS label, hit AS text, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){p}')) AS hit FROM documents) GROUP BY ALL" for n, p in sensitive.PATTERNS.items()))
+def regex_detect(spark, d):
+    return sensitive.detect(table(spark, d, "documents"))
+
+
+_CELLS = [(1, {"User Name": "kim", "Amount": "3"}), (2, {"user name ": "lee", "e-mail": "a@b.co"}), (3, {"other": "x"})]
+
+
+@query("SELECT * FROM (VALUES (1, 'PERSON', 'kim', 1.0::DOUBLE), (2, 'PERSON', 'lee', 1.0::DOUBLE), (2, 'EMAIL', 'a@b.co', 1.0::DOUBLE)) t(doc_id, label, text, score)")
+def column_name_detect(spark, d):
+    names = spark.createDataFrame([("user name", "PERSON"), ("E-Mail", "EMAIL")], "name string, label string")
+    return sensitive.detect_cells(spark.createDataFrame(_CELLS, "doc_id int, cells map<string,string>"), names)
+
+
+_ITEMS = [("ada@x.org", "EMAIL", 0.9, "a"), ("ada@x.org", "EMAIL", 0.0, "b"), ("secret", "KEY", 0.8, "a"), ("abc", "KEY", 0.9, "a"), ("public", "KEY", 0.9, "b"), ("low", None, 0.9, "a"), ("weak item", "KEY", 0.4, "a")]
+
+
+@query("SELECT * FROM (VALUES ('secret', 'KEY', 0.8::DOUBLE), ('always', 'TERM', 1.0::DOUBLE)) t(text, label, score)")
+def veto_and_lists(spark, d):
+    items = sensitive.veto(spark.createDataFrame(_ITEMS, "text string, label string, score double, source string"), ["text"])
+    include, exclude = spark.createDataFrame([("always", "TERM")], "text string, label string"), spark.createDataFrame([(" Public",)], "text string")
+    return sensitive.listed(items, include, exclude).select("text", "label", "score")
+
+
+@query()
+def redact_text(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return sensitive.redact(docs, sensitive.detect(docs).select("doc_id", "text", "label")).select("doc_id", "redacted", F.size("redactions").alias("n"))
+
+
+@query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '')) AS words,
+ len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: len(list_filter(regexp_split_to_array(s, '[ \t\r\n]+'), lambda x: x <> '')) > 3)) AS sentences,
+ round(coalesce((length(text) - (length(text) - length(replace(text, '#', '')))) * 100.0::DOUBLE / nullif(length(text), 0), 0), 2) AS accuracy FROM documents""")
+def word_sentence_counts(spark, d):
+    words = lambda c: F.size(F.filter(F.split(c, "[ \t\r\n]+"), lambda x: x != ""))
+    errors = F.length("text") - F.length(F.replace("text", F.lit("#"), F.lit("")))
+    return table(spark, d, "documents").select("doc_id", words(F.col("text")).cast("long").alias("words"), F.size(F.filter(F.split("text", "[.!?]+"), lambda s: words(s) > 3)).cast("long").alias("sentences"), scoring.accuracy(F.length("text"), errors).alias("accuracy"))
+
+
+@query()
+def html_text(spark, d):
+    files = table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return sources.read_lines(files)
+
+
+@query("SELECT event_id, user_id, floor((n - 1) / 10)::INTEGER AS page, least((floor((n - 1) / 10) + 1) * 10, total)::BIGINT AS pushed FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events)")
+def paging_cumulative(spark, d):
+    return relational.pages(table(spark, d, "events"), [F.col("ts"), F.col("event_id")], 10, ["user_id"]).select("event_id", "user_id", "page", "pushed")
+
+
+_LINES = [(1, 1, 0.0, 0.0, 10.0, 2.0, "kept"), (1, 1, 0.0, 10.0, 10.0, 12.0, "gone"), (1, 2, 0.0, 10.0, 10.0, 12.0, "other page"), (1, 1, 0.0, 11.7, 10.0, 13.0, "touched")]
+
+
+@query("SELECT * FROM (VALUES ('kept'), ('other page')) t(text)")
+def spatial_anti(spark, d):
+    lines = spark.createDataFrame(_LINES, "doc_id int, page int, x0 double, top double, x1 double, bottom double, text string")
+    boxes = spark.createDataFrame([(1, 1, 0.0, 10.0, 20.0, 12.3)], "doc_id int, page int, x0 double, top double, x1 double, bottom double")
+    return joins.outside_boxes(lines, boxes).select("text")
+
+
+@query("SELECT o_orderstatus AS grp, a.o_orderkey AS key, b.o_orderkey AS other, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM (SELECT *, o_orderkey % 1000 * 37 AS h FROM orders WHERE o_custkey < 60) a JOIN (SELECT *, o_orderkey % 1000 * 37 AS h FROM orders WHERE o_custkey < 60) b USING (o_orderstatus) WHERE a.o_orderkey <> b.o_orderkey AND bit_count(xor(a.h, b.h)) < 5")
+def hamming_join(spark, d):
+    o = table(spark, d, "orders").filter("o_custkey < 60").select("o_orderstatus", "o_orderkey", (F.col("o_orderkey") % 1000 * 37).alias("h"))
+    return joins.near_hashes(o, "o_orderstatus", "o_orderkey", "h", 5).withColumnRenamed("o_orderstatus", "grp")
+
+
+@query("SELECT p_partkey, s FROM part, (VALUES ('bolt'), ('red'), ('giz')) v(s) WHERE contains(p_name, s)")
+def contains_join(spark, d):
+    items = spark.createDataFrame([("bolt",), ("red",), ("giz",)], "s string")
+    return joins.containing(table(spark, d, "part").select("p_partkey", "p_name"), items, "p_name", "s").select("p_partkey", "s")
+
+
+@query()
+def chunk_documents(spark, d):
+    return chunking.chunk(table(spark, d, "documents"), 5000, 100)
+
+
+@query()
+def template_match(spark, d):
+    docs = table(spark, d, "documents")
+    chunks = chunking.chunk(docs, 1000, 50)
+    return chunking.match_templates(chunks, chunks.filter("doc_id % 20 = 0"))
+
+
+_SHEET = [("s", 1, 1, "Name", True), ("s", 1, 2, "Age", True), ("s", 2, 1, "kim", False), ("s", 2, 2, "3", False), ("s", 9, 9, "far", False), ("s", 9, 10, "cell", False), ("t", 1, 1, "x", False)]
+
+
+@query("SELECT * FROM (VALUES ('s', 0, 1, 'Name~Age', true), ('s', 0, 2, 'kim~3', false), ('s', 1, 9, 'far~cell', false), ('t', 0, 1, 'x', false)) t(sheet, cluster, row, line, header)")
+def table_detect(spark, d):
+    cells = spark.createDataFrame(_SHEET, "sheet string, row int, col int, value string, is_header boolean")
+    return tables.rows_text(tables.cell_clusters(cells), ["sheet", "cluster"]).select("sheet", "cluster", "row", "line", "header")
+
+
+@query("SELECT user_id AS request_id, max(event_id % 5 + 1) AS total, count(DISTINCT event_id % 5 + 1) AS received, count(DISTINCT event_id % 5 + 1) = max(event_id % 5 + 1) AS complete FROM events GROUP BY user_id")
+def event_completeness(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("request_id"), (F.col("event_id") % 5 + 1).alias("idx"), "ts")
+    return ev.complete(e.withColumn("total", F.max("idx").over(Window.partitionBy("request_id"))))
+
+
+@query("SELECT user_id, status, status = 'APPROVED' AS indexed FROM (SELECT user_id, CASE event_type WHEN 'signup' THEN 'NEW' WHEN 'view' THEN 'READ' WHEN 'click' THEN 'OPENED' WHEN 'purchase' THEN 'APPROVED' ELSE 'REJECTED' END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def status_upsert(spark, d):
+    return ev.statuses(table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def newest_message(spark, d):
+    return ev.newest(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "value")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT * FROM (VALUES (90, 'ATLANTIS')) v")
+def exists_insert(spark, d):
+    return relational.insert_absent(table(spark, d, "region"), spark.createDataFrame([(90, "ATLANTIS"), (0, "AFRICA")], "r_regionkey int, r_name string"), ["r_regionkey"])
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'CHANGED' ELSE n_name END AS n_name FROM nation WHERE n_nationkey NOT IN (3, 4)")
+def update_delete(spark, d):
+    n = relational.update(table(spark, d, "nation"), {"n_regionkey": 1}, {"n_name": "CHANGED"})
+    return relational.delete(n, {"n_nationkey": [3, 4]}).select("n_nationkey", "n_name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_name, n_nationkey LIMIT 5 OFFSET 10")
+def paged_scan(spark, d):
+    return relational.scan(table(spark, d, "nation"), None, ["n_nationkey", "n_name"], [F.col("n_name"), F.col("n_nationkey")], 5, 10)
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(max(value), 4) AS most, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 4) AS success FROM events GROUP BY event_type")
+def call_metrics(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.max("value"), 4).alias("most"), F.round(F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)), 4).alias("success"))
+
+
+@query("SELECT doc_id, lang, avg_chars FROM (SELECT doc_id, lang, round(avg(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 4) AS avg_chars FROM documents)")
+def last_k_context(spark, d):
+    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(-5, -1)
+    return table(spark, d, "documents").select("doc_id", "lang", F.round(F.avg("n_chars").over(w), 4).alias("avg_chars"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, (event_id // 7) AS week FROM events")
+def date_and_division(spark, d):
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"), F.expr("event_id div 7").alias("week"))
+
+
+@query("SELECT p_partkey, p_brand, split_part(p_brand, '#', 2)::INTEGER AS number, replace(p_name, ' ', '_') AS slug, upper(p_name[1:1]) AS initial FROM part")
+def string_functions(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_brand", F.split_part("p_brand", F.lit("#"), F.lit(2)).try_cast("int").alias("number"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("slug"), F.upper(F.substring("p_name", 1, 1)).alias("initial"))
+
+
+@query("SELECT event_id, 'value' AS field, (value - 1)::VARCHAR AS old, value::VARCHAR AS new FROM events WHERE event_id % 10 = 3")
+def field_change_capture(spark, d):
+    e = table(spark, d, "events").filter("event_id % 10 = 3")
+    payload = F.create_map(F.lit("newValue"), F.col("value").cast("string"), F.lit("oldValue"), (F.col("value") - 1).cast("string"), F.lit("newOther"), F.lit("x"))
+    return e.select("event_id", F.explode(ev.field_changes(payload, ["value"])).alias("c")).select("event_id", "c.field", "c.old", "c.new")
