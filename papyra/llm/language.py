@@ -108,9 +108,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
     shared = docs.sparkSession.sparkContext.broadcast((prior, logs))
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double"
+    own_text = [] if text in keep else [F.col(text).alias("__text")]
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
+        texts = [x or "" for x in batch.column(at).to_pylist()]
         own = [i for i, t in enumerate(texts) if names and any(map(str.isalpha, t))]
         lang, p = [UND] * len(texts), [0.0] * len(texts)
         if own:
@@ -119,7 +121,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
                 lang[i], p[i] = names[best], float(row[best])
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(lang), pa.array(p)], names=[*keep, "lang_pred", "score"])
 
-    return common.map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema, SLICE_BYTES)
+    return common.map_batches(docs.select(*keep, *own_text), run, schema, SLICE_BYTES)
 
 
 def held_out(key: str = "doc_id") -> F.Column:
