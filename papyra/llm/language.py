@@ -102,12 +102,12 @@ def score(texts: list[str], prior: np.ndarray, logs: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep, with lang_pred and score, for every row; only the text is looked at."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str], text: str = "text", added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns keep, with the language and its score under the names added, for every row; only the text is looked at."""
     names, prior, logs = model
     shared = docs.sparkSession.sparkContext.broadcast((prior, logs))
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{added[0]}` string, `{added[1]}` double"
     own_text = [] if text in keep else [F.col(text).alias("__text")]
     at = keep.index(text) if text in keep else len(keep)
 
@@ -119,7 +119,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
             scored = score([texts[i] for i in own], *shared.value)
             for i, row, best in zip(own, scored, scored.argmax(axis=1).tolist(), strict=True):
                 lang[i], p[i] = names[best], float(row[best])
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(lang), pa.array(p)], names=[*keep, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(lang), pa.array(p)], names=[*keep, *added])
 
     return common.map_batches(docs.select(*keep, *own_text), run, schema, SLICE_BYTES)
 
@@ -135,8 +135,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def accept(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose language is recognised with probability ``least``; all their columns stay as they are."""
-    kept = predict(docs, learn(docs), docs.columns)
-    return kept.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*docs.columns)
+    kept = predict(docs, learn(docs), docs.columns, added=("__lang", "__score"))
+    return kept.filter((F.col("__lang") != UND) & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

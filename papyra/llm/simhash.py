@@ -121,7 +121,8 @@ def links(nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
     if crowd is not None:
         masks = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i in range(64) for j in range(i))]
         flips = nodes.sparkSession.createDataFrame([([_signed(m) for m in masks],)], "masks array<long>").scalar()
-        points = crowd.select("node", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
+        held = crowd.select("node", "fp", flips.alias("flips"))
+        points = held.select("node", F.explode(F.transform("flips", lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
         least = points.groupBy("point").agg(F.min("node").alias("u"))
         pairs = pairs.union(points.join(least, "point").filter("u < node").select("u", F.col("node").alias("v")).distinct())
     return pairs

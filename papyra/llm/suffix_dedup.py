@@ -266,7 +266,7 @@ def _apply(docs: DataFrame, key: str, text: str, width: int, gram: int, change,
             rows.append(change(t, covered([(w["low"], w["high"]) for w in windows or ()], width, len(t))))
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(own))), *(pa.array([r[k] for r in rows], ADDED[n]) for k, n in enumerate(names))], names=[*own, *names])
 
-    joined = docs.withColumn("__id", number).join(spans.withColumnRenamed("id", "__id"), "__id", "left").select(*own, "spans")
+    joined = docs.withColumn("__id", number).join(spans.select(F.col("id").alias("__id"), F.col("spans").alias("__windows")), "__id", "left").select(*own, "__windows")
     return common.map_batches(joined, run, schema)
 
 
