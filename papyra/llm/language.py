@@ -87,7 +87,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", smoothing: f
         counts[of, rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     grams_, rows_ = counts[:, :-1].reshape(len(names), len(ORDERS), BUCKETS), counts[:, -1]
     logs = np.log(grams_ + smoothing) - np.log(grams_.sum(axis=2, keepdims=True) + smoothing * BUCKETS)
-    return names, np.log(rows_ / max(1.0, rows_.sum())), logs.reshape(len(names), -1).astype(np.float32)
+    return names, np.log(rows_ / max(1.0, rows_.sum())), logs.reshape(len(names), len(ORDERS) * BUCKETS).astype(np.float32)
 
 
 def score(texts: list[str], prior: np.ndarray, logs: np.ndarray) -> np.ndarray:
