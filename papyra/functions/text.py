@@ -32,7 +32,7 @@ def blank_to(c: Column, default: str) -> Column:
 
 def pipe_list(c: Column) -> Column:
     """The parts of a pipe-joined text, trimmed, without blanks and repeats."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, "[|]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, "[|]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def one_space(c: Column) -> Column:
@@ -47,9 +47,8 @@ def escape_html(c: Column) -> Column:
 
 def between_marks(c: Column, start: str, end: str) -> Column:
     """The text between the first start mark and the next end mark; null where either is missing."""
-    rest = F.substring_index(c, start, -1)
-    head = F.when(F.instr(c, start) > 0, F.call_function("substr", c, F.instr(c, start) + len(start)))
-    return F.when(F.instr(head, end) > 0, F.substring_index(head, end, 1)) if rest is not None else head
+    rest = F.when(F.instr(c, start) > 0, F.call_function("substr", c, F.instr(c, start) + len(start)))
+    return F.when(F.instr(rest, end) > 0, F.substring_index(rest, end, 1))
 
 
 def column_number(letters: Column) -> Column:
