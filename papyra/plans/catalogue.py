@@ -454,3 +454,47 @@ def field_change_capture(spark, d):
     e = table(spark, d, "events").filter("event_id % 10 = 3")
     payload = F.create_map(F.lit("newValue"), F.col("value").cast("string"), F.lit("oldValue"), (F.col("value") - 1).cast("string"), F.lit("newOther"), F.lit("x"))
     return e.select("event_id", F.explode(ev.field_changes(payload, ["value"])).alias("c")).select("event_id", "c.field", "c.old", "c.new")
+
+
+@query("SELECT event_id, ts AS parsed, 'x' || CASE WHEN event_id % 2 = 0 THEN '' ELSE 'seen' END || 'y' AS filled, (ceil(event_id / 14.0) * ceil((event_id % 100) / 14.0))::BIGINT AS tokens FROM events")
+def record_functions(spark, d):
+    from papyra.functions import records as rec
+
+    e = table(spark, d, "events")
+    text = F.concat(F.lit("x[IMAGE: "), F.when(F.col("event_id") % 2 == 0, "none").otherwise("one"), F.lit("]y"))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) % 1_000_000
+    whole = F.timestamp_micros(F.unix_micros(rec.parsed_time(stamp)) + micros).cast("timestamp_ntz")
+    return e.select("event_id", whole.alias("parsed"), rec.fill_placeholders(text, F.create_map(F.lit("one"), F.lit("seen"))).alias("filled"), rec.vision_tokens(F.col("event_id"), F.col("event_id") % 100).alias("tokens"))
+
+
+@query("SELECT doc_id, '## Title' || chr(10) || lang || chr(10) || '## Body' || chr(10) || 'new' || chr(10) || '## End' || chr(10) || source AS body FROM documents")
+def section_upsert(spark, d):
+    from papyra.functions import records as rec
+
+    body = F.concat(F.lit("## Title\n"), F.col("lang"), F.lit("\n## Body\nold text\nmore\n## End\n"), F.col("source"))
+    return table(spark, d, "documents").select("doc_id", rec.with_section(body, "Body", F.lit("new")).alias("body"))
+
+
+@query("SELECT l_orderkey, '<table>' || string_agg('<tr><td>' || name || '</td><td>' || printf('%.1f', score) || '</td></tr>', '' ORDER BY score DESC, name) || '</table>' AS html FROM (SELECT DISTINCT l_orderkey, 'p' || l_partkey AS name, l_quantity AS score FROM lineitem WHERE l_quantity > 40) GROUP BY l_orderkey")
+def ranked_offers_html(spark, d):
+    from papyra.functions import records as rec
+
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("p"), F.col("l_partkey")).alias("name"), F.col("l_quantity").alias("score")).filter("score > 40")
+    return rows.groupBy("l_orderkey").agg(F.collect_set(F.struct("name", "score")).alias("o")).select("l_orderkey", rec.ranked_html(F.col("o"), 40.0).alias("html"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_type END AS kind, p_brand AS brand FROM part")
+def response_cleanup(spark, d):
+    from papyra.functions import records as rec
+
+    raw = F.create_map(F.lit(" Kind"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.lit("Not Found")), F.lit("BRAND"), F.col("p_brand"), F.lit("x"), F.lit(""))
+    m = rec.cleaned(raw)
+    return table(spark, d, "part").select("p_partkey", F.try_element_at(m, F.lit("kind")).alias("kind"), F.try_element_at(m, F.lit("brand")).alias("brand"))
+
+
+@query()
+def ocr_junk_score(spark, d):
+    from papyra.functions import records as rec
+
+    return table(spark, d, "documents").select("doc_id", F.round(rec.junk_score(F.col("text")), 4).alias("junk"))

@@ -240,3 +240,17 @@ def test_router(spark):
     router.dead = lambda df: seen.update(dead=df.count())
     router(spark.createDataFrame([("a",), ("old",), ("z",), (None,)], "event_type string"), 0)
     assert seen == {"a": 2, "dead": 2}
+
+
+def test_records(spark):
+    from pyspark.sql import functions as F
+
+    from papyra.functions import records as rec
+
+    df = spark.createDataFrame([("{'a': 1, 'b': None}", ["Version", "Date"], ["x1", "22"]), ("no [", ["version", "9999"], [""])], "line string, h array<string>, g array<string>")
+    got = df.select(rec.literal_map("line").alias("m"), rec.control_table(F.col("h"), ["version"]).alias("c"), rec.control_table(F.col("g"), ["version"]).alias("d")).collect()
+    assert [tuple(r) for r in got] == [({"a": "1", "b": "None"}, True, False), (None, False, False)]
+    times = spark.createDataFrame([("2024-01-02 03:04:05",), ("02/01/2024 03:04",), ("Jan 2, 2024",), ("never",)], "t string").select(rec.parsed_time(F.col("t")).cast("string").alias("t")).collect()
+    assert [r["t"] for r in times] == ["2024-01-02 03:04:05", "2024-01-02 03:04:00", "2024-01-02 00:00:00", None]
+    junk = spark.createDataFrame([("The quick brown fox jumps over it.",), ("x~ || ## %% q zz ;; ::::::: ==",)], "t string").select(rec.junk_score(F.col("t")).alias("j")).collect()
+    assert junk[0]["j"] < 0.5 < junk[1]["j"]
