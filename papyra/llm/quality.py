@@ -28,6 +28,8 @@ ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 REACH = 3.0
 LEAST = 50
+#: Up to so many fences (of about 100 bytes) are broadcast; beyond, a hot source's rows are dealt over SALTS copies of them.
+BROADCAST_ROWS, SALTS = 100_000, 32
 #: Metric: least spread between the quartiles, and whether low values fail too.
 METRICS = {"word_length": (0.5, True), "symbol_share": (0.1, False), "dup_line_share": (0.2, False), "repeat_share": (0.1, False)}
 
@@ -127,7 +129,14 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     passes = F.lit(True)
     for m, (_, both) in METRICS.items():
         passes = passes & (metric(m) <= F.col(f"{m}_high")) & ((metric(m) >= F.col(f"{m}_low")) if both else F.lit(True))
-    return counted.join(thresholds(sketch), ["lang", "source"], "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(passes, F.lit(False)))
+    limits = scratch.write(thresholds(sketch), "limits")
+    if limits.count() <= BROADCAST_ROWS:
+        joined = counted.join(F.broadcast(limits), ["lang", "source"], "left")
+    else:
+        salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt")
+        spread = limits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = counted.select("*", salt).join(spread, ["lang", "source", "salt"], "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(passes, F.lit(False)))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,7 +306,9 @@ def test_suffix_sort():
 # --- 6 ---------------------------------------------------------------------
 
 
-def test_quality(spark, docs, empty):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_quality(spark, docs, empty, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", most)
     rows = [(k, sentences(k, 60), "en", f"s{k % 3}") for k in range(300)]
     rows += [(1000, " ".join(f"w{k}###" for k in range(60)), "en", "s1"), (1001, "a b c d e f g h " * 9, "en", "s1"), (1002, sentences(5, 19), "en", "s2"), (1003, "\n".join([sentences(7, 8)] * 9), "xx", None)]
     got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).withColumnRenamed("key", "doc_id").collect())
