@@ -37,9 +37,9 @@ WIDTH = 100
 GRAM = 32
 #: Offsets of the anchor that share a piece.
 SHARE = 35
-STRETCH = 2 << 20
+STRETCH = 1 << 20
 #: Rows of segments that a task compares at a time.
-LOCAL = 1 << 20
+LOCAL = 1 << 18
 BLOCK = 1 << 20
 HOT = 4096
 FIRST = -(1 << 63)
@@ -70,11 +70,13 @@ def packed(low: np.ndarray, span: np.ndarray, offset: np.ndarray) -> np.ndarray:
 
 
 def segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(anchor, inner, id, place) of segments, docs: (id, text); those with an equal, earlier one in their task have a null anchor.
+    """(anchor, inner, id, place, dead) of segments, docs: (id, text); dead ones have an equal, earlier one in their task.
+
+    The anchor of a dead one is a hash of its place, so that it stands alone and hot anchors stay few rows.
 
     place: first window << 16 | further windows << 8 | offset of the anchor.
     """
-    schema = "anchor long, inner long, id long, place long"
+    schema = "anchor long, inner long, id long, place long, dead boolean"
 
     def emit(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         anchor, inner, ids, place = (np.concatenate(c) for c in zip(*rows, strict=True))
@@ -83,7 +85,8 @@ def segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
         equal = np.append(False, both[order][1:] == both[order][:-1])
         order = order[~(equal & np.append(False, (ids[order][1:] == ids[order][:-1]) & (place[order][1:] == place[order][:-1])))]
         again = np.append(False, both[order][1:] == both[order][:-1])
-        got = [pa.array(anchor[order].view(np.int64), mask=again), pa.array(inner[order].view(np.int64), mask=again), pa.array(ids[order]), pa.array(place[order])]
+        alone = anchors.mix(ids[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place[order].astype(np.uint64))
+        got = [pa.array(np.where(again, alone, anchor[order]).view(np.int64)), pa.array(inner[order].view(np.int64)), pa.array(ids[order]), pa.array(place[order]), pa.array(again)]
         return pa.RecordBatch.from_arrays(got, schema=common.arrow_schema(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +117,11 @@ def _cut(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
 
 def marks(found: DataFrame) -> DataFrame:
     """(id, place, gone): segments with an equal, earlier one (gone), and first segments whose anchor has another, different one."""
-    live = found.filter("anchor is not null").repartition("anchor")
     own, group = Window.partitionBy("anchor", "inner"), Window.partitionBy("anchor")
-    live = live.withColumn("first", F.min(F.struct("id", "place")).over(own))
+    live = found.repartition("anchor").withColumn("first", F.min(F.struct("id", "place")).over(own))
     live = live.withColumn("a", F.min("inner").over(group)).withColumn("b", F.max("inner").over(group))
-    gone = F.struct("id", "place") != F.col("first")
-    live = live.withColumn("gone", gone).filter("gone or a <> b").select("id", "place", "gone")
-    return live.unionByName(found.filter("anchor is null").select("id", "place", F.lit(True).alias("gone")))
+    gone = F.col("dead") | (F.struct("id", "place") != F.col("first"))
+    return live.withColumn("gone", gone).filter("gone or a <> b").select("id", "place", "gone")
 
 
 def pieces(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
