@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of an Arrow batch between Spark and a worker; with long texts the default number of rows would hold far more.
+BATCH_BYTES = 8 << 20
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, as in local mode; a cluster has it installed."""
     here = str(Path(__file__).resolve().parents[2])
@@ -94,6 +98,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 def map_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     importable(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -27,7 +27,7 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 UND = "und"
 #: Characters of a batch that are hashed at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:

@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         fp = fingerprints_of(common.text_bytes(batch.column(1)), size)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=[key, "fp"])
 
-    return common.map_batches(docs.select(key, text), run, f"`{key}` {dict(docs.dtypes)[key]}, fp long", 4 << 20)
+    return common.map_batches(docs.select(key, text), run, f"`{key}` {dict(docs.dtypes)[key]}, fp long", 2 << 20)
 
 
 def _signed(x: int) -> int:
