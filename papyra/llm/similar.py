@@ -11,7 +11,8 @@ simhash.py (radius 4, by the grid of segment bit counts) with links of a Jaccard
    each bit of its members' fingerprints, and the members nearest to it are its centres. Members are
    compared with the centres; those that are linked are settled; the others go into further rounds with ever more
    centres, until all are settled or have been centres themselves.
-3. Pairs within ``FAR`` bits are compared, exactly, on the sets of shingle hashes of both texts.
+3. Pairs whose sets are near enough in size to reach the similarity are compared, exactly, on the sets of
+   shingle hashes of both texts.
 
 Texts without a word are equal to each other. Rows with equal words are one node, so copies cost
 nothing. Null keys never name a group; an empty table gives an empty table.
@@ -32,8 +33,6 @@ from papyra.llm import common, simhash
 SIZE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 3
-#: Fingerprints of texts at the similarity differ in 9.7 bits, with a deviation of 2.9; beyond these they aren't compared.
-FAR = 24
 _RNG = np.random.default_rng(7)
 MULTIPLIERS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -50,8 +49,8 @@ def band_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, same, fp, keys): a digest of the words, the fingerprint, and the band keys (none without words)."""
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, same binary, fp long, keys array<bigint>"
+    """(key, same, fp, n, keys): a digest of the words, the fingerprint, the number of distinct shingles, and the band keys (none without words)."""
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, same binary, fp long, n long, keys array<bigint>"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = common.text_bytes(batch.column(1))
@@ -67,7 +66,7 @@ def marks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             fp[own] = np.packbits(over, axis=1, bitorder="little").view("<u8").reshape(-1)
             for i, k in zip(own.tolist(), band_keys(flat, starts).view(np.int64).tolist(), strict=True):
                 keys[i] = k
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fp.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=[key, "same", "fp", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fp.view(np.int64)), pa.array([len(set(h)) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[key, "same", "fp", "n", "keys"])
 
     return common.map_batches(docs.select(key, text), run, schema, 1 << 20)
 
@@ -103,23 +102,23 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def centres(rows: DataFrame, count: int) -> DataFrame:
-    """(bucket, centre, centre_fp): the members nearest to each bucket's majority of bits. rows: (bucket, node, fp)."""
+    """(bucket, centre, centre_n): the members nearest to each bucket's majority of bits. rows: (bucket, node, fp, n)."""
     bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))
     sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), *(F.sum(bit(i)).alias(f"b{i}") for i in range(64))).filter("n > 1")
     centroid = F.lit(0).cast("long")
     for i in range(64):
         centroid = centroid.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(simhash._signed(1 << i))).otherwise(F.lit(0).cast("long")))
     centroid = sums.select("bucket", centroid.alias("c"))
-    near = rows.join(centroid, "bucket").select("bucket", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("c"))).alias("d"), F.col("node"), F.col("fp")).alias("x"))
+    near = rows.join(centroid, "bucket").select("bucket", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("c"))).alias("d"), F.col("node"), F.col("n")).alias("x"))
     if count == 1:
-        return near.groupBy("bucket").agg(F.min("x").alias("x")).select("bucket", F.col("x.node").alias("centre"), F.col("x.fp").alias("centre_fp"))
+        return near.groupBy("bucket").agg(F.min("x").alias("x")).select("bucket", F.col("x.node").alias("centre"), F.col("x.n").alias("centre_n"))
     # the nearest of each of count hash classes, so that the aggregation keeps partial minima
-    return near.groupBy("bucket", F.pmod(F.xxhash64("x.node"), F.lit(count)).alias("k")).agg(F.min("x").alias("x")).select("bucket", F.col("x.node").alias("centre"), F.col("x.fp").alias("centre_fp"))
+    return near.groupBy("bucket", F.pmod(F.xxhash64("x.node"), F.lit(count)).alias("k")).agg(F.min("x").alias("x")).select("bucket", F.col("x.node").alias("centre"), F.col("x.n").alias("centre_n"))
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, scratch: common.Scratch, size: int, similarity: float) -> DataFrame | None:
-    """(u, v) with u < v; nodes: (node, fp, keys), texts: (node, text) of the same nodes."""
-    rows = nodes.select("node", "fp", F.posexplode("keys").alias("band", "k")).select(F.struct("band", "k").alias("bucket"), "node", "fp")
+    """(u, v) with u < v; nodes: (node, fp, n, keys), texts: (node, text) of the same nodes."""
+    rows = nodes.select("node", "fp", "n", F.posexplode("keys").alias("band", "k")).select(F.struct("band", "k").alias("bucket"), "node", "fp", "n")
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rows = scratch.write(rows.join(crowded, "bucket", "left_semi"), "bucket-0")
     sets = scratch.write(shingle_sets(texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text"), size), "sets")
@@ -127,7 +126,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, scratch: common.Scratch, s
     done = 0
     while rows.take(1):
         chosen = scratch.write(centres(rows, 1 << max(0, done - 1)), f"centres-{done}")
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre_fp"))) <= FAR
+        near = F.least("n", "centre_n") >= similarity * F.greatest("n", "centre_n") - 1e-9
         put = scratch.write(rows.join(chosen, "bucket").filter((F.col("node") != F.col("centre")) & near).select("bucket", "node", "centre"), f"put-{done}")
         pairs = put.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
         linked = scratch.write(alike(pairs, sets, similarity), f"linked-{done}")
@@ -146,14 +145,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     """(key, component): every row with the smallest key that it reaches over links of either kind."""
     scratch = common.Scratch(docs.sparkSession, "similar")
     marked = scratch.write(marks(docs, key, text, size), "marked")
-    nodes = scratch.write(marked.groupBy("same").agg(F.min(key).alias("node"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "nodes")
+    nodes = scratch.write(marked.groupBy("same").agg(F.min(key).alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")), "nodes")
     own = nodes.filter("node is not null")
     points = own.groupBy("fp").agg(F.min("node").alias("node"))
     edges = simhash.links(points, scratch).unionByName(own.join(points.select("fp", F.col("node").alias("u")), "fp").filter("u < node").select("u", F.col("node").alias("v")))
     edges = scratch.write(edges, "near")
     scratch.drop("cells", "crowded")
     texts = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
-    more = similar_links(own.select("node", "fp", "keys"), texts, scratch, size, similarity)
+    more = similar_links(own.select("node", "fp", "n", "keys"), texts, scratch, size, similarity)
     edges = edges.unionByName(more) if more is not None else edges
     named = scratch.write(simhash.components(edges, scratch), "named")
     whole = nodes.join(named, "node", "left").select("same", F.coalesce("component", "node").alias("component"))

@@ -211,6 +211,17 @@ def test_similar_groups(spark):
     assert got == reach(sets, [(a, b) for a in sets for b in sets if a < b and near(a, b)])
 
 
+def test_similar_groups_with_repeated_lines(spark):
+    rows = []
+    for g in range(6):
+        base, line = sentences(200 + g, 500), sentences(300 + g, 10)
+        rows += [(g * 10, base), *((g * 10 + k, base + f"\n{line}" * (60 * k)) for k in (1, 2, 3))]
+    fp = {i: brute_fingerprint(t, 5) for i, t in rows}
+    assert any((fp[g] ^ fp[g + k]).bit_count() > 24 for g in range(0, 60, 10) for k in (1, 2, 3))
+    got = {x["doc_id"]: x["component"] for x in similar.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 # --- 4 ---------------------------------------------------------------------
 
 
