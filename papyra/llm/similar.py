@@ -11,8 +11,10 @@ simhash.py (radius 4, by the grid of segment bit counts) with links of a Jaccard
    each bit of its members' fingerprints, and the members nearest to it are its centres. Members are
    compared with the centres; those that are linked are settled; the others go into further rounds with ever more
    centres, until all are settled or have been centres themselves.
-3. Pairs whose sets are near enough in size to reach the similarity are compared, exactly, on the sets of
-   shingle hashes of both texts.
+3. Comparisons are exact, on the sets of shingle hashes of both texts. Settled members still count: the Jaccard
+   distance is a metric, so a member and one that is settled with a centre can only be linked if their distances
+   to that centre differ by no more than a link's. Such pairs of different components are compared at the end,
+   a few for each two components first, and no more once these are linked.
 
 Texts without a word are equal to each other. Rows with equal words are one node, so copies cost
 nothing. Null keys never name a group; an empty table gives an empty table.
@@ -33,6 +35,8 @@ from papyra.llm import common, simhash
 SIZE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 3
+#: For the rounding of distances.
+SLACK = 1e-9
 _RNG = np.random.default_rng(7)
 MULTIPLIERS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -81,24 +85,26 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return common.map_batches(docs, run, f"node {dict(docs.dtypes)['node']}, shingles binary")
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those (u, v) whose sets reach the similarity."""
+def distances(pairs: DataFrame, sets: DataFrame, most: float) -> DataFrame:
+    """(u, v, d): those (u, v) whose sets have a Jaccard distance of at most ``most``."""
     kind = dict(pairs.dtypes)["u"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
+        found = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             small, large = sorted((len(x), len(y)))
-            if small < similarity * large:
-                keep.append(False)
+            if small < (1 - most) * large - 1e-6:
+                found.append(2.0)
                 continue
             both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
             shared = int((both[1:] == both[:-1]).sum())
-            keep.append(shared >= similarity * (len(both) - shared) - 1e-9)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            found.append(1 - shared / (len(both) - shared))
+        d = np.array(found, np.float64)
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["u", "v", "d"])
+        return out.filter(pa.array(d <= most + SLACK))
 
     a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-    return common.map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y"), run, f"u {kind}, v {kind}")
+    return common.map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y"), run, f"u {kind}, v {kind}, d double")
 
 
 def centres(rows: DataFrame, count: int) -> DataFrame:
@@ -116,31 +122,74 @@ def centres(rows: DataFrame, count: int) -> DataFrame:
     return near.groupBy("bucket", F.pmod(F.xxhash64("x.node"), F.lit(count)).alias("k")).agg(F.min("x").alias("x")).select("bucket", F.col("x.node").alias("centre"), F.col("x.n").alias("centre_n"))
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, scratch: common.Scratch, size: int, similarity: float) -> DataFrame | None:
-    """(u, v) with u < v; nodes: (node, fp, n, keys), texts: (node, text) of the same nodes."""
+def similar_links(nodes: DataFrame, texts: DataFrame, edges: DataFrame, scratch: common.Scratch, size: int, similarity: float) -> DataFrame | None:
+    """(u, v) with u < v; nodes: (node, fp, n, keys), texts: (node, text) of the same nodes, edges: (u, v) known to be linked."""
     rows = nodes.select("node", "fp", "n", F.posexplode("keys").alias("band", "k")).select(F.struct("band", "k").alias("bucket"), "node", "fp", "n")
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rows = scratch.write(rows.join(crowded, "bucket", "left_semi"), "bucket-0")
     sets = scratch.write(shingle_sets(texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text"), size), "sets")
-    found = None
+    link = 1 - similarity
+    reach = min(1.0, 2 * link)
+    found = around = None
     done = 0
     while rows.take(1):
         chosen = scratch.write(centres(rows, 1 << max(0, done - 1)), f"centres-{done}")
-        near = F.least("n", "centre_n") >= similarity * F.greatest("n", "centre_n") - 1e-9
-        put = scratch.write(rows.join(chosen, "bucket").filter((F.col("node") != F.col("centre")) & near).select("bucket", "node", "centre"), f"put-{done}")
+        near = F.least("n", "centre_n") >= (1 - reach) * F.greatest("n", "centre_n") - SLACK
+        put = scratch.write(rows.join(chosen, "bucket").filter((F.col("node") != F.col("centre")) & near).select("bucket", "node", "n", "centre"), f"put-{done}")
         pairs = put.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
-        linked = scratch.write(alike(pairs, sets, similarity), f"linked-{done}")
+        measured = scratch.write(distances(pairs, sets, reach), f"measured-{done}")
+        linked = measured.filter(F.col("d") <= link + SLACK).select("u", "v")
         found = linked if found is None else found.unionByName(linked)
-        both = linked.select(F.col("u").alias("node"), F.col("v").alias("centre")).union(linked.select(F.col("v").alias("node"), F.col("u").alias("centre")))
-        settled = put.join(both, ["node", "centre"], "left_semi").select("bucket", "node").union(chosen.select("bucket", F.col("centre").alias("node"))).distinct()
+        both = measured.select(F.col("u").alias("node"), F.col("v").alias("centre"), "d").union(measured.select(F.col("v").alias("node"), F.col("u").alias("centre"), "d"))
+        met = scratch.write(put.join(both, ["node", "centre"]).select(F.lit(done).alias("round"), "bucket", "centre", "node", "n", "d"), f"met-{done}")
+        around = met if around is None else around.unionByName(met)
+        settled = met.filter(F.col("d") <= link + SLACK).select("bucket", "node").union(chosen.select("bucket", F.col("centre").alias("node"))).distinct()
         left = rows.join(settled, ["bucket", "node"], "left_anti")
         again = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
         rows = scratch.write(left.join(again, "bucket", "left_semi"), f"bucket-{done + 1}")
         scratch.drop(f"bucket-{done}", f"centres-{done}", f"put-{done}")
         done += 1
+    if found is None:
+        return None
+    found = found.unionByName(border_links(around, edges.unionByName(found), sets, scratch, similarity))
+    scratch.drop(*(f"met-{k}" for k in range(done)), f"bucket-{done}")
     return found
 
 
+def border_links(around: DataFrame, edges: DataFrame, sets: DataFrame, scratch: common.Scratch, similarity: float) -> DataFrame:
+    """(u, v) between members that were not compared as one of them was settled; around: (round, bucket, centre, node, n, d)."""
+    link = 1 - similarity
+    at = ["round", "bucket", "centre"]
+    # each settled member with its nearest centre, beside all members that this centre did not settle
+    settled = around.filter(F.col("d") <= link + SLACK).groupBy("round", "bucket", "node").agg(F.min(F.struct("d", "centre")).alias("x"), F.min("n").alias("n"))
+    settled = settled.select("round", "bucket", F.col("x.centre").alias("centre"), F.col("node").alias("s"), F.col("n").alias("s_n"), F.col("x.d").alias("s_d"))
+    border = around.filter(F.col("d") > link + SLACK).select(*at, F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("d").alias("b_d"))
+    component = scratch.write(simhash.components(edges, scratch), "part")
+    one, two = component.select(F.col("node").alias("s"), F.col("component").alias("s_part")), component.select(F.col("node").alias("b"), F.col("component").alias("b_part"))
+    border = border.join(two, "b", "left").withColumn("b_part", F.coalesce("b_part", "b"))
+    settled = settled.join(border.select(*at).distinct(), at, "left_semi").join(one, "s", "left").withColumn("s_part", F.coalesce("s_part", "s"))
+    sized = F.least("s_n", "b_n") >= similarity * F.greatest("s_n", "b_n") - SLACK
+    near = F.col("b_d") <= F.col("s_d") + link + 2 * SLACK
+    pairs = settled.join(border, at).filter((F.col("s_part") != F.col("b_part")) & sized & near)
+    u, v = F.least("s", "b").alias("u"), F.greatest("s", "b").alias("v")
+    pairs = scratch.write(pairs.select(F.least("s_part", "b_part").alias("p"), F.greatest("s_part", "b_part").alias("q"), u, v).distinct(), "open-0")
+    out = None
+    for k, few in enumerate((1, 64, None)):
+        tried = pairs
+        if few:  # of each two components the least of few hash classes
+            tried = pairs.groupBy("p", "q", F.pmod(F.xxhash64("u", "v"), F.lit(few)).alias("k")).agg(F.min(F.struct(F.xxhash64("v", "u").alias("h"), "u", "v")).alias("x")).select("p", "q", "x.u", "x.v")
+            tried = scratch.write(tried, f"tried-{k}")
+        linked = scratch.write(distances(tried.select("u", "v"), sets, link).select("u", "v"), f"border-{k}")
+        out = linked if out is None else out.unionByName(linked)
+        if few:
+            joined = tried.join(linked, ["u", "v"]).select("p", "q").distinct()
+            pairs = scratch.write(pairs.join(joined, ["p", "q"], "left_anti").join(tried.select("u", "v"), ["u", "v"], "left_anti").select("p", "q", "u", "v"), f"open-{k + 1}")
+            if not pairs.take(1):
+                break
+    scratch.drop("part", *(f"{x}-{k}" for x in ("open", "tried") for k in range(3)))
+    return out
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, component): every row with the smallest key that it reaches over links of either kind."""
     scratch = common.Scratch(docs.sparkSession, "similar")
@@ -152,7 +201,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     edges = scratch.write(edges, "near")
     scratch.drop("cells", "crowded")
     texts = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
-    more = similar_links(own.select("node", "fp", "n", "keys"), texts, scratch, size, similarity)
+    more = similar_links(own.select("node", "fp", "n", "keys"), texts, edges, scratch, size, similarity)
     edges = edges.unionByName(more) if more is not None else edges
     named = scratch.write(simhash.components(edges, scratch), "named")
     whole = nodes.join(named, "node", "left").select("same", F.coalesce("component", "node").alias("component"))

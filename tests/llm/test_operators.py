@@ -222,6 +222,24 @@ def test_similar_groups_with_repeated_lines(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_similar_groups_with_borderline_members(spark):
+    rows = []
+    for g in range(8):
+        base = sentences(400 + g, 304).split()
+        swap = lambda w, a, n, mark: [*w[:a], *(f"{mark}{i}" for i in range(n)), *w[a + n :]]
+        texts = [swap(base, 7 * k + g, 1, f"v{k}x") for k in range(40)]
+        far = swap(base, 100, 29, "u")
+        texts += [far, swap(far, 200, 27, "w"), swap(base, 60, 60, "z"), swap(base, 20, 34, "y")]
+        rows += [(g * 100 + k, " ".join(w)) for k, w in enumerate(texts)]
+    sets = {i: frozenset(simhash.shingle_hashes(t.encode(), 5)) for i, t in rows}
+    fp = {i: brute_fingerprint(t, 5) for i, t in rows}
+    near = lambda a, b: a // 100 == b // 100 and ((fp[a] ^ fp[b]).bit_count() <= 4 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    want = reach(sets, [(a, b) for a in sets for b in sets if a < b and near(a, b)])
+    assert all(want[g * 100 + k] == g * 100 for g in range(8) for k in (40, 41)) and len(set(want.values())) > 8
+    got = {x["doc_id"]: x["component"] for x in similar.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 # --- 4 ---------------------------------------------------------------------
 
 
