@@ -236,7 +236,8 @@ class Encoder:
 
     A text is cut into units where no pre-token crosses: before single spaces, and around single line
     feeds, that stand between characters that are not white space. A unit that has not been seen is cut
-    by the pattern, and its pre-tokens are given to the library's model.
+    by the pattern, and its pre-tokens are given to the library's model. A text that holds one of the file's
+    added tokens goes through the library's encode, which gives these their own ids.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -244,7 +245,9 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.pattern = regex.compile(pattern)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
         others = [b for b in range(256) if b not in set(plain)]
@@ -261,6 +264,8 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, self.pattern.findall(unit)))
 
     def text(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         spaced = self.spaced.__getitem__
         if any(x in text for x in UNEVEN) or text[:1].isspace() or text[-1:].isspace():
             first, *rest = UNIT.split(text)

@@ -105,6 +105,17 @@ def test_token_files_round_trip(spark, docs):
         start += len(ids)
 
 
+def test_token_ids_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    texts = [f"one{end}two", end, f" {end} ", f"a\n{end}{end}\n b  c", f"it's {end[:-1]} not", f"{sentences(5, 400)} {end}\n\n{sentences(6, 9)}"]
+    ids = [np.frombuffer(token_blocks.encoder(path, P.PATTERN).text(x), "<u4").tolist() for x in texts]
+    assert ids[0] == [505, 50256, 11545] and ids == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_token_blocks_and_random_access(tmp_path):
     r = np.random.default_rng(0)
     for ids in (np.zeros(0, np.uint32), np.array([2**32 - 1, 0], np.uint32), (r.zipf(1.3, 5000) % 50257).astype(np.uint32), np.full(3000, 7, np.uint32)):
