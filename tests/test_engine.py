@@ -254,3 +254,25 @@ def test_records(spark):
     assert [r["t"] for r in times] == ["2024-01-02 03:04:05", "2024-01-02 03:04:00", "2024-01-02 00:00:00", None]
     junk = spark.createDataFrame([("The quick brown fox jumps over it.",), ("x~ || ## %% q zz ;; ::::::: ==",)], "t string").select(rec.junk_score(F.col("t")).alias("j")).collect()
     assert junk[0]["j"] < 0.5 < junk[1]["j"]
+
+
+def test_templates_match_brute_force(spark):
+    import random
+
+    from papyra.functions.fuzzy import ratio_of
+    from papyra.operators import chunking
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("etaoinshrdlu", k=r.randint(3, 9)))
+    texts = [" ".join(word() for _ in range(r.choice([3, 12, 60]))) for _ in range(40)]
+    changed = [" ".join("x" + w[1:] if k % 3 == 0 else w for k, w in enumerate(t.split())) for t in texts[:20]]
+    rows = [(k, 0, 1, t) for k, t in enumerate([*texts, *changed, " " + texts[3].upper(), None])]
+    chunks = spark.createDataFrame(rows, "doc_id int, chunk_idx int, tot_chunks int, content string")
+    best = {}
+    for d, _, _, x in rows:
+        for t, _, _, y in rows[:40:2]:
+            v = ratio_of(x and x.strip(" ").lower(), y.strip(" ").lower())
+            if v is not None and d != t and v >= 80:
+                best[d] = min(best.get(d, (-v, t)), (-v, t))
+    got = {x["doc_id"]: (-x["best"], x["template_id"]) for x in chunking.match_templates(chunks, chunks.filter("doc_id < 40 and doc_id % 2 = 0")).collect()}
+    assert got == best and {40, 42, 44} <= set(best)
