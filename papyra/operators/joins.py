@@ -32,14 +32,16 @@ def near_hashes(df: DataFrame, by: str, key: str, hash_: str, within: int) -> Da
     """(key, other, distance): for each row, pairs in its group with hashes that differ in fewer than ``within`` bits.
 
     The 64 bits are cut into ``within`` blocks; hashes that differ in fewer bits agree in one of them.
+    Blocks meet on the distinct hashes of a group, so rows with equal hashes cost no comparisons.
     """
     width = -(-64 // within)
     blocks = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(hash_, k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for k in range(within)))
-    rows = df.select(by, key, hash_, F.explode(blocks).alias("block"))
-    a = rows.select(by, "block", F.col(key).alias("key"), F.col(hash_).alias("x"))
-    b = rows.select(by, "block", F.col(key).alias("other"), F.col(hash_).alias("y"))
+    rows = df.select(by, key, hash_).distinct()
+    points = rows.select(by, hash_).distinct().select(by, F.col(hash_).alias("x"), F.explode(blocks).alias("block"))
     distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    return a.join(b, [by, "block"]).filter("key <> other").withColumn("distance", distance).filter(F.col("distance") < within).select(by, "key", "other", "distance").distinct()
+    near = points.join(points.withColumnRenamed("x", "y"), [by, "block"]).filter(distance < within).select(by, "x", "y", distance.alias("distance")).distinct()
+    a, b = (rows.select(by, F.col(key).alias(k), F.col(hash_).alias(h)) for k, h in (("key", "x"), ("other", "y")))
+    return a.join(near, [by, "x"]).join(b, [by, "y"]).filter("key <> other").select(by, "key", "other", "distance").distinct()
 
 
 def containing(words: DataFrame, texts: DataFrame, word: str, text: str) -> DataFrame:

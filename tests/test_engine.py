@@ -276,3 +276,27 @@ def test_templates_match_brute_force(spark):
                 best[d] = min(best.get(d, (-v, t)), (-v, t))
     got = {x["doc_id"]: (-x["best"], x["template_id"]) for x in chunking.match_templates(chunks, chunks.filter("doc_id < 40 and doc_id % 2 = 0")).collect()}
     assert got == best and {40, 42, 44} <= set(best)
+
+
+def test_near_hashes_match_brute_force(spark):
+    import random
+
+    from papyra.operators import joins
+
+    r = random.Random(6)
+    hashes = [r.getrandbits(63) for _ in range(30)]
+    rows = [(r.choice("ab"), k, r.choice(hashes) ^ sum(1 << r.randrange(63) for _ in range(r.randint(0, 4)))) for k in range(300)] + [(None, 900, 1), ("a", 901, None)]
+    got = joins.near_hashes(spark.createDataFrame(rows, "g string, k int, h long"), "g", "k", "h", 5).collect()
+    far = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    want = {(g, a, b, far(x, y)) for g, a, x in rows[:300] for f, b, y in rows[:300] if g == f and a != b and far(x, y) < 5}
+    assert {tuple(x) for x in got} == want and len(got) == len(want) > 300
+
+
+def test_whole_tables_of_hashes_and_changes(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_orderstatus").collect()
+    by = {}
+    for key, status in orders:
+        by.setdefault(status, []).append(key % 1000 * 37)
+    want = sum(sum((x ^ y).bit_count() < 5 for y in hs for x in hs) - len(hs) for hs in by.values())
+    assert catalogue.QUERIES["hamming_join"](spark, SF).count() == want
+    assert catalogue.QUERIES["field_change_capture"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
