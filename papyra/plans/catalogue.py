@@ -277,7 +277,7 @@ def pipe_split_membership(spark, d):
 @query("SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || left(text, 40), ' | ' ORDER BY turn) AS joined FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id")
 def reason_concat(spark, d):
     c = table(spark, d, "conversations").filter("conv_id is not null")
-    line = F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 40)).alias("t"))
+    line = F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t"))
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), " | ").alias("joined"))
 
 

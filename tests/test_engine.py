@@ -300,3 +300,15 @@ def test_whole_tables_of_hashes_and_changes(spark):
     want = sum(sum((x ^ y).bit_count() < 5 for y in hs for x in hs) - len(hs) for hs in by.values())
     assert catalogue.QUERIES["hamming_join"](spark, SF).count() == want
     assert catalogue.QUERIES["field_change_capture"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_reasons_are_joined_whole(spark):
+    from pyspark.sql import functions as F
+
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").filter("conv_id is not null").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("t")).collect()
+    by = {}
+    for x in turns:
+        by.setdefault(x["conv_id"], []).append((x["turn"], x["t"]))
+    got = {x["conv_id"]: x["joined"] for x in catalogue.QUERIES["reason_concat"](spark, SF).collect()}
+    assert got == {k: " | ".join(t for _, t in sorted(v, key=lambda p: (p[0], p[1] or "")) if t is not None) for k, v in by.items()}
+    assert any(len(t or "") > 60 for v in by.values() for _, t in v)
