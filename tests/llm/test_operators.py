@@ -360,6 +360,25 @@ def test_quality(spark, docs, empty, monkeypatch, most):
     assert quality.judge(empty).count() == 0
 
 
+def test_each_fence_rejects_an_outlier(spark):
+    rows = [(k, sentences(500 + k, 80).replace(" ", "\n", 9), "en", "src") for k in range(60)]
+    words = sentences(900, 80).split()
+    odd = {
+        "word_length": " ".join(w * 3 for w in words),
+        "symbol_share": " ".join(f"{w}#" if k % 4 == 0 else w for k, w in enumerate(words)),
+        "dup_line_share": "\n".join(x for k, x in enumerate(words) for x in ([x, x] if k % 2 else [x])),
+        "repeat_share": " ".join([*words, *words[:10]]),
+    }
+    rows += [(100 + k, t, "en", "src") for k, t in enumerate(odd.values())]
+    got = {r["key"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k]["kept"] for k in range(60))
+    for k, m in enumerate(odd):
+        row = got[100 + k]
+        share = {"symbol_share": row["n_symbols"] / row["n_words"], "dup_line_share": row["n_dup_lines"] / max(1, row["n_lines"]), "repeat_share": row["n_repeat_words"] / row["n_words"]}
+        assert not row["base_failed"] and not row["kept"], m
+        assert all((v > row[f"{x}_high"]) == (x == m) for x, v in share.items()), m
+
+
 def test_quality_sketches_merge(spark):
     rows = spark.createDataFrame([(k, "en", f"s{k % 7}", 10 + k % 50, (10 + k % 50) * (3 + k % 5), 0, 1, 0, 0) for k in range(1000)], "key long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
     whole = quality.fences(quality.sketches(rows.withColumn("source", F.lit("s"))), ["lang"])
