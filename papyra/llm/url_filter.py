@@ -17,6 +17,7 @@ empty list allows, an empty table stays empty; other columns of the input stay o
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,12 @@ HASHES = 4
 
 #: (rule, verdict) of the query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Domains that the query lists.
+#: IANA's list of top-level domains, as it came with hypothesis (its first line has the version).
+TOP_LEVEL = tuple(x.lower() for x in (Path(__file__).parent / "top_level_domains.txt").read_text().split("\n")[1:] if x)
+#: Domains that the query lists: each name under every top-level domain, and under its ``example`` domain.
+NAMES = ("spam-farm", "cheap-pills")
+BLOCKED = tuple(f"{name}.{under}{top}" for name in NAMES for top in TOP_LEVEL for under in ("", "example."))
+#: Those of them that the SQL names.
 LISTED = ("spam-farm.example.org", "cheap-pills.example.com")
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -142,7 +148,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", ke
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url, judged."""
-    listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
+    listed = spark.createDataFrame([(k,) for k in BLOCKED], "key string")
     return judge(common.table(spark, sf_dir, "pages").select("page_id", "url"), listed)
 
 

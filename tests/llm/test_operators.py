@@ -83,6 +83,14 @@ def test_url_filter_in_segments_and_odd_urls(spark):
     assert url_filter.judge(pages, listed.limit(0)).filter("listed").count() == 0
 
 
+def test_query_lists_names_under_every_top_level_domain(spark):
+    assert len(url_filter.BLOCKED) == 2 * 2 * len(url_filter.TOP_LEVEL) == len(set(url_filter.BLOCKED)) > 5000 and set(url_filter.LISTED) < set(url_filter.BLOCKED)
+    got = url_filter.op1_url_filter(spark, "/root/testdata/sf0.1").collect()
+    want = lambda host: re.search(r"(^|\.)(spam-farm|cheap-pills)\.example\.[a-z]+$", host) is not None
+    assert all(r["listed"] == want(r["host"]) for r in got) and sum(r["listed"] for r in got) == 38
+    assert all(r["verdict"] == ("block" if r["listed"] else "allow") for r in got if r["rule"] is None)
+
+
 # --- 2 and 8 -----------------------------------------------------------------
 
 
