@@ -7,10 +7,9 @@ half has a cell for each vector of counts, and a fingerprint stands in its own c
 step away, so any two within distance 2 share a cell, that of the vector half-way. Pairs that share a
 cell are then verified bit by bit. No pair within the radius is missed.
 
-Documents with one fingerprint are one node. A cell of more than ``CROWD`` fingerprints is not paired:
-its fingerprints go to their radius-2 balls instead, where two fingerprints share a point if and only
-if they differ in 4 bits or fewer, and each point links its members to the smallest. That is exact and
-linear in the members, at 2,081 rows each.
+Documents with one fingerprint are one node. No cell lists its pairs: it gives a spanning forest of its
+links (see forest.py). Cells that fingerprints have of their own counts come first; the labels that they
+connect are then joined over all cells, where only cells of several labels are searched.
 
 Null, empty and word-less texts have fingerprint zero and link like any other. Repeated rows and ties:
 a group is named by its smallest doc_id. An empty table gives an empty table; other columns stay out.
@@ -26,10 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import common
+from papyra.llm import common, forest
 
 RADIUS = 4
-CROWD = 2048
+#: Of a member in a tile: node, label and fingerprint.
+MEMBER_BYTES = 64
+#: Of stars; a path of 2 ** ROUNDS nodes is far beyond any corpus.
+ROUNDS = 100
+#: Edges that a task may hold of one node.
+WHOLE = 1_000_000
 SEED = 42
 #: For each byte, its bits (lowest first) as eight 8-bit lanes of a word.
 LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -83,73 +87,86 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     return common.map_batches(docs.select(key, text), run, f"`{key}` {dict(docs.dtypes)[key]}, fp long", 2 << 20)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
 
-
-def cells(fp: F.Column) -> F.Column:
-    """The cells of both halves that a fingerprint stands in: array of longs, the half above them.
+def home_cells(fp: F.Column) -> list[F.Column]:
+    """The cells of the counts of both halves.
 
     The counts of a half's 16 two-bit segments are packed in one word, two bits each, by adding the odd to
-    the even bits; a step is one count more or less.
+    the even bits; the half stands above them.
     """
     out = []
     for half in (0, 1):
         bits = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-        cell = bits.bitwiseAND(F.lit(LOW)) + F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(LOW))
+        out.append(bits.bitwiseAND(F.lit(LOW)) + F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(LOW)) + F.lit(half << 33))
+    return out
+
+
+def cells(fp: F.Column) -> F.Column:
+    """The cells of both halves that a fingerprint stands in, its own and those one step away: array of longs; a step is one count more or less."""
+    out = []
+    for cell in home_cells(fp):
         steps = []
         for k in range(16):
             at = F.shiftrightunsigned(cell, 2 * k).bitwiseAND(F.lit(3))
             steps += [F.when(at < 2, cell + F.lit(1 << (2 * k))), F.when(at > 0, cell - F.lit(1 << (2 * k)))]
-        out += [c + F.lit(half << 33) for c in (cell, *steps)]
+        out += [cell, *steps]
     return F.array_compact(F.array(*out))
 
 
-def links(nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """(u, v): node ids of fingerprints within the radius, at least one path for each connected pair; nodes: (node, fp)."""
-    placed = scratch.write(nodes.select("node", "fp", F.explode(cells(F.col("fp"))).alias("cell")), "cells")
-    crowded = placed.groupBy("cell").count().filter(F.col("count") > CROWD).select("cell")
-    crowded = scratch.write(crowded, "crowded")
-    calm, crowd = placed, None
-    if crowded.take(1):
-        calm = placed.join(crowded, "cell", "left_anti")
-        crowd = placed.join(crowded, "cell", "left_semi").select("node", "fp").distinct()
-    a = calm.select("cell", F.col("node").alias("u"), F.col("fp").alias("fu"))
-    b = calm.select("cell", F.col("node").alias("v"), F.col("fp").alias("fv"))
-    near = F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= RADIUS
-    pairs = a.join(b, "cell").filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
-    if crowd is not None:
-        masks = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i in range(64) for j in range(i))]
-        flips = nodes.sparkSession.createDataFrame([([_signed(m) for m in masks],)], "masks array<long>").scalar()
-        held = crowd.select("node", "fp", flips.alias("flips"))
-        points = held.select("node", F.explode(F.transform("flips", lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
-        least = points.groupBy("point").agg(F.min("node").alias("u"))
-        pairs = pairs.union(points.join(least, "point").filter("u < node").select("u", F.col("node").alias("v")).distinct())
-    return pairs
-
-
-def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
+def connected(rows: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """(u, v): labels that fingerprints within the radius connect, a forest for each cell; rows: (cell, node, label, fp)."""
+    kind = dict(rows.dtypes)["label"]
+
+    def run(batch: pa.RecordBatch, held: forest.Groups) -> pa.RecordBatch:
+        fps = held.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        i, j = held.forest(forest.Bits(fps, RADIUS))
+        label = held.field("label")
+        return pa.RecordBatch.from_arrays([label.take(pa.array(i)), label.take(pa.array(j))], names=["u", "v"])
+
+    placed = rows.withColumn("bytes", F.lit(MEMBER_BYTES))
+    found = forest.map_groups(forest.tiles(placed, scratch, name), run, f"u {kind}, v {kind}")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def named(nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(node, label): every node of (node, fp) with the smallest node that it reaches over links; fp distinct, node not null."""
+    home = nodes.select(F.explode(F.array(*home_cells(F.col("fp")))).alias("cell"), "node", F.col("node").alias("label"), "fp")
+    first = components(connected(home, scratch, "home"), scratch, "first")
+    labelled = nodes.join(first, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("label"))
+    labelled = scratch.write(labelled, "labelled")
+    scratch.drop("home-tiles")
+    placed = scratch.write(labelled.select(F.explode(cells(F.col("fp"))).alias("cell"), "node", "label", "fp"), "cells")
+    second = scratch.write(components(connected(placed, scratch, "grid"), scratch, "second"), "relabelled")
+    out = labelled.join(second.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("label"))
+    out = scratch.write(out.distinct(), "named")
+    scratch.drop("cells", "grid-tiles", "labelled", "relabelled")
+    return out
+
+
+def components(edges: DataFrame, scratch: common.Scratch, name: str = "components") -> DataFrame:
     """(node, component): the smallest reachable node for every node with an edge, by alternating large and small stars.
 
     edges: (u, v) with u < v. Each round is written to the shared folder; the rounds grow with the
     logarithm of the longest path.
     """
-    now = scratch.write(edges.select("u", "v").distinct(), "round-0")
+    now = scratch.write(edges.select("u", "v").distinct(), f"{name}-0")
     seen = None
-    for k in range(1, 100):
+    for k in range(1, ROUNDS):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            break
+        if seen == state or not state[0]:
+            return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
         seen = state
+        # a join with a written table can be split where one node has many edges; few edges need no splitting
+        cut = scratch.write if state[0] > WHOLE else lambda df, _: df
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u < v").distinct()
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
+        large = cut(both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u < v").distinct(), f"{name}-large")
         # from each node to its smaller neighbours: all of them, and the node, hang on the smallest
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = cut(large.groupBy("v").agg(F.min("u").alias("m")), f"{name}-low")
         small = large.join(low, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).union(low.select(F.col("m").alias("u"), "v"))
-        now = scratch.write(small.filter("u < v").distinct(), f"round-{k}")
-        scratch.drop(f"round-{k - 1}")
-    return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
+        now = scratch.write(small.filter("u < v").distinct(), f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}", f"{name}-least", f"{name}-large", f"{name}-low")
+    raise RuntimeError(f"components are not found after {ROUNDS} rounds")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
@@ -157,10 +174,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     scratch = common.Scratch(docs.sparkSession, "simhash")
     marked = scratch.write(fingerprints(docs, key, text, size), "marked")
     nodes = scratch.write(marked.groupBy("fp").agg(F.min(key).alias("node")), "nodes")
-    found = scratch.write(links(nodes.filter("node is not null"), scratch), "links")
-    scratch.drop("cells", "crowded")
-    named = scratch.write(components(found, scratch), "named")
-    whole = nodes.join(named, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    known = named(nodes.filter("node is not null"), scratch)
+    whole = nodes.join(known, "node", "left").select("fp", F.coalesce("label", "node").alias("component"))
     return marked.join(whole, "fp").select(key, "fp", "component")
 
 

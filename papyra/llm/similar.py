@@ -7,36 +7,36 @@ simhash.py (radius 4, by the grid of segment bit counts) with links of a Jaccard
 
 1. Each distinct text has ``BANDS`` keys of ``ROWS`` minima of its shingles under fixed permutations. At
    similarity 0.8 two texts share no key with a chance of 1 in 100,000.
-2. Texts that share a key form a bucket. Pairs are not listed: the bucket's centroid is the majority of
-   each bit of its members' fingerprints, and the members nearest to it are its centres. Members are
-   compared with the centres; those that are linked are settled; the others go into further rounds with ever more
-   centres, until all are settled or have been centres themselves.
-3. Comparisons are exact, on the sets of shingle hashes of both texts. Settled members still count: the Jaccard
-   distance is a metric, so a member and one that is settled with a centre can only be linked if their distances
-   to that centre differ by no more than a link's. Such pairs of different components are compared at the end,
-   a few for each two components first, and no more once these are linked.
+2. Texts that share a key form a bucket. A bucket of texts that are known to be connected is left out. From each other
+   bucket come candidates: a spanning forest (forest.py) of the pairs that the maps of their shingles' parities cannot
+   exclude; these maps never exclude a similar pair.
+3. Candidates are verified on the whole sets of shingle hashes. Where all of a bucket's candidates hold, its forest
+   connects whatever is similar in it. A bucket with a candidate that does not hold is searched again: the nearest 4, then
+   16, 64 and so on of all its pairs that may still connect two components, until one holds or none are left.
 
 Texts without a word are equal to each other. Rows with equal words are one node, so copies cost
-nothing. Null keys never name a group; an empty table gives an empty table.
+nothing, however long. Null keys never name a group; an empty table gives an empty table; other columns stay out.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm import common, simhash
+from papyra.llm import common, forest, simhash
 
 SIZE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 3
 #: For the rounding of distances.
 SLACK = 1e-9
+#: Of a member in a tile besides its map: node, label and number of shingles.
+MEMBER_BYTES = 64
+#: 4 ** ROUNDS pairs are more than any bucket has.
+ROUNDS = 32
 _RNG = np.random.default_rng(7)
 MULTIPLIERS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -53,24 +53,27 @@ def band_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, same, fp, n, keys): a digest of the words, the fingerprint, the number of distinct shingles, and the band keys (none without words)."""
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, same binary, fp long, n long, keys array<bigint>"
+    """(key, same, fp, n, keys, map): a digest of the words, the fingerprint, the number of distinct shingles, the band keys (none without words), and the parity map."""
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, same binary, fp long, n long, keys array<bigint>, map binary"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = common.text_bytes(batch.column(1))
-        hashes = [simhash.shingle_hashes(t, size) for t in texts]
+        hashes = [np.array(simhash.shingle_hashes(t, size), np.uint64) for t in texts]
         same = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
+        sets = [np.unique(h) for h in hashes]
         lengths = np.array([len(h) for h in hashes], np.int64)
         own = np.flatnonzero(lengths)
         fp, keys = np.zeros(len(texts), np.uint64), [[] for _ in texts]
         if len(own):
-            flat = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, int(lengths.sum()))
             starts = (np.cumsum(lengths) - lengths)[own]
-            over = simhash.bit_counts(flat, starts) * 2 > lengths[own][:, None]
+            over = simhash.bit_counts(np.concatenate(hashes), starts) * 2 > lengths[own][:, None]
             fp[own] = np.packbits(over, axis=1, bitorder="little").view("<u8").reshape(-1)
-            for i, k in zip(own.tolist(), band_keys(flat, starts).view(np.int64).tolist(), strict=True):
+            counts = np.array([len(sets[i]) for i in own])
+            for i, k in zip(own.tolist(), band_keys(np.concatenate([sets[i] for i in own]), np.cumsum(counts) - counts).view(np.int64).tolist(), strict=True):
                 keys[i] = k
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fp.view(np.int64)), pa.array([len(set(h)) for h in hashes], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[key, "same", "fp", "n", "keys"])
+        maps = [forest.Parities.of(h) for h in sets]
+        columns = [pa.array(same, pa.binary()), pa.array(fp.view(np.int64)), pa.array([len(h) for h in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "same", "fp", "n", "keys", "map"])
 
     return common.map_batches(docs.select(key, text), run, schema, 1 << 20)
 
@@ -85,128 +88,78 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return common.map_batches(docs, run, f"node {dict(docs.dtypes)['node']}, shingles binary")
 
 
-def distances(pairs: DataFrame, sets: DataFrame, most: float) -> DataFrame:
-    """(u, v, d): those (u, v) whose sets have a Jaccard distance of at most ``most``."""
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those (u, v) whose sets have at least the similarity."""
     kind = dict(pairs.dtypes)["u"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            small, large = sorted((len(x), len(y)))
-            if small < (1 - most) * large - 1e-6:
-                found.append(2.0)
-                continue
             both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
             shared = int((both[1:] == both[:-1]).sum())
-            found.append(1 - shared / (len(both) - shared))
-        d = np.array(found, np.float64)
-        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["u", "v", "d"])
-        return out.filter(pa.array(d <= most + SLACK))
+            found.append(shared >= similarity * (len(both) - shared) - SLACK)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(found, pa.bool_()))
 
     a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-    return common.map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y"), run, f"u {kind}, v {kind}, d double")
-
-
-def centres(rows: DataFrame, count: int) -> DataFrame:
-    """(bucket, centre, centre_n): the members nearest to each bucket's majority of bits. rows: (bucket, node, fp, n)."""
-    bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))
-    sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), *(F.sum(bit(i)).alias(f"b{i}") for i in range(64))).filter("n > 1")
-    centroid = F.lit(0).cast("long")
-    for i in range(64):
-        centroid = centroid.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(simhash._signed(1 << i))).otherwise(F.lit(0).cast("long")))
-    centroid = sums.select("bucket", centroid.alias("c"))
-    near = rows.join(centroid, "bucket").select("bucket", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("c"))).alias("d"), F.col("node"), F.col("n")).alias("x"))
-    if count == 1:
-        return near.groupBy("bucket").agg(F.min("x").alias("x")).select("bucket", F.col("x.node").alias("centre"), F.col("x.n").alias("centre_n"))
-    # the nearest of each of count hash classes, so that the aggregation keeps partial minima
-    return near.groupBy("bucket", F.pmod(F.xxhash64("x.node"), F.lit(count)).alias("k")).agg(F.min("x").alias("x")).select("bucket", F.col("x.node").alias("centre"), F.col("x.n").alias("centre_n"))
-
-
-def similar_links(nodes: DataFrame, texts: DataFrame, edges: DataFrame, scratch: common.Scratch, size: int, similarity: float) -> DataFrame | None:
-    """(u, v) with u < v; nodes: (node, fp, n, keys), texts: (node, text) of the same nodes, edges: (u, v) known to be linked."""
-    rows = nodes.select("node", "fp", "n", F.posexplode("keys").alias("band", "k")).select(F.struct("band", "k").alias("bucket"), "node", "fp", "n")
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    rows = scratch.write(rows.join(crowded, "bucket", "left_semi"), "bucket-0")
-    sets = scratch.write(shingle_sets(texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text"), size), "sets")
-    link = 1 - similarity
-    reach = min(1.0, 2 * link)
-    found = around = None
-    done = 0
-    while rows.take(1):
-        chosen = scratch.write(centres(rows, 1 << max(0, done - 1)), f"centres-{done}")
-        near = F.least("n", "centre_n") >= (1 - reach) * F.greatest("n", "centre_n") - SLACK
-        put = scratch.write(rows.join(chosen, "bucket").filter((F.col("node") != F.col("centre")) & near).select("bucket", "node", "n", "centre"), f"put-{done}")
-        pairs = put.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
-        measured = scratch.write(distances(pairs, sets, reach), f"measured-{done}")
-        linked = measured.filter(F.col("d") <= link + SLACK).select("u", "v")
-        found = linked if found is None else found.unionByName(linked)
-        both = measured.select(F.col("u").alias("node"), F.col("v").alias("centre"), "d").union(measured.select(F.col("v").alias("node"), F.col("u").alias("centre"), "d"))
-        met = scratch.write(put.join(both, ["node", "centre"]).select(F.lit(done).alias("round"), "bucket", "centre", "node", "n", "d"), f"met-{done}")
-        around = met if around is None else around.unionByName(met)
-        settled = met.filter(F.col("d") <= link + SLACK).select("bucket", "node").union(chosen.select("bucket", F.col("centre").alias("node"))).distinct()
-        left = rows.join(settled, ["bucket", "node"], "left_anti")
-        again = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        rows = scratch.write(left.join(again, "bucket", "left_semi"), f"bucket-{done + 1}")
-        scratch.drop(f"bucket-{done}", f"centres-{done}", f"put-{done}")
-        done += 1
-    if found is None:
-        return None
-    found = found.unionByName(border_links(around, edges.unionByName(found), sets, scratch, similarity))
-    scratch.drop(*(f"met-{k}" for k in range(done)), f"bucket-{done}")
-    return found
-
-
-def border_links(around: DataFrame, edges: DataFrame, sets: DataFrame, scratch: common.Scratch, similarity: float) -> DataFrame:
-    """(u, v) between members that were not compared as one of them was settled; around: (round, bucket, centre, node, n, d)."""
-    link = 1 - similarity
-    at = ["round", "bucket", "centre"]
-    # each settled member with its nearest centre, beside all members that this centre did not settle
-    settled = around.filter(F.col("d") <= link + SLACK).groupBy("round", "bucket", "node").agg(F.min(F.struct("d", "centre")).alias("x"), F.min("n").alias("n"))
-    settled = settled.select("round", "bucket", F.col("x.centre").alias("centre"), F.col("node").alias("s"), F.col("n").alias("s_n"), F.col("x.d").alias("s_d"))
-    border = around.filter(F.col("d") > link + SLACK).select(*at, F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("d").alias("b_d"))
-    component = scratch.write(simhash.components(edges, scratch), "part")
-    one, two = component.select(F.col("node").alias("s"), F.col("component").alias("s_part")), component.select(F.col("node").alias("b"), F.col("component").alias("b_part"))
-    border = border.join(two, "b", "left").withColumn("b_part", F.coalesce("b_part", "b"))
-    settled = settled.join(border.select(*at).distinct(), at, "left_semi").join(one, "s", "left").withColumn("s_part", F.coalesce("s_part", "s"))
-    sized = F.least("s_n", "b_n") >= similarity * F.greatest("s_n", "b_n") - SLACK
-    near = F.col("b_d") <= F.col("s_d") + link + 2 * SLACK
-    pairs = settled.join(border, at).filter((F.col("s_part") != F.col("b_part")) & sized & near)
-    u, v = F.least("s", "b").alias("u"), F.greatest("s", "b").alias("v")
-    pairs = scratch.write(pairs.select(F.least("s_part", "b_part").alias("p"), F.greatest("s_part", "b_part").alias("q"), u, v).distinct(), "open-0")
-    out = None
-    for k, few in enumerate((1, 64, None)):
-        tried = pairs
-        if few:  # of each two components the least of few hash classes
-            tried = pairs.groupBy("p", "q", F.pmod(F.xxhash64("u", "v"), F.lit(few)).alias("k")).agg(F.min(F.struct(F.xxhash64("v", "u").alias("h"), "u", "v")).alias("x")).select("p", "q", "x.u", "x.v")
-            tried = scratch.write(tried, f"tried-{k}")
-        linked = scratch.write(distances(tried.select("u", "v"), sets, link).select("u", "v"), f"border-{k}")
-        out = linked if out is None else out.unionByName(linked)
-        if few:
-            joined = tried.join(linked, ["u", "v"]).select("p", "q").distinct()
-            pairs = scratch.write(pairs.join(joined, ["p", "q"], "left_anti").join(tried.select("u", "v"), ["u", "v"], "left_anti").select("p", "q", "u", "v"), f"open-{k + 1}")
-            if not pairs.take(1):
-                break
-    scratch.drop("part", *(f"{x}-{k}" for x in ("open", "tried") for k in range(3)))
-    return out
+    return common.map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y"), run, f"u {kind}, v {kind}")
+
+
+def candidates(groups: DataFrame, kind: str, similarity: float, count: int | None) -> DataFrame:
+    """(cell, u, v, p, q, more): pairs of a bucket that may be similar, p and q their labels; a spanning forest of them, or the count nearest of every two labels and whether there are more."""
+
+    def run(batch: pa.RecordBatch, held: forest.Groups) -> pa.RecordBatch:
+        near = forest.Parities(held.field("map").to_pylist(), held.field("n").to_numpy(zero_copy_only=False), similarity)
+        i, j, more = held.best(near, count) if count else (*held.forest(near), None)
+        more = np.ones(len(i), bool) if more is None else more
+        i_, j_, node, label = pa.array(i), pa.array(j), held.field("node"), held.field("label")
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held.of[i])), node.take(i_), node.take(j_), label.take(i_), label.take(j_), pa.array(more)], names=["cell", "u", "v", "p", "q", "more"])
+
+    return forest.map_groups(groups, run, f"cell long, u {kind}, v {kind}, p {kind}, q {kind}, more boolean")
+
+
+def joined(nodes: DataFrame, labels: DataFrame, texts: DataFrame, scratch: common.Scratch, size: int, similarity: float) -> DataFrame:
+    """(node, label): labels, united where similar texts connect them; nodes: (node, n, keys, map), labels: (node, label), texts: (node, text)."""
+    kind = dict(nodes.dtypes)["node"]
+    details = nodes.select("node", "n", "map")
+    placed = nodes.select("node", (F.octet_length("map") + MEMBER_BYTES).alias("bytes"), F.explode("keys").alias("cell"))
+    sets = None
+    for k in range(ROUNDS):
+        held = forest.tiles(placed.join(labels, "node"), scratch, f"bucket-{k}", details)
+        found = scratch.write(candidates(held, kind, similarity, 4**k if k else None), f"candidates-{k}")
+        if sets is None:
+            members = held.select(F.explode("members.node").alias("node")).distinct()
+            sets = scratch.write(shingle_sets(texts.join(members, "node", "left_semi").select("node", "text"), size), "sets")
+        scratch.drop(f"bucket-{k}-tiles")
+        pairs = scratch.write(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"pairs-{k}")
+        true = scratch.write(similar(pairs, sets, similarity).distinct(), f"similar-{k}")
+        tried = found.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
+        edges = tried.join(true, ["u", "v"], "left_semi").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
+        united = scratch.write(simhash.components(edges, scratch, f"united-{k}"), f"unions-{k}")
+        new = labels.join(united.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("label"))
+        labels = scratch.write(new, f"labels-{k}")
+        p, q = united.select(F.col("node").alias("p"), F.col("component").alias("p_now")), united.select(F.col("node").alias("q"), F.col("component").alias("q_now"))
+        failed = tried.filter("more").join(true, ["u", "v"], "left_anti").join(p, "p", "left").join(q, "q", "left")
+        again = scratch.write(failed.filter(F.coalesce("p_now", "p") != F.coalesce("q_now", "q")).select("cell").distinct(), f"again-{k}")
+        if not again.take(1):
+            return labels
+        placed = placed.join(again, "cell", "left_semi")
+    raise RuntimeError(f"buckets are not settled after {ROUNDS} rounds")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, component): every row with the smallest key that it reaches over links of either kind."""
     scratch = common.Scratch(docs.sparkSession, "similar")
     marked = scratch.write(marks(docs, key, text, size), "marked")
-    nodes = scratch.write(marked.groupBy("same").agg(F.min(key).alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")), "nodes")
+    nodes = scratch.write(marked.groupBy("same").agg(F.min(key).alias("node"), *(F.first(c).alias(c) for c in ("fp", "n", "keys", "map"))), "nodes")
     own = nodes.filter("node is not null")
-    points = own.groupBy("fp").agg(F.min("node").alias("node"))
-    edges = simhash.links(points, scratch).unionByName(own.join(points.select("fp", F.col("node").alias("u")), "fp").filter("u < node").select("u", F.col("node").alias("v")))
-    edges = scratch.write(edges, "near")
-    scratch.drop("cells", "crowded")
+    points = scratch.write(own.groupBy("fp").agg(F.min("node").alias("node")), "points")
+    near = points.join(simhash.named(points, scratch), "node").select("fp", "label")
+    labels = scratch.write(own.join(near, "fp").groupBy("node").agg(F.min("label").alias("label")), "labels")
     texts = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
-    more = similar_links(own.select("node", "fp", "n", "keys"), texts, edges, scratch, size, similarity)
-    edges = edges.unionByName(more) if more is not None else edges
-    named = scratch.write(simhash.components(edges, scratch), "named")
-    whole = nodes.join(named, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    labels = joined(own.select("node", "n", "keys", "map"), labels, texts, scratch, size, similarity)
+    whole = nodes.join(labels, "node", "left").select("same", F.col("label").alias("component")).distinct()
     out = scratch.write(marked.select(key, "same").join(whole, "same").select(key, "component"), "out")
-    scratch.drop("marked", "nodes", "near", "sets", "named")
+    scratch.drop("marked", "nodes", "points", "labels", "sets", "named")
     return out
 
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from papyra.llm import byte_bpe, decontaminate, html_text, language, quality, shards, similar, simhash, suffix_dedup, token_blocks, url_filter
+from papyra.llm import byte_bpe, decontaminate, forest, html_text, language, quality, shards, similar, simhash, suffix_dedup, token_blocks, url_filter
 from papyra.llm.dom import blocks
 from papyra.llm.suffix_sort import common_prefixes, suffix_array
 
@@ -181,9 +181,9 @@ def reach(ids, linked):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("crowd", [2048, 3])
-def test_simhash_groups(spark, docs, monkeypatch, crowd):
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+@pytest.mark.parametrize("tile", [1 << 20, 200])
+def test_simhash_groups(spark, docs, monkeypatch, tile):
+    monkeypatch.setattr(forest, "TILE_BYTES", tile)
     r = random.Random(5)
     rows = [(x[0], x[1]) for x in odd_texts() if x[0] is not None]
     base = sentences(9, 300).split()
@@ -212,7 +212,9 @@ def test_simhash_edges(spark, docs, empty):
     assert all(got[k] == 0 for k in range(1, 61)) and got[200] == 100 and got[150] == 100
 
 
-def test_similar_groups(spark):
+@pytest.mark.parametrize("tile", [1 << 20, 500])
+def test_similar_groups(spark, monkeypatch, tile):
+    monkeypatch.setattr(forest, "TILE_BYTES", tile)
     r = random.Random(8)
     rows = []
     for g in range(12):
