@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ PERCENTILE = 0.95
 END_ID = 0
 HEAD = struct.Struct("<IHBBI")
 TAIL = struct.Struct("<QQQQ8s")
-#: Most entries of each of a worker's caches.
-CACHE = 500_000
+#: Most units that a worker keeps, and about how many of their ids.
+UNITS, UNIT_IDS = 1_000_000, 8_000_000
 UNIT = re.compile(r"(?<=\S) (?=\S)")
 #: White space beside white space, or other than spaces and line feeds; plain searches are cheaper than a pattern.
 UNEVEN = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
@@ -216,73 +217,100 @@ class Reader:
 # --- encoding --------------------------------------------------------------
 
 
-class Cache(dict):
-    """Ids of what has been looked up, up to CACHE entries; then it starts anew."""
-
-    def __init__(self, find) -> None:
-        self.find = find
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.find(piece)
-        if len(piece) < 100:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = ids
-        return ids
+EMPTY = np.zeros(0, np.uint32)
+#: Marks the cuts; white space, so that no text with it is cut by it.
+CUT = "\x1f"
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library, each distinct pre-token once while it stays in the cache.
+    """Whole texts to ids by the tokenizers library, each distinct unit once while it is kept.
 
     A text is cut into units where no pre-token crosses: before single spaces, and around single line
-    feeds, that stand between characters that are not white space. A unit that has not been seen is cut
-    by the pattern, and its pre-tokens are given to the library's model. A text that holds one of the file's
-    added tokens goes through the library's encode, which gives these their own ids.
+    feeds, that stand between characters that are not white space. The distinct units of a batch of texts
+    that are not kept yet go through the library's encode together; each text's ids are then gathered.
+    A text that holds one of the file's added tokens goes through encode as a whole.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.pattern = regex.compile(pattern)
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
-        others = [b for b in range(256) if b not in set(plain)]
-        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
-        self.tokens = Cache(self._token)
-        self.plain = Cache(self._unit)
-        self.spaced = Cache(lambda unit: self._unit(" " + unit))
-
-    def _token(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-
-    def _unit(self, unit: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(unit)))
-
-    def text(self, text: str) -> bytes:
-        if any(x in text for x in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        spaced = self.spaced.__getitem__
-        if any(x in text for x in UNEVEN) or text[:1].isspace() or text[-1:].isspace():
-            first, *rest = UNIT.split(text)
-            return self.plain[first] + b"".join(map(spaced, rest))
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append(self.plain[first] + b"".join(map(spaced, rest)))
-        return self.plain["\n"].join(lines)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.lengths, self.ids = np.zeros(0, np.int64), EMPTY
+
+    def _places(self, units: pa.Array) -> np.ndarray:
+        """Places of distinct units among those kept."""
+        if len(self.known) > UNITS or len(self.ids) > UNIT_IDS:
+            self._clear()
+        at = pc.index_in(units, value_set=self.known)
+        new = units.filter(at.is_null())
+        if len(new):
+            lengths, ids = self._encoded(new)
+            at = pc.coalesce(at, pa.array(np.cumsum(at.is_null().to_numpy(zero_copy_only=False)) - 1 + len(self.known), pa.int32()))
+            self.known = pa.concat_arrays([self.known, new])
+            self.lengths, self.ids = np.append(self.lengths, lengths), np.append(self.ids, ids)
+        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def _encoded(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each unit has, and all ids. Units go to the library in lines; a line feed has an id that no other unit holds."""
+        feed = self.tokenizer.token_to_id("\u010a")
+        alone = pc.equal(units, "\n").to_numpy(zero_copy_only=False)
+        lines = units.filter(pa.array(~alone))
+        step = 1000
+        cuts = pa.array(np.append(np.arange(0, len(lines), step), len(lines)), pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(cuts, lines.cast(pa.string())), "\n").to_pylist()
+        flat = [np.array([*e.ids, feed], np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate(flat) if flat else EMPTY
+        ends = np.flatnonzero(flat == feed)
+        lengths = np.ones(len(units), np.int64)
+        lengths[~alone] = np.diff(ends, prepend=-1) - 1
+        ids = np.full(int(lengths.sum()), feed, np.uint32)
+        ids[np.repeat(~alone, lengths)] = flat[flat != feed]
+        return lengths, ids
+
+    def _even(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose only white space is single spaces and line feeds inside them, and how many each has."""
+        marked = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), " ", f"{CUT} "), "\n", f"{CUT}\n{CUT}")
+        units = pc.split_pattern(marked, CUT)
+        counts = pc.list_value_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(units).dictionary_encode()
+        at = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        n = self.lengths[at]
+        total = np.cumsum(n)
+        ids = self.ids[np.repeat(np.cumsum(self.lengths)[at] - total, n) + np.arange(total[-1])]
+        return ids, np.add.reduceat(n, np.cumsum(counts) - counts)
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        even, out = [], [EMPTY] * len(texts)
+        for k, t in enumerate(texts):
+            if any(x in t for x in self.added):
+                out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+            elif any(x in t for x in UNEVEN) or t[:1].isspace() or t[-1:].isspace():
+                first, *rest = UNIT.split(t)
+                out[k] = np.array([i for e in self.tokenizer.encode_batch_fast([first, *(" " + r for r in rest)], add_special_tokens=False) for i in e.ids], np.uint32)
+            elif t:
+                even.append(k)
+        if even:
+            ids, lengths = self._even([texts[k] for k in even])
+            if len(even) == len(texts):
+                return ids, lengths
+            for k, own in zip(even, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                out[k] = own
+        return np.concatenate(out) if out else EMPTY, np.array([len(o) for o in out], np.int64)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
-def write_ids(docs: DataFrame, out: str, tokenizer_path: str, pattern: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, files: int | None = None) -> DataFrame:
+def write_ids(docs: DataFrame, out: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Encode whole texts, append end_id to each, write them in ascending key order to files under out; returns the manifest.
 
     The texts are dealt by ranges of the key before they are encoded, so each task writes one file of
@@ -295,15 +323,16 @@ def write_ids(docs: DataFrame, out: str, tokenizer_path: str, pattern: str, key:
     schema = "file string, first_key long, documents long, ids long, bytes long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, least, end = None, None, np.array([end_id], "<u4").tobytes()
+        writer, least = None, None
         for batch in batches:
             for part in common.slices(batch, 8 << 20):
                 if writer is None:
                     writer, least = Writer(out, f"ids-{uuid.uuid4().hex}.pfor"), part.column(0)[0].as_py()
-                ids = [encoder(tokenizer_path, pattern).text(x or "") + end for x in part.column(1).to_pylist()]
+                ids, lengths = encoder(tokenizer_path).texts([x or "" for x in part.column(1).to_pylist()])
+                ids = np.insert(ids, np.cumsum(lengths), end_id)
                 keys = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
                 nulls = part.column(0).is_null().to_numpy(zero_copy_only=False)
-                writer.add(keys, nulls, np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4"))
+                writer.add(keys, nulls, lengths + 1, ids)
         if writer is not None:
             writer.close()
             row = {"file": [writer.uri], "first_key": [least], "documents": [writer.documents], "ids": [writer.ids], "bytes": [writer.place]}
@@ -345,5 +374,5 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = common.Scratch(spark, "token-blocks").root
-    write_ids(common.table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    write_ids(common.table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"))
     return read_ids(spark, out).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

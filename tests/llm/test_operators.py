@@ -98,11 +98,10 @@ def test_token_files_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     from papyra.llm.common import Scratch
 
     out = Scratch(spark, "test-tokens").root
-    token_blocks.write_ids(docs, out, P.path("byte_bpe_50k.json"), P.PATTERN)
+    token_blocks.write_ids(docs, out, P.path("byte_bpe_50k.json"))
     got = sorted(token_blocks.read_ids(spark, out).collect(), key=lambda r: r["start"])
     rows = sorted(odd_texts(), key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r["doc_id"] for r in got] == [r[0] for r in rows]
@@ -120,8 +119,25 @@ def test_token_ids_of_added_tokens():
     t = Tokenizer.from_file(path)
     end = "<|endoftext|>"
     texts = [f"one{end}two", end, f" {end} ", f"a\n{end}{end}\n b  c", f"it's {end[:-1]} not", f"{sentences(5, 400)} {end}\n\n{sentences(6, 9)}"]
-    ids = [np.frombuffer(token_blocks.encoder(path, P.PATTERN).text(x), "<u4").tolist() for x in texts]
-    assert ids[0] == [505, 50256, 11545] and ids == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    flat, lengths = token_blocks.encoder(path).texts(texts)
+    ids = [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])]
+    assert ids[0] == [505, 50256, 11545] and lengths.sum() == len(flat) and ids == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@pytest.mark.parametrize("units", [1_000_000, 3])
+def test_token_ids_of_odd_texts(monkeypatch, units):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_blocks, "UNITS", units)
+    path = P.path("byte_bpe_50k.json")
+    t, r, own = Tokenizer.from_file(path), random.Random(1), token_blocks.Encoder(path)
+    bits = ["a", "the", "'s", "'", " ", " ", " ", "\n", "\n", "  ", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85", "12", "é", "日本", "!", "<|endoftext|>", "<|end", "\u200b", "#" * 30]
+    for _ in range(40):
+        texts = ["".join(r.choices(bits, k=r.randrange(12))) for _ in range(r.randrange(60))]
+        texts += ["", " ", "\n", "a\nb c", "a b\nc", "\na", "a\n"]
+        flat, lengths = own.texts(texts)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert own.texts([])[1].tolist() == []
 
 
 def test_token_blocks_and_random_access(tmp_path):
