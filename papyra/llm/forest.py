@@ -6,7 +6,7 @@ pair for each newly connected label is enough. Each group is searched breadth fi
 been reached are compared with those that have not, and whoever is near is reached. A group of copies is
 reached in a step or two, after which nothing is left to compare; no group ever lists its pairs.
 
-Groups of one label are left out before their members move. A group heavier than ``TILE_BYTES`` is dealt
+Groups of one label are left out. A group heavier than ``TILE_BYTES`` is dealt
 into tiles, and every two tiles are searched together, so that a task holds two tiles at most while
 each pair still meets somewhere.
 """
@@ -31,19 +31,26 @@ WORK = 1 << 20
 
 
 def tiles(rows: DataFrame, scratch: common.Scratch, name: str, details: DataFrame | None = None, tile_bytes: int | None = None) -> DataFrame:
-    """(cell, members): each group's members, array of structs, or those of every two of its tiles.
+    """(cell, members): the members, array of structs, of each group with several labels, or of every two of its tiles.
 
     rows: (cell, node, label, bytes) and more columns, bytes being a member's weight in a task. details:
-    more columns by node, joined to the members of groups with several labels only.
+    more columns by node, joined to the members of groups with several labels only. Only heavy groups are
+    counted before their members move, so all else is shuffled once.
     """
     limit = tile_bytes or TILE_BYTES
-    kinds = rows.groupBy("cell").agg(F.sum("bytes").alias("total"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
-    mixed = scratch.write(kinds.select("cell", F.ceil(F.col("total") / limit).cast("int").alias("t")), f"{name}-mixed")
-    dealt = rows.join(mixed, "cell").drop("bytes").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
-    dealt = dealt.join(details, "node") if details is not None else dealt
-    member = F.struct(*(c for c in dealt.columns if c not in ("cell", "t", "tile")))
-    held = scratch.write(dealt.groupBy("cell", "t", "tile").agg(F.collect_list(member).alias("members")), f"{name}-tiles")
-    scratch.drop(f"{name}-mixed")
+    heavy = rows.groupBy("cell").agg(F.sum("bytes").alias("total")).filter(F.col("total") > limit)
+    heavy = scratch.write(heavy.select("cell", F.ceil(F.col("total") / limit).cast("int").alias("t")), f"{name}-heavy")
+    dealt = rows.join(heavy, "cell", "left").withColumn("t", F.coalesce("t", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.when(F.col("t") > 1, F.pmod(F.xxhash64("node"), F.col("t"))).otherwise(0).cast("int"))
+    member = F.struct(*(c for c in rows.columns if c not in ("cell", "bytes")))
+    by = ["cell", "t", "tile"]
+    held = dealt.groupBy(*by).agg(F.collect_list(member).alias("members"))
+    held = held.filter((F.col("t") > 1) | F.exists("members", lambda m: m["label"] != F.get("members", F.lit(0))["label"]))
+    held = scratch.write(held, f"{name}-tiles")
+    if details is not None:
+        open_ = held.select(*by, F.explode("members").alias("m")).select(*by, "m.*").join(details, "node")
+        member = F.struct(*(c for c in open_.columns if c not in by))
+        held = scratch.write(open_.groupBy(*by).agg(F.collect_list(member).alias("members")), f"{name}-detailed")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("t") - 1), lambda j: j != F.col("tile"))).alias("other")
     two = held.filter("t > 1").select("*", other).groupBy("cell", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q")).agg(F.flatten(F.collect_list("members")).alias("members"))
     return held.filter("t = 1").select("cell", "members").unionByName(two.select("cell", "members"))

@@ -134,12 +134,12 @@ def named(nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
     first = components(connected(home, scratch, "home"), scratch, "first")
     labelled = nodes.join(first, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("label"))
     labelled = scratch.write(labelled, "labelled")
-    scratch.drop("home-tiles")
+    scratch.drop("home-tiles", "home-heavy")
     placed = scratch.write(labelled.select(F.explode(cells(F.col("fp"))).alias("cell"), "node", "label", "fp"), "cells")
     second = scratch.write(components(connected(placed, scratch, "grid"), scratch, "second"), "relabelled")
     out = labelled.join(second.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("label"))
     out = scratch.write(out.distinct(), "named")
-    scratch.drop("cells", "grid-tiles", "labelled", "relabelled")
+    scratch.drop("cells", "grid-tiles", "grid-heavy", "labelled", "relabelled")
     return out
 
 

@@ -11,8 +11,8 @@ simhash.py (radius 4, by the grid of segment bit counts) with links of a Jaccard
    bucket come candidates: a spanning forest (forest.py) of the pairs that the maps of their shingles' parities cannot
    exclude; these maps never exclude a similar pair.
 3. Candidates are verified on the whole sets of shingle hashes. Where all of a bucket's candidates hold, its forest
-   connects whatever is similar in it. A bucket with a candidate that does not hold is searched again: the nearest 4, then
-   16, 64 and so on of all its pairs that may still connect two components, until one holds or none are left.
+   connects whatever is similar in it. A bucket with a candidate that does not hold is searched again: the nearest 16, then
+   256, 4096 and so on of all its pairs that may still connect two components, until one holds or none are left.
 
 Texts without a word are equal to each other. Rows with equal words are one node, so copies cost
 nothing, however long. Null keys never name a group; an empty table gives an empty table; other columns stay out.
@@ -35,7 +35,7 @@ BANDS, ROWS = 16, 3
 SLACK = 1e-9
 #: Of a member in a tile besides its map: node, label and number of shingles.
 MEMBER_BYTES = 64
-#: 4 ** ROUNDS pairs are more than any bucket has.
+#: 16 ** ROUNDS pairs are more than any bucket has.
 ROUNDS = 32
 _RNG = np.random.default_rng(7)
 MULTIPLIERS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,11 +125,11 @@ def joined(nodes: DataFrame, labels: DataFrame, texts: DataFrame, scratch: commo
     sets = None
     for k in range(ROUNDS):
         held = forest.tiles(placed.join(labels, "node"), scratch, f"bucket-{k}", details)
-        found = scratch.write(candidates(held, kind, similarity, 4**k if k else None), f"candidates-{k}")
+        found = scratch.write(candidates(held, kind, similarity, 16**k if k else None), f"candidates-{k}")
         if sets is None:
             members = held.select(F.explode("members.node").alias("node")).distinct()
             sets = scratch.write(shingle_sets(texts.join(members, "node", "left_semi").select("node", "text"), size), "sets")
-        scratch.drop(f"bucket-{k}-tiles")
+        scratch.drop(f"bucket-{k}-tiles", f"bucket-{k}-detailed", f"bucket-{k}-heavy")
         pairs = scratch.write(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"pairs-{k}")
         true = scratch.write(similar(pairs, sets, similarity).distinct(), f"similar-{k}")
         tried = found.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
