@@ -70,3 +70,34 @@ def grade(mean: Column) -> Column:
 def accuracy(total: Column, errors: Column) -> Column:
     """Percent without error, two places; 0 where there is nothing."""
     return F.coalesce(F.round(F.try_divide((total - errors) * 100.0, total.cast("double")), 2), F.lit(0.0))
+
+
+def distinct_accuracy(errors: Column, total: Column) -> Column:
+    """Percent of words without one of the distinct errors (array), two places, 0 at least; 100 where there is no word."""
+    share = F.try_divide(F.size(F.array_distinct(errors)) * 100.0, total.cast("double"))
+    return F.coalesce(F.round(F.greatest(F.lit(0.0), 100.0 - share), 2), F.lit(100.0))
+
+
+def weighted_accuracy(lines: Column, bad_lines: Column, words: Column, bad_words: Column) -> Column:
+    """0.6 of the lines' accuracy and 0.4 of the words', two places; 0 for what there is none of."""
+    one = lambda n, bad: F.coalesce(F.try_divide((n - bad) * 100.0, n.cast("double")), F.lit(0.0))
+    return F.round(0.6 * one(lines, bad_lines) + 0.4 * one(words, bad_words), 2)
+
+
+#: Least mean of each grade.
+KPI_GRADES = ((80, "Very High"), (70, "High"), (60, "Medium"), (50, "Low"))
+
+
+def kpi_grade(scores: Column) -> tuple[Column, Column]:
+    """The mean of the scores of a map, and its grade."""
+    values = F.map_values(scores)
+    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda n, x: n + x), F.size(values).cast("double"))
+    out = F.when(F.lit(False), "")
+    for bound, name in KPI_GRADES:
+        out = out.when(mean >= bound, name)
+    return mean, F.when(mean.isNotNull(), out.otherwise("Very Low"))
+
+
+def mean_score(score: Column) -> Column:
+    """Mean of the scores that are there, two places; 0 where there are none. An aggregate."""
+    return F.coalesce(F.round(F.avg(score), 2), F.lit(0.0))

@@ -44,6 +44,21 @@ def near_hashes(df: DataFrame, by: str, key: str, hash_: str, within: int) -> Da
     return a.join(near, [by, "x"]).join(b, [by, "y"]).filter("key <> other").select(by, "key", "other", "distance").distinct()
 
 
+def nearest_earlier(df: DataFrame, by: str, key: str, hash_: str, within: int) -> DataFrame:
+    """(by, key, nearest, distance): for each row the row of its group with a smaller key whose hash differs in the fewest bits, fewer than ``within``.
+
+    Rows with one hash stand for it by their smallest key, so a row meets the near hashes of its group and not
+    their rows; of equally near ones the smallest key counts. Rows without one are left out.
+    """
+    firsts = df.groupBy(by, hash_).agg(F.min(key).alias("least"))
+    near = near_hashes(firsts, by, "least", hash_, within).select(by, F.col("key").alias("least"), F.col("other").alias("nearest"), "distance")
+    own = firsts.select(by, "least", F.col("least").alias("nearest"), F.lit(0).alias("distance"))
+    rows = df.select(by, key, hash_).distinct().join(firsts, [by, hash_]).select(by, key, "least")
+    met = rows.join(near.unionByName(own), [by, "least"]).filter(F.col("nearest") < F.col(key))
+    best = met.groupBy(by, key).agg(F.min(F.struct("distance", "nearest")).alias("x"))
+    return best.select(by, key, "x.nearest", "x.distance")
+
+
 def containing(words: DataFrame, texts: DataFrame, word: str, text: str) -> DataFrame:
     """Words that contain a text, case and all, by equality on the text's length of substrings: no all-pairs comparison."""
     sizes = [r[0] for r in texts.select(F.length(text)).distinct().filter(F.length(text) > 0).collect()]  # as many as there are lengths of a sensitive item

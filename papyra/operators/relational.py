@@ -47,7 +47,7 @@ def delete(df: DataFrame, where: Mapping[str, Any]) -> DataFrame:
 
 def insert_absent(df: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
     """df and those rows whose key it does not hold."""
-    return df.unionByName(rows.join(df.select(*on), on, "left_anti"))
+    return df.unionByName(rows.dropDuplicates(on).join(df.select(*on), on, "left_anti"))
 
 
 def upsert(df: DataFrame, rows: DataFrame, on: list[str], version: str) -> DataFrame:
@@ -103,7 +103,7 @@ def unmatched(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 
 def pivot_settings(rows: DataFrame, by: str, name: str, value: str, names: list[str]) -> DataFrame:
     """One row for each group with the greatest value of each named setting; names are given, so the plan has one pass."""
-    return rows.groupBy(by).pivot(name, names).agg(F.max(F.try_cast(F.col(value), "double")) if hasattr(F, "try_cast") else F.max(F.col(value).try_cast("double")))
+    return rows.groupBy(by).pivot(name, names).agg(F.max(F.col(value).try_cast("double")))
 
 
 def pages(df: DataFrame, order: list[Column], size: int, by: list[str]) -> DataFrame:
@@ -111,3 +111,60 @@ def pages(df: DataFrame, order: list[Column], size: int, by: list[str]) -> DataF
     w = Window.partitionBy(*by).orderBy(*order)
     n = F.row_number().over(w)
     return df.withColumn("__n", n).withColumn("page", F.floor((F.col("__n") - 1) / size).cast("int")).withColumn("pushed", F.least((F.col("page") + 1) * size, F.count("*").over(Window.partitionBy(*by))).cast("long")).drop("__n")
+
+
+def text_scan(df: DataFrame, sql: str, **params: Any) -> DataFrame:
+    """A SELECT over ``{df}`` with named parameters (:name), which are bound and never pasted into the text."""
+    return df.sparkSession.sql(sql, args=params, df=df)
+
+
+def by_keys(left: DataFrame, right: DataFrame, on: Mapping[str, Column | str], how: str = "inner") -> DataFrame:
+    """Join on several keys, each a column of right against a column or expression of left; right's keys stay out."""
+    marked = right.select(*(F.col(k).alias(f"__r_{k}") for k in on), *(c for c in right.columns if c not in on))
+    tests = [(F.col(e) if isinstance(e, str) else e) == F.col(f"__r_{k}") for k, e in on.items()]
+    return left.join(marked, reduce(Column.__and__, tests), how).drop(*(f"__r_{k}" for k in on))
+
+
+def positional(left: DataFrame, right: DataFrame, on: list[str], order: str) -> DataFrame:
+    """The n-th row of each group beside the n-th of the other's group, as far as the shorter goes; right's columns are prefixed with ``other_``."""
+    place = F.row_number().over(Window.partitionBy(*on).orderBy(order))
+    a, b = left.withColumn("place", place), right.withColumn("place", place)
+    return a.join(b.select(*on, "place", *(F.col(c).alias(f"other_{c}") for c in right.columns if c not in on)), [*on, "place"])
+
+
+def members(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key the other table holds, each once."""
+    return df.join(other.select(*on).distinct(), on, "left_semi")
+
+
+def mapped(keys: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) of every key asked for; null where there is no such row."""
+    return keys.select(key).distinct().join(rows.select(key, value), key, "left")
+
+
+def first_valid(df: DataFrame, by: list[str], value: str, order: str, valid: Column) -> DataFrame:
+    """The first value of each group, in order, that is valid; null where none is."""
+    return df.groupBy(*by).agg(F.min_by(F.when(valid, F.col(value)), F.when(valid, F.col(order))).alias(value))
+
+
+def base_name(name: Column, endings: list[str]) -> Column:
+    """A file name without its suffix and without the given endings, lower-cased."""
+    out = F.regexp_replace(F.lower(F.trim(name)), r"[.][a-z0-9]+$", "")
+    for e in endings:
+        out = F.when(out.endswith(e.lower()), F.substring(out, F.lit(1), F.length(out) - len(e))).otherwise(out)
+    return out
+
+
+def backfilled(rows: DataFrame, column: str, *sources: tuple[DataFrame, Column, str, str]) -> DataFrame:
+    """rows with nulls of a column filled from sources (table, key of rows, key of table, value of table), the first that has one."""
+    out, found = rows, [F.col(column)]
+    for k, (source, key, on, value) in enumerate(sources):
+        own = source.groupBy(F.col(on).alias(f"__k{k}")).agg(F.min(value).alias(f"__v{k}"))
+        out = out.join(own, key == F.col(f"__k{k}"), "left")
+        found.append(F.col(f"__v{k}"))
+    return out.withColumn(column, F.coalesce(*found)).select(*rows.columns)
+
+
+def excluding(df: DataFrame, decided: DataFrame, on: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows whose key has not been decided yet."""
+    return unmatched(df, decided.select(*on).distinct(), on).orderBy(*order).limit(n)

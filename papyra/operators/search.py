@@ -23,40 +23,102 @@ def top_k(store: DataFrame, query: DataFrame, k: int, key: str, vector: str = "e
     return scored(store, query, vector, above).orderBy(F.col("similarity").desc_nulls_last(), key).limit(k)
 
 
+def nearest_of(rows: DataFrame, store: DataFrame, k: int, keys: list[str], store_key: str, vector: str = "embedding", above: float | None = None, block: int = 4096) -> DataFrame:
+    """(keys, store_key, similarity, rank): for each row the k most similar rows of store, a stated set that is taken in blocks.
+
+    Each block is one pass over the rows with it broadcast; a row keeps its k best of a block in its task, so
+    nothing is shuffled unless there are several blocks. Rows without a vector, or with one of length zero, have none.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark, kinds, names = rows.sparkSession, dict(rows.dtypes), [*keys, store_key, "similarity"]
+    own = store.select(store_key, vector).filter(F.col(vector).isNotNull())
+    blocks = max(1, -(-own.count() // block))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", `{store_key}` {dict(store.dtypes)[store_key]}, similarity double"
+
+    def unit(x):
+        x = np.array(x, dtype=np.float64)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.where(size > 0, x / np.where(size > 0, size, 1), np.nan)
+
+    out = None
+    for n in range(blocks):
+        part = own.filter(F.pmod(F.xxhash64(store_key), F.lit(blocks)) == n).orderBy(store_key).collect()  # about ``block`` rows
+        if not part:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in part], dtype=object), unit([r[1] for r in part])))
+
+        def run(batches, shared=shared):
+            ids, matrix = shared.value
+            for pdf in batches:
+                pdf = pdf[pdf[vector].notna()]
+                if not len(pdf):
+                    continue
+                s = unit(pdf[vector].tolist()) @ matrix.T
+                s[np.isnan(s)] = -np.inf
+                most = min(k, s.shape[1])
+                order = np.argsort(-s, axis=1, kind="stable")[:, :most]  # equal ones in the order of their keys
+                at = np.repeat(np.arange(len(pdf)), most)
+                got = pdf[keys].iloc[at].reset_index(drop=True)
+                got[store_key], got["similarity"] = ids[order.reshape(-1)], np.take_along_axis(s, order, axis=1).reshape(-1)
+                keep = np.isfinite(got["similarity"]) & (got["similarity"] > (above if above is not None else -np.inf))
+                yield got[keep][names]
+
+        part = rows.select(*keys, vector).mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"{schema}, rank int")
+    w = Window.partitionBy(*keys).orderBy(F.col("similarity").desc(), store_key)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def top_k_many(store: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "embedding", block: int = 1000) -> DataFrame:
-    """The k most similar rows for each query. Queries are taken in blocks of bounded size against all rows.
+    """(query, key, similarity, rank): the k most similar rows for each query. Queries are taken in blocks of bounded size against all rows.
 
-    Each task keeps its k best for each query, so what is shuffled is k rows a task and query.
+    Each task keeps its k best for each query over all that it reads, so what is shuffled is k rows a task and
+    query. Rows without a vector, or with one of length zero, have no similarity and are left out.
     """
     import numpy as np
     import pandas as pd
 
-    spark = store.sparkSession
-    rows = queries.select(F.col(query_key), F.col(vector)).orderBy(query_key)
-    count = rows.count()
-    kinds = dict(store.dtypes)
+    spark, kinds = store.sparkSession, dict(store.dtypes)
+    own = queries.select(F.col(query_key), F.col(vector)).filter(F.col(vector).isNotNull())
+    blocks = max(1, -(-own.count() // block))
+    schema = f"query {dict(queries.dtypes)[query_key]}, `{key}` {kinds[key]}, similarity double"
     out = None
-    for start in range(0, count, block):
-        own = rows.offset(start).limit(block).collect()
-        names = [r[0] for r in own]
-        matrix = np.array([r[1] for r in own], dtype=np.float64)
-        shared = spark.sparkContext.broadcast((names, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
+    for n in range(blocks):
+        rows = own.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n).collect()  # about ``block`` rows
+        rows = [(r[0], v) for r in rows if np.linalg.norm(v := np.array(r[1], dtype=np.float64)) > 0]
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.stack([v / np.linalg.norm(v) for _, v in rows])))
 
         def run(parts, shared=shared):
             names, q = shared.value
+            keys, scores = [np.zeros(0, dtype=object)] * len(names), [np.zeros(0)] * len(names)
             for pdf in parts:
-                x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = q @ x.T
-                keys = pdf[key].to_numpy()
-                for i, name in enumerate(names):
-                    top = np.lexsort((keys, -s[i]))[:k]
-                    yield pd.DataFrame({"query": name, key: keys[top], "similarity": s[i][top]})
-
-        part = store.select(key, vector).mapInPandas(run, f"query {dict(queries.dtypes)[query_key]}, `{key}` {kinds[key]}, similarity double")
+                x = [v for v in pdf[vector].to_numpy()]
+                size = np.array([0.0 if v is None else np.linalg.norm(np.asarray(v, dtype=np.float64)) for v in x])
+                fit = np.flatnonzero(size > 0)
+                if not len(fit):
+                    continue
+                s = q @ (np.stack([np.asarray(x[i], dtype=np.float64) for i in fit]) / size[fit][:, None]).T
+                here = pdf[key].to_numpy()[fit]
+                least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
+                for i in range(len(names)):
+                    near = np.flatnonzero(s[i] >= least[i])
+                    keys[i], scores[i] = np.concatenate([keys[i], here[near]]), np.concatenate([scores[i], s[i][near]])
+                    top = np.lexsort((keys[i], -scores[i]))[:k]
+                    keys[i], scores[i] = keys[i][top], scores[i][top]
+            for i, name in enumerate(names):
+                if len(keys[i]):
+                    yield pd.DataFrame({"query": name, key: keys[i], "similarity": scores[i]})
+
+        part = store.select(key, vector).mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], f"query long, `{key}` {kinds[key]}, similarity double, rank int")
+        return spark.createDataFrame([], f"{schema}, rank int")
     w = Window.partitionBy("query").orderBy(F.col("similarity").desc(), key)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -66,7 +128,7 @@ def rank_by_coverage(store: DataFrame, query: DataFrame, group: str, above: floa
     hits = scored(store, query, vector).filter(F.col(group).isNotNull())
     hit = F.col("similarity") > above
     found = hits.groupBy(group).agg(F.max(F.when(hit, F.col("similarity"))).alias("best"), F.avg(F.when(hit, F.col("similarity"))).alias("mean"), F.count_if(hit).alias("matched"), F.count("*").alias("total")).filter("matched > 0")
-    most = found.agg(F.max("best")).scalar()
+    most = F.max("best").over(Window.partitionBy())  # one row a group
     scaled = F.coalesce(F.try_divide(F.col("best") - above, most - above), F.lit(0.0)) * 100
     coverage = F.col("matched") * 100.0 / F.col("total")
     out = found.withColumn("coverage", coverage).withColumn("score", weights[0] * scaled + weights[1] * F.col("coverage"))

@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 #: Patterns by label, in a form that both Java's and RE2's engines read alike.
 PATTERNS = {
     "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "INTERNAL_EMAIL": r"[a-z0-9._%+-]+@(?:[a-z0-9-]+\.)?(?:corp|internal|intranet)\.[a-z.]+",
     "SSN": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "IP": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "IP": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])",
     "PHONE": r"\+?[0-9]{1,3}[ -]\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}",
     "HEX": r"[0-9a-f]{32,}",
+    "URL": r"https?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+",
+    "SERVER": r"server(?: ?name)? ?[:=] *([A-Za-z0-9._-]+)",
+    "PASSWORD": r"passw(?:or)?d *[:=] *([^ \t\r\n]+)",
+    "SESSION": r"session[_-]?id *[:=] *([A-Za-z0-9._-]+)",
+    "API_KEY": r"(?:api|access)[_ -]?key(?:_id)? *[:=] *([A-Za-z0-9/+_-]{8,})",
+    "TOKEN": r"bearer +([A-Za-z0-9._~+/-]+=*)",
+    "COOKIE": r"(?:set-)?cookie *: *([^\r\n]+)",
+    "PASSPHRASE": r"pass[ _-]?phrase *[:=] *([^\r\n]+)",
 }
 
 
@@ -95,6 +104,23 @@ def redact(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     return docs.join(own, key, "left").mapInPandas(run, schema)
 
 
+def mask(text: Column, items: Column, above: float = 0.5) -> Column:
+    """text with each item (array of text, label, score) that scores above the bound as <LABEL>: longest first, at word bounds, case ignored; then mask_lines."""
+    quoted = lambda t: F.regexp_replace(t, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    own = F.filter(items, lambda i: (i["score"] > above) & (F.length(i["text"]) > 0))
+    longest = F.array_sort(own, lambda a, b: F.when(F.length(a["text"]) != F.length(b["text"]), F.length(b["text"]) - F.length(a["text"])).when(a["text"] < b["text"], -1).when(a["text"] > b["text"], 1).otherwise(0))
+    done = F.aggregate(longest, text, lambda t, i: F.regexp_replace(t, F.concat(F.lit(r"(?i)\b"), quoted(i["text"]), F.lit(r"\b")), F.concat(F.lit("<"), i["label"], F.lit(">"))))
+    return mask_lines(done)
+
+
+def without_controls(rows: DataFrame, header: str, known: list[str]) -> DataFrame:
+    """Tables (a header array and more) with the rows of document-control tables emptied: their headers say what they are."""
+    from papyra.functions.records import control_table
+
+    gone = control_table(F.col(header), known)
+    return rows.withColumn("cleared", F.coalesce(gone, F.lit(False)))
+
+
 def mask_lines(text: Column) -> Column:
     """Lines that hold only a placeholder go."""
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*<[A-Z_]+>\s*$")), "\n")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -126,12 +126,30 @@ def word_lines(words: DataFrame, gap: float = 3.0) -> DataFrame:
     return words.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, line int, top double, text string")
 
 
-def denoised(lines: list[str]) -> list[str]:
-    """Lines without repeats of the last kept one, those of fewer than three words, and notices of rights and page numbers."""
-    out: list[str] = []
-    for x in lines:
-        low = x.strip().lower()
-        if len(low.split()) < 3 or (out and x == out[-1]) or low.startswith(("copyright", "©", "page ", "table of contents")):
-            continue
-        out.append(x)
-    return out
+#: How lines begin that are notices and not text.
+NOTICES = ("page", "sr #", "copyright", "table of contents")
+
+
+def denoised_lines(lines: Column) -> Column:
+    """Trimmed lines (array) without repeats of the last kept one, those of fewer than three words, and notices.
+
+    Tests of single lines come first; what is left is kept where it differs from the line before it, which
+    is the last kept one or equal to it.
+    """
+    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", ""))
+    words = lambda x: F.size(F.filter(F.split(x, r"[ \t\r]+"), lambda w: w != ""))
+
+    def wanted(x: Column) -> Column:
+        low = F.lower(x)
+        notice = x.startswith("©") | low.endswith("confidential") | x.contains("." * 15)
+        for n in NOTICES:
+            notice = notice | low.startswith(n)
+        return (words(x) >= 3) & ~notice
+
+    return changed(F.filter(trimmed, wanted))
+
+
+def changed(values: Column) -> Column:
+    """The elements of an array that differ from the one before."""
+    pairs = F.arrays_zip(values.alias("now"), F.concat(F.array(F.lit(None).cast("string")), F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0)))).alias("before"))
+    return F.transform(F.filter(pairs, lambda p: ~p["now"].eqNullSafe(p["before"])), lambda p: p["now"])

@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from pathlib import Path
+import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyra.functions import fuzzy, scoring
 from papyra.functions import text as tx
 from papyra.operators import chunking, joins, relational, search, sensitive, tables
+from papyra.plans.registry import ORACLE_SQL, QUERIES, query, rounded, table
 from papyra.sources import documents as sources
 from papyra.streaming import events as ev
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    repo = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if repo not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), repo]))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(name: str, places: int = 6) -> F.Column:
-    return F.round(name, places).alias(name)
-
-
 # --- vectors ---------------------------------------------------------------
 
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -262,7 +236,7 @@ _OFFERS = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN '{\"n
 
 @query(f"SELECT event_id, json_extract_string(o, '$.name') AS name, try_cast(json_extract_string(o, '$.score') AS DOUBLE) AS score FROM (SELECT event_id, unnest(from_json(j, '[\"JSON\"]')) AS o FROM (SELECT event_id, {_OFFERS} AS j FROM events) WHERE json_type(j) = 'ARRAY')")
 def json_array_explode(spark, d):
-    offers = F.expr(_OFFERS.replace("||", "||"))
+    offers = F.expr(_OFFERS)
     one = F.from_json("j", "array<struct<name: string, score: string>>")
     rows = table(spark, d, "events").select("event_id", offers.alias("j")).filter(F.trim("j").startswith("["))
     return rows.select("event_id", F.explode(one).alias("o")).select("event_id", "o.name", F.col("o.score").try_cast("double").alias("score"))
@@ -274,7 +248,7 @@ def pipe_split_membership(spark, d):
     return table(spark, d, "part").select("p_partkey", t.alias("types"), F.array_contains(tx.pipe_list(t), "PROMO").alias("has_promo"))
 
 
-@query("SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || left(text, 40), ' | ' ORDER BY turn) AS joined FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, ' | ' ORDER BY turn) AS joined FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id")
 def reason_concat(spark, d):
     c = table(spark, d, "conversations").filter("conv_id is not null")
     line = F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t"))
@@ -292,18 +266,18 @@ def null_safe_concat(spark, d):
     return table(spark, d, "customer").select("c_custkey", tx.concat_some("c_name", F.lit("/"), seg, F.lit("/"), F.col("c_nationkey").cast("string")).alias("label"), tx.blank_to(seg, "n/a").alias("segment"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l)
-SELECT doc_id, count(*) AS kept, sum(length(line))::BIGINT AS chars FROM p WHERE line IS DISTINCT FROM before AND len(list_filter(regexp_split_to_array(trim(line), '[ \t\r\n]+'), lambda x: x <> '')) >= 3 AND NOT starts_with(lower(line), 'copyright') GROUP BY doc_id""")
+@query(r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+f AS (SELECT * FROM l WHERE len(list_filter(regexp_split_to_array(line, '[ \t\r]+'), lambda x: x <> '')) >= 3 AND NOT starts_with(line, '©') AND NOT ends_with(lower(line), 'confidential')
+ AND NOT contains(line, '...............') AND NOT regexp_matches(lower(line), '^(page|sr #|copyright|table of contents)')),
+p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM f)
+SELECT doc_id, count(*) AS kept, sum(length(line))::BIGINT AS chars FROM p WHERE line IS DISTINCT FROM before GROUP BY doc_id""")
 def line_denoise(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("pos"))
-    words = F.size(F.filter(F.split(F.trim("line"), "[ \t\r\n]+"), lambda x: x != ""))
-    kept = lines.withColumn("before", before).filter(~F.col("line").eqNullSafe(F.col("before")) & (words >= 3) & ~F.lower("line").startswith("copyright"))
-    return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("line")).alias("chars"))
+    kept = tables.denoised_lines(F.split("text", "\n"))
+    rows = table(spark, d, "documents").select("doc_id", kept.alias("lines")).filter(F.size("lines") > 0)
+    return rows.select("doc_id", F.size("lines").cast("long").alias("kept"), F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"))
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS label, hit AS text, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){p}')) AS hit FROM documents) GROUP BY ALL" for n, p in sensitive.PATTERNS.items()))
+@query(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS label, hit AS text, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){p}', {re.compile(p).groups})) AS hit FROM documents) GROUP BY ALL" for n, p in sensitive.PATTERNS.items()))
 def regex_detect(spark, d):
     return sensitive.detect(table(spark, d, "documents"))
 
@@ -363,10 +337,15 @@ def spatial_anti(spark, d):
     return joins.outside_boxes(lines, boxes).select("text")
 
 
-@query("SELECT o_orderstatus AS grp, a.o_orderkey AS key, b.o_orderkey AS other, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM (SELECT *, o_orderkey % 1000 * 37 AS h FROM orders WHERE o_custkey < 60) a JOIN (SELECT *, o_orderkey % 1000 * 37 AS h FROM orders WHERE o_custkey < 60) b USING (o_orderstatus) WHERE a.o_orderkey <> b.o_orderkey AND bit_count(xor(a.h, b.h)) < 5")
+_HASHES = "(SELECT o_orderstatus AS grp, o_orderkey AS key, o_orderkey % 1000 * 37 AS h FROM orders)"
+
+
+@query(f"""WITH c AS (SELECT grp, h, min(key) AS least FROM {_HASHES} GROUP BY ALL),
+n AS (SELECT a.grp, a.key, bit_count(xor(a.h, c.h))::INTEGER AS distance, c.least AS nearest FROM {_HASHES} a JOIN c USING (grp) WHERE bit_count(xor(a.h, c.h)) < 5 AND c.least < a.key)
+SELECT grp, key, nearest, distance FROM (SELECT *, row_number() OVER (PARTITION BY grp, key ORDER BY distance, nearest) AS k FROM n) WHERE k = 1""")
 def hamming_join(spark, d):
-    o = table(spark, d, "orders").select("o_orderstatus", "o_orderkey", (F.col("o_orderkey") % 1000 * 37).alias("h"))
-    return joins.near_hashes(o, "o_orderstatus", "o_orderkey", "h", 5).withColumnRenamed("o_orderstatus", "grp")
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("grp"), F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 1000 * 37).alias("h"))
+    return joins.nearest_earlier(o, "grp", "key", "h", 5)
 
 
 @query("SELECT p_partkey, s FROM part, (VALUES ('bolt'), ('red'), ('giz')) v(s) WHERE contains(p_name, s)")
@@ -449,7 +428,7 @@ def string_functions(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_brand", F.split_part("p_brand", F.lit("#"), F.lit(2)).try_cast("int").alias("number"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("slug"), F.upper(F.substring("p_name", 1, 1)).alias("initial"))
 
 
-@query("SELECT event_id, 'value' AS field, (value - 1)::VARCHAR AS old, value::VARCHAR AS new FROM events WHERE event_id % 10 = 3")
+@query("SELECT event_id, 'value' AS field, (value - 1)::VARCHAR AS old, value::VARCHAR AS new FROM events")
 def field_change_capture(spark, d):
     e = table(spark, d, "events")
     payload = F.create_map(F.lit("newValue"), F.col("value").cast("string"), F.lit("oldValue"), (F.col("value") - 1).cast("string"), F.lit("newOther"), F.lit("x"))
@@ -476,12 +455,12 @@ def section_upsert(spark, d):
     return table(spark, d, "documents").select("doc_id", rec.with_section(body, "Body", F.lit("new")).alias("body"))
 
 
-@query("SELECT l_orderkey, '<table>' || string_agg('<tr><td>' || name || '</td><td>' || printf('%.1f', score) || '</td></tr>', '' ORDER BY score DESC, name) || '</table>' AS html FROM (SELECT DISTINCT l_orderkey, 'p' || l_partkey AS name, l_quantity AS score FROM lineitem WHERE l_quantity > 40) GROUP BY l_orderkey")
+@query("SELECT l_orderkey, '<table>' || string_agg('<tr><td>' || replace(replace(name, '&', '&amp;'), '<', '&lt;') || '</td><td>' || printf('%.1f', score) || '</td></tr>', '' ORDER BY score DESC, name) || '</table>' AS html FROM (SELECT DISTINCT l_orderkey, '<p&' || l_partkey AS name, l_quantity * 100 AS score FROM lineitem WHERE l_quantity * 100 > 4000) GROUP BY l_orderkey")
 def ranked_offers_html(spark, d):
     from papyra.functions import records as rec
 
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("p"), F.col("l_partkey")).alias("name"), F.col("l_quantity").alias("score")).filter("score > 40")
-    return rows.groupBy("l_orderkey").agg(F.collect_set(F.struct("name", "score")).alias("o")).select("l_orderkey", rec.ranked_html(F.col("o"), 40.0).alias("html"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("<p&"), F.col("l_partkey")).alias("name"), (F.col("l_quantity") * 100).alias("score")).filter("score > 4000")
+    return rows.groupBy("l_orderkey").agg(F.collect_set(F.struct("name", "score")).alias("o")).select("l_orderkey", rec.ranked_html(F.col("o"), 4000.0).alias("html"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_type END AS kind, p_brand AS brand FROM part")
@@ -493,8 +472,20 @@ def response_cleanup(spark, d):
     return table(spark, d, "part").select("p_partkey", F.try_element_at(m, F.lit("kind")).alias("kind"), F.try_element_at(m, F.lit("brand")).alias("brand"))
 
 
-@query()
+_JUNK = r"""round(0.1::DOUBLE * (length(trim(line)) < 3)::INT + 0.25::DOUBLE * (length(regexp_replace(line, '[A-Za-z0-9]', '', 'g'))::DOUBLE / greatest(length(line), 1) > 0.2)::INT
+ + 0.25::DOUBLE * (coalesce(list_avg(list_transform(regexp_extract_all(line, '[A-Za-z0-9_]+'), lambda w: length(w))), 0) < 5)::INT + 0.1::DOUBLE * (regexp_full_match(line, '[^A-Za-z0-9]{3,}'))::INT
+ + 0.2::DOUBLE * (coalesce(list_avg(list_transform(list_filter(string_split(line, ' '), lambda w: w <> ''), lambda w: length(w))), 0) < 5)::INT
+ + 0.1::DOUBLE * (upper(line) = line AND lower(line) <> line AND NOT contains(line, ' ') AND length(line) > 5)::INT, 2)"""
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), a AS (SELECT * FROM l WHERE NOT regexp_matches(line, '[^ -~]'))
+SELECT doc_id, count(*) AS lines, count(*) FILTER ({_JUNK} > 0.5) AS junk FROM a GROUP BY doc_id""")
 def ocr_junk_score(spark, d):
     from papyra.functions import records as rec
 
-    return table(spark, d, "documents").select("doc_id", F.round(rec.junk_score(F.col("text")), 4).alias("junk"))
+    plain = F.filter(F.split("text", "\n"), lambda x: ~x.rlike("[^ -~]"))
+    rows = table(spark, d, "documents").select("doc_id", plain.alias("lines")).filter(F.size("lines") > 0)
+    return rows.select("doc_id", F.size("lines").cast("long").alias("lines"), F.size(F.filter("lines", lambda x: rec.junk_score(x) > 0.5)).cast("long").alias("junk"))
+
+
+from papyra.plans import recommendation, records_plans  # noqa: E402, F401  they register their queries

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from papyra.functions import fuzzy, scoring
 from papyra.functions import text as tx
@@ -162,7 +163,12 @@ def test_tables():
     assert tables.clusters_of([(1, 1), (1, 2), (9, 9), (9, 10), (2, 1)]) == [0, 0, 1, 1, 0] and tables.clusters_of([]) == []
     assert tables.records([["Name", ""], ["First", "Last"], ["a", "b"], ["c"]]) == [{"Name First": "a", "Name Last": "b"}, {"Name First": "c"}]
     assert tables.unique_names(["a", "a", "b", "a"]) == ["a", "a_dup_1", "b", "a_dup_2"]
-    assert tables.denoised(["one two three", "one two three", "Page 3 of 4", "x", "Copyright by us all", "four five six"]) == ["one two three", "four five six"]
+
+
+def test_denoised_lines(spark):
+    lines = ["one two three", "one two three", "x", " one two three ", "Page 3 of 4", "Copyright by us all", "four five six", "all is confidential", "a . ................ 3", "one two three"]
+    kept = spark.createDataFrame([(lines,), ([],), (None,)], "l array<string>").select(tables.denoised_lines(F.col("l"))).collect()
+    assert [r[0] for r in kept] == [["one two three", "four five six", "one two three"], [], None]
 
 
 def test_sheet_operators(spark):
@@ -252,7 +258,7 @@ def test_records(spark):
     assert [tuple(r) for r in got] == [({"a": "1", "b": "None"}, True, False), (None, False, False)]
     times = spark.createDataFrame([("2024-01-02 03:04:05",), ("02/01/2024 03:04",), ("Jan 2, 2024",), ("never",)], "t string").select(rec.parsed_time(F.col("t")).cast("string").alias("t")).collect()
     assert [r["t"] for r in times] == ["2024-01-02 03:04:05", "2024-01-02 03:04:00", "2024-01-02 00:00:00", None]
-    junk = spark.createDataFrame([("The quick brown fox jumps over it.",), ("x~ || ## %% q zz ;; ::::::: ==",)], "t string").select(rec.junk_score(F.col("t")).alias("j")).collect()
+    junk = spark.createDataFrame([("Recommendation engines compare documents thoroughly",), ("x~ || ## %% q zz ;; ::::::: ==",)], "t string").select(rec.junk_score(F.col("t")).alias("j")).collect()
     assert junk[0]["j"] < 0.5 < junk[1]["j"]
 
 
@@ -296,12 +302,144 @@ def test_whole_tables_of_hashes_and_changes(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_orderstatus").collect()
     by = {}
     for key, status in orders:
-        by.setdefault(status, []).append(key % 1000 * 37)
-    want = sum(sum((x ^ y).bit_count() < 5 for y in hs for x in hs) - len(hs) for hs in by.values())
-    assert catalogue.QUERIES["hamming_join"](spark, SF).count() == want
+        by.setdefault(status, []).append(key)
+    far = lambda a, b: ((a % 1000 * 37) ^ (b % 1000 * 37)).bit_count()
+    want = {(g, k, *min((far(k, o), o) for o in near)) for g, keys in by.items() for k in keys if (near := [o for o in keys if o < k and far(k, o) < 5])}
+    assert {(r["grp"], r["key"], r["distance"], r["nearest"]) for r in catalogue.QUERIES["hamming_join"](spark, SF).collect()} == want
     assert catalogue.QUERIES["field_change_capture"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
+def test_template_search_matches_brute_force(spark):
+    import random
+
+    from papyra.functions.embedding import embedded, hashed
+    from papyra.functions.fuzzy import ratio_of
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("etaoinshrdlu", k=r.randint(3, 9)))
+    base = [" ".join(word() for _ in range(40)) for _ in range(12)]
+    rows = [(k, i, 2, base[(2 * k + i) % 12]) for k in range(6) for i in range(2)]
+    rows += [(10 + k, i, 2, base[(2 * k + i) % 12].replace("e", "o", 3)) for k in range(6) for i in range(2)] + [(30, 0, 1, None), (31, 0, 1, "")]
+    df = spark.createDataFrame(rows, "doc_id int, chunk_idx int, tot_chunks int, content string").withColumn("filename", F.concat(F.lit("f"), "doc_id", F.when(F.col("doc_id") == 2, ".pptx").otherwise(".docx")))
+    got = {x["doc_id"]: (x["template_id"], x["matches"], x["first_chunk"]) for x in chunking.search_templates(df, df.filter("doc_id < 6"), hashed, ending=".docx").collect()}
+    want = {}
+    cos = lambda x, y: sum(p * q for p, q in zip(embedded(x), embedded(y), strict=True))
+    for d in {x[0] for x in rows}:
+        hits = {}
+        for _, i, _, x in (q for q in rows if q[0] == d and q[3]):
+            near = sorted(((-cos(x, y), t, j, y) for t, j, _, y in rows if t < 6 and t != 2))[:5]
+            ok = [(-ratio_of(x, y), t) for c, t, j, y in near if -c > 0.55 and t != d and ratio_of(x, y) >= 80]
+            if ok:
+                hits.setdefault(min(ok)[1], []).append(i)
+        full = [(-len(v), t, min(v)) for t, v in hits.items() if len(v) / 2 * 100 >= 70]
+        if full:
+            want[d] = (min(full)[1], -min(full)[0], min(full)[2])
+    assert got == want and set(want) == {10, 11, 13, 14, 15}
+
+
+def test_vector_searches_leave_out_what_has_no_vector(spark):
+    from papyra.operators import search
+
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (5, [-1.0, 0.0])]
+    e = spark.createDataFrame(rows, "k int, embedding array<float>").repartition(3)
+    many = {(r["query"], r["k"], r["rank"]) for r in search.top_k_many(e, e, 2, "k", "k", block=2).collect()}
+    assert many == {(1, 1, 1), (1, 4, 2), (4, 4, 1), (4, 1, 2), (5, 5, 1), (5, 4, 2)}
+    near = {(r["k"], r["o"], r["rank"]) for r in search.nearest_of(e, e.withColumnRenamed("k", "o"), 2, ["k"], "o", above=0.0, block=2).collect()}
+    assert near == {(1, 1, 1), (1, 4, 2), (4, 4, 1), (4, 1, 2), (5, 5, 1)}
+    assert search.top_k_many(e, e.limit(0), 2, "k", "k").count() == search.nearest_of(e, e.limit(0), 2, ["k"], "k").count() == 0
+
+
+def test_best_choice_and_chunks_by_head(spark):
+    from papyra.functions.fuzzy import token_set_of
+
+    names = ["data storage", "storage of data", "cloud", "server care", None]
+    rows, choices = spark.createDataFrame([(n,) for n in names], "x string"), ["data storage array", "care for a server", "cloud", "desktop"]
+    got = {r["x"]: r["y"] for r in chunking.extract_one(rows, spark.createDataFrame([(c,) for c in choices], "y string"), "x", "y").collect()}
+    assert got == {n: min((-token_set_of(n, c), c) for c in choices)[1] for n in names if n}
+    docs = spark.createDataFrame([(1, "# A\none two\n## B\nthree"), (2, None), (3, "")], "doc_id long, text string")
+    heads = chunking.chunk_by(docs, lambda t: chunking.heading_chunks(t, 100, 0)).collect()
+    assert [(r["doc_id"], r["chunk_idx"], r["tot_chunks"], r["head"], r["content"]) for r in heads] == [(1, 0, 2, "A", "one two"), (1, 1, 2, "A > B", "three")]
+    slides = spark.createDataFrame([("d", k, "w " * n) for k, n in enumerate([6, 3, 6, 20, 5])], "deck string, slide int, text string")
+    assert [(r["slide"], r["chunk"]) for r in chunking.slide_groups(slides, "deck", "slide", "text", 12).orderBy("slide").collect()] == [(0, 0), (2, 0), (3, 1), (4, 2)]
+
+
+def test_chunks_lose_nothing(spark):
+    texts = ["para one\n\npara two\nline " + "x" * 300 + " end", "a b c " * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in chunking.chunk(docs, 50, 0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "content"))).alias("c")).collect():
+        assert "".join(x["content"] for x in r["c"]).replace(" ", "").replace("\n", "") == texts[r["doc_id"]].replace(" ", "").replace("\n", "")
+
+
+def test_stored_tables_and_files(spark, tmp_path):
+    from papyra.functions.embedding import hashed
+    from papyra.sources import stores
+
+    own = stores.Table(spark, f"file://{tmp_path}/t", "k int, v string")
+    own.append(spark.createDataFrame([("1", "a"), ("2", "b")], "k string, v string"))
+    with pytest.raises(ValueError):
+        own.delete()
+    own.delete(k=1)
+    assert [tuple(r) for r in own.read().collect()] == [(2, "b")] and own.read(1).count() == 2
+    store = stores.VectorStore(spark, f"file://{tmp_path}/v", hashed)
+    store.add(spark.createDataFrame([("a", "red apple", {"d": "1"}), ("b", "green pear", {"d": "2"}), ("c", "red pear", {"d": "2"})], "id string, content string, metadata map<string,string>"))
+    query = spark.createDataFrame([("red apple",)], "q string").select(hashed("q").alias("embedding"))
+    assert [r["id"] for r in store.search(query, 1).collect()] == ["a"]
+    assert store.search(query, 3, without=spark.createDataFrame([("a",)], "id string"), d=["2"]).count() == 2
+    assert {r["d"]: r["chunks"] for r in store.counts("d").collect()} == {"1": 1, "2": 2}
+    store.delete(d="2")
+    store.delete(spark.createDataFrame([("zz",)], "id string"))
+    assert [r["id"] for r in store.ids().collect()] == ["a"]
+    with pytest.raises(ValueError):
+        store.delete()
+    files = stores.Files(spark)
+    (tmp_path / "one.txt").write_text("é")
+    files.upload(str(tmp_path / "one.txt"), f"file://{tmp_path}/f/two.txt")
+    assert files.exists(f"file://{tmp_path}/f/two.txt") and "two.txt" in files.list(f"file://{tmp_path}/f") and files.text(f"file://{tmp_path}/f/two.txt") == "é"
+    files.download(f"file://{tmp_path}/f/two.txt", str(tmp_path / "three.txt"))
+    assert files.delete(f"file://{tmp_path}/f/two.txt") and not files.exists(f"file://{tmp_path}/f/two.txt") and (tmp_path / "three.txt").read_text() == "é"
+    rows = spark.createDataFrame([("a", "1", True), ("b", "2", False)], "name string, val string, isactive boolean")
+    assert stores.settings(rows, {"a": "0", "b": "0"}) == {"a": "1", "b": "0"}
+
+
+def test_nul_characters_go_from_nested_values(spark):
+    df = spark.createDataFrame([(["a\0", None], {"k": "\0b"}, (1, "c\0c"))], "a array<string>, m map<string,string>, s struct<i: int, t: string>")
+    got = df.select(*(tx.without_nul(F.col(f.name), f.dataType).alias(f.name) for f in df.schema)).first()
+    assert got["a"] == ["a", None] and got["m"] == {"k": "b"} and tuple(got["s"]) == (1, "cc")
+
+
+def test_masks_and_control_tables(spark):
+    items = [("Ada", "NAME", 0.9), ("Ada L.", "FULL", 0.9), ("low", "NO", 0.5), ("", "NO", 1.0)]
+    df = spark.createDataFrame([("ada l. and Ada low\nAda\nAdam", items), (None, items)], "t string, i array<struct<text: string, label: string, score: double>>")
+    assert [r[0] for r in df.select(sensitive.mask(F.col("t"), F.col("i"))).collect()] == ["<FULL> and <NAME> low\nAdam".replace("<FULL> and", "<NAME> l. and"), None]
+
+
+def test_messages_of_streams(spark, tmp_path):
+    m = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "id string, v int").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    assert ev.once(m, ["id"], "ts", "1 hour").count() == 2
+    text = spark.range(1).select(ev.failure(F.lit("r1"), "E1", "sorry", F.lit("trace")).alias("v")).first()["v"]
+    assert '"error_code":"E1"' in text and '"requestId":"r1"' in text
+    assert ev.in_seconds("75 seconds") == 75 and ev.in_seconds("1 hour") == 3600
+
+
+def test_late_parts_do_not_report_twice(spark, tmp_path):
+    import datetime as dt
+
+    t, schema = dt.datetime(2024, 1, 1), "request_id string, idx int, total int, ts timestamp"
+    later = lambda **k: t + dt.timedelta(**k)
+    batches = [[("r1", 1, 2, t), ("r2", 1, 1, t)], [("x", 1, 1, later(minutes=10))], [("y", 1, 1, later(minutes=11))], [("r1", 2, 2, later(minutes=11)), ("r2", 1, 1, later(minutes=11))], [("z", 1, 1, later(hours=9))], [("z2", 1, 1, later(hours=9))]]
+    src = tmp_path / "in"
+    q = None
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        if q is None:
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+            q = ev.completeness(stream).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+    q.stop()
+    got = [(r["request_id"], r["complete"]) for r in spark.table("late").collect() if r["request_id"] in ("r1", "r2")]
+    assert sorted(got) == [("r1", False), ("r2", True)]
+
+
 def test_reasons_are_joined_whole(spark):
     from pyspark.sql import functions as F
 
