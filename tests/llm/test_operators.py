@@ -446,12 +446,39 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.clean(docs, benchmark).columns == docs.columns
 
 
-def test_multi_index_finds_all():
+def test_windows_with_repeated_words():
+    """Items with a word many times against windows with another word as often: weighted repeats scatter the fingerprint."""
+    r, found, by_index = random.Random(3), 0, 0
+    for k in range(60):
+        words = sentences(1000 + k, 179).split()
+        item = [*words[:90], *["alpha"] * 16, *words[90:]]
+        window = [*words[:90], *["beta"] * 16, *words[90:]]
+        text = " ".join([*sentences(3000 + k, r.randint(0, 50)).split(), *window, *sentences(5000 + k, 20).split()]).encode()
+        items = decontaminate.Items([(k, " ".join(item))], 5, 0.8, decontaminate.RADIUS)
+        bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        all_ = text.decode().lower().split()
+        want = max((s := (bag(all_[a : a + 200]) & bag(item)).total()) / (382 - s) for a in range(len(all_) - 194))
+        got = items.search(text)
+        assert [x[3] for x in got] == ([want] if want >= 0.8 else [])
+        found += len(got)
+        by_index += len(items.search(text, by_index_only=True))
+    assert found == 60 and by_index >= 55
+
+
+def test_clean_takes_rows_with_null_keys(spark):
+    item = sentences(1, 30)
+    docs = spark.createDataFrame([(None, item, 1), (1, item, 1), (2, "other text", 1), (2, item, 1), (3, "x", 1)], "doc_id long, text string, item_id int")
+    kept = decontaminate.clean(docs, spark.createDataFrame([(7, item)], "item_id int, text string")).collect()
+    assert [tuple(r) for r in kept] == [(3, "x", 1)]
+
+
+@pytest.mark.parametrize("radius", [19, 26])
+def test_multi_index_finds_all(radius):
     r = np.random.default_rng(1)
     stored, queries = r.integers(0, 2**63, 50, dtype=np.uint64), r.integers(0, 2**63, 200, dtype=np.uint64)
-    q, s = decontaminate.MultiIndex(stored, 26).search(queries)
+    q, s = decontaminate.MultiIndex(stored, radius).search(queries)
     far = np.bitwise_count(queries[:, None] ^ stored[None, :])
-    assert set(zip(q.tolist(), s.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(far <= 26)), strict=True))
+    assert set(zip(q.tolist(), s.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(far <= radius)), strict=True))
 
 
 # --- 9 ---------------------------------------------------------------------
