@@ -5,9 +5,10 @@ level 3 the listed keys that pass level 2; and so on until nobody passes wrongly
 every domain that a host of the corpus lies in, so for each of them the first level that it fails
 decides, exactly, and no join is made. DataFrame functions only.
 
-A filter has at most ``FILTER_BITS`` bits (8 MB), which bounds what a task holds. Lists whose level 1
-needs more are split by a hash of the key into segments with a cascade each; a url's domains are looked
-up in one segment after the other.
+A filter has at most ``FILTER_BITS`` bits (8 MB), which bounds what a task holds. Level 1 grows with the
+list, level 2 with the false positives of the whole universe. Where either needs more, list and
+universe are split by a hash of the key into segments with a cascade each; should a level still need
+more, there are twice as many segments. A url's domains are looked up in one segment after the other.
 
 A null url, and one without ``://``, has an empty host and path, fits no rule and lies in no listed
 domain: allow. Repeated rows are all judged; null and repeated listed keys count once or not at all; an
@@ -27,6 +28,7 @@ from papyra.llm import common
 FILTER_BITS = 1 << 26
 BITS_A_KEY = 12
 HASHES = 4
+LEVELS = 64
 
 #: (rule, verdict) of the query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -35,8 +37,6 @@ TOP_LEVEL = tuple(x.lower() for x in (Path(__file__).parent / "top_level_domains
 #: Domains that the query lists: each name under every top-level domain, and under its ``example`` domain.
 NAMES = ("spam-farm", "cheap-pills")
 BLOCKED = tuple(f"{name}.{under}{top}" for name in NAMES for top in TOP_LEVEL for under in ("", "example."))
-#: Those of them that the SQL names.
-LISTED = ("spam-farm.example.org", "cheap-pills.example.com")
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -104,21 +104,41 @@ class Cascade:
         return out
 
 
-def build(listed: DataFrame, universe: DataFrame, scratch: common.Scratch, name: str = "cascade") -> Cascade:
+class TooLarge(Exception):
+    """A level needs more than the bits of a filter."""
+
+
+def build(listed: DataFrame, universe: DataFrame, scratch: common.Scratch, name: str = "cascade", filter_bits: int = FILTER_BITS) -> Cascade:
     """listed, universe: (key), distinct. Levels are added until none of the other side passes the last one."""
     out = Cascade()
     inside, outside = listed, universe.join(listed, "key", "left_anti")
-    for level in range(64):
+    for level in range(LEVELS):
         n = inside.count()
         if not n:
-            break
+            return out
         bits = size_bits(n)
+        if bits > max(64, filter_bits):
+            raise TooLarge(f"level {level + 1} of {name} needs {bits} bits")
         words = scratch.write(encode(inside, level, bits), f"{name}-{level}-words")
         out.levels.append((bits, words))
         tested = outside.select("key", words.scalar().alias("words"))
         wrong = scratch.write(tested.filter(passes(F.col("key"), F.col("words"), level, bits)).select("key"), f"{name}-{level}-keys")
         inside, outside = wrong, inside
-    return out
+    raise RuntimeError(f"{name} is not decided after {LEVELS} levels")
+
+
+def cascades(listed: DataFrame, universe: DataFrame, scratch: common.Scratch, filter_bits: int) -> list[Cascade]:
+    """A cascade for each segment of the keys, as many as keep all levels within the bits of a filter."""
+    wrong = (1 - 2.718281828 ** (-HASHES / BITS_A_KEY)) ** HASHES
+    most = max(listed.count(), 1.2 * wrong * universe.count())
+    segments = max(1, -(-int(most * BITS_A_KEY * 1.1) // filter_bits)) if size_bits(int(most)) > filter_bits else 1
+    part = lambda t, k, n: t.filter(F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(n)) == k)
+    for attempt in range(LEVELS):
+        try:
+            return [build(part(listed, k, segments), part(universe, k, segments), scratch, f"segments-{attempt}-{k}", filter_bits) for k in range(segments)]
+        except TooLarge:
+            segments *= 2
+    raise RuntimeError("segments of the filter cannot be made small enough")
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",), filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -128,14 +148,12 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", ke
     parts = pages.select(*keep, host.alias("host"), path.alias("path")).withColumn("__domains", domains(F.col("host")))
     universe = scratch.write(parts.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key")).distinct(), "universe")
     listed = scratch.write(listed.select(F.lower("key").alias("key")).filter("key is not null and key <> ''").distinct(), "listed")
-    segments = -(-listed.count() * BITS_A_KEY // filter_bits) or 1
+    held = cascades(listed, universe, scratch, filter_bits)
     found = F.lit(False)
-    for k in range(segments):
-        part = lambda t: t.filter(F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(segments)) == k)  # noqa: B023, E731
-        cascade = build(part(listed), part(universe), scratch, f"segment-{k}")
+    for k, cascade in enumerate(held):
         if not cascade.levels:
             continue
-        own = lambda d: F.pmod(F.xxhash64(d, F.lit(-1)), F.lit(segments)) == k  # noqa: B023, E731
+        own = lambda d: F.pmod(F.xxhash64(d, F.lit(-1)), F.lit(len(held))) == k  # noqa: B023, E731
         names = parts.columns
         parts = parts.select(*names, *cascade.columns())
         hit = F.exists("__domains", lambda d: own(d) & cascade.holds(d))  # noqa: B023
@@ -148,7 +166,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", ke
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url, judged."""
-    listed = spark.createDataFrame([(k,) for k in BLOCKED], "key string")
+    listed = spark.range(1).select(F.explode(F.split(F.lit(" ".join(BLOCKED)), " ")).alias("key"))
     return judge(common.table(spark, sf_dir, "pages").select("page_id", "url"), listed)
 
 
@@ -165,7 +183,7 @@ judged AS (
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
-    {" OR ".join(f"host = '{k}' OR host LIKE '%.{k}'" for k in LISTED)} AS listed
+    regexp_matches(host, '(^|[.])({"|".join(NAMES)})[.](example[.])?({"|".join(TOP_LEVEL)})$') AS listed
   FROM parts)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict,
