@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import tempfile
 import uuid
@@ -123,6 +124,13 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, ARROW[kind]) for name, kind in (field.split() for field in schema.split(","))])
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table, by DataFrame functions only."""
+    names = [f.split()[0] for f in schema.split(",")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{a}: {b}' for a, b in (f.split() for f in schema.split(',')))}>>")))
+
+
 def letters(column: str) -> F.Column:
     """True where a text has at least one letter."""
     return F.coalesce(F.col(column).rlike(r"\p{L}"), F.lit(False))

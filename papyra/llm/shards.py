@@ -5,158 +5,154 @@ values spread most, measured against the whole table's spread. Medians are found
 weights of up to ``BINS`` equal bins of every node of a level are added up in one aggregation with
 map-side partial sums, then the bin that holds the cut is searched again, until it weighs less than
 ``TOLERANCE`` of a leaf or has one value. One value that weighs more (a hot source, many copies) is cut
-along the text's checksum and then along a hash of the key, so no group, however large, stands in the
-way of equal shards. The driver sees sums of bins only; rows move once, to be numbered.
+along the text's checksum, and copies of one text that weigh more than ``COPIES`` of a leaf along a hash of the key, so
+no group, however large, stands in the way of equal shards. Each row carries the number of its node, which a small
+table of cuts, one row a node, changes at each level. The driver sees a row a node and round, no bins; rows
+move once, to be numbered.
 
 DataFrame functions only. A null text weighs as an empty one; null metadata are values like any
 other; repeated rows and ties are split by the key's hash, rows with one key stay together unless the
-cut falls among them exactly; an empty table gives an empty table.
+cut falls among them exactly; very long texts weigh what they weigh; an empty table gives an empty table;
+other columns of the input stay out, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papyra.llm import common
 
-BINS = 1024
+#: Bins of a node, and of all nodes of a level together.
+BINS, LEVEL_BINS = 1 << 14, 1 << 22
 TOLERANCE = 0.0005
+COPIES = 0.01
 #: Rows that one task numbers.
 NUMBERED = 20_000
+#: Leaves of a tree: a table of cuts, at about 60 bytes a node, is broadcast.
+MOST_LEAVES = 1 << 18
 DIMENSIONS = ("source", "lang", "size", "key")
-TIES = ("crc", "mix")
+#: Bounds of what is cut after the dimension: the checksum, then the hash of the key.
+TIES = ((0, (1 << 32) - 1), (-(1 << 63), (1 << 63) - 1))
 
 
 @dataclass
 class Node:
+    """A node of a level; pinned: values of the dimension and of the checksum that the cut lies in."""
+
     leaves: int
     first: int
-    dimension: str = ""
-    pinned: list[tuple[str, int]] = field(default_factory=list)
+    dimension: int = 0
+    pinned: list[int] = field(default_factory=list)
     cut: int = 0
-    left: Node | None = None
-    right: Node | None = None
-    order: list[str] = field(default_factory=list)
     low: int = 0
     high: int = 0
     before: float = 0.0
     want: float = 0.0
     done: bool = False
 
-    def goes_left(self) -> Column:
-        """Rows whose (pinned keys, last key) come before the cut."""
-        last = self.order[len(self.pinned)]
-        out = F.col(last) < F.lit(self.cut)
-        for name, value in reversed(self.pinned):
-            out = (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & out)
-        return out
-
 
 def metadata(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Compact rows: the key, size, checksum and dimensions as longs; the text goes no further."""
+    """Compact rows: the key, size, checksum, dimensions and the key's hash as longs; the text goes no further."""
     t = F.coalesce(F.col(text), F.lit(""))
     name = lambda c: F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), 34)
     size = F.octet_length(t).cast("long") + 8
-    return docs.select(
-        F.col(key).alias("id"), size.alias("bytes"), F.crc32(t).alias("crc"),
-        name("source").alias("source"), name("lang").alias("lang"), (F.log2(size) * (1 << 20)).cast("long").alias("size"),
-        F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.xxhash64(F.col(key)).alias("mix"),
-    )
+    dims = F.array(name("source"), name("lang"), (F.log2(size) * (1 << 20)).cast("long"), F.coalesce(F.col(key).cast("long"), F.lit(0)))
+    return docs.select(F.col(key).alias("id"), size.alias("bytes"), F.crc32(t).alias("crc"), dims.alias("dims"), F.xxhash64(F.col(key)).alias("mix"))
+
+
+def _spread(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The weight, and the least and greatest of each dimension, of each node."""
+    ends = [f(F.col("dims")[k]).alias(f"{f.__name__}{k}") for k in range(len(DIMENSIONS)) for f in (F.min, F.max)]
+    return rows.groupBy(*by).agg(F.sum("bytes").alias("w"), *ends)
 
 
-def _by_node(place: dict[int, Node], value) -> Column:
-    out = F.lit(None)
-    for k, node in place.items():
-        out = F.when(F.col("node") == k, value(node)).otherwise(out)
-    return out
+def _cuts(spark: SparkSession, nodes: dict[int, Node], values) -> DataFrame:
+    """One row for each node: its dimension, pinned values and ``values(node)``, as columns x and y."""
+    rows = [(k, n.dimension, len(n.pinned), *(n.pinned + [0, 0])[:2], *values(n)) for k, n in nodes.items()]
+    return common.local_rows(spark, rows, "node int, dim int, depth int, a bigint, b bigint, x bigint, y bigint")
 
 
-def _tree(root: Node, leaf) -> Column:
-    """leaf(node) at the node of the tree that a row falls to."""
-    if root.left is None:
-        return leaf(root)
-    return F.when(root.goes_left(), _tree(root.left, leaf)).otherwise(_tree(root.right, leaf))
+def _value(depth: int):
+    return F.get("dims", F.col("dim")) if depth == 0 else F.col("crc") if depth == 1 else F.col("mix")
 
 
-def grow(meta: DataFrame, shards: int) -> Node:
-    """The tree with ``shards`` leaves of near equal bytes."""
-    total = meta.agg(F.sum("bytes").alias("w"), *(f(c).alias(f"{f.__name__}_{c}") for c in DIMENSIONS for f in (F.min, F.max))).first()
-    root = Node(shards, 0)
+def grow(meta: DataFrame, shards: int, scratch: common.Scratch) -> DataFrame:
+    """meta with the shard of each row: the leaf of a tree with ``shards`` leaves of near equal bytes."""
+    if shards > MOST_LEAVES:
+        raise ValueError(f"{shards} shards; a tree has {MOST_LEAVES} leaves at most")
+    total = _spread(meta, []).first()
+    rows = meta.withColumn("node", F.lit(0 if shards > 1 else -1))
     if not total["w"]:
-        return root
-    whole = {c: max(1, total[f"max_{c}"] - total[f"min_{c}"]) for c in DIMENSIONS}
-    leaf, level = total["w"] / shards, [root]
-    while open_ := [n for n in level if n.leaves > 1]:
-        place = dict(enumerate(open_))
-        number = {id(n): k for k, n in place.items()}
-        rows = meta.withColumn("node", _tree(root, lambda n: F.lit(number.get(id(n), -1)))).filter("node >= 0")  # noqa: B023
-        found = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("bytes").alias("w"), *(f(c).alias(f"{f.__name__}_{c}") for c in (*DIMENSIONS, *TIES) for f in (F.min, F.max))).collect()}
-        for k, n in place.items():
+        return rows.select("*", (-F.col("node") - 1).alias("shard")).drop("node")
+    whole = [max(1, total[f"max{k}"] - total[f"min{k}"]) for k in range(len(DIMENSIONS))]
+    leaf, level, depth = total["w"] / shards, {0: Node(shards, 0)} if shards > 1 else {}, 0
+    while level:
+        open_ = rows.filter("node >= 0")
+        found = {r["node"]: r for r in _spread(open_, ["node"]).collect()}  # a row a node
+        for k, n in level.items():
             if k not in found:
-                n.order, n.done = ["key"], True
+                n.done = True
                 continue
             r = found[k]
-            widest = max(DIMENSIONS, key=lambda c: (r[f"max_{c}"] - r[f"min_{c}"]) / whole[c])  # noqa: B023
-            n.dimension, n.order = widest, [widest, *TIES]
-            n.low, n.high, n.want = r[f"min_{widest}"], r[f"max_{widest}"], r["w"] * (n.leaves // 2) / n.leaves
-            n.before = 0.0
-        while pending := {k: n for k, n in place.items() if not n.done}:
-            _search(rows, pending, leaf)
-        level = []
-        for n in open_:
-            n.left, n.right = Node(n.leaves // 2, n.first), Node(n.leaves - n.leaves // 2, n.first + n.leaves // 2)
-            level += [n.left, n.right]
-    return root
+            n.dimension = max(range(len(DIMENSIONS)), key=lambda c: (r[f"max{c}"] - r[f"min{c}"]) / whole[c])  # noqa: B023
+            n.low, n.high, n.want = r[f"min{n.dimension}"], r[f"max{n.dimension}"], r["w"] * (n.leaves // 2) / n.leaves
+        while pending := {k: n for k, n in level.items() if not n.done}:
+            _search(open_, pending, leaf)
+        after: dict[int, Node] = {}
+        sides: dict[int, list[int]] = {}
+        for k, n in level.items():
+            for leaves, first in ((n.leaves // 2, n.first), (n.leaves - n.leaves // 2, n.first + n.leaves // 2)):
+                sides.setdefault(k, []).append(len(after) if leaves > 1 else -1 - first)
+                if leaves > 1:
+                    after[len(after)] = Node(leaves, first)
+        cuts = _cuts(meta.sparkSession, level, lambda n: (n.cut, 0)).join(F.broadcast(common.local_rows(meta.sparkSession, [(k, *v) for k, v in sides.items()], "node int, l int, r int")), "node")
+        v, c, m = (_value(k) for k in range(3))
+        last = F.when(F.col("depth") == 1, c < F.col("x")).otherwise((c < F.col("b")) | ((c == F.col("b")) & (m < F.col("x"))))
+        left = F.when(F.col("depth") == 0, v < F.col("x")).otherwise((v < F.col("a")) | ((v == F.col("a")) & last))
+        moved = rows.join(F.broadcast(cuts), "node", "left").withColumn("node", F.when(F.col("node") < 0, F.col("node")).when(left, F.col("l")).otherwise(F.col("r")))
+        rows = scratch.write(moved.select(*rows.columns), f"level-{depth}")
+        scratch.drop(f"level-{depth - 1}")
+        level, depth = after, depth + 1
+    return rows.select("*", (-F.col("node") - 1).alias("shard")).drop("node")
 
 
 def _search(rows: DataFrame, pending: dict[int, Node], leaf: float) -> None:
     """One aggregation: every node's range in bins; the range becomes the bin with the cut, or the next key's."""
-    steps = {k: max(1, -(-(n.high - n.low + 1) // BINS)) for k, n in pending.items()}
-    value = _by_node(pending, lambda n: F.col(n.order[len(n.pinned)]))
-    inside = _by_node(pending, lambda n: _pinned(n) & F.col(n.order[len(n.pinned)]).between(n.low, n.high))
-    low = _by_node(pending, lambda n: F.lit(n.low).cast("decimal(20,0)"))
-    step = _by_node(pending, lambda n: F.lit(steps[next(k for k, m in pending.items() if m is n)]).cast("decimal(20,0)"))
-    binned = rows.filter(inside).select("node", "bytes", value.alias("v"), F.floor((value - low) / step).cast("int").alias("bin"))
-    got: dict[int, list] = {k: [] for k in pending}
-    for r in binned.groupBy("node", "bin").agg(F.sum("bytes").alias("w"), F.min("v").alias("a"), F.max("v").alias("b")).collect():
-        got[r["node"]].append(r)
-    for k, n in pending.items():
-        at = n.before
-        for r in sorted(got[k], key=lambda r: r["bin"]):
-            if at + r["w"] >= n.want:
-                break
-            at += r["w"]
-        rest = n.want - at
-        alone = r["a"] == r["b"]
-        if r["w"] <= TOLERANCE * leaf or (alone and len(n.pinned) == len(n.order) - 1):
+    bins = max(2, min(BINS, LEVEL_BINS // len(pending)))
+    table = _cuts(rows.sparkSession, pending, lambda n: (n.low, n.high)).join(F.broadcast(common.local_rows(rows.sparkSession, [(k, float(n.want - n.before), max(1, -(-(n.high - n.low + 1) // bins))) for k, n in pending.items()], "node int, want double, step bigint")), "node")
+    v, c, m = (_value(k) for k in range(3))
+    value = F.when(F.col("depth") == 0, v).when(F.col("depth") == 1, c).otherwise(m)
+    inside = (F.col("depth") == 0) | ((v == F.col("a")) & ((F.col("depth") == 1) | (c == F.col("b"))))
+    place = F.floor((F.col("v").cast("decimal(20,0)") - F.col("x")) / F.col("step")).cast("int")
+    own = rows.join(F.broadcast(table), "node").withColumn("v", value).filter(inside & F.col("v").between(F.col("x"), F.col("y")))
+    sums = own.withColumn("bin", place).groupBy("node", "bin").agg(F.sum("bytes").alias("w"), F.min("v").alias("a"), F.max("v").alias("b"), F.first("want").alias("want"))
+    so_far = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
+    top = F.max("bin").over(Window.partitionBy("node"))
+    crossed = sums.withColumn("end", so_far).withColumn("top", top).filter(((F.col("end") >= F.col("want")) & (F.col("end") - F.col("w") < F.col("want"))) | (F.col("bin") == F.col("top")))
+    chosen = crossed.groupBy("node").agg(F.min(F.struct("bin", "w", "a", "b", "end")).alias("r")).select("node", "r.*")
+    for r in chosen.collect():  # a row a node
+        n = pending[r["node"]]
+        before = n.before + r["end"] - r["w"]
+        rest, alone = n.want - before, r["a"] == r["b"]
+        small = r["w"] <= (COPIES if alone and len(n.pinned) == 1 else TOLERANCE) * leaf
+        if small or (alone and len(n.pinned) == 2):
             n.cut, n.done = (r["b"] + 1 if rest > r["w"] / 2 else r["a"]), True
         elif alone:
-            n.pinned.append((n.order[len(n.pinned)], r["a"]))
-            n.low, n.high = {"crc": (0, (1 << 32) - 1), "mix": (-(1 << 63), (1 << 63) - 1)}[n.order[len(n.pinned)]]
+            n.low, n.high = TIES[len(n.pinned)]
+            n.pinned.append(r["a"])
         else:
             n.low, n.high = r["a"], r["b"]
-        n.before = at
-
-
-def _pinned(n: Node) -> Column:
-    out = F.lit(True)
-    for name, value in n.pinned:
-        out = out & (F.col(name) == F.lit(value))
-    return out
-
-
-def assign(meta: DataFrame, root: Node) -> DataFrame:
-    return meta.withColumn("shard", _tree(root, lambda n: F.lit(n.first)).cast("int"))
+        n.before = before
 
 
 def number(placed: DataFrame, rows: int, shards: int) -> DataFrame:
     """slot: gapless from 0 in each shard. A shard's rows are numbered in parts of about NUMBERED rows, each after those before it."""
     parts = max(1, -(-rows // shards // NUMBERED))
-    cut = placed.withColumn("part", F.pmod(F.xxhash64("mix"), F.lit(parts)).cast("int"))
+    cut = placed.withColumn("part", F.pmod(F.xxhash64("mix", "crc"), F.lit(parts)).cast("int"))
     counts = cut.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.select("shard", "part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "crc", "bytes"))
@@ -169,7 +165,7 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     meta = scratch.write(metadata(docs, key, text), "meta")
     rows, total = meta.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     shards = shards or max(1, -(-total // target_bytes))
-    return number(assign(meta, grow(meta, shards)), rows, shards).select("id", "bytes", "crc", "shard", "slot")
+    return number(grow(meta, shards, scratch), rows, shards).select("id", "bytes", "crc", "shard", "slot")
 
 
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
