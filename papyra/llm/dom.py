@@ -2,7 +2,7 @@
 
 Tags are read in one pass over the page. Inline tags do not end a block; a line break counts as white
 space. Comments, declarations, scripts, styles and templates have no text. Open elements are closed by
-their end tags, or by those start tags that imply it; end tags without a start are passed over.
+their end tags, or by those start tags that imply it; end tags without a start are passed over. Formulas are text of their paragraph.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ import html
 import re
 from dataclasses import dataclass
 
-#: A comment, a declaration or instruction, or a tag with its attributes.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a declaration or instruction, or a tag with its attributes; one with a quote that is never closed ends at the next >.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 NAME = re.compile(r"[a-z]+")
 
 # HTML element names by how they are read.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input svg math annotation merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea iframe object svg math select".split())
+RAW = frozenset("script style template noscript textarea iframe object svg select".split())
 CLOSED_BY = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside nav header footer form main blockquote pre figure hr address fieldset".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "head": frozenset(["body"])}
 
 

@@ -32,6 +32,7 @@ Part = tuple[str, bool]
 class Maker:
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
+        self.cells = self.r.random() < 0.08  # parts side by side in the cells of a table
 
     def word(self) -> str:
         return "".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 4))) + (self.r.choice(["", "", "", ",", "***", "&amp;"]) if self.r.random() < 0.1 else "")
@@ -56,8 +57,8 @@ class Maker:
         return f' {self.r.choice(["class", "class", "id"])}="{name}"'
 
     def boilerplate(self, kind: str) -> list[Part]:
-        tag = self.r.choice(TAGS[kind])
-        sure = tag in ("div", "section", "ul", "ol")
+        tag = "td" if self.cells else self.r.choice(TAGS[kind])
+        sure = tag in ("div", "section", "ul", "ol", "td")
         out: list[Part] = [(f"<{tag}{self.attrs(kind, sure)}>", False)]
         r = self.r
         if kind in ("nav", "share"):
@@ -83,8 +84,9 @@ class Maker:
 
     def article(self) -> list[Part]:
         r = self.r
-        tags = r.choice([["article"], ["article"], ["main", "article"], ["main"], ["div"], ["div", "div"], ["main", "div"]])
-        out: list[Part] = [(f"<{t}{self.attrs('article', t == 'div')}>", True) for t in tags]
+        tags = r.choice([["article"], ["article"], ["main", "article"], ["main"], ["div"], ["div", "div"], ["main", "div"], ["div", "div"], []])
+        tags = ["td"] if self.cells else tags
+        out: list[Part] = [(f"<{t}{self.attrs('article', t in ('div', 'td'))}>", True) for t in tags]
         if r.random() < 0.9:
             out.append((f"<h1>{self.words(1, 9)}</h1>", True))
         for _ in range(r.choice([0, 1, 2, 4, 8, 14])):
@@ -100,7 +102,7 @@ class Maker:
             elif x < 0.89:
                 out.append((f"<blockquote>{self.prose()}</blockquote>", True))
             elif x < 0.92:
-                out.append((f"<table><tr><th>{self.word()}</th><td>{self.words(1, 4)}</td></tr></table>", True))
+                out.append((r.choice([f"<table><tr><th>{self.word()}</th><td>{self.words(1, 4)}</td></tr></table>", f"<pre>{self.words(1, 9)}</pre>", f"<dl><dt>{self.word()}</dt><dd>{self.sentence()}</dd></dl>", f"<figure><img src=x><figcaption>{self.sentence()}</figcaption></figure>"]), True))
             elif x < 0.94:
                 out.append((f"<p>{self.words(2, 9)} <a href='/x'>{self.words(1, 5)}</a> {self.sentence()}</p>", True))
             else:
@@ -117,9 +119,12 @@ class Maker:
         after = [k for k in ("aside", "comment", "form", "ad", "notice", "share", "nav") if r.random() < 0.35]
         r.shuffle(before)
         r.shuffle(after)
+        out.append(("<table><tr>" if self.cells else "", False))
         for kind in before:
             out += self.boilerplate(kind)
         out += self.article()
+        out.append(("</tr></table>" if self.cells else "", False))
+        self.cells = False
         for kind in [*after, *(["footer"] if r.random() < 0.8 else [])]:
             out += self.boilerplate(kind)
         return [*out, ("</body></html>", False)]
