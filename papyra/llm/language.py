@@ -33,12 +33,14 @@ SLICE_BYTES = 1 << 20
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """For each order the bucket of the n-gram at every place of the joined texts; where each text starts.
 
-    Each text is followed by spaces, so no n-gram reaches into the next one.
+    Each text is followed by spaces; the places among them whose n-gram would reach into the next text have
+    one and the same bucket, so a text's n-grams do not hang on its neighbours.
     """
     pad = " " * max(ORDERS)
     joined = "".join(t.lower() + pad for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.array([len(t.lower()) + len(pad) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
     out, h = [], np.zeros(len(codes), np.uint64)
     for order in range(1, max(ORDERS) + 1):
         if order > 1:
@@ -47,8 +49,10 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         if order in ORDERS:
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             bucket = (mixed >> np.uint64(48)).astype(np.int64) % BUCKETS + ORDERS.index(order) * BUCKETS
-            out.append(np.append(bucket, np.full(order - 1, ORDERS.index(order) * BUCKETS)))
-    return out, np.cumsum(lengths) - lengths
+            bucket = np.append(bucket, np.zeros(order - 1, np.int64))
+            bucket[(ends[:, None] - 1 - np.arange(order - 1)[None, :]).reshape(-1)] = ORDERS.index(order) * BUCKETS
+            out.append(bucket)
+    return out, ends - lengths
 
 
 def count(docs: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
@@ -135,8 +139,9 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def accept(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose language is recognised with probability ``least``; all their columns stay as they are."""
-    kept = predict(docs, learn(docs), docs.columns, added=("__lang", "__score"))
-    return kept.filter((F.col("__lang") != UND) & (F.col("__score") >= least)).select(*docs.columns)
+    lang, score_ = common.fresh(docs, "__lang", "__score")
+    kept = predict(docs, learn(docs), docs.columns, added=(lang, score_))
+    return kept.filter((F.col(lang) != UND) & (F.col(score_) >= least)).select(*docs.columns)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
