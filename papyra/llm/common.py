@@ -131,6 +131,17 @@ def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{a}: {b}' for a, b in (f.split() for f in schema.split(',')))}>>")))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df has it (case does not count)."""
+    held, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in held:
+            n = f"_{n}"
+        held.add(n.lower())
+        out.append(n)
+    return out
+
+
 def letters(column: str) -> F.Column:
     """True where a text has at least one letter."""
     return F.coalesce(F.col(column).rlike(r"\p{L}"), F.lit(False))

@@ -263,8 +263,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item; their columns stay as they are. Rows that share a key, null too, go together."""
     scratch = common.Scratch(docs.sparkSession, "decontaminate")
-    held = scratch.write(matches(docs, benchmark, key, text).select(F.col(key).alias("__held")).distinct(), "held")
-    return docs.join(held, docs[key].eqNullSafe(F.col("__held")), "left_anti").select(*docs.columns)
+    (name,) = common.fresh(docs, "__held")
+    held = scratch.write(matches(docs, benchmark, key, text).select(F.col(key).alias(name)).distinct(), "held")
+    return docs.join(held, docs[key].eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

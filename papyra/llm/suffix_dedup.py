@@ -253,25 +253,27 @@ def covered(windows: list[tuple[int, int]], width: int, size: int) -> list[tuple
     return [(a, b) for a, b in out]
 
 
-def _apply(docs: DataFrame, key: str, text: str, width: int, gram: int, change, kinds: str, names: list[str]) -> DataFrame:
-    """docs with the columns that change(text, runs) makes of each text, named names and typed kinds, added."""
+def _apply(docs: DataFrame, key: str, text: str, width: int, gram: int, change, added: dict[str, str]) -> DataFrame:
+    """docs with the columns added (name to type) that change(text, runs) makes of each text."""
     scratch = common.Scratch(docs.sparkSession, "suffix-dedup")
     number = F.coalesce(F.col(key).cast("long"), F.lit(FIRST))
     spans = repeats(docs.select(number.alias("id"), F.col(text).alias("text")), scratch, width, gram)
     own, types = docs.columns, dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", " + kinds
+    schema = ", ".join(f"`{c}` {t}" for c, t in ({c: types[c] for c in own} | added).items())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for t, windows in zip(common.text_bytes(batch.column(own.index(text))), batch.column(len(own)).to_pylist(), strict=True):
             rows.append(change(t, covered([(w["low"], w["high"]) for w in windows or ()], width, len(t))))
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(own))), *(pa.array([r[k] for r in rows], ADDED[n]) for k, n in enumerate(names))], names=[*own, *names])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(own))), *(pa.array([r[k] for r in rows], ADDED[t]) for k, t in enumerate(added.values()))], names=[*own, *added])
 
-    joined = docs.withColumn("__id", number).join(spans.select(F.col("id").alias("__id"), F.col("spans").alias("__windows")), "__id", "left").select(*own, "__windows")
+    id_, windows = common.fresh(docs, "__id", "__windows")
+    joined = docs.withColumn(id_, number).join(spans.select(F.col("id").alias(id_), F.col("spans").alias(windows)), id_, "left").select(*own, windows)
     return common.map_batches(joined, run, schema)
 
 
-ADDED = {"__kept": pa.binary(), "__spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "__text": pa.string()}
+SPANS = "array<struct<start: bigint, end: bigint>>"
+ADDED = {"binary": pa.binary(), SPANS: pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "string": pa.string()}
 
 
 def _parts(t: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
@@ -280,12 +282,13 @@ def _parts(t: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """All columns of docs, with __kept (the bytes that stay) and __spans (removed runs: array of start and end) added."""
+    """All columns of docs, with __kept (the bytes that stay) and __spans (removed runs: array of start and end) added; with more underscores where docs has these names."""
 
     def change(t: bytes, runs: list[tuple[int, int]]):
         return b"".join(_parts(t, runs)), [{"start": a, "end": b} for a, b in runs]
 
-    return _apply(docs, key, text, width, gram, change, "__kept binary, __spans array<struct<start: bigint, end: bigint>>", ["__kept", "__spans"])
+    kept, spans = common.fresh(docs, "__kept", "__spans")
+    return _apply(docs, key, text, width, gram, change, {kept: "binary", spans: SPANS})
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -294,8 +297,9 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     def change(t: bytes, runs: list[tuple[int, int]]):
         return ("".join(p.decode(errors="ignore") for p in _parts(t, runs)),)
 
-    out = _apply(docs, key, text, width, gram, change, "__text string", ["__text"])
-    return out.select(*(F.when(F.col(text).isNotNull(), F.col("__text")).alias(c) if c == text else c for c in docs.columns))
+    (cut,) = common.fresh(docs, "__text")
+    out = _apply(docs, key, text, width, gram, change, {cut: "string"})
+    return out.select(*(F.when(F.col(text).isNotNull(), F.col(cut)).alias(c) if c == text else c for c in docs.columns))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,6 +179,16 @@ def test_byte_bpe(spark, docs, empty):
         assert len(t) > 20000 or ids.tolist() == codec.encode_ordinary(t)
 
 
+def test_safe_cuts_of_long_texts_match_the_whole():
+    codec, r = byte_bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(11)
+    bits = ["word", "Ab", "'s", "'", " ", " ", "  ", "\n", "\t", "12", "é", "日本", "!?", "\u00a0", "\u2003", "-", "<|endoftext|>"]
+    for k in range(150):
+        t = "".join(r.choices(bits, k=r.randrange(400)))
+        assert byte_bpe.encode_text(codec, t, r.choice([5, 20, 100])).tolist() == codec.encode_ordinary(t), k
+    long = " ".join(sentences(k, 200) + r.choice(["\n", "  ", "."]) for k in range(60))
+    assert len(long) > 60_000 and byte_bpe.encode_text(codec, long, 1000).tolist() == codec.encode_ordinary(long)
+
+
 # --- 3 ---------------------------------------------------------------------
 
 
@@ -538,10 +548,51 @@ def test_multi_index_finds_all(radius):
 def test_html_blocks():
     page = "<!DOCTYPE html><body><p>a &amp;&nbsp;b<br>c<p>d<!-- <p>no -->e<script>var t='</p>';</script><ul><li>x<li>y</ul><div class='ad'>z</i></div>&#233;</body>"
     assert [b.text for b in blocks(page)] == ["a & b c", "de", "x", "y", "z", "é"]
+    assert [b.text for b in blocks('<p title="x>two</p><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>')] == ["two", "a x=2 b"]
     assert blocks("") == [] and [b.text for b in blocks("plain < text > & more")] == ["plain < text > & more"]
     assert [b.text for b in blocks("<p>open <b>bold <i>x")] == ["open bold x"]
 
 
+#: Labelled by hand: a page, the blocks of its article, and what it must leave out.
+PAGES = [
+    (
+        "<html><body><div id='top-bar'><a href='/'>Site</a> <a href='/in'>Log in</a></div><div class='breadcrumbs'><a href='/'>Home</a> &gt; <a href='/n'>News</a></div><div id='main-content'><h1>River floods town</h1><p>The river rose by four metres on Monday night and flooded the old town.</p><figure><img src=x><figcaption>The bridge on Tuesday morning.</figcaption></figure><p>Nobody was hurt, the mayor said.</p></div><div id='comments'><h3>2 comments</h3><div class='comment'><p>Stay safe everyone, what a terrible night this was for all.</p></div></div><div id='footer'>&copy; 2020 Site. All rights reserved. <a href='/p'>Privacy</a></div></body></html>",
+        ["River floods town", "The river rose by four metres on Monday night and flooded the old town.", "The bridge on Tuesday morning.", "Nobody was hurt, the mayor said."],
+    ),
+    (
+        "<body><header><h1>Daily Blog</h1><nav><a href=a>One</a><a href=b>Two</a></nav></header><main><article><h2>How to bake bread</h2><p>Mix flour and water.</p><ol><li>Knead the dough.</li><li>Let it rest.</li></ol><pre>oven --heat 220</pre><aside class='related'><p>Read also: cakes</p></aside><p>Enjoy.</p></article></main><section class='newsletter'><form><p>Sign up to our newsletter for weekly recipes</p><input><button>Go</button></form></section><footer><p>Contact us</p></footer></body>",
+        ["How to bake bread", "Mix flour and water.", "Knead the dough.", "Let it rest.", "oven --heat 220", "Enjoy."],
+    ),
+    (
+        "<body><div class='cookie-banner'><p>We use cookies to improve your experience. By continuing you accept our policy.</p><button>OK</button></div><table><tr><td class='menu'><a href=1>Start</a><br><a href=2>Shop</a></td><td class='content'><h1>About us</h1><p>We have been making chairs since 1901. Our workshop lies by the lake and forty people work in it.</p><p>Visit us.</p></td><td class='ads'>Buy cheap shoes now!</td></tr></table></body>",
+        ["About us", "We have been making chairs since 1901. Our workshop lies by the lake and forty people work in it.", "Visit us."],
+    ),
+    ("<body><nav>m</nav><article><p>Only one paragraph here.</p></article><div class='ad'>Buy now.</div><div class='share-buttons'><a>Tweet</a><a>Mail</a></div></body>", ["Only one paragraph here."]),
+    ("<body><p>Just a plain page without any structure at all, as people wrote them long ago.</p><p>It has two paragraphs of text.</p></body>", ["Just a plain page without any structure at all, as people wrote them long ago.", "It has two paragraphs of text."]),
+    (
+        "<body><div class='wrapper'><div class='post'><h1>T</h1><div class='post-body'><p>First.</p><p>Second with <a href=x>a link</a> inside it.</p><table><tr><th>Year</th><td>1999</td></tr></table></div></div><div class='sidebar'><h3>Popular</h3><ul><li><a href=1>Ten ways to fold paper</a></li><li><a href=2>Why cats purr</a></li></ul></div></div></body>",
+        ["T", "First.", "Second with a link inside it.", "Year", "1999"],
+    ),
+]
+
+
+def test_pages_labelled_by_hand():
+    field, right, given, wanted = html_text.trained(), 0, 0, 0
+    for page, article in PAGES:
+        got = html_text.main_text(field, page).split("\n\n")
+        right, given, wanted = right + sum(x in article for x in got), given + len(got), wanted + len(article)
+    assert right >= 0.95 * given and right >= 0.95 * wanted
+
+
+def test_supplied_pages_have_their_articles(spark):
+    field, right, given, wanted = html_text.trained(), 0, 0, 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        article = [b.text for b in blocks(re.search(r"<article>(.*)</article>", r["html"], re.S)[1])]
+        got = html_text.main_text(field, r["html"]).split("\n\n")
+        right, given, wanted = right + sum((Counter(got) & Counter(article)).values()), given + len(got), wanted + len(article)
+    assert right >= 0.999 * given and right >= 0.999 * wanted
+
+
 def test_html_text(spark):
     field = html_text.trained()
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href=x>Home</a></ul></nav><div class='cookie-notice'>We use cookies.</div><article><h1>Head</h1><p>First  text.\n<p>Short<br></article><aside class=related><h3>More</h3><a href=x>Other</a></aside><section id=comments><p>Nice post!</p></section><footer>&copy; me</footer></body></html>"
@@ -597,6 +648,27 @@ def test_language(spark, docs, empty):
     assert language.accept(docs).columns == docs.columns
 
 
+def test_language_model_matches_brute_force(spark):
+    texts = [(1, "abab c", "aa"), (2, "ccd", "bb"), (6, "a", "aa"), (3, "zz", None), (4, None, "aa"), (None, "dd", "bb"), (7, "ab", "aa"), (7, "ab", "aa")]
+    names, prior, logs = language.learn(spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3))
+    own = [(t, lang) for i, t, lang in texts if i is not None and t is not None and lang is not None and zlib.crc32(str(i).encode()) % 5]
+    counts, rows = np.zeros((2, 3, language.BUCKETS)), Counter(lang for _, lang in own)
+    for t, lang in own:
+        for k, bucket in enumerate(language.grams([t])[0]):
+            for b in bucket.tolist():
+                counts[["aa", "bb"].index(lang), k, b - k * language.BUCKETS] += 1
+    want = np.log((counts + 0.5) / (counts.sum(axis=2, keepdims=True) + 0.5 * language.BUCKETS))
+    assert names == sorted(rows) == ["aa", "bb"] and np.allclose(np.exp(prior), [rows["aa"] / len(own), rows["bb"] / len(own)])
+    assert np.allclose(logs.reshape(want.shape), want, atol=1e-5)
+
+
+def test_language_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.op10_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
+    right, n = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 100 and right >= 0.98 * n
+
+
 def test_language_scores_match_brute_force():
     texts = ["abca", "bbb", "é"]
     buckets, starts = language.grams(texts)
@@ -605,6 +677,7 @@ def test_language_scores_match_brute_force():
     ends = [*starts[1:].tolist(), len(buckets[0])]
     want = np.array([[prior[k] + sum(float(logs[k][b]) for own in buckets for b in own[a:e]) for k in range(3)] for a, e in zip(starts.tolist(), ends, strict=True)])
     want = np.exp(want - want.max(axis=1, keepdims=True))
+    assert np.allclose(language.score(texts, prior, logs), np.concatenate([language.score([t], prior, logs) for t in texts]), atol=1e-9)
     assert np.allclose(language.score(texts, prior, logs), want / want.sum(axis=1, keepdims=True), atol=1e-5)
 
 
@@ -635,6 +708,25 @@ def test_pipeline_stages(spark):
         assert len(ids) == r["n_tokens"] and bytes(codec.decode_bytes(ids)).decode() == r["text"]
 
 
+def test_pipeline_stages_take_odd_tables(spark, docs, empty):
+    """Nulls, empty and long texts, repeated and null keys, empty tables, columns whose names the stages use."""
+    import tempfile
+
+    import corpus_pipeline as pipeline
+
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame([(1, sentences(600, 40)), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    clashing = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(["__id", "__windows", "__text", "__lang", "__score", "__held", "node", "label", "cell"])))
+    for name, stage in pipeline.STAGES:
+        for table in (clashing, clashing.limit(0)):
+            out = stage(spark, table, folder)
+            if name != "byte_bpe":
+                assert out.columns == table.columns, name
+            rows = out.count()
+            assert (rows == 0) if table is not clashing else (0 < rows <= len(odd_texts())), name
+    assert empty.count() == 0
+
+
 def test_digests_of_queries(spark):
     folder = "/root/testdata/sf0.001"
     got = by_id(byte_bpe.op8_byte_bpe(spark, folder).collect())
