@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return
 the columns of documents; the last returns each kept document's token ids, the text they decode to and
 their number.
+
+Odd input. A null, empty or letterless text goes in the first stage, as its language is none. A null key
+never names a group of near copies; such rows stay unless they hold a benchmark item, and rows that
+share a key are one document: they are kept, or go, together in near_dedup (those of a smallest key
+stay) and decontamination, and do not cut each other's text at equal places. Of ties, equal texts among
+them, the smallest doc_id stays. Long texts are taken whole. An empty table gives an empty one. Columns
+besides doc_id and text are passed on as they are, whatever their names, by all stages but the last.
 """
 
 from __future__ import annotations
