@@ -6,10 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays of numbers; null where a vector has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def length_of(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+
+
+def cosine(a: Column, b: Column, b_length: Column | None = None) -> Column:
+    """Cosine similarity of two arrays of numbers; null where a vector has no length. b_length: that of b, where it is known."""
+    return F.try_divide(dot(a, b), length_of(a) * (length_of(b) if b_length is None else b_length))
 
 
 def min_max(x: Column, low: Column, high: Column, default: float = 0.0) -> Column:

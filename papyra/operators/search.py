@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.functions.scoring import cosine, right_closed
+from papyra.functions.scoring import cosine, length_of, right_closed
 
 #: Edges and labels of relevance bins.
 EDGES, LABELS = [0.0, 25.0, 60.0, 80.0, 95.0, 100.0], ["Very Low", "Low", "Medium", "High", "Very High"]
@@ -13,8 +13,8 @@ EDGES, LABELS = [0.0, 25.0, 60.0, 80.0, 95.0, 100.0], ["Very Low", "Low", "Mediu
 
 def scored(store: DataFrame, query: DataFrame, vector: str = "embedding", above: float | None = None) -> DataFrame:
     """store with its similarity to the one query vector; None keeps all, 0.0 filters."""
-    one = query.select(F.col(vector).alias("__q")).limit(1)
-    out = store.withColumn("__q", one.scalar()).withColumn("similarity", cosine(F.col(vector), F.col("__q"))).drop("__q")
+    one = query.select(F.struct(F.col(vector).alias("v"), length_of(F.col(vector)).alias("n")).alias("__q")).limit(1)
+    out = store.withColumn("__q", one.scalar()).withColumn("similarity", cosine(F.col(vector), F.col("__q.v"), F.col("__q.n"))).drop("__q")
     return out if above is None else out.filter(F.col("similarity") > above)
 
 

@@ -104,6 +104,26 @@ def redact(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     return docs.join(own, key, "left").mapInPandas(run, schema)
 
 
+def redact_patterns(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns: dict[str, str] | None = None) -> DataFrame:
+    """redact() of what detect() finds, in one pass over the texts: nothing is shuffled and no text is read twice."""
+    found = [(label, re.compile(p, re.I)) for label, p in (patterns or PATTERNS).items()]
+    kinds, names = dict(docs.dtypes), docs.columns
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", redacted string, redactions array<struct<text: string, placeholder: string, context: string>>"
+
+    def run(parts):
+        for pdf in parts:
+            got = []
+            for t in pdf[text]:
+                items = {(m[p.groups and 1], label) for label, p in found for m in p.finditer(t)} if t else ()
+                got.append(redact_one(t, sorted(items)))
+            out = pdf[names].copy()
+            out["redacted"] = pd.Series([g[0] for g in got], index=out.index, dtype=object)
+            out["redactions"] = pd.Series([[{"text": a, "placeholder": b, "context": c} for a, b, c in g[1]] for g in got], index=out.index, dtype=object)
+            yield out
+
+    return docs.mapInPandas(run, schema)
+
+
 def mask(text: Column, items: Column, above: float = 0.5) -> Column:
     """text with each item (array of text, label, score) that scores above the bound as <LABEL>: longest first, at word bounds, case ignored; then mask_lines."""
     quoted = lambda t: F.regexp_replace(t, r"([\\.^$|?*+()\[\]{}])", r"\\$1")

@@ -221,8 +221,8 @@ def computed_partition_rank(spark, d):
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
 SELECT doc_id, pos::INTEGER AS pos, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, pos) AS k FROM l) WHERE k <= 5""")
 def top_contexts_per_group(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return relational.best(lines, ["doc_id"], [F.length("line").desc(), F.col("pos")], 5)
+    ranked = F.array_sort(F.transform(F.split("text", "\n"), lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("pos"), x.alias("line"))))
+    return table(spark, d, "documents").select("doc_id", F.inline(F.slice(ranked, 1, 5))).select("doc_id", "pos", "line")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, try_cast(json_extract_string(props, '$.k') AS INTEGER) * 2 AS twice FROM events")
@@ -304,7 +304,7 @@ def veto_and_lists(spark, d):
 @query()
 def redact_text(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return sensitive.redact(docs, sensitive.detect(docs).select("doc_id", "text", "label")).select("doc_id", "redacted", F.size("redactions").alias("n"))
+    return sensitive.redact_patterns(docs).select("doc_id", "redacted", F.size("redactions").alias("n"))
 
 
 @query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '')) AS words,
@@ -412,10 +412,10 @@ def call_metrics(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.max("value"), 4).alias("most"), F.round(F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)), 4).alias("success"))
 
 
-@query("SELECT doc_id, lang, avg_chars FROM (SELECT doc_id, lang, round(avg(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 4) AS avg_chars FROM documents)")
+@query("SELECT conv_id, turn, round(avg(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 4) AS avg_chars FROM conversations")
 def last_k_context(spark, d):
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(-5, -1)
-    return table(spark, d, "documents").select("doc_id", "lang", F.round(F.avg("n_chars").over(w), 4).alias("avg_chars"))
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-5, -1)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.round(F.avg(F.length("text")).over(w), 4).alias("avg_chars"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, (event_id // 7) AS week FROM events")

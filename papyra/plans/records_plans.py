@@ -99,12 +99,12 @@ def full_row_dedup(spark, d):
     return table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", F.nullif(F.col("l_linenumber").cast("string"), F.lit("1")).alias("line")).dropDuplicates()
 
 
-@query("SELECT doc_id, lang, previous FROM (SELECT doc_id, lang, list(n_chars) OVER (PARTITION BY source, lang ORDER BY doc_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)::VARCHAR AS previous FROM documents)")
+@query("SELECT conv_id, turn, list(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)::VARCHAR AS previous FROM conversations")
 def context_lists(spark, d):
-    w = Window.partitionBy("source", "lang").orderBy("doc_id").rowsBetween(-5, -1)
-    listed = F.collect_list("n_chars").over(w)
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-5, -1)
+    listed = F.collect_list(F.length("text")).over(w)
     text = F.when(F.size(listed) > 0, F.concat(F.lit("["), F.array_join(listed.cast("array<string>"), ", "), F.lit("]")))
-    return table(spark, d, "documents").select("doc_id", "lang", text.alias("previous"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.alias("previous"))
 
 
 # --- texts -------------------------------------------------------------------

@@ -413,6 +413,17 @@ def test_masks_and_control_tables(spark):
     assert [r[0] for r in df.select(sensitive.mask(F.col("t"), F.col("i"))).collect()] == ["<FULL> and <NAME> low\nAdam".replace("<FULL> and", "<NAME> l. and"), None]
 
 
+def test_redaction_in_one_pass_is_redaction_of_what_is_found(spark):
+    texts = ["mail a.b@x.org or call +1 555 123 4567, Password: hunter2\nserver name: db-1 and db-1 again", None, "", "ip 10.0.0.1 999.1.1.1 Cookie: a=b; c", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    two = sensitive.redact(docs, sensitive.detect(docs).select("doc_id", "text", "label")).select("doc_id", "redacted", F.size("redactions").alias("n"))
+    one = sensitive.redact_patterns(docs).select("doc_id", "redacted", F.size("redactions").alias("n"))
+    rows = lambda df: sorted((r["doc_id"], r["redacted"] or "", r["n"]) for r in df.collect() if r["doc_id"] > 4)
+    assert rows(one) == rows(two)
+    got = sensitive.redact_patterns(docs.limit(5)).orderBy("doc_id").collect()
+    assert got[0]["redacted"] == "mail <EMAIL> or call <PHONE>, Password: <PASSWORD>\nserver name: <SERVER> and <SERVER> again" and got[3]["redacted"].startswith("ip <IP> ")
+
+
 def test_messages_of_streams(spark, tmp_path):
     m = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "id string, v int").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     assert ev.once(m, ["id"], "ts", "1 hour").count() == 2
