@@ -203,9 +203,38 @@ def test_readers(spark):
     for r in rows:
         got.setdefault(r["path"], []).append(r["text"] if r["error"] is None else "ERROR")
     assert got == {"a.docx": ["Hello", "a | b", "foot"], "b.pptx": ["Title", "low"], "c.xlsx": ["1,1: shared", "2,28: 5"], "d.txt": ["x" * 60, "y"], "e.txt": ["ERROR"], "f.bin": ["ERROR"], "g.html": ["yes & so"]}
-    archive = zipped({"ok/a.txt": "1", "__MACOSX/a.txt": "2", ".hidden": "3", "in.zip": "4"})
-    members = sources.archive_members(spark.createDataFrame([("z.zip", bytearray(archive))], "path string, content binary")).collect()
-    assert [r["path"] for r in members] == ["ok/a.txt"]
+    archive = zipped({"ok/a.txt": "1", "__MACOSX/a.txt": "2", ".hidden": "3", "in.zip": "4", "b.bin": "5"})
+    members = sources.archive_members(spark.createDataFrame([("z.zip", bytearray(archive)), ("bad.zip", bytearray(b"no zip"))], "path string, content binary")).collect()
+    assert [(r["archive"], r["path"], r["supported"], r["error"] is None) for r in members] == [("z.zip", "ok/a.txt", True, True), ("z.zip", "b.bin", False, True), ("bad.zip", None, False, False)]
+
+
+def test_parts_of_office_files():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    a = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:p="p"'
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    rels = lambda **k: "<Relationships>" + "".join(f'<Relationship Id="{i}" Target="{t}"/>' for i, t in k.items()) + "</Relationships>"
+    docx = zipped({
+        "word/document.xml": f'<w:document {w} {a.split()[0]}><w:p><w:t>One</w:t><a:blip r:embed="i1"/></w:p><w:altChunk r:id="c1"/><w:tbl><w:tr><w:tc><w:p><w:t>out</w:t></w:p><w:tbl><w:tr><w:tc><w:p><w:t>in</w:t></w:p></w:tc></w:tr></w:tbl></w:tc></w:tr></w:tbl><w:p><w:t>Two</w:t></w:p></w:document>',
+        "word/_rels/document.xml.rels": rels(c1="part.html", i1="media/image1.png"), "word/part.html": "<p>from the web</p>",
+    })
+    assert sources.docx_lines(docx) == [("body", "One"), ("picture", "image1.png"), ("web", "from the web"), ("table", "out"), ("table", "in"), ("body", "Two")]
+    table = "<p:graphicFrame><p:xfrm><a:off x='0' y='5000000'/></p:xfrm><a:tbl><a:tr><a:tc><a:p><a:t>k</a:t></a:p></a:tc><a:tc><a:p><a:t>v</a:t></a:p></a:tc></a:tr></a:tbl></p:graphicFrame>"
+    group = "<p:grpSp><p:x><a:off x='0' y='900000'/><a:chOff x='0' y='0'/></p:x><p:sp><a:off x='0' y='0'/><a:p><a:t>inside</a:t></a:p></p:sp></p:grpSp>"
+    pptx = zipped({
+        "ppt/slides/slide1.xml": f"<p:sld {a}><p:cSld><p:spTree>{table}{group}<p:pic><a:off x='0' y='0'/><a:blip r:embed='i'/></p:pic></p:spTree></p:cSld></p:sld>",
+        "ppt/slides/_rels/slide1.xml.rels": rels(i="../media/p.png", n="../notesSlides/notesSlide1.xml"), "ppt/notesSlides/notesSlide1.xml": f"<p:n {a}><p:sp><a:p><a:t>say this</a:t></a:p></p:sp></p:n>", "ppt/slides/slide2.xml": "<broken",
+    })
+    assert sources.pptx_lines(pptx) == [("slide 1", "[IMAGE: p.png]"), ("slide 1", "inside"), ("slide 1", "k | v"), ("notes 1", "say this"), ("slide 2 damaged", "ppt/slides/slide2.xml")]
+    xlsx = zipped({
+        "xl/workbook.xml": f'<workbook {s}><sheets><sheet name="Plan" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": rels(r1="worksheets/sheet1.xml"),
+        "xl/styles.xml": f'<styleSheet {s}><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet {s}><sheetData><row><c r="A1" t="inlineStr"><is><t>wide</t></is></c><c r="A2" s="1"><v>45292</v></c><c r="B2" s="2"><v>45292.5</v></c><c r="C2"><v>7</v></c></row></sheetData><mergeCells><mergeCell ref="A1:C1"/></mergeCells></worksheet>',
+    })
+    assert sources.xlsx_cells(xlsx) == [("Plan", 1, 1, "wide"), ("Plan", 1, 2, "wide"), ("Plan", 1, 3, "wide"), ("Plan", 2, 1, "2024-01-01"), ("Plan", 2, 2, "2024-01-01T12:00:00"), ("Plan", 2, 3, "7")]
+    assert sources.markdown("a.xlsx", xlsx) == "## Plan\n\n| wide | wide | wide |\n| --- | --- | --- |\n| 2024-01-01 | 2024-01-01T12:00:00 | 7 |"
+    page = b"<nav>no</nav><h2>Head</h2><p>Text &amp; more<ul><li>one</li><li>two</li></ul><table><tr><th>a</th><th>b</th></tr><tr><td>1|2</td></tr></table>"
+    assert sources.markdown("p.html", page) == "## Head\n\nText & more\n\n- one\n\n- two\n\n| a | b |\n| --- | --- |\n| 1\\|2 |  |"
+    assert sources.markdown("d.docx", docx).split("\n\n")[-2:] == ["| out |\n| --- |\n| in |", "Two"]
 
 
 # --- streams -------------------------------------------------------------------
