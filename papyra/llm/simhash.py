@@ -22,7 +22,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm import common, forest
@@ -149,24 +149,33 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str = "component
     edges: (u, v) with u < v. Each round is written to the shared folder; the rounds grow with the
     logarithm of the longest path.
     """
-    now = scratch.write(edges.select("u", "v").distinct(), f"{name}-0")
-    seen = None
+    now, seen = _counted(edges.select("u", "v").distinct(), scratch, f"{name}-0")
     for k in range(1, ROUNDS):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state or not state[0]:
-            return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
-        seen = state
+        if not seen[0]:
+            break
         # a join with a written table can be split where one node has many edges; few edges need no splitting
-        cut = scratch.write if state[0] > WHOLE else lambda df, _: df
+        cut = scratch.write if seen[0] > WHOLE else lambda df, _: df
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
         large = cut(both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u < v").distinct(), f"{name}-large")
         # from each node to its smaller neighbours: all of them, and the node, hang on the smallest
         low = cut(large.groupBy("v").agg(F.min("u").alias("m")), f"{name}-low")
         small = large.join(low, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).union(low.select(F.col("m").alias("u"), "v"))
-        now = scratch.write(small.filter("u < v").distinct(), f"{name}-{k}")
+        now, state = _counted(small.filter("u < v").distinct(), scratch, f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}", f"{name}-least", f"{name}-large", f"{name}-low")
-    raise RuntimeError(f"components are not found after {ROUNDS} rounds")
+        if state == seen:
+            break
+        seen = state
+    else:
+        raise RuntimeError(f"components are not found after {ROUNDS} rounds")
+    return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
+
+
+def _counted(edges: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFrame, tuple]:
+    """edges, written, and their number and the sum of their hashes, which are taken as they are written."""
+    seen = Observation()
+    out = scratch.write(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
