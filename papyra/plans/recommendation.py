@@ -75,8 +75,8 @@ def template_search(spark, d):
     """Each document's template by vectors of its chunks, then by the fuzzy ratio; templates are the documents whose id 20 divides."""
     from papyra.functions.embedding import hashed
 
-    chunks = chunking.chunk(table(spark, d, "documents"), 1000, 50)
-    return chunking.search_templates(chunks, chunks.filter("doc_id % 20 = 0"), hashed)
+    chunks = chunking.stored_chunks(table(spark, d, "documents"), hashed)
+    return chunking.search_templates(chunks, chunks.filter("doc_id % 20 = 0"))
 
 
 _NAME = "(SELECT DISTINCT p_name AS name FROM part)"

@@ -349,8 +349,8 @@ def test_template_search_matches_brute_force(spark):
     base = [" ".join(word() for _ in range(40)) for _ in range(12)]
     rows = [(k, i, 2, base[(2 * k + i) % 12]) for k in range(6) for i in range(2)]
     rows += [(10 + k, i, 2, base[(2 * k + i) % 12].replace("e", "o", 3)) for k in range(6) for i in range(2)] + [(30, 0, 1, None), (31, 0, 1, "")]
-    df = spark.createDataFrame(rows, "doc_id int, chunk_idx int, tot_chunks int, content string").withColumn("filename", F.concat(F.lit("f"), "doc_id", F.when(F.col("doc_id") == 2, ".pptx").otherwise(".docx")))
-    got = {x["doc_id"]: (x["template_id"], x["matches"], x["first_chunk"]) for x in chunking.search_templates(df, df.filter("doc_id < 6"), hashed, ending=".docx").collect()}
+    df = spark.createDataFrame(rows, "doc_id int, chunk_idx int, tot_chunks int, content string").withColumn("filename", F.concat(F.lit("f"), "doc_id", F.when(F.col("doc_id") == 2, ".pptx").otherwise(".docx"))).withColumn("embedding", hashed("content"))
+    got = {x["doc_id"]: (x["template_id"], x["matches"], x["first_chunk"]) for x in chunking.search_templates(df, df.filter("doc_id < 6"), ending=".docx").collect()}
     want = {}
     cos = lambda x, y: sum(p * q for p, q in zip(embedded(x), embedded(y), strict=True))
     for d in {x[0] for x in rows}:
