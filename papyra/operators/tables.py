@@ -95,6 +95,22 @@ def records(rows: list[list[str]]) -> list[dict[str, str]]:
     return [{k: v for k, v in zip(names, r, strict=False) if v is not None and v.strip()} for r in rows[n:]]
 
 
+def table_records(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
+    """(sheet, row, name, value) of the rows under each sheet's header, blanks left out: ragged rows are filled up, repeated
+    headers numbered, a header of two rows merged. A sheet is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, rows = int(pdf["col"].max()), {}
+        for r, c, v in zip(pdf["row"].tolist(), pdf["col"].tolist(), pdf["value"].tolist(), strict=True):
+            rows.setdefault(r, [""] * last)[c - 1] = v or ""
+        order = sorted(rows)
+        names, n = header_of([rows[r] for r in order])
+        out = [(pdf[sheet].iloc[0], r, k, v) for r in order[n:] for k, v in zip(names, rows[r], strict=True) if v.strip()]
+        return pd.DataFrame(out, columns=[sheet, "row", "name", "value"])
+
+    return cells.select(sheet, "row", "col", "value").groupBy(sheet).applyInPandas(run, f"`{sheet}` string, row int, name string, value string")
+
+
 def spread_merged(cells: DataFrame, merged: DataFrame) -> DataFrame:
     """cells with the value of each merged range (sheet, row0, col0, row1, col1) in all its cells."""
     area = merged.select("sheet", "row0", "col0", F.explode(F.sequence("row0", "row1")).alias("row"), "col1").select("sheet", "row0", "col0", "row", F.explode(F.sequence("col0", "col1")).alias("col"))

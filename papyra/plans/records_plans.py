@@ -241,6 +241,14 @@ def sheet_rows(spark, d):
     return tables.rows_text(_cells(spark, d).withColumn("is_header", F.col("col") == 1), ["sheet"]).select("sheet", "row", "line", "header")
 
 
+@query(f"WITH cells AS ({_SHEET}) SELECT sheet, r + 1 AS row, CASE c WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'x' ELSE 'x_dup_1' END AS name, value FROM cells")
+def sheet_records(spark, d):
+    """Rows under a header in which a name stands twice."""
+    cells = _cells(spark, d)
+    header = cells.select("sheet").distinct().select("sheet", F.lit(1).alias("row"), F.inline(F.array(*(F.struct(F.lit(k + 1).alias("col"), F.lit(n).alias("value")) for k, n in enumerate("abxx")))))
+    return tables.table_records(cells.withColumn("row", F.col("row") + 1).unionByName(header))
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l)
 SELECT doc_id, count(*) FILTER (lower(trim(before)) IN ('', 'revision history')) AS after_marks FROM p GROUP BY doc_id""")

@@ -430,6 +430,12 @@ def test_stored_tables_and_files(spark, tmp_path):
     assert stores.settings(rows, {"a": "0", "b": "0"}) == {"a": "1", "b": "0"}
 
 
+def test_report_has_all_fields_quoted(spark, tmp_path):
+    sources.write_report(spark.createDataFrame([(1, 'a "b", c'), (2, None)], "k int, v string").coalesce(1), str(tmp_path / "r"))
+    (part,) = (tmp_path / "r").glob("part-*.csv")
+    assert part.read_text().splitlines() == ['"k","v"', '"1","a \\"b\\", c"', '"2",""']
+
+
 def test_nul_characters_go_from_nested_values(spark):
     df = spark.createDataFrame([(["a\0", None], {"k": "\0b"}, (1, "c\0c"))], "a array<string>, m map<string,string>, s struct<i: int, t: string>")
     got = df.select(*(tx.without_nul(F.col(f.name), f.dataType).alias(f.name) for f in df.schema)).first()
