@@ -133,8 +133,9 @@ def context_windows(spark, d):
     return docs.select("doc_id", tx.around(F.col("text"), F.lit(" the ")).alias("around"), tx.line_around(F.col("lines"), F.lit(2)).alias("line"), F.trim(F.regexp_replace(F.get("lines", F.lit(0)), "[ \t\r]+", " ")).alias("first"))
 
 
-@query("""SELECT event_id, ts - INTERVAL 330 MINUTE - INTERVAL (microsecond(ts) % 1000000) MICROSECOND AS parsed, strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') || ' UTC' AS stamp,
- CASE WHEN event_id % 9 = 0 THEN 'unreadable date: on day ' || event_id END AS error FROM events""".replace("ts - INTERVAL 330 MINUTE - INTERVAL (microsecond(ts) % 1000000) MICROSECOND AS parsed", "CASE WHEN event_id % 9 <> 0 THEN date_trunc('second', ts) - INTERVAL 330 MINUTE END AS parsed").replace("strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') || ' UTC' AS stamp", "CASE WHEN event_id % 9 <> 0 THEN strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') || ' UTC' END AS stamp"))
+@query("""SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN date_trunc('second', ts) - INTERVAL 330 MINUTE END AS parsed,
+ CASE WHEN event_id % 9 <> 0 THEN strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') || ' UTC' END AS stamp,
+ CASE WHEN event_id % 9 = 0 THEN 'unreadable date: on day ' || event_id END AS error FROM events""")
 def zoned_dates(spark, d):
     said = F.concat(F.date_format("ts", "EEE MMM dd HH:mm:ss"), F.lit(" IST "), F.date_format("ts", "yyyy"))
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("on day "), "event_id")).otherwise(said).alias("said"))
@@ -224,7 +225,9 @@ def _cells(spark, d):
     return own.agg(F.min("l_quantity").cast("int").cast("string").alias("value"))
 
 
-@query(f"WITH cells AS ({_SHEET}), s AS (SELECT sheet, max(r) AS mr, max(c) AS mc FROM cells GROUP BY sheet), g AS (SELECT sheet, r, unnest(range(1, mc + 1)) AS c FROM (SELECT sheet, mc, unnest(range(1, mr + 1)) AS r FROM s)) SELECT g.sheet, g.r::INTEGER AS row, g.c::INTEGER AS col, coalesce(value, '') AS value FROM g LEFT JOIN cells USING (sheet, r, c)".replace("SELECT g.sheet, g.r", "SELECT sheet, r").replace("g.c::", "c::"))
+@query(f"""WITH cells AS ({_SHEET}), s AS (SELECT sheet, max(r) AS mr, max(c) AS mc FROM cells GROUP BY sheet),
+g AS (SELECT sheet, r, unnest(range(1, mc + 1)) AS c FROM (SELECT sheet, mc, unnest(range(1, mr + 1)) AS r FROM s))
+SELECT sheet, r::INTEGER AS row, c::INTEGER AS col, coalesce(value, '') AS value FROM g LEFT JOIN cells USING (sheet, r, c)""")
 def sheet_grid(spark, d):
     return tables.full_grid(_cells(spark, d)).select("sheet", "row", "col", "value")
 
