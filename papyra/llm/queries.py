@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyra.llm import byte_bpe, decontaminate, html_text, language, quality, shards, simhash, suffix_dedup, token_blocks, url_filter
+from papyra.llm import byte_bpe, centroids, conversation_repair, decontaminate, html_text, language, quality, set_sketch, shards, simhash, suffix_dedup, token_blocks, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_html_text": html_text.op9_html_text,
     "op10_language": language.op10_language,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_set_sketch": set_sketch.op13_set_sketch,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL, "op6_quality": quality.ORACLE_SQL}

@@ -11,8 +11,9 @@ simhash.py (radius 4, by the grid of segment bit counts) with links of a Jaccard
    bucket come candidates: a spanning forest (forest.py) of the pairs that the maps of their shingles' parities cannot
    exclude; these maps never exclude a similar pair.
 3. Candidates are verified on the whole sets of shingle hashes. Where all of a bucket's candidates hold, its forest
-   connects whatever is similar in it. A bucket with a candidate that does not hold is searched again: the nearest 16, then
-   256, 4096 and so on of all its pairs that may still connect two components, until one holds or none are left.
+   connects whatever is similar in it. A bucket with a candidate that does not hold is searched again: each of its components
+   tries its nearest 16, then 256, 4096 and so on of the pairs that may still connect it to another, until it has no more of them. Components
+   that are united try no pairs with each other, and a round writes so many pairs for each component, not for every two.
 
 Texts without a word are equal to each other. Rows with equal words are one node, so copies cost
 nothing, however long. Null keys never name a group; an empty table gives an empty table; other columns stay out.
@@ -20,6 +21,8 @@ nothing, however long. Null keys never name a group; an empty table gives an emp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -104,11 +107,11 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return common.map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y"), run, f"u {kind}, v {kind}")
 
 
-def candidates(groups: DataFrame, kind: str, similarity: float, count: int | None) -> DataFrame:
-    """(cell, u, v, p, q, more): pairs of a bucket that may be similar, p and q their labels; a spanning forest of them, or the count nearest of every two labels and whether there are more."""
+def candidates(groups: DataFrame, kind: str, nearness: Callable[[forest.Groups], forest.Parities], count: int | None) -> DataFrame:
+    """(cell, u, v, p, q, more): pairs of a bucket that may be similar, p and q their labels; a spanning forest of them, or the count nearest of each label to others and whether there are more."""
 
     def run(batch: pa.RecordBatch, held: forest.Groups) -> pa.RecordBatch:
-        near = forest.Parities(held.field("map").to_pylist(), held.field("n").to_numpy(zero_copy_only=False), similarity)
+        near = nearness(held)
         i, j, more = held.best(near, count) if count else (*held.forest(near), None)
         more = np.ones(len(i), bool) if more is None else more
         i_, j_, node, label = pa.array(i), pa.array(j), held.field("node"), held.field("label")
@@ -117,15 +120,20 @@ def candidates(groups: DataFrame, kind: str, similarity: float, count: int | Non
     return forest.map_groups(groups, run, f"cell long, u {kind}, v {kind}, p {kind}, q {kind}, more boolean")
 
 
-def joined(nodes: DataFrame, labels: DataFrame, texts: DataFrame, scratch: common.Scratch, size: int, similarity: float) -> DataFrame:
-    """(node, label): labels, united where similar texts connect them; nodes: (node, n, keys, map), labels: (node, label), texts: (node, text)."""
+def joined(nodes: DataFrame, labels: DataFrame, texts: DataFrame, scratch: common.Scratch, size: int, similarity: float, nearness: Callable[[forest.Groups], forest.Parities] | None = None) -> DataFrame:
+    """(node, label): labels, united where similar texts connect them; nodes: (node, n, keys, map) and what nearness reads, labels: (node, label), texts: (node, text)."""
     kind = dict(nodes.dtypes)["node"]
-    details = nodes.select("node", "n", "map")
-    placed = nodes.select("node", (F.octet_length("map") + MEMBER_BYTES).alias("bytes"), F.explode("keys").alias("cell"))
+    details = nodes.drop("keys")
+    weight = sum(F.octet_length(c) for c, t in nodes.dtypes if t == "binary" and c != "node") + MEMBER_BYTES
+
+    def parities(held: forest.Groups) -> forest.Parities:
+        return forest.Parities(held.field("map").to_pylist(), held.field("n").to_numpy(zero_copy_only=False), similarity)
+
+    placed = nodes.select("node", weight.alias("bytes"), F.explode("keys").alias("cell"))
     sets = None
     for k in range(ROUNDS):
         held = forest.tiles(placed.join(labels, "node"), scratch, f"bucket-{k}", details)
-        found = scratch.write(candidates(held, kind, similarity, 16**k if k else None), f"candidates-{k}")
+        found = scratch.write(candidates(held, kind, nearness or parities, 16**k if k else None), f"candidates-{k}")
         if sets is None:
             members = held.select(F.explode("members.node").alias("node")).distinct()
             sets = scratch.write(shingle_sets(texts.join(members, "node", "left_semi").select("node", "text"), size), "sets")
@@ -138,8 +146,12 @@ def joined(nodes: DataFrame, labels: DataFrame, texts: DataFrame, scratch: commo
         new = labels.join(united.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("label"))
         labels = scratch.write(new, f"labels-{k}")
         p, q = united.select(F.col("node").alias("p"), F.col("component").alias("p_now")), united.select(F.col("node").alias("q"), F.col("component").alias("q_now"))
-        failed = tried.filter("more").join(true, ["u", "v"], "left_anti").join(p, "p", "left").join(q, "q", "left")
-        again = scratch.write(failed.filter(F.coalesce("p_now", "p") != F.coalesce("q_now", "q")).select("cell").distinct(), f"again-{k}")
+        if k:  # a label whose nearest have been tried may have others beyond them; whether it is united with them is seen in the next round's tiles
+            open_ = tried.filter("more")
+        else:
+            failed = tried.join(true, ["u", "v"], "left_anti").join(p, "p", "left").join(q, "q", "left")
+            open_ = failed.filter(F.coalesce("p_now", "p") != F.coalesce("q_now", "q"))
+        again = scratch.write(open_.select("cell").distinct(), f"again-{k}")
         if not again.take(1):
             return labels
         placed = placed.join(again, "cell", "left_semi")
