@@ -228,3 +228,35 @@ def cluster(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster, distance and inertia of every embedding."""
     return cluster(common.table(spark, sf_dir, "embeddings"))
+
+
+def oracle_sql() -> str:
+    """The same by all distances of every round."""
+    parts = ["""vectors AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+)""", f"""c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('2:' || vec_id) AS h, v FROM vectors WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {K})
+)"""]
+    for n in range(1, ROUNDS + 2):
+        parts.append(f"""a{n} AS MATERIALIZED (
+    SELECT r, min(d).k AS k, min(d).d AS d FROM (
+        SELECT r, {{'d': list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'k': k}} AS d FROM vectors, c{n - 1}
+    ) GROUP BY r
+)""")
+        if n <= ROUNDS:
+            parts.append(f"""c{n} AS MATERIALIZED (
+    SELECT k, coalesce(m.c, o.c) AS c FROM c{n - 1} o LEFT JOIN (
+        SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS c FROM (
+            SELECT k, pos, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT a.k, unnest(v.v) AS x, unnest(range(64)) AS pos FROM a{n} a JOIN vectors v ON v.r = a.r) GROUP BY k, pos
+        ) GROUP BY k
+    ) m USING (k)
+)""")
+    last = ROUNDS + 1
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT v.vec_id, a.k::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{last} a JOIN vectors v ON v.r = a.r JOIN c{ROUNDS} c ON c.k = a.k"""
+
+
+ORACLE_SQL = oracle_sql()

@@ -454,3 +454,72 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair and its digest for every conversation, after the stated damage."""
     rows = damaged(common.table(spark, sf_dir, "conversations"))
     return repair(rows, F.col("live"))
+
+
+#: The same by a recursion from the last row to the first that carries the least (cost, edits) of each state.
+ORACLE_SQL = """
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+    FROM conversations
+), summed AS (
+    SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)), 4294967295::BIGINT) % 20 AS h
+    FROM keyed
+), harmed AS (
+    SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM summed WHERE h <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+        rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen, substr(role, 1, 1) AS initial
+    FROM harmed
+), faults AS (
+    SELECT *, CASE WHEN seen = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two
+    FROM placed
+), facts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY conv_id
+), costs AS (
+    -- from the last row to the first: the least (cost, edits) to the end after nothing (a), a system row (b), a user row (c), an assistant row (d)
+    SELECT conv_id, n + 1 AS i, {'c': 0, 's': ''} AS a, {'c': 10, 's': 'II'} AS b, {'c': 5, 's': 'I'} AS c, {'c': 0, 's': ''} AS d
+    FROM facts
+    UNION ALL
+    SELECT conv_id, i, least(a1, {'c': 5 + c2.c, 's': 'I' || c2.s}), least(b1, {'c': 5 + c2.c, 's': 'I' || c2.s}), c2, least(d1, {'c': 5 + c2.c, 's': 'I' || c2.s})
+    FROM (SELECT *, least(c1, {'c': 5 + d1.c, 's': 'I' || d1.s}) AS c2 FROM (
+        SELECT f.conv_id, f.i,
+            list_min([{'c': 2 + p.a.c, 's': 'D' || p.a.s}, {'c': ks + p.b.c, 's': 'K' || p.b.s}, {'c': ku + p.c.c, 's': 'K' || p.c.s}, {'c': r + p.c.c, 's': 'R' || p.c.s}]) AS a1,
+            list_min([{'c': 2 + p.b.c, 's': 'D' || p.b.s}, {'c': ku + p.c.c, 's': 'K' || p.c.s}, {'c': r + p.c.c, 's': 'R' || p.c.s}]) AS b1,
+            list_min([{'c': 2 + p.c.c, 's': 'D' || p.c.s}, {'c': ka + p.d.c, 's': 'K' || p.d.s}, {'c': r + p.d.c, 's': 'R' || p.d.s}]) AS c1,
+            list_min([{'c': 2 + p.d.c, 's': 'D' || p.d.s}, {'c': ku + p.c.c, 's': 'K' || p.c.s}, {'c': r + p.c.c, 's': 'R' || p.c.s}]) AS d1
+        FROM costs p JOIN (
+            SELECT conv_id, i, CASE WHEN initial = 's' THEN stay ELSE 1000000 END AS ks, CASE WHEN initial = 'u' THEN stay ELSE 1000000 END AS ku,
+                CASE WHEN initial = 'a' THEN stay ELSE 1000000 END AS ka, stay + 1 AS r
+            FROM (SELECT conv_id, i, initial, CASE fault WHEN 'fine' THEN 0 WHEN 'truncated' THEN 5 ELSE 1000000 END AS stay FROM faults)
+        ) f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i - 1
+    ))
+), edits AS (
+    SELECT conv_id, a.c AS cost, a.s AS audit FROM costs WHERE i = 1
+), steps AS (
+    SELECT conv_id, j, substr(audit, j, 1) AS letter FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM edits)
+), read_ AS (
+    SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS o FROM steps
+), left_ AS (
+    SELECT s.conv_id, s.o, s.letter, f.role, f.text, bool_or(s.o = 1 AND s.letter = 'K' AND f.initial = 's') OVER (PARTITION BY s.conv_id) AS system
+    FROM read_ s LEFT JOIN faults f ON s.letter <> 'I' AND f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i
+    WHERE s.letter <> 'D'
+), texts AS (
+    SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY o) AS repaired
+    FROM left_ GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(f.gaps, 0)::BIGINT AS gaps, coalesce(f.blank, 0)::BIGINT AS blank, coalesce(f.duplicate, 0)::BIGINT AS duplicate, coalesce(f.truncated, 0)::BIGINT AS truncated,
+    coalesce(f.illegal, 0)::BIGINT AS illegal, coalesce(e.cost, 0)::BIGINT AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(t.repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN facts f ON c.conv_id IS NOT DISTINCT FROM f.conv_id
+LEFT JOIN edits e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN texts t ON c.conv_id IS NOT DISTINCT FROM t.conv_id
+"""

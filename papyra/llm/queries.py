@@ -20,4 +20,10 @@ QUERIES = {
     "op13_set_sketch": set_sketch.op13_set_sketch,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL, "op6_quality": quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": url_filter.ORACLE_SQL,
+    "op6_quality": quality.ORACLE_SQL,
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+    "op12_centroids": centroids.ORACLE_SQL,
+    "op13_set_sketch": set_sketch.ORACLE_SQL,
+}

@@ -159,3 +159,28 @@ def op13_set_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of shingles, component and whether it stays, for every document."""
     found = groups(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+#: All pairs that share a shingle, and the closure of the links.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS MATERIALIZED (
+    SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words
+), sizes AS MATERIALIZED (
+    SELECT r, count(*) AS n FROM shingles GROUP BY r
+), links AS MATERIALIZED (
+    SELECT x.r AS a, y.r AS b FROM shingles x JOIN shingles y ON x.s = y.s AND x.r <> y.r JOIN sizes p ON p.r = x.r JOIN sizes q ON q.r = y.r
+    WHERE p.n * 100 >= 80 * q.n AND q.n * 100 >= 80 * p.n
+    GROUP BY x.r, y.r HAVING 100 * count(*) >= 80 * (any_value(p.n) + any_value(q.n) - count(*))
+), reached AS (
+    SELECT r, r AS other FROM words
+    UNION
+    SELECT v.r, l.b FROM reached v JOIN links l ON l.a = v.other
+), named AS (
+    SELECT v.r, min(w.doc_id) AS component_id FROM reached v JOIN words w ON w.r = v.other GROUP BY v.r
+)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM words w LEFT JOIN sizes s ON s.r = w.r JOIN named c ON c.r = w.r
+"""
