@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import posixpath
 import re
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.functions.markup import Reader
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -192,15 +195,38 @@ def flat_lines(data: bytes) -> list[Line]:
     return [("body", x.strip()) for x in text.splitlines() if x.strip()]
 
 
+#: Elements of a page that are no text, and those that begin a line.
+ASIDE = frozenset(("script", "style", "nav", "header", "footer", "aside", "form", "noscript"))
+LINES = frozenset(("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article"))
+
+
 def html_lines(data: bytes) -> list[Line]:
-    """Lines of a page's text; scripts, styles and menus are left out."""
-    text = data.decode("utf-8", "replace")
-    for tag in ("script", "style", "nav", "header", "footer", "aside", "form", "noscript"):
-        text = re.sub(rf"<{tag}\b.*?</{tag}\s*>", " ", text, flags=re.S | re.I)
-    text = re.sub(r"<(?:p|div|br|li|tr|h[1-6]|section|article)\b[^>]*>", "\n", re.sub(r"<!--.*?-->", "", text, flags=re.S), flags=re.I)
-    import html
-
-    lines = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in text.split("\n"))
+    """Lines of a page's text; scripts, styles and menus that are closed are left out, with what they hold."""
+    page = data.decode("utf-8", "replace")
+    reader, low = Reader(page), page.lower()
+    ends = {tag: low.rfind(f"</{tag}") for tag in ASIDE}
+    parts: list[str] = []
+    within, depth, at = "", 0, 0
+    while True:
+        found = reader.tag(at)
+        if not within:
+            parts.append(page[at : found[0] if found else len(page)])
+        if not found:
+            break
+        start, at, tag, _ = found
+        name = tag.lstrip("/")
+        if within:
+            depth += (name == within) * (-1 if tag[0:1] == "/" else 1)
+            within = within if depth and start < ends[within] else ""  # at the last end at the latest
+            parts.append("" if within else " ")
+        elif tag in ("script", "style") and ends[tag] > start:
+            at = reader.after(tag, at)
+            parts.append(" ")
+        elif tag in ASIDE and ends[tag] > start:
+            within, depth = tag, 1
+        elif tag in LINES:
+            parts.append("\n")
+    lines = (" ".join(html.unescape(x).split()) for x in "".join(parts).split("\n"))
     return [("body", x) for x in lines if x]
 
 
