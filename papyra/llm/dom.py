@@ -11,8 +11,8 @@ import html
 import re
 from dataclasses import dataclass
 
-#: A comment, a declaration or instruction, or a tag with its attributes; one with a quote that is never closed ends at the next >.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+from papyra.functions.markup import Reader
+
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -23,16 +23,39 @@ RAW = frozenset("script style template noscript textarea iframe object svg selec
 CLOSED_BY = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside nav header footer form main blockquote pre figure hr address fieldset".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "head": frozenset(["body"])}
 
 
+
+class Element:
+    """An open element; paths are chains of elements, shared by the blocks below them."""
+
+    __slots__ = ("parent", "tag", "names", "depth", "tags")
+
+    def __init__(self, parent: Element | None, tag: str, names: tuple[str, ...]) -> None:
+        self.parent, self.tag, self.names = parent, tag, names
+        self.depth = parent.depth + 1 if parent else 1
+        above = parent.tags if parent else ()
+        self.tags = above if tag in ("html", "body") else (*above[-1:], tag)  # the last two besides the roots
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # (tag, names in class, id and role) from the root
+    element: Element | None  # the innermost
     links: int  # characters inside links
 
+    @property
+    def path(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """(tag, names in class, id and role) from the root."""
+        out, at = [], self.element
+        while at:
+            out.append((at.tag, at.names))
+            at = at.parent
+        return tuple(reversed(out))
+
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
+    reader, here = Reader(page), None
+    open_: dict[str, int] = {}
     parts: list[str] = []
     links = depth = at = 0
 
@@ -41,29 +64,28 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(path), links))
+                out.append(Block(text, here, links))
             parts.clear()
         links = 0
 
     while True:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+        found = reader.tag(at)
+        text = page[at : found[0] if found else len(page)]
         if text:
             parts.append(text)
             if depth:
                 links += len(text)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if m[2] is None:
+        _, at, tag, attributes = found
+        if not tag:
             continue
-        tag = m[2].lower()
-        closing = bool(m[1])
+        closing = tag[0] == "/"
+        tag = tag.lstrip("/")
         if tag in RAW and not closing:
             if tag not in INLINE:
                 end()
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            at = reader.after(tag, at)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -73,16 +95,18 @@ def blocks(page: str) -> list[Block]:
             continue
         end()
         if closing:
-            for k in range(len(path) - 1, -1, -1):
-                if path[k][0] == tag:
-                    del path[k:]
-                    depth = 0
-                    break
+            if open_.get(tag):
+                depth, left = 0, None
+                while left != tag:
+                    left, here = here.tag, here.parent
+                    open_[left] -= 1
             continue
-        while path and tag in CLOSED_BY.get(path[-1][0], ()):
-            path.pop()
+        while here and tag in CLOSED_BY.get(here.tag, ()):
+            open_[here.tag] -= 1
+            here = here.parent
         if tag not in VOID:
-            names = tuple(n for a in ATTRIBUTE.findall(m[3]) for n in (NAME.findall((a[1] or a[2] or a[3]).lower()) if a[0].lower() not in ("hidden",) else ("hidden",))) if m[3] else ()
-            path.append((tag, names))
+            names = tuple(n for a in ATTRIBUTE.findall(attributes) for n in (NAME.findall((a[1] or a[2] or a[3]).lower()) if a[0].lower() not in ("hidden",) else ("hidden",))) if attributes else ()
+            here = Element(here, tag, names)
+            open_[tag] = open_.get(tag, 0) + 1
     end()
     return out

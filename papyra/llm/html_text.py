@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm import common
-from papyra.llm.dom import Block, blocks
+from papyra.llm.dom import Block, Element, blocks
 from papyra.llm.labelled_pages import labelled_page
 
 PAGES = 800
@@ -31,19 +31,53 @@ SHRINK = 1e-4
 MAIN = 1
 
 
-def features(page: list[Block]) -> list[list[str]]:
+class Inside:
+    """The features of the elements that a block lies in, kept from block to block, so that a page costs its tags and not blocks times depth."""
+
+    def __init__(self, known: dict[str, float] | None) -> None:
+        self.known, self.here, self.count = known, None, {}
+
+    def _of(self, e: Element) -> list[str]:
+        out = [] if e.tag in ("html", "body") else [f"in:{e.tag}"]
+        out += [f"name:{x}" for x in e.names]
+        return out if self.known is None else [x for x in out if x in self.known]
+
+    def move(self, to: Element | None) -> list[str]:
+        new, old = [], self.here
+        while to is not old:
+            if to is None or (old is not None and old.depth >= to.depth):
+                for x in self._of(old):
+                    self.count[x] -= 1
+                    if not self.count[x]:
+                        del self.count[x]
+                old = old.parent
+            else:
+                new.append(to)
+                to = to.parent
+        for e in reversed(new):
+            for x in self._of(e):
+                self.count[x] = self.count.get(x, 0) + 1
+        if new:
+            self.here = new[0]
+        else:
+            self.here = old
+        return list(self.count)
+
+
+def features(page: list[Block], known: dict[str, float] | None = None) -> list[list[str]]:
+    """known: features of elements besides these may be left out, so that a block has no more of them than a model knows."""
     out = []
     n = len(page)
+    inside = Inside(known)
     for k, b in enumerate(page):
-        f = ["bias"]
-        tags = [t for t, _ in b.path if t not in ("html", "body")]
-        f += {f"in:{t}" for t in tags}
-        f += {f"name:{x}" for _, names in b.path for x in names}
+        own = [] if b.element is None else [b.element] if b.element.parent is None else [b.element.parent, b.element]
+        tags = b.element.tags if b.element else ()
+        f = ["bias", *inside.move(b.element)]
         f.append("own:" + (tags[-1] if tags else "body"))
         f.append("up:" + ">".join(tags[-2:]))
-        f.append("up with names:" + ">".join(".".join((t, *names)) for t, names in b.path[-2:]))
-        for t, names in b.path[-1:]:
-            f += [f"own:{t}.{x}" for x in names]
+        f.append("up with names:" + ">".join(".".join((e.tag, *e.names)) for e in own))
+        if own:
+            f += [f"own:{own[-1].tag}.{x}" for x in own[-1].names]
         words = b.text.count(" ") + 1
         f.append(f"words:{min(6, words.bit_length())}")
         f.append(f"links:{min(4, int(4 * b.links / max(1, len(b.text))))}")
@@ -147,7 +181,7 @@ def trained(pages: int = PAGES) -> Field:
 
 def main_text(field: Field, page: str) -> str:
     own = blocks(page)
-    return "\n\n".join(b.text for b, label in zip(own, field.decode(features(own)), strict=True) if label == MAIN)
+    return "\n\n".join(b.text for b, label in zip(own, field.decode(features(own, field.weights)), strict=True) if label == MAIN)
 
 
 def extract(pages: DataFrame, field: Field, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:

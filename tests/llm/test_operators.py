@@ -522,8 +522,46 @@ def test_windows_with_repeated_words():
         got = items.search(text)
         assert [x[3] for x in got] == ([want] if want >= 0.8 else [])
         found += len(got)
-        by_index += len(items.search(text, by_index_only=True))
-    assert found == 60 and by_index >= 55
+        assert items.search(text, exhaustive=True) == got
+        by_index += len(got)
+    assert found == 60 and by_index == 60
+
+
+def spiral(k: int) -> str:
+    return " ".join(f"{w}{k}" for w in sentences(k, 60).split())
+
+
+def test_matches_come_through_the_index(spark, monkeypatch):
+    """Without what the index finds there is nothing but short items; of equal windows the first is reported."""
+    items = spark.createDataFrame([(1, spiral(1)), (2, "tiny item")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"a b {spiral(1)} c {spiral(1)} d"), (11, "a tiny item")], "doc_id long, text string")
+    got = [tuple(r) for r in decontaminate.matches(docs, items).collect()]
+    assert sorted(got) == [(10, 1, 2, 60, 1.0), (11, 2, 1, 2, 1.0)]
+    monkeypatch.setattr(decontaminate.MultiIndex, "search", lambda self, queries: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    held = decontaminate.Items([(1, spiral(1)), (2, "tiny item")], 5, 0.8, decontaminate.RADIUS)
+    assert held.search(f"a b {spiral(1)} c".encode()) == []
+    assert held.search(b"a tiny item") == [(2, 1, 2, 1.0)]
+    assert len(held.search(f"a b {spiral(1)} c".encode(), exhaustive=True)) == 1
+
+
+def test_recall_of_the_index(spark):
+    """The index against the exact way, on the supplied documents and on windows with every fifth pair near the threshold."""
+    sf = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    index = {tuple(r)[:2] for r in decontaminate.matches(docs, items).collect()}
+    exact = {tuple(r)[:2] for r in decontaminate.matches(docs, items, exhaustive=True).collect()}
+    assert index <= exact and len(index) >= 0.9 * len(exact) and len(exact) > 20
+    r, found, all_ = random.Random(9), 0, 0
+    for k in range(200):
+        words = sentences(k, 120).split()
+        held = list(words)
+        for _ in range(r.choice([0, 1, 2, 3])):
+            held[r.randrange(len(held))] = "other"
+        own = decontaminate.Items([(k, " ".join(words))], 5, 0.8, decontaminate.RADIUS)
+        text = f"{sentences(k + 999, 30)} {' '.join(held)} {sentences(k + 500, 30)}".encode()
+        found += len(own.search(text))
+        all_ += len(own.search(text, exhaustive=True))
+    assert all_ > 120 and found >= 0.98 * all_
 
 
 def test_clean_takes_rows_with_null_keys(spark):
@@ -576,6 +614,34 @@ PAGES = [
 ]
 
 
+@pytest.mark.parametrize("unit, end", [("<a ", ""), ("<a \"", ""), ("<a \">\"", "'"), ("<div>", "</p>"), ("<div class=x>t", ""), ("<script></script ", "")])
+def test_broken_pages_take_linear_time(unit, end):
+    """Twice the page takes about twice the time, not four times; 2 MB are read in seconds."""
+    import time
+
+    def took(size: int) -> float:
+        n = size // (len(unit) + len(end))
+        page = unit * n + (end * n if end == "</p>" else end)
+        began = time.process_time()
+        blocks(page)
+        return time.process_time() - began
+
+    took(100_000)
+    assert took(2_000_000) < 3 * took(1_000_000) + 0.3
+    assert took(2_000_000) < 8
+
+
+def test_deep_blocks_have_the_features_of_their_path():
+    page = blocks("<div class='a b'><p>x</p><section id=c><div class=a>y</div></section></div><p>z<p>w")
+    assert [b.path for b in page] == [(("div", ("a", "b")), ("p", ())), (("div", ("a", "b")), ("section", ("c",)), ("div", ("a",))), (("p", ()),), (("p", ()),)]
+    for b, f in zip(page, html_text.features(page), strict=True):
+        want = {f"in:{t}" for t, _ in b.path} | {f"name:{x}" for _, names in b.path for x in names}
+        assert {x for x in f if x.startswith(("in:", "name:"))} == want
+        assert len(f) == len(set(f))
+    known = html_text.features(page, {"name:a": 1.0})
+    assert [[x for x in f if x.startswith(("in:", "name:"))] for f in known] == [["name:a"], ["name:a"], [], []]
+
+
 def test_pages_labelled_by_hand():
     field, right, given, wanted = html_text.trained(), 0, 0, 0
     for page, article in PAGES:
