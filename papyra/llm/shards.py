@@ -4,15 +4,20 @@ A node that is to become k leaves is split at the weight share (k // 2) / k alon
 values spread most, measured against the whole table's spread. Medians are found by counting: the
 weights of up to ``BINS`` equal bins of every node of a level are added up in one aggregation with
 map-side partial sums, then the bin that holds the cut is searched again, until it weighs less than
-``TOLERANCE`` of a leaf or has one value. One value that weighs more (a hot source, many copies) is cut
-along the text's checksum, and copies of one text that weigh more than ``COPIES`` of a leaf along a hash of the key, so
-no group, however large, stands in the way of equal shards. Each row carries the number of its node, which a small
+``TOLERANCE`` of a leaf or has one value. One value that weighs more (a hot source) is cut
+along the text's checksum, then along a hash, so no group, however large, stands in the way of equal shards.
+
+Equal texts are one point of the tree, with the metadata of the row of the smallest key and the weight of all of
+them, so they stay in one shard. Only copies that together weigh more than ``COPIES`` of a leaf are dealt row by row;
+where single documents weigh more than that, copies stay together up to the weight of the heaviest document, a tenth of a leaf at most.
+
+Each point carries the number of its node, which a small
 table of cuts, one row a node, changes at each level. The driver sees a row a node and round, no bins; rows
 move once, to be numbered.
 
 DataFrame functions only. A null text weighs as an empty one; null metadata are values like any
-other; repeated rows and ties are split by the key's hash, rows with one key stay together unless the
-cut falls among them exactly; very long texts weigh what they weigh; an empty table gives an empty table;
+other, and so is a source or language that the table has no column for; ties are split by a hash of the text, of the key among
+copies that are dealt row by row; rows with one key and text stay together; very long texts weigh what they weigh; an empty table gives an empty table;
 other columns of the input stay out, whatever their names.
 """
 
@@ -34,6 +39,9 @@ COPIES = 0.01
 NUMBERED = 20_000
 #: Leaves of a tree: a table of cuts, at about 60 bytes a node, is broadcast.
 MOST_LEAVES = 1 << 18
+#: What tells texts apart.
+TEXT = ["crc", "bytes", "same"]
+SALTS = 64
 DIMENSIONS = ("source", "lang", "size", "key")
 #: Bounds of what is cut after the dimension: the checksum, then the hash of the key.
 TIES = ((0, (1 << 32) - 1), (-(1 << 63), (1 << 63) - 1))
@@ -56,12 +64,13 @@ class Node:
 
 
 def metadata(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Compact rows: the key, size, checksum, dimensions and the key's hash as longs; the text goes no further."""
+    """Compact rows: the key, size, checksum, the text's hash, dimensions and the key's hash as longs; the text goes no further."""
     t = F.coalesce(F.col(text), F.lit(""))
-    name = lambda c: F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), 34)
+    held = {c.lower() for c in docs.columns}
+    name = lambda c: F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), 34) if c in held else F.lit(0).cast("long")
     size = F.octet_length(t).cast("long") + 8
     dims = F.array(name("source"), name("lang"), (F.log2(size) * (1 << 20)).cast("long"), F.coalesce(F.col(key).cast("long"), F.lit(0)))
-    return docs.select(F.col(key).alias("id"), size.alias("bytes"), F.crc32(t).alias("crc"), dims.alias("dims"), F.xxhash64(F.col(key)).alias("mix"))
+    return docs.select(F.col(key).alias("id"), size.alias("bytes"), F.crc32(t).alias("crc"), F.xxhash64(t).alias("same"), dims.alias("dims"), F.xxhash64(F.col(key)).alias("mix"))
 
 
 def _spread(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -159,13 +168,31 @@ def number(placed: DataFrame, rows: int, shards: int) -> DataFrame:
     return cut.withColumn("own", own).join(before, ["shard", "part"]).withColumn("slot", (F.col("before") + F.col("own") - 1).cast("long"))
 
 
+def points(meta: DataFrame, most: float, scratch: common.Scratch) -> DataFrame:
+    """(id, size, crc, same, dims, mix, bytes, whole): copies of a text as one point that weighs all of them, or, where they weigh more than ``most``, each row."""
+    least = F.min(F.struct(F.col("id").isNull(), "id", "dims"))["dims"]
+    groups = scratch.write(meta.groupBy(*TEXT).agg(F.count("*").alias("n"), least.alias("dims")), "groups")
+    heavy = (F.col("n") > 1) & (F.col("n") * F.col("bytes") > most)
+    # rows of one text may be many, so they meet the few heavy groups in SALTS parts
+    split = groups.filter(heavy).select(*TEXT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = meta.withColumn("salt", F.pmod("mix", F.lit(SALTS)).cast("int")).join(split, [*TEXT, "salt"], "left_semi")
+    rows = rows.select("id", F.col("bytes").alias("size"), "crc", "same", "dims", "mix", "bytes", F.lit(False).alias("whole"))
+    one = groups.filter(~heavy).select(F.lit(None).cast(dict(meta.dtypes)["id"]).alias("id"), F.col("bytes").alias("size"), "crc", "same", "dims", F.xxhash64("same", "bytes").alias("mix"), (F.col("n") * F.col("bytes")).alias("bytes"), F.lit(True).alias("whole"))
+    return scratch.write(rows.unionByName(one), "points")
+
+
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, bytes, crc, shard, slot) of every row, in ``shards`` leaves, or in leaves of about ``target_bytes``."""
     scratch = common.Scratch(docs.sparkSession, "shards")
     meta = scratch.write(metadata(docs, key, text), "meta")
-    rows, total = meta.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    rows, total, heaviest = meta.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
     shards = shards or max(1, -(-total // target_bytes))
-    return number(grow(meta, shards, scratch), rows, shards).select("id", "bytes", "crc", "shard", "slot")
+    leaf = total / shards
+    placed = grow(points(meta, max(COPIES * leaf, min(heaviest, leaf / 10)), scratch), shards, scratch)
+    alone = placed.filter("not whole").select("id", F.col("size").alias("bytes"), "crc", "mix", "shard")
+    whole = placed.filter("whole").select("crc", F.col("size").alias("bytes"), "same", "shard")
+    together = meta.join(whole, TEXT).select("id", "bytes", "crc", "mix", "shard")
+    return number(alone.unionByName(together), rows, shards).select("id", "bytes", "crc", "shard", "slot")
 
 
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from papyra.llm import byte_bpe, decontaminate, forest, html_text, language, quality, shards, similar, simhash, suffix_dedup, token_blocks, url_filter
+from papyra.llm import byte_bpe, common, decontaminate, forest, html_text, language, quality, shards, similar, simhash, suffix_dedup, token_blocks, url_filter
 from papyra.llm.dom import blocks
 from papyra.llm.suffix_sort import common_prefixes, suffix_array
 
@@ -341,16 +341,42 @@ def test_shards_match_a_tree_by_sorting(spark, monkeypatch):
     r = random.Random(9)
     rows = [(k, sentences(k, r.randint(0, 30)) if r.random() > 0.3 else "copies of one text " * 9, r.choice(["en", None]), "hot" if r.random() < 0.4 else f"s{r.randint(0, 5)}") for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    meta = shards.metadata(docs).collect()
-    own = [(m["dims"], m["crc"], m["mix"], m["bytes"], m["id"]) for m in meta]
+    meta = shards.metadata(docs)
+    texts = {m["id"]: (m["crc"], m["bytes"], m["same"]) for m in meta.collect()}
+    leaf = sum(t[1] for t in texts.values()) / 11
+    held = shards.points(meta, leaf / 10, common.Scratch(spark, "test")).collect()
+    assert sum(p["bytes"] for p in held) == leaf * 11 and sum(not p["whole"] for p in held) > 80
+    own = [(p["dims"], p["crc"], p["mix"], p["bytes"], (p["crc"], p["size"], p["same"]) if p["whole"] else p["id"]) for p in held]
     whole = [max(1, max(o[0][k] for o in own) - min(o[0][k] for o in own)) for k in range(4)]
     want: dict = {}
-    brute_tree(own, 11, 0, whole, sum(o[3] for o in own) / 11, want)
+    brute_tree(own, 11, 0, whole, leaf, want)
     got = {x["id"]: x["shard"] for x in shards.shard(docs, 11).collect()}
     size = Counter()
     for i, s in got.items():
-        size[s] += next(o[3] for o in own if o[4] == i)
-    assert got == want and max(size.values()) < 1.35 * min(size.values())
+        size[s] += texts[i][1]
+    assert got == {i: want[i] if i in want else want[t] for i, t in texts.items()} and max(size.values()) < 1.35 * min(size.values())
+
+
+def test_equal_texts_lie_together(spark):
+    """No group of copies below 1 % of a leaf is split, whatever their source, language and key; on the supplied documents none below a tenth."""
+    r = random.Random(12)
+    rows = []
+    for k in range(1500):
+        text = sentences(k, r.randint(5, 40))
+        rows += [(text, r.choice(["en", "fr"]), f"s{r.randint(0, 9)}") for _ in range(r.choice([1, 1, 2, 4]))]
+    rows += [("hot " * 20, r.choice(["en", None]), f"s{r.randint(0, 9)}") for _ in range(1200)]
+    r.shuffle(rows)
+    made = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    for docs, count, share in ((made, 12, 0.01), (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 24, 0.1)):
+        got = shards.shard(docs, count)
+        groups = got.groupBy("crc", "bytes").agg(F.sum("bytes").alias("w"), F.count_distinct("shard").alias("s"), F.count("*").alias("n")).collect()
+        leaf = sum(g["w"] for g in groups) / count
+        small = [g for g in groups if g["n"] > 1 and g["w"] <= share * leaf]
+        assert len(small) > 25 and all(g["s"] == 1 for g in small)
+        sizes = [x["b"] for x in got.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
+        assert len(sizes) == count and max(sizes) < 1.15 * leaf and min(sizes) > 0.85 * leaf
+    assert max(g["s"] for g in shards.shard(made, 12).groupBy("crc", "bytes").agg(F.count_distinct("shard").alias("s")).collect()) > 1  # the hot text fills more than one
+    assert shards.shard(made.select("doc_id", "text"), 12).count() == len(rows)
 
 
 def test_many_shards_and_copies_together(spark):
