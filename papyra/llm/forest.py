@@ -133,19 +133,20 @@ class Groups:
         return tuple(np.concatenate([np.zeros(0, np.int64), *f]) for f in found)
 
     def best(self, near, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Members (i, j) and whether there are more: of each label of a group, the ``count`` nearest of its near pairs with other labels."""
+        """Members (i, j): of each label of a group, the ``count`` nearest of its near pairs with other labels; and of groups with more such pairs the members that are in any."""
         out = []
         for a, n in zip(self.starts.tolist(), self.sizes.tolist(), strict=True):
             own, kept = np.arange(a, a + n), (np.zeros((3, 0), np.int64), np.zeros(0), np.zeros(0, bool))
-            step = max(1, WORK // (n * near.words))
+            step, met = max(1, WORK // (n * near.words)), np.zeros(n, bool)
             for at in range(0, n, step):
                 block = own[at : at + step]
                 hit = near.block(block, own) & (self.part[block][:, None] != self.part[own][None, :])
                 i, j = np.nonzero(hit)
+                met[at + i] = True
                 i, j = block[i], own[j]
                 kept = self._nearest(np.concatenate([kept[0], np.stack([i, j, self.part[i]])], axis=1), np.concatenate([kept[1], near.distance(i, j)]), np.concatenate([kept[2], np.zeros(len(i), bool)]), count)
-            out.append((kept[0][0], kept[0][1], kept[2]))
-        return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, bool if k == 2 else np.int64) for k in range(3))
+            out.append((kept[0][0], kept[0][1], own[met & kept[2].any()]))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(3))
 
     @staticmethod
     def _nearest(rows: np.ndarray, distance: np.ndarray, more: np.ndarray, count: int):

@@ -108,16 +108,18 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def candidates(groups: DataFrame, kind: str, nearness: Callable[[forest.Groups], forest.Parities], count: int | None) -> DataFrame:
-    """(cell, u, v, p, q, more): pairs of a bucket that may be similar, p and q their labels; a spanning forest of them, or the count nearest of each label to others and whether there are more."""
+    """(cell, u, v, p, q): pairs of a bucket that may be similar, p and q their labels; a spanning forest of them, or the count nearest of each label to others. Without v: members of a bucket in which a label has more."""
 
     def run(batch: pa.RecordBatch, held: forest.Groups) -> pa.RecordBatch:
         near = nearness(held)
-        i, j, more = held.best(near, count) if count else (*held.forest(near), None)
-        more = np.ones(len(i), bool) if more is None else more
-        i_, j_, node, label = pa.array(i), pa.array(j), held.field("node"), held.field("label")
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held.of[i])), node.take(i_), node.take(j_), label.take(i_), label.take(j_), pa.array(more)], names=["cell", "u", "v", "p", "q", "more"])
+        i, j, open_ = held.best(near, count) if count else (*held.forest(near), np.zeros(0, np.int64))
+        first, none = np.concatenate([i, open_]), pa.nulls(len(open_))
+        node, label, j = held.field("node"), held.field("label"), pa.array(j)
+        other = [pa.concat_arrays([c.take(j), none.cast(c.type)]) for c in (node, label)]
+        first_ = pa.array(first)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held.of[first])), node.take(first_), other[0], label.take(first_), other[1]], names=["cell", "u", "v", "p", "q"])
 
-    return forest.map_groups(groups, run, f"cell long, u {kind}, v {kind}, p {kind}, q {kind}, more boolean")
+    return forest.map_groups(groups, run, f"cell long, u {kind}, v {kind}, p {kind}, q {kind}")
 
 
 def joined(nodes: DataFrame, labels: DataFrame, texts: DataFrame, scratch: common.Scratch, size: int, similarity: float, nearness: Callable[[forest.Groups], forest.Parities] | None = None) -> DataFrame:
@@ -138,23 +140,23 @@ def joined(nodes: DataFrame, labels: DataFrame, texts: DataFrame, scratch: commo
             members = held.select(F.explode("members.node").alias("node")).distinct()
             sets = scratch.write(shingle_sets(texts.join(members, "node", "left_semi").select("node", "text"), size), "sets")
         scratch.drop(f"bucket-{k}-tiles", f"bucket-{k}-detailed", f"bucket-{k}-heavy")
-        pairs = scratch.write(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"pairs-{k}")
+        tried = found.filter("v is not null").withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
+        pairs = scratch.write(found.filter("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"pairs-{k}")
         true = scratch.write(similar(pairs, sets, similarity).distinct(), f"similar-{k}")
-        tried = found.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
         edges = tried.join(true, ["u", "v"], "left_semi").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
         united = scratch.write(simhash.components(edges, scratch, f"united-{k}"), f"unions-{k}")
         new = labels.join(united.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("label"))
         labels = scratch.write(new, f"labels-{k}")
-        p, q = united.select(F.col("node").alias("p"), F.col("component").alias("p_now")), united.select(F.col("node").alias("q"), F.col("component").alias("q_now"))
-        if k:  # a label whose nearest have been tried may have others beyond them; whether it is united with them is seen in the next round's tiles
-            open_ = tried.filter("more")
+        if k:  # only members that may still be similar to one of another label go on; tiles leaves out buckets that have become one
+            rest = found.filter("v is null").select("cell", F.col("u").alias("node")).distinct()
+            placed = scratch.write(rest.join(nodes.select("node", weight.alias("bytes")), "node"), f"placed-{k}")
         else:
+            p, q = united.select(F.col("node").alias("p"), F.col("component").alias("p_now")), united.select(F.col("node").alias("q"), F.col("component").alias("q_now"))
             failed = tried.join(true, ["u", "v"], "left_anti").join(p, "p", "left").join(q, "q", "left")
-            open_ = failed.filter(F.coalesce("p_now", "p") != F.coalesce("q_now", "q"))
-        again = scratch.write(open_.select("cell").distinct(), f"again-{k}")
-        if not again.take(1):
+            again = scratch.write(failed.filter(F.coalesce("p_now", "p") != F.coalesce("q_now", "q")).select("cell").distinct(), f"again-{k}")
+            placed = scratch.write(placed.join(again, "cell", "left_semi"), f"placed-{k}")
+        if not placed.take(1):
             return labels
-        placed = placed.join(again, "cell", "left_semi")
     raise RuntimeError(f"buckets are not settled after {ROUNDS} rounds")
 
 
