@@ -59,21 +59,13 @@ def nearest_earlier(df: DataFrame, by: str, key: str, hash_: str, within: int) -
     return best.select(by, key, "x.nearest", "x.distance")
 
 
-LENGTHS = 500
-
-
 def containing(words: DataFrame, texts: DataFrame, word: str, text: str) -> DataFrame:
-    """Words that contain a text, case and all, by equality on the text's length of substrings: no all-pairs comparison.
+    """Words that contain a text, case and all: rows of words beside the rows of texts, found by one automaton over all texts."""
+    from papyra.operators.dictionary import mentions
 
-    The substrings of a word grow with the number of different lengths, so texts may have LENGTHS of them at most.
-    """
-    sizes = [r[0] for r in texts.select(F.length(text)).distinct().filter(F.length(text) > 0).limit(LENGTHS + 1).collect()]
-    if len(sizes) > LENGTHS:
-        raise ValueError(f"texts of more than {LENGTHS} different lengths")
-    if not sizes:
-        return words.join(texts, F.lit(False))
-    places = F.flatten(F.array(*(F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(F.col(word), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes)))  # noqa: B023
-    return words.withColumn("__part", F.explode(F.array_distinct(places))).join(texts, F.col("__part") == F.col(text)).drop("__part")
+    held = words.select(F.col(word).alias("__word")).distinct()
+    found = mentions(held.select("__word", F.col("__word").alias("__text")), texts, "__word", "__text", text, fold=False, bounded=False).select("__word", "item")
+    return words.join(found, F.col(word) == F.col("__word")).join(texts, F.col("item") == F.col(text)).drop("__word", "item")
 
 
 def outside_boxes(lines: DataFrame, boxes: DataFrame, share: float = 0.25, on: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:

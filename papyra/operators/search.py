@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.scoring import cosine, length_of, right_closed
+from papyra.operators.relational import with_constant
 
 #: Edges and labels of relevance bins.
 EDGES, LABELS = [0.0, 25.0, 60.0, 80.0, 95.0, 100.0], ["Very Low", "Low", "Medium", "High", "Very High"]
@@ -128,8 +129,8 @@ def rank_by_coverage(store: DataFrame, query: DataFrame, group: str, above: floa
     hits = scored(store, query, vector).filter(F.col(group).isNotNull())
     hit = F.col("similarity") > above
     found = hits.groupBy(group).agg(F.max(F.when(hit, F.col("similarity"))).alias("best"), F.avg(F.when(hit, F.col("similarity"))).alias("mean"), F.count_if(hit).alias("matched"), F.count("*").alias("total")).filter("matched > 0")
-    most = F.max("best").over(Window.partitionBy())  # one row a group
-    scaled = F.coalesce(F.try_divide(F.col("best") - above, most - above), F.lit(0.0)) * 100
+    found = with_constant(found, found.agg(F.max("best").alias("__most")))
+    scaled = F.coalesce(F.try_divide(F.col("best") - above, F.col("__most") - above), F.lit(0.0)) * 100
     coverage = F.col("matched") * 100.0 / F.col("total")
     out = found.withColumn("coverage", coverage).withColumn("score", weights[0] * scaled + weights[1] * F.col("coverage"))
-    return out.withColumn("relevance", right_closed(F.col("score"), EDGES, LABELS))
+    return out.withColumn("relevance", right_closed(F.col("score"), EDGES, LABELS)).drop("__most")

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
+
+from papyra.operators.graph import components
+from papyra.session import shared_folder
 
 
 def clusters_of(points: list[tuple[int, int]]) -> list[int]:
@@ -45,15 +49,70 @@ def clusters_of(points: list[tuple[int, int]]) -> list[int]:
     return label
 
 
-def cell_clusters(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
-    """cells (sheet, row, col, value, ...) that hold something, with the cluster of each."""
+def nearest_cells(cells: DataFrame) -> DataFrame:
+    """(sheet, row, col, nearest): the Manhattan distance of each cell to the nearest other one of its sheet, 0 where it is alone.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col"])
-        return pdf.assign(cluster=clusters_of(list(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True))))
+    Cells that have none within half a radius look for one within it, in squares of the radius's side and those around;
+    the radius doubles until all have one. Cells that are left are far apart, so a square holds few of them, and a round makes no
+    more pairs than some dozens for each cell, however full a square is.
+    """
+    spark = cells.sparkSession
+    root = shared_folder(spark, "nearest")
+    own = cells.select("sheet", "row", "col").distinct()
+    alone = own.groupBy("sheet").agg(F.count("*").alias("n")).filter("n = 1").select("sheet")
+    done = own.join(alone, "sheet", "left_semi").withColumn("nearest", F.lit(0))
+    left, radius = own.join(alone, "sheet", "left_anti"), 1
+    around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    while True:
+        square = lambda c, r=radius: F.floor(F.col(c) / r)
+        seek = left.withColumn("o", F.explode(around)).select("sheet", "row", "col", (square("row") + F.col("o.a")).alias("i"), (square("col") + F.col("o.b")).alias("j"))
+        other = own.select("sheet", square("row").alias("i"), square("col").alias("j"), F.col("row").alias("r"), F.col("col").alias("c"))
+        distance = F.abs(F.col("row") - F.col("r")) + F.abs(F.col("col") - F.col("c"))
+        met = seek.join(other, ["sheet", "i", "j"]).withColumn("d", distance).filter(F.col("d").between(1, radius))
+        found = met.groupBy("sheet", "row", "col").agg(F.min("d").cast("int").alias("nearest"))
+        found.write.parquet(f"{root}/{radius}")
+        found = spark.read.parquet(f"{root}/{radius}")
+        done = done.unionByName(found)
+        left.join(found, ["sheet", "row", "col"], "left_anti").write.parquet(f"{root}/left-{radius}")
+        left = spark.read.schema(own.schema).parquet(f"{root}/left-{radius}")
+        if not left.take(1):
+            return done
+        radius *= 2
 
-    own = cells.filter(F.trim(F.coalesce("value", F.lit(""))) != "")
-    return own.groupBy(sheet).applyInPandas(run, f"{own._jdf.schema().toDDL()}, cluster int")
+
+def cell_clusters(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
+    """cells (sheet, row, col, value, ...) that hold something, with the cluster of each: connected over Manhattan distances of
+    at most 1.5 times the sheet's median distance to the nearest cell, 1 at least; numbered in each sheet by first cell.
+
+    A sheet may be as large as a table. Squares so small that their cells are all within the distance are the
+    nodes of a graph; squares are joined where the ends of their rows, or of their columns where one lies below the other, come near
+    enough, which is where any of their cells do.
+    """
+    kept = cells.filter(F.trim(F.coalesce("value", F.lit(""))) != "").withColumnRenamed(sheet, "sheet")
+    near = nearest_cells(kept)
+    reach = near.groupBy("sheet").agg(F.floor(F.greatest(F.lit(1.0), 1.5 * F.median("nearest"))).cast("int").alias("e"))
+    side = F.floor(F.col("e") / 2).cast("int") + 1
+    placed = near.drop("nearest").join(reach, "sheet").withColumns({"i": F.floor(F.col("row") / side), "j": F.floor(F.col("col") / side)})
+    by = ["sheet", "e", "i", "j"]
+    rows = placed.groupBy(*by, "row").agg(F.min("col").alias("low"), F.max("col").alias("high"))
+    cols = placed.groupBy(*by, "col").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+
+    def edges(lines: DataFrame, across: str, offsets: list[tuple[int, int]]) -> DataFrame:
+        step = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets)))
+        one = lines.withColumn("o", step).select("sheet", "e", F.col("i").alias("i0"), F.col("j").alias("j0"), (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), F.col(across).alias("x"), F.col("high").alias("end"))
+        two = lines.select("sheet", "i", "j", F.col(across).alias("y"), F.col("low").alias("begin"))
+        met = one.join(two, ["sheet", "i", "j"]).filter(F.abs(F.col("x") - F.col("y")) + F.col("begin") - F.col("end") <= F.col("e"))
+        return met.select(F.struct("sheet", F.col("i0").alias("i"), F.col("j0").alias("j")).alias("p"), F.struct("sheet", "i", "j").alias("q")).distinct()
+
+    beside = edges(rows, "row", [(a, b) for a in range(-2, 3) for b in (1, 2)])
+    below = edges(cols, "col", [(1, 0), (2, 0)])
+    found = components(beside.unionByName(below).select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")))
+    node = F.struct("sheet", "i", "j")
+    named = placed.withColumn("node", node).join(found, "node", "left").select("sheet", "row", "col", F.coalesce("component", "node").alias("component"))
+    firsts = named.groupBy("sheet", "component").agg(F.min(F.struct("row", "col")).alias("first"))
+    numbered = firsts.withColumn("cluster", F.row_number().over(Window.partitionBy("sheet").orderBy("first")) - 1).select("component", "cluster")
+    labels = named.join(numbered, "component").select("sheet", "row", "col", "cluster")
+    return kept.join(labels, ["sheet", "row", "col"]).withColumnRenamed("sheet", sheet).select(*cells.columns, F.col("cluster").cast("int").alias("cluster"))
 
 
 def rows_text(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -95,20 +154,31 @@ def records(rows: list[list[str]]) -> list[dict[str, str]]:
     return [{k: v for k, v in zip(names, r, strict=False) if v is not None and v.strip()} for r in rows[n:]]
 
 
+@F.pandas_udf(ArrayType(StructType().add("col", "integer").add("name", "string").add("taken", "integer")))
+def _names(heads: pd.Series, widths: pd.Series) -> pd.Series:
+    """The names of each sheet's columns, and how many rows they take, from its first two rows of (row, col, value)."""
+    out = []
+    for cells, width in zip(heads, widths, strict=True):
+        rows: dict[int, list[str]] = {}
+        for c in sorted(cells, key=lambda c: (c["row"], c["col"])):
+            rows.setdefault(c["row"], [""] * int(width))[c["col"] - 1] = c["value"] or ""
+        names, n = header_of(list(rows.values()))
+        out.append([{"col": k + 1, "name": name, "taken": n} for k, name in enumerate(names)])
+    return pd.Series(out)
+
+
 def table_records(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
     """(sheet, row, name, value) of the rows under each sheet's header, blanks left out: ragged rows are filled up, repeated
-    headers numbered, a header of two rows merged. A sheet is one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, rows = int(pdf["col"].max()), {}
-        for r, c, v in zip(pdf["row"].tolist(), pdf["col"].tolist(), pdf["value"].tolist(), strict=True):
-            rows.setdefault(r, [""] * last)[c - 1] = v or ""
-        order = sorted(rows)
-        names, n = header_of([rows[r] for r in order])
-        out = [(pdf[sheet].iloc[0], r, k, v) for r in order[n:] for k, v in zip(names, rows[r], strict=True) if v.strip()]
-        return pd.DataFrame(out, columns=[sheet, "row", "name", "value"])
-
-    return cells.select(sheet, "row", "col", "value").groupBy(sheet).applyInPandas(run, f"`{sheet}` string, row int, name string, value string")
+    headers numbered, a header of two rows merged. Only the first two rows of a sheet meet in a task; the others are joined to their names."""
+    own = cells.select(sheet, "row", "col", "value")
+    first = own.groupBy(sheet).agg(F.min("row").alias("__one"), F.max("col").alias("__width"))
+    second = own.join(first.select(sheet, "__one"), sheet).filter(F.col("row") > F.col("__one")).groupBy(sheet).agg(F.min("row").alias("__two"))
+    ends = first.join(second, sheet, "left")
+    top = own.join(ends, sheet).filter((F.col("row") == F.col("__one")) | (F.col("row") == F.col("__two")))
+    heads = top.groupBy(sheet, "__one", "__two", "__width").agg(F.collect_list(F.struct("row", "col", "value")).alias("__cells"))
+    named = heads.select(sheet, "__one", "__two", F.explode(_names("__cells", "__width")).alias("n")).select(sheet, "__one", "__two", "n.*")
+    below = F.when(F.col("taken") == 2, F.col("__two")).otherwise(F.col("__one"))
+    return own.join(named.withColumn("__below", below), [sheet, "col"]).filter((F.col("row") > F.col("__below")) & (F.trim("value") != "")).select(sheet, "row", "name", "value")
 
 
 def spread_merged(cells: DataFrame, merged: DataFrame) -> DataFrame:

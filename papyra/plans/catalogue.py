@@ -77,12 +77,12 @@ def fuzzy_join_best(spark, d):
     return relational.best(pairs, ["name"], [F.col("similarity").desc_nulls_first(), F.col("other")]).select("name", "other", rounded("similarity"))
 
 
-@query(f"""WITH c AS (SELECT name FROM {_NAMES} WHERE name LIKE '%bolt%' UNION ALL SELECT 'UNKNOWN')
-SELECT n.name, coalesce(b.other, 'UNKNOWN') AS matched FROM {_NAMES} n LEFT JOIN (SELECT * FROM (SELECT a.name, c.name AS other, row_number() OVER (PARTITION BY a.name ORDER BY {_sim('a.name', 'c.name')} DESC, c.name) AS k FROM {_NAMES} a, c WHERE {_sim('a.name', 'c.name')} > 0.5) WHERE k = 1) b ON n.name = b.name""")
+@query(f"""WITH c AS (SELECT DISTINCT p_type AS name FROM part UNION ALL SELECT 'UNKNOWN')
+SELECT n.name, coalesce(b.other, 'UNKNOWN') AS matched FROM {_NAMES} n LEFT JOIN (SELECT * FROM (SELECT a.name, c.name AS other, row_number() OVER (PARTITION BY a.name ORDER BY {_sim('a.name', 'c.name')} DESC, c.name) AS k FROM {_NAMES} a, c WHERE {_sim('a.name', 'c.name')} > 0.05) WHERE k = 1) b ON n.name = b.name""")
 def fuzzy_left_sentinel(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    known = names.filter("name like '%bolt%'").unionByName(spark.createDataFrame([("UNKNOWN",)], "name string")).withColumnRenamed("name", "other")
-    pairs = relational.best(joins.fuzzy_pairs(names, known, "name", "other", 0.5), ["name"], [F.col("similarity").desc_nulls_first(), F.col("other")])
+    known = table(spark, d, "part").select(F.col("p_type").alias("name")).distinct().unionByName(spark.createDataFrame([("UNKNOWN",)], "name string")).withColumnRenamed("name", "other")
+    pairs = relational.best(joins.fuzzy_pairs(names, known, "name", "other", 0.05), ["name"], [F.col("similarity").desc_nulls_first(), F.col("other")])
     return names.join(pairs, "name", "left").select("name", F.coalesce("other", F.lit("UNKNOWN")).alias("matched"))
 
 
@@ -141,9 +141,13 @@ def _weights(spark):
     return relational.pivot_settings(spark.createDataFrame(_WEIGHTS, "name string, method string, val string"), "method", "name", "val", ["offer", "similarity", "acceptance"])
 
 
-@query(_PIVOT_SQL)
+@query("""WITH o AS (SELECT o_orderpriority AS method, o_orderstatus AS name, CASE WHEN o_orderkey % 7 = 0 THEN 'none' ELSE o_totalprice::VARCHAR END AS val FROM orders)
+SELECT method, max(try_cast(val AS DOUBLE)) FILTER (name = 'F') AS "F", max(try_cast(val AS DOUBLE)) FILTER (name = 'O') AS "O", max(try_cast(val AS DOUBLE)) FILTER (name = 'P') AS "P" FROM o GROUP BY method""")
 def weight_pivot(spark, d):
-    return _weights(spark)
+    """Named values as columns, some of which are no numbers."""
+    val = F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise(F.col("o_totalprice").cast("string"))
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("name"), val.alias("val"))
+    return relational.pivot_settings(rows, "method", "name", "val", ["F", "O", "P"])
 
 
 _BLEND = f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (CASE WHEN w.method = 'offerbased' THEN w.offer * scaled ELSE 0 END + w.similarity * (l_orderkey % 101) + w.acceptance * (l_partkey % 101)) * (0.95::DOUBLE + 0.05::DOUBLE * least(l_orderkey % 101, l_partkey % 101)::DOUBLE / 100) AS score
@@ -282,23 +286,28 @@ def regex_detect(spark, d):
     return sensitive.detect(table(spark, d, "documents"))
 
 
-_CELLS = [(1, {"User Name": "kim", "Amount": "3"}), (2, {"user name ": "lee", "e-mail": "a@b.co"}), (3, {"other": "x"})]
-
-
-@query("SELECT * FROM (VALUES (1, 'PERSON', 'kim', 1.0::DOUBLE), (2, 'PERSON', 'lee', 1.0::DOUBLE), (2, 'EMAIL', 'a@b.co', 1.0::DOUBLE)) t(doc_id, label, text, score)")
+@query("""SELECT c_custkey AS doc_id, 'PERSON' AS label, c_name AS text, 1.0::DOUBLE AS score FROM customer UNION ALL SELECT c_custkey, 'MARKET', c_mktsegment, 1.0 FROM customer WHERE c_custkey % 3 = 0""")
 def column_name_detect(spark, d):
-    names = spark.createDataFrame([("user name", "PERSON"), ("E-Mail", "EMAIL")], "name string, label string")
-    return sensitive.detect_cells(spark.createDataFrame(_CELLS, "doc_id int, cells map<string,string>"), names)
-
-
-_ITEMS = [("ada@x.org", "EMAIL", 0.9, "a"), ("ada@x.org", "EMAIL", 0.0, "b"), ("secret", "KEY", 0.8, "a"), ("abc", "KEY", 0.9, "a"), ("public", "KEY", 0.9, "b"), ("low", None, 0.9, "a"), ("weak item", "KEY", 0.4, "a")]
-
-
-@query("SELECT * FROM (VALUES ('secret', 'KEY', 0.8::DOUBLE), ('always', 'TERM', 1.0::DOUBLE)) t(text, label, score)")
+    """Cells of tables whose headers are spelled in several ways."""
+    k = F.col("c_custkey")
+    head = F.when(k % 2 == 0, " User name").otherwise("USER NAME ")
+    cells = F.create_map(head, F.col("c_name"), F.when(k % 3 == 0, "Segment").otherwise("other"), F.col("c_mktsegment"), F.lit("balance"), F.col("c_acctbal").cast("string"))
+    names = spark.createDataFrame([("user name", "PERSON"), ("SEGMENT ", "MARKET")], "name string, label string")
+    return sensitive.detect_cells(table(spark, d, "customer").select(k.alias("doc_id"), cells.alias("cells")), names)
+
+
+@query("""WITH i AS (SELECT p_name || ' ' || (p_partkey % 700) AS text, nullif(p_type, 'PROMO') AS label, (p_size % 10) / 10.0::DOUBLE AS score FROM part),
+v AS (SELECT text, label, CASE WHEN min(score) OVER (PARTITION BY text) = 0 THEN 0 ELSE score END AS score FROM i)
+SELECT text, label, score FROM v WHERE label IS NOT NULL AND score > 0.5 AND length(text) > 3 AND lower(trim(text)) NOT IN (SELECT lower(p_name) || ' ' || (p_partkey % 700) FROM part WHERE p_brand = 'Brand#1')
+UNION ALL SELECT s_name, 'SUPPLIER', 1.0 FROM supplier""")
 def veto_and_lists(spark, d):
-    items = sensitive.veto(spark.createDataFrame(_ITEMS, "text string, label string, score double, source string"), ["text"])
-    include, exclude = spark.createDataFrame([("always", "TERM")], "text string, label string"), spark.createDataFrame([(" Public",)], "text string")
-    return sensitive.listed(items, include, exclude).select("text", "label", "score")
+    """Items that some source scores 0 go, then those on the list of exclusions; the listed inclusions come in."""
+    part = table(spark, d, "part")
+    text = F.concat_ws(" ", "p_name", F.col("p_partkey") % 700)
+    items = part.select(text.alias("text"), F.nullif("p_type", F.lit("PROMO")).alias("label"), ((F.col("p_size") % 10) / 10.0).alias("score"))
+    exclude = part.filter("p_brand = 'Brand#1'").select(F.concat(F.lit(" "), F.upper(text)).alias("text"))
+    include = table(spark, d, "supplier").select(F.col("s_name").alias("text"), F.lit("SUPPLIER").alias("label"))
+    return sensitive.listed(sensitive.veto(items, ["text"]), include, exclude).select("text", "label", "score")
 
 
 @query()
@@ -327,14 +336,19 @@ def paging_cumulative(spark, d):
     return relational.pages(table(spark, d, "events"), [F.col("ts"), F.col("event_id")], 10, ["user_id"]).select("event_id", "user_id", "page", "pushed")
 
 
-_LINES = [(1, 1, 0.0, 0.0, 10.0, 2.0, "kept"), (1, 1, 0.0, 10.0, 10.0, 12.0, "gone"), (1, 2, 0.0, 10.0, 10.0, 12.0, "other page"), (1, 1, 0.0, 11.7, 10.0, 13.0, "touched")]
+_PART_BOXES = "SELECT p_partkey AS doc_id, p_size % 2 AS page, p_size::DOUBLE AS x0, p_size + 12.0 AS x1, 0.0 AS top, 4.0 AS bottom FROM part"
+_PART_LINES = "SELECT l_partkey AS doc_id, l_linenumber % 2 AS page, l_orderkey, l_linenumber, l_quantity AS x0, l_quantity + 10 AS x1, l_linenumber::DOUBLE AS top, l_linenumber + 2.0 AS bottom FROM lineitem"
 
 
-@query("SELECT * FROM (VALUES ('kept'), ('other page')) t(text)")
+@query(f"""WITH l AS ({_PART_LINES}), b AS ({_PART_BOXES})
+SELECT doc_id, page::INTEGER AS page, l_orderkey, l_linenumber, x0 FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = l.doc_id AND b.page = l.page
+ AND greatest(0, least(l.x1, b.x1) - greatest(l.x0, b.x0)) * greatest(0, least(l.bottom, b.bottom) - greatest(l.top, b.top)) / 20.0 >= 0.25)""")
 def spatial_anti(spark, d):
-    lines = spark.createDataFrame(_LINES, "doc_id int, page int, x0 double, top double, x1 double, bottom double, text string")
-    boxes = spark.createDataFrame([(1, 1, 0.0, 10.0, 20.0, 12.3)], "doc_id int, page int, x0 double, top double, x1 double, bottom double")
-    return joins.outside_boxes(lines, boxes).select("text")
+    """Lines of a page that lie outside the table on it."""
+    n, size = F.col("l_linenumber"), F.col("p_size").cast("double")
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("doc_id"), (n % 2).alias("page"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 10).alias("x1"), n.cast("double").alias("top"), (n + 2.0).alias("bottom"))
+    boxes = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_size") % 2).alias("page"), size.alias("x0"), (size + 12.0).alias("x1"), F.lit(0.0).alias("top"), F.lit(4.0).alias("bottom"))
+    return joins.outside_boxes(lines, boxes).select("doc_id", "page", "l_orderkey", "l_linenumber", "x0")
 
 
 _HASHES = "(SELECT o_orderstatus AS grp, o_orderkey AS key, o_orderkey % 1000 * 37 AS h FROM orders)"
@@ -348,10 +362,44 @@ def hamming_join(spark, d):
     return joins.nearest_earlier(o, "grp", "key", "h", 5)
 
 
-@query("SELECT p_partkey, s FROM part, (VALUES ('bolt'), ('red'), ('giz')) v(s) WHERE contains(p_name, s)")
+_WORDS = "(SELECT DISTINCT unnest(string_split(p_name || ' ' || p_type, ' ')) AS s FROM part)"
+
+
+@query(f"SELECT doc_id, s FROM documents, {_WORDS} WHERE contains(lower(text), lower(s))")
 def contains_join(spark, d):
-    items = spark.createDataFrame([("bolt",), ("red",), ("giz",)], "s string")
-    return joins.containing(table(spark, d, "part").select("p_partkey", "p_name"), items, "p_name", "s").select("p_partkey", "s")
+    """The words of the parts' names and types that texts contain."""
+    words = table(spark, d, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("s")).distinct()
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    return joins.containing(docs, words.withColumn("low_s", F.lower("s")), "low", "low_s").select("doc_id", "s")
+
+
+_TERMS = "(SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\\p{L}]{6,}'))) AS item FROM benchmark UNION SELECT lower(c_name) FROM customer UNION SELECT lower(s_name) FROM supplier)"
+
+
+def _terms(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{6,}"), F.lit(0))).alias("item"))
+    names = [table(spark, d, t).select(F.lower(c).alias("item")) for t, c in (("customer", "c_name"), ("supplier", "s_name"))]
+    return words.union(names[0]).union(names[1]).distinct()
+
+
+@query(f"""WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'))) AS item FROM documents)
+SELECT doc_id, item, count(*) AS n FROM w WHERE item IN (SELECT item FROM {_TERMS}) GROUP BY ALL""")
+def dictionary_mentions(spark, d):
+    """All long words of the benchmark and all names of customers and suppliers, in all documents."""
+    from papyra.operators import dictionary
+
+    return dictionary.mentions(table(spark, d, "documents"), _terms(spark, d), "doc_id", "text", "item")
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS item FROM documents), h AS (SELECT doc_id, count(*) AS n, sum(6 - length(item)) AS more FROM w WHERE lower(item) IN (SELECT item FROM {_TERMS}) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n, (length(text) + coalesce(more, 0))::BIGINT AS size, source FROM documents LEFT JOIN h USING (doc_id)""")
+def redact_listed_terms(spark, d):
+    """Texts and their metadata with listed terms masked."""
+    from papyra.operators import dictionary
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    out = dictionary.redact_listed(docs, _terms(spark, d).withColumn("label", F.lit("TERM")), ["text", "source"])
+    return out.select("doc_id", F.size("redactions").cast("long").alias("n"), F.length("text").cast("long").alias("size"), "source")
 
 
 @query()
@@ -366,12 +414,17 @@ def template_match(spark, d):
     return chunking.match_templates(chunks, chunks.filter("doc_id % 20 = 0"))
 
 
-_SHEET = [("s", 1, 1, "Name", True), ("s", 1, 2, "Age", True), ("s", 2, 1, "kim", False), ("s", 2, 2, "3", False), ("s", 9, 9, "far", False), ("s", 9, 10, "cell", False), ("t", 1, 1, "x", False)]
-
-
-@query("SELECT * FROM (VALUES ('s', 0, 1, 'Name~Age', true), ('s', 0, 2, 'kim~3', false), ('s', 1, 9, 'far~cell', false), ('t', 0, 1, 'x', false)) t(sheet, cluster, row, line, header)")
+@query("""WITH RECURSIVE cells AS MATERIALIZED (SELECT l_partkey::VARCHAR AS sheet, (l_orderkey % 60)::INTEGER AS r, (l_suppkey % 17)::INTEGER AS c, min(l_quantity)::INTEGER::VARCHAR AS value, bool_or(l_linenumber = 1) AS header FROM lineitem GROUP BY ALL),
+near AS (SELECT a.sheet, a.r, a.c, coalesce(min(abs(a.r - b.r) + abs(a.c - b.c)), 0) AS d FROM cells a LEFT JOIN cells b ON a.sheet = b.sheet AND (a.r <> b.r OR a.c <> b.c) GROUP BY ALL),
+reach AS (SELECT sheet, floor(greatest(1, 1.5 * median(d))) AS e FROM near GROUP BY sheet),
+edges AS MATERIALIZED (SELECT a.sheet, a.r * 100 + a.c AS p, b.r * 100 + b.c AS q FROM cells a JOIN cells b USING (sheet) JOIN reach USING (sheet) WHERE abs(a.r - b.r) + abs(a.c - b.c) <= e),
+met AS (SELECT sheet, p, q FROM edges UNION SELECT m.sheet, m.p, e.q FROM met m JOIN edges e ON e.sheet = m.sheet AND e.p = m.q),
+named AS (SELECT sheet, p, min(q) AS first FROM met GROUP BY sheet, p), numbered AS (SELECT *, dense_rank() OVER (PARTITION BY sheet ORDER BY first) - 1 AS cluster FROM named)
+SELECT sheet, cluster::INTEGER AS cluster, r AS row, string_agg(value, '~' ORDER BY c) AS line, count(*) FILTER (header) > count(*) FILTER (NOT header) AS header FROM cells JOIN numbered USING (sheet) WHERE p = r * 100 + c GROUP BY ALL""")
 def table_detect(spark, d):
-    cells = spark.createDataFrame(_SHEET, "sheet string, row int, col int, value string, is_header boolean")
+    """The clusters of cells of a sheet, row by row."""
+    own = table(spark, d, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("sheet"), (F.col("l_orderkey") % 60).cast("int").alias("row"), (F.col("l_suppkey") % 17).cast("int").alias("col"))
+    cells = own.agg(F.min("l_quantity").cast("int").cast("string").alias("value"), F.bool_or(F.col("l_linenumber") == 1).alias("is_header"))
     return tables.rows_text(tables.cell_clusters(cells), ["sheet", "cluster"]).select("sheet", "cluster", "row", "line", "header")
 
 
@@ -478,14 +531,13 @@ _JUNK = r"""round(0.1::DOUBLE * (length(trim(line)) < 3)::INT + 0.25::DOUBLE * (
  + 0.1::DOUBLE * (upper(line) = line AND lower(line) <> line AND NOT contains(line, ' ') AND length(line) > 5)::INT, 2)"""
 
 
-@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), a AS (SELECT * FROM l WHERE NOT regexp_matches(line, '[^ -~]'))
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), a AS (SELECT * FROM l)
 SELECT doc_id, count(*) AS lines, count(*) FILTER ({_JUNK} > 0.5) AS junk FROM a GROUP BY doc_id""")
 def ocr_junk_score(spark, d):
     from papyra.functions import records as rec
 
-    plain = F.filter(F.split("text", "\n"), lambda x: ~x.rlike("[^ -~]"))
-    rows = table(spark, d, "documents").select("doc_id", plain.alias("lines")).filter(F.size("lines") > 0)
+    rows = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines")).filter(F.size("lines") > 0)
     return rows.select("doc_id", F.size("lines").cast("long").alias("lines"), F.size(F.filter("lines", lambda x: rec.junk_score(x) > 0.5)).cast("long").alias("junk"))
 
 
-from papyra.plans import recommendation, records_plans  # noqa: E402, F401  they register their queries
+from papyra.plans import recommendation, records_plans, streams  # noqa: E402, F401  they register their queries

@@ -101,10 +101,11 @@ def positional_scores(spark, d):
     return both.groupBy("conv_id").agg(F.count("*").alias("pairs"), scoring.mean_score(score).alias("mean"))
 
 
-@query("SELECT role, count(*) AS n, max(length(text)) AS best, string_agg(text, '. ' ORDER BY conv_id, turn) AS reasons FROM conversations GROUP BY role HAVING max(length(text)) > 0")
+@query("SELECT conv_id, role, count(*) AS n, max(length(text)) AS best, string_agg(text, '. ' ORDER BY turn) AS reasons FROM conversations GROUP BY conv_id, role HAVING max(length(text)) > 0")
 def offer_consolidation(spark, d):
-    c = table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("best"), F.collect_list(F.struct("conv_id", "turn", "text")).alias("t"))
-    return c.select("role", "n", "best", F.array_join(F.transform(F.array_sort("t"), lambda x: x["text"]), ". ").alias("reasons"))
+    """The reasons of each role of a conversation, joined in order."""
+    c = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("best"), F.collect_list(F.struct("turn", "text")).alias("t")).filter("best > 0")
+    return c.select("conv_id", "role", "n", "best", F.array_join(F.transform(F.array_sort("t"), lambda x: x["text"]), ". ").alias("reasons"))
 
 
 @query("""WITH w AS (SELECT doc_id, n_chars, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS words, string_split(text, chr(10)) AS lines FROM documents),

@@ -36,11 +36,11 @@ def index_join_latest(spark, d):
 
 
 @query("""WITH r AS (SELECT s_suppkey, s_name || '_v2.docx' AS file, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey END AS nation FROM supplier),
-b AS (SELECT lower(split_part(c_name, '#', 2)) AS base, min(c_nationkey) AS n FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1), i AS (SELECT l_suppkey, min(l_orderkey)::INTEGER AS n FROM lineitem GROUP BY 1)
+b AS (SELECT lower(split_part(c_name, '#', 2)) AS base, min(c_nationkey) AS n FROM customer GROUP BY 1), i AS (SELECT l_suppkey, min(l_orderkey)::INTEGER AS n FROM lineitem GROUP BY 1)
 SELECT r.s_suppkey, r.file, coalesce(r.nation, b.n, i.n) AS nation FROM r LEFT JOIN b ON b.base = replace(split_part(lower(r.file), '#', 2), '_v2.docx', '') LEFT JOIN i ON i.l_suppkey = r.s_suppkey""")
 def backfill_join(spark, d):
     rows = table(spark, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit("_v2.docx")).alias("file"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_nationkey")).alias("nation"))
-    known = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.lower(F.split_part("c_name", F.lit("#"), F.lit(2))).alias("base"), "c_nationkey")
+    known = table(spark, d, "customer").select(F.lower(F.split_part("c_name", F.lit("#"), F.lit(2))).alias("base"), "c_nationkey")
     items = table(spark, d, "lineitem").select("l_suppkey", F.col("l_orderkey").cast("int").alias("n"))
     base = F.split_part(relational.base_name(F.col("file"), ["_v2"]), F.lit("#"), F.lit(2))
     return relational.backfilled(rows, "nation", (known, base, "base", "c_nationkey"), (items, F.col("s_suppkey"), "l_suppkey", "n"))
@@ -217,11 +217,11 @@ def deck_scores(spark, d):
 
 # --- sheets ------------------------------------------------------------------
 
-_SHEET = "SELECT l_orderkey::VARCHAR AS sheet, l_linenumber::INTEGER AS r, (l_partkey % 4 + 1)::INTEGER AS c, min(l_quantity)::INTEGER::VARCHAR AS value FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL"
+_SHEET = "SELECT l_orderkey::VARCHAR AS sheet, l_linenumber::INTEGER AS r, (l_partkey % 4 + 1)::INTEGER AS c, min(l_quantity)::INTEGER::VARCHAR AS value FROM lineitem GROUP BY ALL"
 
 
 def _cells(spark, d):
-    own = table(spark, d, "lineitem").filter("l_orderkey % 5 = 0").groupBy(F.col("l_orderkey").cast("string").alias("sheet"), F.col("l_linenumber").cast("int").alias("row"), (F.col("l_partkey") % 4 + 1).cast("int").alias("col"))
+    own = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("sheet"), F.col("l_linenumber").cast("int").alias("row"), (F.col("l_partkey") % 4 + 1).cast("int").alias("col"))
     return own.agg(F.min("l_quantity").cast("int").cast("string").alias("value"))
 
 
