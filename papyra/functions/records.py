@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
@@ -146,3 +146,12 @@ def upper_names(names: list[str]) -> list[str]:
 def after_mark(lines: Column, marks: list[str]) -> Column:
     """For each line (array) whether the line before it is one of the marks, such as the heading of a table to leave out."""
     return F.transform(lines, lambda x, i: F.when(i == 0, False).otherwise(F.lower(F.trim(F.get(lines, i - 1))).isin(*marks)))
+
+
+def variant_items(rows: DataFrame, key: str, said: str) -> DataFrame:
+    """(key, kind, pos, key of an object's item, value): items of JSON arrays and objects, values as JSON text; other values have none."""
+    v = rows.select(F.col(key), F.try_parse_json(said).alias("__v")).withColumn("__schema", F.schema_of_variant("__v"))
+    kind = F.when(F.col("__schema").startswith("OBJECT"), "OBJECT").when(F.col("__schema").startswith("ARRAY"), "ARRAY")
+    own = v.withColumn("kind", kind).filter("kind is not null")
+    item = own.sparkSession.tvf.variant_explode(F.col("__v").outer())
+    return own.lateralJoin(item).select(key, "kind", F.col("pos"), F.col("key"), F.to_json("value").alias("value"))

@@ -212,6 +212,32 @@ def word_lines(words: DataFrame, gap: float = 3.0) -> DataFrame:
     return words.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, line int, top double, text string")
 
 
+def column_lines(words: DataFrame, gap: float = 3.0, between: float = 20.0) -> DataFrame:
+    """words (doc_id, page, x0, x1, top, text) as lines in reading order: (doc_id, page, col, line, top, text).
+
+    A column begins where a word starts more than ``between`` right of all that start before it end. In a column words go by
+    top; a line begins where the top leaves that of the line's first word by more than ``gap``. That anchor is carried
+    through a page's sorted words by a fold, which keeps only where lines begin; a page is what a task holds.
+    """
+    page = ["doc_id", "page"]
+    ends = F.max("x1").over(Window.partitionBy(*page).orderBy("x0", "x1", "top", "text").rowsBetween(Window.unboundedPreceding, -1))
+    starts = (F.col("x0") - ends > between).cast("int")
+    order = Window.partitionBy(*page).orderBy("x0", "x1", "top", "text")
+    placed = words.withColumn("__new", F.coalesce(starts, F.lit(0))).withColumn("col", F.sum("__new").over(order).cast("int"))
+    own = placed.groupBy(*page, "col").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))).alias("words"))
+    none = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("begins"))
+
+    def step(a: Column, w: Column) -> Column:
+        at, new = a["at"] + 1, a["anchor"].isNull() | (w["top"] - a["anchor"] > gap)
+        return F.struct(at.alias("at"), F.when(new, w["top"]).otherwise(a["anchor"]).alias("anchor"), F.when(new, F.array_append(a["begins"], at)).otherwise(a["begins"]).alias("begins"))
+
+    begins = own.withColumn("begins", F.aggregate("words", none, step)["begins"])
+    lines = begins.select(*page, "col", "words", F.posexplode(F.arrays_zip(F.col("begins").alias("a"), F.concat(F.slice("begins", F.lit(2), F.greatest(F.size("begins") - 1, F.lit(0))), F.array(F.size("words"))).alias("b"))).alias("line", "span"))
+    line = F.slice("words", F.col("span.a") + 1, F.col("span.b") - F.col("span.a"))
+    across = F.array_sort(F.transform(line, lambda w: F.struct(w["x0"].alias("x0"), w["text"].alias("text"))))
+    return lines.select(*page, "col", "line", line[0]["top"].alias("top"), F.array_join(F.transform(across, lambda w: w["text"]), " ").alias("text"))
+
+
 #: How lines begin that are notices and not text.
 NOTICES = ("page", "sr #", "copyright", "table of contents")
 

@@ -540,4 +540,4 @@ def ocr_junk_score(spark, d):
     return rows.select("doc_id", F.size("lines").cast("long").alias("lines"), F.size(F.filter("lines", lambda x: rec.junk_score(x) > 0.5)).cast("long").alias("junk"))
 
 
-from papyra.plans import recommendation, records_plans, streams  # noqa: E402, F401  they register their queries
+from papyra.plans import later, recommendation, records_plans, streams  # noqa: E402, F401  they register their queries
