@@ -61,3 +61,39 @@ def word_lines(spark, d):
     x0 = (k % 90 + F.when(k % 2 == 0, 0).otherwise(200)).cast("double")
     words = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 20).cast("int").alias("page"), x0.alias("x0"), (x0 + 10).alias("x1"), (F.col("l_quantity") * 1.5 + F.col("l_linenumber") * 0.25).alias("top"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("text"))
     return tables.column_lines(words, gap=3.0, between=30.0).withColumn("top", F.round("top", 6))
+
+
+@query("""WITH RECURSIVE t AS MATERIALIZED (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+p AS (SELECT conv_id, turn, size, i, size AS total, 0 AS batch FROM t WHERE i = 1
+ UNION ALL SELECT t.conv_id, t.turn, t.size, t.i, CASE WHEN p.total > 0 AND p.total + t.size > 900 THEN t.size ELSE p.total + t.size END, CASE WHEN p.total > 0 AND p.total + t.size > 900 THEN p.batch + 1 ELSE p.batch END FROM p JOIN t ON t.conv_id = p.conv_id AND t.i = p.i + 1)
+SELECT conv_id, turn, size::INTEGER AS size, batch::INTEGER AS batch FROM p""")
+def packed_turns(spark, d):
+    """Turns of a conversation in batches of a budget of characters."""
+    from papyra.operators.sequential import pack
+
+    return pack(table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("size")), "conv_id", "turn", "size", 900)
+
+
+@query(r"""WITH RECURSIVE n AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '[\s]+'), lambda w: w <> '')) AS words FROM conversations),
+t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM n WHERE words >= 10),
+p AS (SELECT conv_id, turn, words, i, words AS total, 0 AS chunk FROM t WHERE i = 1
+ UNION ALL SELECT t.conv_id, t.turn, t.words, t.i, CASE WHEN p.total + t.words > 120 THEN t.words ELSE p.total + t.words END, CASE WHEN p.total + t.words > 120 THEN p.chunk + 1 ELSE p.chunk END FROM p JOIN t ON t.conv_id = p.conv_id AND t.i = p.i + 1)
+SELECT conv_id, turn, chunk::INTEGER AS chunk FROM p""")
+def slide_chunks(spark, d):
+    """Turns as slides of a deck, in chunks of whole slides."""
+    from papyra.operators.sequential import slide_chunks
+
+    return slide_chunks(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 120, 10).select("conv_id", "turn", "chunk")
+
+
+@query(r"""WITH t AS (SELECT doc_id, '# Head of ' || source || chr(10) || text AS text FROM documents WHERE length(text) > 0), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t)
+SELECT doc_id, count(*) FILTER (regexp_matches(line, '^#{1,4}\s+')) AS heads, sum(CASE WHEN regexp_matches(line, '^#{1,4}\s+') THEN 0 ELSE length(regexp_replace(line, '\s', '', 'g')) END)::BIGINT AS chars FROM l GROUP BY doc_id""")
+def heading_sections(spark, d):
+    """Chunks under the headings of a document: how many headings it has, and the characters of its chunks, which without overlap are those of its other lines."""
+    from papyra.operators import chunking
+
+    docs = table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", F.concat(F.lit("# Head of "), "source", F.lit("\n"), "text").alias("text"))
+    chunks = chunking.chunk_by(docs, lambda t: chunking.heading_chunks(t, 400, 0))
+    n = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^#{1,4}\s+"))).cast("long")
+    sized = chunks.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("content", r"\s", ""))).alias("chars"))
+    return docs.select("doc_id", n.alias("heads")).join(sized, "doc_id", "left").select("doc_id", "heads", F.coalesce("chars", F.lit(0)).alias("chars"))

@@ -79,16 +79,30 @@ def template_search(spark, d):
     return chunking.search_templates(chunks, chunks.filter("doc_id % 20 = 0"))
 
 
-_NAME = "(SELECT DISTINCT p_name AS name FROM part)"
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-@query(f"""WITH tri AS (SELECT name, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM {_NAME}),
-s AS (SELECT a.name, b.name AS choice, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE AS score FROM tri a, tri b WHERE b.name LIKE '%rod%')
-SELECT name, choice, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, choice) AS k FROM s) WHERE k = 1""")
+@query(f"""WITH names AS (SELECT name, {_GRAMS} AS g FROM (SELECT DISTINCT p_name AS name FROM part)), choices AS (SELECT name, {_GRAMS} AS g FROM (SELECT DISTINCT p_type || ' ' || p_brand AS name FROM part UNION SELECT DISTINCT s_name FROM supplier)),
+s AS (SELECT a.name, b.name AS choice, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE AS score FROM names a, choices b)
+SELECT name, choice, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, choice) AS k FROM s WHERE score > 0) WHERE k = 1""")
 def best_choice(spark, d):
-    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    out = chunking.extract_one(names, names.filter("name like '%rod%'").withColumnRenamed("name", "choice"), "name", "choice", tx.trigram_similarity)
-    return out.select("name", "choice", F.round("score", 6).alias("score"))
+    """The most similar entry of a whole catalogue, by a join on trigrams."""
+    part = table(spark, d, "part")
+    names = part.select(F.col("p_name").alias("name")).distinct()
+    choices = part.select(F.concat_ws(" ", "p_type", "p_brand").alias("choice")).union(table(spark, d, "supplier").select("s_name")).distinct()
+    pairs = joins.fuzzy_pairs(names, choices, "name", "choice", 0.0)
+    return relational.best(pairs, ["name"], [F.col("similarity").desc(), F.col("choice")]).select("name", "choice", F.round("similarity", 6).alias("score"))
+
+
+@query()
+def best_token_set(spark, d):
+    """The best entry of a whole catalogue by the token-set ratio: misspelled names, and names with more words."""
+    from papyra.operators.choices import best_choices
+
+    part = table(spark, d, "part")
+    texts = part.select(F.regexp_replace("p_name", "^(.)(.)", "$2$1").alias("text")).union(part.select(F.concat_ws(" ", "p_brand", "p_type", "p_name"))).distinct()
+    choices = part.select(F.col("p_name").alias("choice")).union(part.select(F.concat_ws(" ", "p_type", "p_name")))
+    return best_choices(texts, choices, "text", "choice").withColumn("score", F.round("score", 6))
 
 
 @query("""WITH t AS (SELECT conv_id, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
