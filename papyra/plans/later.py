@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyra.plans.registry import query, table
@@ -97,3 +98,62 @@ def heading_sections(spark, d):
     n = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^#{1,4}\s+"))).cast("long")
     sized = chunks.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("content", r"\s", ""))).alias("chars"))
     return docs.select("doc_id", n.alias("heads")).join(sized, "doc_id", "left").select("doc_id", "heads", F.coalesce("chars", F.lit(0)).alias("chars"))
+
+
+_BOOK_ROW = "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1"
+
+
+@query(f"""WITH o AS (SELECT c_custkey, c_nationkey, o_orderkey::VARCHAR AS a, o_orderpriority AS b, o_orderstatus AS c, ({_BOOK_ROW})::INTEGER AS r FROM orders JOIN customer ON c_custkey = o_custkey),
+x AS (SELECT DISTINCT c_custkey, c_nationkey, 'order' AS a, 'priority' AS b, 'state' AS c, 1 AS r FROM o UNION ALL SELECT * FROM o)
+SELECT 'n' || c_nationkey || '.zip' AS archive, 'books/c' || c_custkey || '.xlsx' AS path, 'Orders' AS sheet, r::INTEGER AS row, k::INTEGER AS col, CASE k WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS value FROM x, (VALUES (1), (2), (3)) v(k)""")
+def archived_workbooks(spark, d):
+    """A workbook for each customer, in an archive for each nation, written from the orders and read back member by member."""
+    import pandas as pd
+
+    from papyra.sources import office
+
+    def archive(pdf: pd.DataFrame) -> tuple[str, bytes]:
+        books = {}
+        for customer, own in pdf.sort_values("o_orderkey").groupby("c_custkey"):
+            rows = own[["o_orderkey", "o_orderpriority", "o_orderstatus"]].astype(str).values.tolist()
+            books[f"books/c{customer}.xlsx"] = office.workbook({"Orders": [["order", "priority", "state"], *rows]})
+        return f"n{pdf['c_nationkey'].iloc[0]}.zip", office.zipped(books | {"__MACOSX/x": "no", "books/.hidden": "no"})
+
+    root = shared_folder(spark, "archives")
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("c_nationkey", "c_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    office.write_files(orders, "c_nationkey", archive, root)
+    members = office.archives(spark, root).filter("error is null")
+    named = F.concat_ws("|", "archive", "path")
+    cells = office.workbook_cells(members.select(named.alias("path"), "content")).filter("error is null")
+    return cells.select(F.split_part("path", F.lit("|"), F.lit(1)).alias("archive"), F.split_part("path", F.lit("|"), F.lit(2)).alias("path"), "sheet", "row", "col", "value")
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM t)
+SELECT 'c' || conv_id || '.docx' AS path, i::BIGINT AS pos, 'body' AS kind, text FROM k WHERE text <> ''
+UNION ALL SELECT 'c' || conv_id || '.docx', i + 1000, 'table', role || ' | ' || turn FROM k
+UNION ALL SELECT 'c' || conv_id || '.pptx', i * 2, 'slide ' || i, role FROM k UNION ALL SELECT 'c' || conv_id || '.pptx', i * 2 + 1, 'slide ' || i, text FROM k WHERE text <> ''""")
+def office_lines(spark, d):
+    """Each conversation as a document and as a deck, written and read back: paragraphs, table rows, titles and texts of slides in order."""
+    import pandas as pd
+
+    from papyra.sources import documents, office
+
+    def made(of: str):
+        def make(pdf: pd.DataFrame) -> tuple[str, bytes]:
+            own = pdf.sort_values("turn")
+            turns = list(zip(own["role"], own["text"], own["turn"].astype(str), strict=True))
+            data = office.document([t for _, t, _ in turns if t], [[r, n] for r, _, n in turns]) if of == "docx" else office.deck([(r, [t] if t else []) for r, t, _ in turns])
+            return f"c{pdf['conv_id'].iloc[0]}.{of}", data
+
+        return make
+
+    root = shared_folder(spark, "office")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    for of in ("docx", "pptx"):
+        office.write_files(rows, "conv_id", made(of), root)
+    lines = documents.read_folder(spark, root)
+    path, kind = F.element_at(F.split("path", "/"), -1), F.col("kind")
+    number = F.split_part(kind, F.lit(" "), F.lit(2)).try_cast("bigint")
+    same = F.row_number().over(Window.partitionBy("path", "kind").orderBy("line_no"))
+    pos = F.when(kind == "body", F.col("at")).when(kind == "table", F.col("at") + 1000).otherwise(number * 2 + F.col("at") - 1)
+    return lines.withColumn("at", same.cast("bigint")).select(path.alias("path"), pos.alias("pos"), "kind", "text")
