@@ -39,4 +39,5 @@ def components(edges: DataFrame) -> DataFrame:
         state = after
     else:
         raise RuntimeError(f"components are not found after {ROUNDS} rounds")
-    return now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
+    own = now.select(F.col("v").alias("node"), "u").unionByName(now.select(F.col("u").alias("node"), "u"))
+    return own.groupBy("node").agg(F.min("u").alias("component"))

@@ -32,6 +32,9 @@ class Barrier(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         total, first, received, done, timer = self.seen.get() if self.seen.exists() else (0, 0, 0, False, 0)
+        if timer > 0 and not done and timerValues.getCurrentWatermarkInMs() >= timer:  # a batch's rows come before its timers
+            done = True
+            yield self._report(key, total, received, False)
         for pdf in rows:
             at = pdf["ts"].astype("datetime64[ms]").astype("int64")
             total = max(total, int(pdf["total"].max()))
@@ -49,7 +52,7 @@ class Barrier(StatefulProcessor):
             self.handle.registerTimer(due)
         self.seen.update((total, first, received, done or now, due))
         if now:
-            yield pd.DataFrame({"request_id": [key[0]], "total": [total], "received": [received], "complete": [True]})
+            yield self._report(key, total, received, True)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         total, first, received, done, _ = self.seen.get()
@@ -60,7 +63,11 @@ class Barrier(StatefulProcessor):
         due = max(first + self.wait_ms, timerValues.getCurrentWatermarkInMs()) + self.keep_ms
         self.handle.registerTimer(due)
         self.seen.update((total, first, received, True, due))
-        yield pd.DataFrame({"request_id": [key[0]], "total": [total], "received": [received], "complete": [False]})
+        yield self._report(key, total, received, False)
+
+    @staticmethod
+    def _report(key: tuple, total: int, received: int, complete: bool) -> pd.DataFrame:
+        return pd.DataFrame({"request_id": [key[0]], "total": [total], "received": [received], "complete": [complete]})
 
     def close(self) -> None:
         pass
