@@ -325,7 +325,17 @@ def word_sentence_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", words(F.col("text")).cast("long").alias("words"), F.size(F.filter(F.split("text", "[.!?]+"), lambda s: words(s) > 3)).cast("long").alias("sentences"), scoring.accuracy(F.length("text"), errors).alias("accuracy"))
 
 
-@query()
+_PAGE = "html"
+for _tag in ("script", "style", "nav", "header", "footer", "aside", "form", "noscript"):
+    _PAGE = f"regexp_replace({_PAGE}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'g')"
+_PAGE = f"regexp_replace(regexp_replace(regexp_replace({_PAGE}, '(?s)<!--.*?-->', '', 'g'), '(?i)<(p|div|br|li|tr|h[1-6]|section|article)\\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+for _mark, _character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", "\u00a0"), ("eacute", "é"), ("#233", "é"), ("amp", "&")):
+    _PAGE = f"replace({_PAGE}, '&{_mark};', '{_character}')"
+
+
+@query(f"""WITH l AS (SELECT page_id, unnest(string_split({_PAGE}, chr(10))) AS line, generate_subscripts(string_split({_PAGE}, chr(10)), 1) AS i FROM pages),
+t AS (SELECT page_id, i, trim(regexp_replace(line, '[\\s\u00a0]+', ' ', 'g')) AS text FROM l)
+SELECT page_id || '.html' AS path, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS line_no, 'body' AS kind, text, NULL::VARCHAR AS error FROM t WHERE text <> ''""")
 def html_text(spark, d):
     files = table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
     return sources.read_lines(files)

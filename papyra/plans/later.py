@@ -157,3 +157,59 @@ def office_lines(spark, d):
     same = F.row_number().over(Window.partitionBy("path", "kind").orderBy("line_no"))
     pos = F.when(kind == "body", F.col("at")).when(kind == "table", F.col("at") + 1000).otherwise(number * 2 + F.col("at") - 1)
     return lines.withColumn("at", same.cast("bigint")).select(path.alias("path"), pos.alias("pos"), "kind", "text")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS kind, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id::VARCHAR END AS who FROM events""")
+def literal_lines(spark, d):
+    """Logged lines that are dict literals, among others that are not."""
+    from papyra.functions.records import literal_map
+
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{'kind': "), "event_type")).otherwise(F.concat(F.lit("{'kind': '"), "event_type", F.lit("', 'who': "), "user_id", F.lit("}")))
+    m = literal_map(line)
+    return table(spark, d, "events").select("event_id", m.alias("m")).select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["who"].alias("who"))
+
+
+@query("""SELECT doc_id, CASE WHEN strpos(text, ' the ') > 0 AND strpos(substr(text, strpos(text, ' the ') + 5), '.') > 0 THEN string_split(substr(text, strpos(text, ' the ') + 5), '.')[1] END AS said, length(text) + 1 AS chars FROM documents""")
+def marked_and_cleaned(spark, d):
+    """The text between two marks, and texts inside nested values without NUL characters."""
+    from papyra.functions.text import between_marks, without_nul
+
+    docs = table(spark, d, "documents").select("doc_id", "text", F.array(F.struct(F.concat(F.lit("\0x\0"), "text").alias("t"))).alias("nested"))
+    cleaned = without_nul(F.col("nested"), docs.schema["nested"].dataType)
+    return docs.select("doc_id", between_marks(F.col("text"), " the ", ".").alias("said"), F.length(cleaned[0]["t"]).cast("long").alias("chars"))
+
+
+@query("""SELECT event_id, 'r' || user_id AS request, 'E' || event_id % 4 AS code, 'value ' || value AS internal FROM events WHERE event_type = 'error'""")
+def failure_messages(spark, d):
+    """Failures as envelopes, read again from the log."""
+    from papyra.streaming.events import envelope, failure
+
+    e = table(spark, d, "events").filter("event_type = 'error'")
+    sent = e.select("event_id", *(failure(F.concat(F.lit("r"), "user_id"), f"E{k}", "try again", F.concat(F.lit("value "), "value")).alias(f"m{k}") for k in range(4)))
+    message = F.element_at(F.array(*(f"m{k}" for k in range(4))), (F.col("event_id") % 4 + 1).cast("int"))
+    read = sent.select("event_id", envelope(message, "struct<status: string, error_code: string, error_message: string, internal_message: string>").alias("m"))
+    return read.filter("m.payload.status = 'FAILED'").select("event_id", F.col("m.header.requestId").alias("request"), F.col("m.payload.error_code").alias("code"), F.col("m.payload.internal_message").alias("internal"))
+
+
+@query("""SELECT c_custkey, c_name, c_mktsegment, c_name || ' "' || c_mktsegment || '", ' || c_nationkey AS note FROM customer""")
+def report_round_trip(spark, d):
+    """A report with quotes and commas in its fields, written and read back."""
+    from papyra.sources.documents import write_report
+
+    path = shared_folder(spark, "report")
+    note = F.concat("c_name", F.lit(' "'), "c_mktsegment", F.lit('", '), "c_nationkey")
+    write_report(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", note.alias("note")), path)
+    return spark.read.schema("c_custkey long, c_name string, c_mktsegment string, note string").option("header", True).option("escape", "\\").csv(path)
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 50),
+t AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS text FROM l)
+SELECT doc_id || '.txt' AS path, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS line_no, text FROM t WHERE text <> ''""")
+def flat_files(spark, d):
+    """Texts as flat files, in two encodings, and their lines."""
+    from papyra.sources.documents import read_lines
+
+    docs = table(spark, d, "documents")
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+    files = docs.filter("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), content.alias("content"))
+    return read_lines(files).filter("error is null").select("path", "line_no", "text")
