@@ -80,8 +80,14 @@ def count(docs: DataFrame, text: str = "text", label: str = "lang") -> DataFrame
     return common.map_stream(labelled, run, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+#: Most labels of a model; at 0.8 MB each that bounds what is broadcast, and what a worker counts.
+MOST_LABELS = 200
+
+
 def train(docs: DataFrame, text: str = "text", label: str = "lang", smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors and the log-probability matrix; its size follows the number of languages alone."""
+    if docs.select(label).filter(F.col(label).isNotNull()).distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages, each of which takes 0.8 MB of the model that is broadcast")
     rows = count(docs, text, label).toArrow()
     names = sorted(set(rows.column("lang").to_pylist()))
     place = {name: i for i, name in enumerate(names)}

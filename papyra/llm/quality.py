@@ -15,7 +15,9 @@ name; repeated rows are all judged; a value on a fence passes; an empty table gi
 from __future__ import annotations
 
 import math
+import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,11 @@ BROADCAST_ROWS, SALTS = 100_000, 32
 METRICS = {"word_length": (0.5, True), "symbol_share": (0.02, False), "dup_line_share": (0.02, False), "repeat_share": (0.02, False)}
 
 
+#: Characters from which on a text's words are numbered instead of listed; the counts are the same.
+LONG = 1 << 20
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
 def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     """Words inside windows of ``size`` words that are found twice or more."""
     if len(words) <= size:
@@ -54,17 +61,46 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     return covered
 
 
+def repeated_numbers(ids: np.ndarray, size: int = WINDOW) -> int | None:
+    """repeated_words of numbered words, by hashes of windows that are compared in full where they are equal; None where different windows have one hash."""
+    if len(ids) <= size:
+        return 0
+    n = len(ids) - size + 1
+    hashed = np.zeros(n, np.uint64)
+    for k in range(size):
+        hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + ids[k : n + k].astype(np.uint64) + np.uint64(1)
+    order = np.argsort(hashed, kind="stable")
+    same = hashed[order][1:] == hashed[order][:-1]
+    a, b = order[:-1][same], order[1:][same]
+    if any((ids[a + k] != ids[b + k]).any() for k in range(size)):
+        return None
+    twice = np.zeros(len(ids) + 1, np.int64)
+    starts = np.unique(np.concatenate([a, b]))
+    np.add.at(twice, starts, 1)
+    np.add.at(twice, starts + size, -1)
+    return int((np.cumsum(twice) > 0).sum())
+
+
+def long_counts(text: str) -> tuple[int, int]:
+    """n_words and n_repeat_words of a very long text, whose words are numbered one after the other and never listed."""
+    known: dict[bytes, int] = {}
+    ids = np.fromiter((known.setdefault(m[0], len(known)) for m in WORDS.finditer(text.encode())), np.int64)
+    repeats = repeated_numbers(ids)
+    return len(ids), repeated_words(text.encode().split()) if repeats is None else repeats
+
+
 def counts_of(text: str) -> tuple[int, int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words."""
-    words = text.encode().split()
+    words = text.encode().split() if len(text) < LONG else []
+    n_words, n_repeat_words = (len(words), repeated_words(words)) if len(text) < LONG else long_counts(text)
     lines = [x for x in text.split("\n") if x.strip(common.SPACES)]
     return (
-        len(words),
+        n_words,
         len(text) - sum(text.count(c) for c in common.SPACES),
         sum(text.count(c) for c in SYMBOLS),
         len(lines),
         len(lines) - len(set(lines)),
-        repeated_words(words),
+        n_repeat_words,
     )
 
 

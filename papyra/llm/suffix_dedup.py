@@ -42,6 +42,8 @@ STRETCH = 1 << 20
 LOCAL = 1 << 18
 BLOCK = 1 << 20
 HOT = 4096
+#: Whether equal segments are sorted as well instead of settled by 128 bits of hash: the same result for more work (README).
+SORT_ALL = False
 FIRST = -(1 << 63)
 
 
@@ -69,7 +71,7 @@ def packed(low: np.ndarray, span: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return low << 16 | span << 8 | offset
 
 
-def segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
+def segments(docs: DataFrame, width: int, gram: int, sort_all: bool = False) -> DataFrame:
     """(anchor, inner, id, place, dead) of segments, docs: (id, text); dead ones have an equal, earlier one in their task.
 
     The anchor of a dead one is a hash of its place, so that it stands alone and hot anchors stay few rows.
@@ -84,7 +86,7 @@ def segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
         order = np.lexsort((place, ids, both))
         equal = np.append(False, both[order][1:] == both[order][:-1])
         order = order[~(equal & np.append(False, (ids[order][1:] == ids[order][:-1]) & (place[order][1:] == place[order][:-1])))]
-        again = np.append(False, both[order][1:] == both[order][:-1])
+        again = np.append(False, both[order][1:] == both[order][:-1]) & (not sort_all)
         alone = anchors.mix(ids[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place[order].astype(np.uint64))
         got = [pa.array(np.where(again, alone, anchor[order]).view(np.int64)), pa.array(inner[order].view(np.int64)), pa.array(ids[order]), pa.array(place[order]), pa.array(again)]
         return pa.RecordBatch.from_arrays(got, schema=common.arrow_schema(schema))
@@ -115,8 +117,11 @@ def _cut(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def marks(found: DataFrame) -> DataFrame:
-    """(id, place, gone): segments with an equal, earlier one (gone), and first segments whose anchor has another, different one."""
+def marks(found: DataFrame, sort_all: bool = False) -> DataFrame:
+    """(id, place, gone): segments with an equal, earlier one (gone), and first segments whose anchor has another, different one; with sort_all all segments whose anchor has another."""
+    if sort_all:
+        shared = found.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1")
+        return shared.select("id", "place", F.lit(False).alias("gone"))
     own, group = Window.partitionBy("anchor", "inner"), Window.partitionBy("anchor")
     live = found.repartition("anchor").withColumn("first", F.min(F.struct("id", "place")).over(own))
     live = live.withColumn("a", F.min("inner").over(group)).withColumn("b", F.max("inner").over(group))
@@ -220,9 +225,9 @@ def hot_windows(hot: DataFrame, width: int) -> DataFrame:
     return again.select("id", "low", F.col("low").alias("high"))
 
 
-def repeats(docs: DataFrame, scratch: common.Scratch, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(id, spans): for each document that has any, its repeated windows as array of (low, high); docs: (id, text)."""
-    found = scratch.write(marks(segments(docs, width, gram)), "marks")
+def repeats(docs: DataFrame, scratch: common.Scratch, width: int = WIDTH, gram: int = GRAM, sort_all: bool = SORT_ALL) -> DataFrame:
+    """(id, spans): for each document that has any, its repeated windows as array of (low, high); docs: (id, text). With sort_all equal segments go through the sort too."""
+    found = scratch.write(marks(segments(docs, width, gram, sort_all), sort_all), "marks")
     places = found.filter("not gone").groupBy("id").agg(F.collect_list("place").alias("places"))
     cut = scratch.write(pieces(docs, places, width), "pieces")
     hot = scratch.write(cut.groupBy("core").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("core"), "hot")

@@ -310,24 +310,31 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+#: Text of a file, about, where the session has fewer partitions.
+FILE_BYTES = 256 << 20
+MANIFEST = "file string, first_key long, first_mix long, documents long, ids long, bytes long"
+
+
 def write_ids(docs: DataFrame, out: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Encode whole texts, append end_id to each, write them in ascending key order to files under out; returns the manifest.
 
-    The texts are dealt by ranges of the key before they are encoded, so each task writes one file of
-    adjacent documents as it encodes them. files: the number of ranges, by default the session's
-    shuffle partitions.
+    The texts are dealt by ranges of the key, and of a hash of the text where one key (null, for one) has many rows,
+    before they are encoded, so each task writes one file of adjacent documents as it encodes them. files: the number of ranges, by
+    default the session's shuffle partitions, or more so that a file has about FILE_BYTES of text.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(files, "key").sortWithinPartitions("key")
-    schema = "file string, first_key long, documents long, ids long, bytes long"
+    if files is None:
+        total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
+    dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mix")).repartitionByRange(files, "key", "mix").sortWithinPartitions("key", "mix")
+    schema = MANIFEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, least = None, None
+        writer, least, mix = None, None, None
         for batch in batches:
             for part in common.slices(batch, 8 << 20):
                 if writer is None:
-                    writer, least = Writer(out, f"ids-{uuid.uuid4().hex}.pfor"), part.column(0)[0].as_py()
+                    writer, least, mix = Writer(out, f"ids-{uuid.uuid4().hex}.pfor"), part.column(0)[0].as_py(), part.column(2)[0].as_py()
                 ids, lengths = encoder(tokenizer_path).texts([x or "" for x in part.column(1).to_pylist()])
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 keys = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
@@ -335,7 +342,7 @@ def write_ids(docs: DataFrame, out: str, tokenizer_path: str, key: str = "doc_id
                 writer.add(keys, nulls, lengths + 1, ids)
         if writer is not None:
             writer.close()
-            row = {"file": [writer.uri], "first_key": [least], "documents": [writer.documents], "ids": [writer.ids], "bytes": [writer.place]}
+            row = {"file": [writer.uri], "first_key": [least], "first_mix": [mix], "documents": [writer.documents], "ids": [writer.ids], "bytes": [writer.place]}
             yield pa.RecordBatch.from_pydict(row, schema=common.arrow_schema(schema))
 
     common.map_stream(dealt, run, schema).write.mode("overwrite").parquet(f"{out}/manifest")
@@ -344,8 +351,8 @@ def write_ids(docs: DataFrame, out: str, tokenizer_path: str, key: str = "doc_id
 
 def read_ids(spark: SparkSession, out: str) -> DataFrame:
     """(doc_id, start, ids): each document's ids from the files, and how many ids stand before it in all files."""
-    manifest = spark.read.schema("file string, first_key long, documents long, ids long, bytes long").parquet(f"{out}/manifest")
-    order = Window.orderBy(F.col("first_key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
+    order = Window.orderBy(F.col("first_key").asc_nulls_first(), "first_mix").rowsBetween(Window.unboundedPreceding, -1)
     dealt = manifest.select("file", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("before"))
     schema = "doc_id long, start long, ids binary"
 

@@ -118,6 +118,18 @@ def test_token_files_round_trip(spark, docs):
         start += len(ids)
 
 
+def test_token_files_of_one_key(spark):
+    """Rows of one key, null or not, are dealt over files, and all ids are counted before a document."""
+    rows = [(None, f"text {k} " * (k % 5)) for k in range(300)] + [(7, f"seven {k}") for k in range(200)] + [(1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = common.Scratch(spark, "one-key").root
+    manifest = token_blocks.write_ids(docs, out, P.path("byte_bpe_50k.json"), files=4)
+    assert manifest.count() > 2 and max(x["documents"] for x in manifest.collect()) < 300
+    got = sorted(((x["doc_id"] is not None, x["doc_id"] or 0, x["start"], len(x["ids"]) // 4) for x in token_blocks.read_ids(spark, out).collect()), key=lambda x: x[2])
+    assert [g[2] for g in got] == [sum(g[3] for g in got[:k]) for k in range(len(got))]
+    assert [g[:2] for g in got] == sorted(g[:2] for g in got) and len(got) == 501
+
+
 def test_token_ids_of_added_tokens():
     from tokenizers import Tokenizer
 
@@ -422,6 +434,19 @@ def test_suffix_dedup(spark, monkeypatch, hot):
         assert [(s["start"], s["end"]) for s in got[i]["__spans"]] == runs
 
 
+def test_suffix_dedup_with_all_segments_sorted(spark, monkeypatch):
+    """Equal segments through the sort give what their hashes give."""
+    r = random.Random(14)
+    shared = [sentences(70 + k, 40) for k in range(3)]
+    rows = [(k, " ".join([sentences(300 + k, 9), r.choice(shared)[r.randint(0, 60) :], sentences(400 + k, 5)])) for k in range(40)] + [(50, "ab" * 200), (51, "ab" * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashed = by_id(suffix_dedup.deduplicate(docs).collect())
+    whole = suffix_dedup.repeats
+    monkeypatch.setattr(suffix_dedup, "repeats", lambda *a: whole(*a, sort_all=True))
+    assert by_id(suffix_dedup.deduplicate(docs).collect()) == hashed
+    assert sum(len(x["__spans"]) for x in hashed.values()) > 30
+
+
 def test_suffix_dedup_stretches_and_edges(spark, docs, empty, monkeypatch):
     from papyra.llm.suffix_dedup import _stretches
 
@@ -473,6 +498,17 @@ def test_quality(spark, docs, empty, monkeypatch, most):
     assert quality.judge(empty).count() == 0
 
 
+def test_counts_of_very_long_texts(monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(r.choices([f"w{k}" for k in range(vocabulary)], k=n)) + "\n\t end\x0b" for n in (0, 1, 7, 8, 9, 60, 400) for vocabulary in (1, 3, 40)]
+    short = [quality.counts_of(t) for t in texts]
+    monkeypatch.setattr(quality, "LONG", 0)
+    assert [quality.counts_of(t) for t in texts] == short
+    assert any(s[5] for s in short)
+    one = np.zeros(50, np.int64)
+    assert quality.repeated_numbers(one) == quality.repeated_words([b"x"] * 50) == 50
+
+
 def test_each_fence_rejects_an_outlier(spark):
     rows = [(k, sentences(500 + k, 80).replace(" ", "\n", 9), "en", "src") for k in range(60)]
     words = sentences(900, 80).split()
@@ -761,6 +797,18 @@ def test_language_on_held_out_documents(spark):
     assert n > 100 and right >= 0.98 * n
 
 
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LABELS", 2)
+    with pytest.raises(ValueError):
+        language.train(spark.createDataFrame([("a b", "x"), ("c", "y"), ("d", "z")], "text string, lang string"))
+
+
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    model = language.train(spark.createDataFrame([("same words here", "b"), ("same words here", "a"), ("same words here", "c")], "text string, lang string"))
+    got = language.predict(spark.createDataFrame([(1, "same words")], "doc_id int, text string"), model, ["doc_id"]).collect()
+    assert got[0]["lang_pred"] == "a"
+
+
 def test_language_scores_match_brute_force():
     texts = ["abca", "bbb", "é"]
     buckets, starts = language.grams(texts)
