@@ -12,9 +12,9 @@ from papyra.operators.search import scored
 
 
 class Table:
-    """A table in a folder, as versions: each change is written whole to a new one, then named the current one.
+    """A table in a folder, as versions: a rebuild is written whole to a new one, then named the current one; an append adds files to it.
 
-    Readers never see a half-written version, and a task that is repeated writes the same files again.
+    Readers never see a half-written version, and what a failed task has written is not part of it.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str | None = None) -> None:
@@ -35,9 +35,15 @@ class Table:
         self.files.put(f"{self.path}/current", str(new))
 
     def append(self, rows: DataFrame) -> None:
-        """More rows, by column name; the version before is read and written along."""
-        now = self.read()
-        self.rebuild(now.unionByName(rows.select(*(F.col(c).cast(t).alias(c) for c, t in now.dtypes))))
+        """More rows, by column name, as more files; what the table holds is not read."""
+        kinds = self.read().dtypes
+        rows.select(*(F.col(c).cast(t).alias(c) for c, t in kinds)).write.mode("append").parquet(f"{self.path}/v{self.version()}")
+
+    def forget(self, keep: int = 1) -> None:
+        """Removes all versions but the last ``keep``."""
+        for old in range(self.version() - keep, -1, -1):
+            if not self.files.delete(f"{self.path}/v{old}"):
+                break
 
     def snapshot(self, path: str) -> DataFrame:
         """A copy of the table as it is now."""
@@ -60,9 +66,13 @@ class VectorStore:
         self.table, self.embed = Table(spark, path, self.SCHEMA), embed
 
     def add(self, rows: DataFrame) -> None:
-        """rows: (id, content, metadata); rows whose id the store holds take the place of the stored ones."""
+        """rows: (id, content, metadata); rows whose id the store holds take the place of the stored ones. New ids are only appended."""
         new = rows.select("id", "content", "metadata", self.embed(F.col("content")).cast("array<float>").alias("embedding"))
-        self.table.rebuild(unmatched(self.table.read(), new, ["id"]).unionByName(new))
+        now = self.table.read()
+        if now.select("id").join(rows.select("id"), "id", "left_semi").take(1):
+            self.table.rebuild(unmatched(now, rows, ["id"]).unionByName(new))
+        else:
+            self.table.append(new)
 
     def delete(self, ids: DataFrame | None = None, **metadata: str) -> None:
         """Rows of the ids (id), or with all of the metadata; one of both is needed."""

@@ -408,7 +408,11 @@ def test_stored_tables_and_files(spark, tmp_path):
     with pytest.raises(ValueError):
         own.delete()
     own.delete(k=1)
-    assert [tuple(r) for r in own.read().collect()] == [(2, "b")] and own.read(1).count() == 2
+    assert [tuple(r) for r in own.read().collect()] == [(2, "b")] and own.read(0).count() == 2
+    own.append(spark.createDataFrame([("c", 3)], "v string, k int"))
+    assert own.version() == 1 and sorted(r["k"] for r in own.read().collect()) == [2, 3]
+    own.forget()
+    assert own.files.list(f"file://{tmp_path}/t") == ["current", "v1"]
     store = stores.VectorStore(spark, f"file://{tmp_path}/v", hashed)
     store.add(spark.createDataFrame([("a", "red apple", {"d": "1"}), ("b", "green pear", {"d": "2"}), ("c", "red pear", {"d": "2"})], "id string, content string, metadata map<string,string>"))
     query = spark.createDataFrame([("red apple",)], "q string").select(hashed("q").alias("embedding"))
