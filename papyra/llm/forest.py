@@ -132,33 +132,6 @@ class Groups:
                 break
         return tuple(np.concatenate([np.zeros(0, np.int64), *f]) for f in found)
 
-    def best(self, near, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Members (i, j): of each label of a group, the ``count`` nearest of its near pairs with other labels; and of groups with more such pairs the members that are in any."""
-        out = []
-        for a, n in zip(self.starts.tolist(), self.sizes.tolist(), strict=True):
-            own, kept = np.arange(a, a + n), (np.zeros((3, 0), np.int64), np.zeros(0), np.zeros(0, bool))
-            step, met = max(1, WORK // (n * near.words)), np.zeros(n, bool)
-            for at in range(0, n, step):
-                block = own[at : at + step]
-                hit = near.block(block, own) & (self.part[block][:, None] != self.part[own][None, :])
-                i, j = np.nonzero(hit)
-                met[at + i] = True
-                i, j = block[i], own[j]
-                kept = self._nearest(np.concatenate([kept[0], np.stack([i, j, self.part[i]])], axis=1), np.concatenate([kept[1], near.distance(i, j)]), np.concatenate([kept[2], np.zeros(len(i), bool)]), count)
-            out.append((kept[0][0], kept[0][1], own[met & kept[2].any()]))
-        return tuple(np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(3))
-
-    @staticmethod
-    def _nearest(rows: np.ndarray, distance: np.ndarray, more: np.ndarray, count: int):
-        order = np.lexsort((rows[1], rows[0], distance, rows[2]))
-        rows, distance, more = rows[:, order], distance[order], more[order]
-        new = np.append(True, rows[2][1:] != rows[2][:-1])[: rows.shape[1]]
-        group = np.cumsum(new) - 1
-        rank = np.arange(len(group)) - np.flatnonzero(new)[group]
-        cut = np.bincount(group[(rank >= count) | more], minlength=group[-1] + 1 if len(group) else 0) > 0
-        stay = rank < count
-        return rows[:, stay], distance[stay], cut[group[stay]]
-
 
 class Bits:
     """Nearness of 64-bit fingerprints: at most ``radius`` different bits."""
@@ -221,7 +194,6 @@ class Parities:
     def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return self._over(i, j) <= 1e-9
 
-    distance = _over
 
     def block(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.zeros((len(i), len(j)), bool)
@@ -237,6 +209,35 @@ class Parities:
         return out
 
 
+class Exact:
+    """Nearness of sets by their whole Jaccard similarity, where a bound that loses nothing does not exclude it."""
+
+    def __init__(self, bound: Parities, sets: list[bytes], similarity: float) -> None:
+        self.bound, self.words, self.similarity = bound, bound.words, similarity
+        self.sets = [np.frombuffer(s, np.uint64) for s in sets]
+
+    def _true(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            a, b = self.sets[x], self.sets[y]
+            if len(a) < len(b):
+                a, b = b, a
+            shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+            out[k] = shared >= self.similarity * (len(a) + len(b) - shared) - 1e-9
+        return out
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = self.bound.pairs(i, j)
+        out[out] = self._true(i[out], j[out])
+        return out
+
+    def block(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = self.bound.block(i, j)
+        x, y = np.nonzero(out)
+        out[x, y] = self._true(i[x], j[y])
+        return out
+
+
 def map_groups(groups: DataFrame, fn: Callable[[pa.RecordBatch, Groups], pa.RecordBatch], schema: str) -> DataFrame:
     """fn on the batches of (cell, members)."""
     return common.map_batches(groups, lambda batch: fn(batch, Groups(batch.column(1))), schema)

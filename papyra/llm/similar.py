@@ -11,9 +11,8 @@ simhash.py (radius 4, by the grid of segment bit counts) with links of a Jaccard
    bucket come candidates: a spanning forest (forest.py) of the pairs that the maps of their shingles' parities cannot
    exclude; these maps never exclude a similar pair.
 3. Candidates are verified on the whole sets of shingle hashes. Where all of a bucket's candidates hold, its forest
-   connects whatever is similar in it. A bucket with a candidate that does not hold is searched again: each of its components
-   tries its nearest 16, then 256, 4096 and so on of the pairs that may still connect it to another, until it has no more of them. Components
-   that are united try no pairs with each other, and a round writes so many pairs for each component, not for every two.
+   connects whatever is similar in it. A bucket with a candidate that does not hold is searched once more, with its members' whole
+   sets at hand, so that only similar pairs are near: its forest connects all that is similar in it and is no larger than the bucket.
 
 Texts without a word are equal to each other. Rows with equal words are one node, so copies cost
 nothing, however long. Null keys never name a group; an empty table gives an empty table; other columns stay out.
@@ -38,8 +37,8 @@ BANDS, ROWS = 16, 3
 SLACK = 1e-9
 #: Of a member in a tile besides its map: node, label and number of shingles.
 MEMBER_BYTES = 64
-#: 16 ** ROUNDS pairs are more than any bucket has.
-ROUNDS = 32
+#: Of a tile whose members bring their whole sets.
+EXACT_TILE_BYTES = 8 << 20
 _RNG = np.random.default_rng(7)
 MULTIPLIERS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -107,17 +106,13 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return common.map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y"), run, f"u {kind}, v {kind}")
 
 
-def candidates(groups: DataFrame, kind: str, nearness: Callable[[forest.Groups], forest.Parities], count: int | None) -> DataFrame:
-    """(cell, u, v, p, q): pairs of a bucket that may be similar, p and q their labels; a spanning forest of them, or the count nearest of each label to others. Without v: members of a bucket in which a label has more."""
+def candidates(groups: DataFrame, kind: str, nearness: Callable[[forest.Groups], object]) -> DataFrame:
+    """(cell, u, v, p, q): a spanning forest of the near pairs of each bucket, p and q their labels."""
 
     def run(batch: pa.RecordBatch, held: forest.Groups) -> pa.RecordBatch:
-        near = nearness(held)
-        i, j, open_ = held.best(near, count) if count else (*held.forest(near), np.zeros(0, np.int64))
-        first, none = np.concatenate([i, open_]), pa.nulls(len(open_))
-        node, label, j = held.field("node"), held.field("label"), pa.array(j)
-        other = [pa.concat_arrays([c.take(j), none.cast(c.type)]) for c in (node, label)]
-        first_ = pa.array(first)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held.of[first])), node.take(first_), other[0], label.take(first_), other[1]], names=["cell", "u", "v", "p", "q"])
+        i, j = held.forest(nearness(held))
+        i_, j_, node, label = pa.array(i), pa.array(j), held.field("node"), held.field("label")
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held.of[i])), node.take(i_), node.take(j_), label.take(i_), label.take(j_)], names=["cell", "u", "v", "p", "q"])
 
     return forest.map_groups(groups, run, f"cell long, u {kind}, v {kind}, p {kind}, q {kind}")
 
@@ -131,33 +126,36 @@ def joined(nodes: DataFrame, labels: DataFrame, texts: DataFrame, scratch: commo
     def parities(held: forest.Groups) -> forest.Parities:
         return forest.Parities(held.field("map").to_pylist(), held.field("n").to_numpy(zero_copy_only=False), similarity)
 
+    bound = nearness or parities
+
+    def exact(held: forest.Groups) -> forest.Exact:
+        return forest.Exact(bound(held), held.field("shingles").to_pylist(), similarity)
+
+    def united(labels: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        edges = edges.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
+        found = scratch.write(simhash.components(edges, scratch, f"united-{name}"), f"unions-{name}")
+        new = labels.join(found.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("label"))
+        return scratch.write(new, f"labels-{name}"), found
+
     placed = nodes.select("node", weight.alias("bytes"), F.explode("keys").alias("cell"))
-    sets = None
-    for k in range(ROUNDS):
-        held = forest.tiles(placed.join(labels, "node"), scratch, f"bucket-{k}", details)
-        found = scratch.write(candidates(held, kind, nearness or parities, 16**k if k else None), f"candidates-{k}")
-        if sets is None:
-            members = held.select(F.explode("members.node").alias("node")).distinct()
-            sets = scratch.write(shingle_sets(texts.join(members, "node", "left_semi").select("node", "text"), size), "sets")
-        scratch.drop(f"bucket-{k}-tiles", f"bucket-{k}-detailed", f"bucket-{k}-heavy")
-        tried = found.filter("v is not null").withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
-        pairs = scratch.write(found.filter("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"pairs-{k}")
-        true = scratch.write(similar(pairs, sets, similarity).distinct(), f"similar-{k}")
-        edges = tried.join(true, ["u", "v"], "left_semi").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))
-        united = scratch.write(simhash.components(edges, scratch, f"united-{k}"), f"unions-{k}")
-        new = labels.join(united.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("label"))
-        labels = scratch.write(new, f"labels-{k}")
-        if k:  # only members that may still be similar to one of another label go on; tiles leaves out buckets that have become one
-            rest = found.filter("v is null").select("cell", F.col("u").alias("node")).distinct()
-            placed = scratch.write(rest.join(nodes.select("node", weight.alias("bytes")), "node"), f"placed-{k}")
-        else:
-            p, q = united.select(F.col("node").alias("p"), F.col("component").alias("p_now")), united.select(F.col("node").alias("q"), F.col("component").alias("q_now"))
-            failed = tried.join(true, ["u", "v"], "left_anti").join(p, "p", "left").join(q, "q", "left")
-            again = scratch.write(failed.filter(F.coalesce("p_now", "p") != F.coalesce("q_now", "q")).select("cell").distinct(), f"again-{k}")
-            placed = scratch.write(placed.join(again, "cell", "left_semi"), f"placed-{k}")
-        if not placed.take(1):
-            return labels
-    raise RuntimeError(f"buckets are not settled after {ROUNDS} rounds")
+    held = forest.tiles(placed.join(labels, "node"), scratch, "bucket", details)
+    found = scratch.write(candidates(held, kind, bound), "candidates")
+    members = held.select(F.explode("members.node").alias("node")).distinct()
+    sets = scratch.write(shingle_sets(texts.join(members, "node", "left_semi").select("node", "text"), size), "sets")
+    scratch.drop("bucket-tiles", "bucket-detailed", "bucket-heavy")
+    tried = found.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
+    true = scratch.write(similar(scratch.write(tried.select("u", "v").distinct(), "pairs"), sets, similarity).distinct(), "similar")
+    labels, unions = united(labels, tried.join(true, ["u", "v"], "left_semi"), "first")
+    p, q = unions.select(F.col("node").alias("p"), F.col("component").alias("p_now")), unions.select(F.col("node").alias("q"), F.col("component").alias("q_now"))
+    failed = tried.join(true, ["u", "v"], "left_anti").join(p, "p", "left").join(q, "q", "left")
+    again = scratch.write(failed.filter(F.coalesce("p_now", "p") != F.coalesce("q_now", "q")).select("cell").distinct(), "again")
+    if again.take(1):
+        details = details.join(sets.dropDuplicates(["node"]), "node")
+        heavier = placed.join(again, "cell", "left_semi").join(nodes.select("node", "n").dropDuplicates(["node"]), "node").withColumn("bytes", F.col("bytes") + 8 * F.col("n")).drop("n")
+        held = forest.tiles(heavier.join(labels, "node"), scratch, "open", details, EXACT_TILE_BYTES)
+        labels, _ = united(labels, scratch.write(candidates(held, kind, exact), "exact"), "second")
+        scratch.drop("open-tiles", "open-detailed", "open-heavy")
+    return labels
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
