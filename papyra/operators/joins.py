@@ -28,15 +28,23 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, a: str, b: str, above: float)
     return both.select(F.col("a").alias(a), F.col("b").alias(b), (shared / (F.size("g_a") + F.size("g_b") - shared)).alias("similarity")).filter(F.col("similarity") > above)
 
 
+def varying_blocks(df: DataFrame, hash_: str, count: int) -> list[list[int]]:
+    """The bits of a 64-bit hash that are not the same in all rows, dealt into ``count`` blocks, the most even ones first."""
+    n, *ones = df.agg(F.count(hash_), *(F.sum(F.getbit(hash_, F.lit(b))) for b in range(64))).first()
+    bits = sorted((b for b in range(64) if ones[b] and ones[b] < n), key=lambda b: (abs(2 * ones[b] - n), b))
+    return [bits[k::count] for k in range(count)]
+
+
 def near_hashes(df: DataFrame, by: str, key: str, hash_: str, within: int) -> DataFrame:
     """(key, other, distance): for each row, pairs in its group with hashes that differ in fewer than ``within`` bits.
 
-    The 64 bits are cut into ``within`` blocks; hashes that differ in fewer bits agree in one of them.
-    Blocks meet on the distinct hashes of a group, so rows with equal hashes cost no comparisons.
+    The bits that vary in the table are dealt into ``within`` blocks; hashes that differ in fewer bits agree in one of them. Bits that
+    are the same everywhere are in no block, as they would make all pairs meet. Blocks meet on the distinct hashes of a group, so
+    rows with equal hashes cost no comparisons.
     """
-    width = -(-64 // within)
-    blocks = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(hash_, k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for k in range(within)))
     rows = df.select(by, key, hash_).distinct()
+    value = lambda bits: sum((F.shiftleft(F.getbit(hash_, F.lit(b)).cast("long"), i) for i, b in enumerate(bits)), F.lit(0).cast("long"))
+    blocks = F.array(*(F.struct(F.lit(k).alias("k"), value(bits).alias("v")) for k, bits in enumerate(varying_blocks(rows, hash_, within))))
     points = rows.select(by, hash_).distinct().select(by, F.col(hash_).alias("x"), F.explode(blocks).alias("block"))
     distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
     near = points.join(points.withColumnRenamed("x", "y"), [by, "block"]).filter(distance < within).select(by, "x", "y", distance.alias("distance")).distinct()

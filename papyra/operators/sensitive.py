@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns by label, in a form that both Java's and RE2's engines read alike.
+#: Patterns by label, in a form that both Java's and RE2's engines read alike: addresses by the dec-octet of RFC 3986, bearer tokens by
+#: the b64token of RFC 6750.
 PATTERNS = {
     "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "INTERNAL_EMAIL": r"[a-z0-9._%+-]+@(?:[a-z0-9-]+\.)?(?:corp|internal|intranet)\.[a-z.]+",
     "SSN": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "IP": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])",
+    "IP": r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])",
     "PHONE": r"\+?[0-9]{1,3}[ -]\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}",
     "HEX": r"[0-9a-f]{32,}",
     "URL": r"https?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+",
