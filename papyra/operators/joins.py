@@ -76,13 +76,18 @@ def containing(words: DataFrame, texts: DataFrame, word: str, text: str) -> Data
     return words.join(found, F.col(word) == F.col("__word")).join(texts, F.col("item") == F.col(text)).drop("__word", "item")
 
 
-def outside_boxes(lines: DataFrame, boxes: DataFrame, share: float = 0.25, on: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """Lines of which less than ``share`` of the area lies under any box of their page; columns x0, top, x1, bottom."""
-    line, box = lines.alias("l"), boxes.alias("b")
-    side = lambda low, high: F.greatest(F.lit(0.0), F.least(F.col(f"l.{high}"), F.col(f"b.{high}")) - F.greatest(F.col(f"l.{low}"), F.col(f"b.{low}")))
-    area = (F.col("l.x1") - F.col("l.x0")) * (F.col("l.bottom") - F.col("l.top"))
-    same = [F.col(f"l.{c}") == F.col(f"b.{c}") for c in on]
-    hit = F.try_divide(side("x0", "x1") * side("top", "bottom"), area) >= share
-    for s in same:
-        hit = hit & s
-    return line.join(box, hit, "left_anti")
+def outside_boxes(lines: DataFrame, boxes: DataFrame, share: float = 0.25, on: tuple[str, ...] = ("doc_id", "page"), band: float = 64.0) -> DataFrame:
+    """Lines of which less than ``share`` of the area lies under any box of their page; columns x0, top, x1, bottom.
+
+    Lines and boxes of a page meet in the bands of ``band`` height that both reach into, so a page of many lines and boxes is no
+    single group and its pairs are those of one height. Lines in the same place are looked at once.
+    """
+    place = [*on, "x0", "top", "x1", "bottom"]
+    bands = lambda df: df.withColumn("__band", F.explode(F.sequence(F.floor(F.least("top", "bottom") / band), F.floor(F.greatest("top", "bottom") / band))))
+    own = bands(lines.select(*place).dropna().distinct())
+    other = bands(boxes.select(*on, *(F.col(c).alias(f"b_{c}") for c in place[-4:])).withColumnsRenamed({"b_top": "top", "b_bottom": "bottom"})).withColumnsRenamed({"top": "b_top", "bottom": "b_bottom"})
+    side = lambda low, high: F.greatest(F.lit(0.0), F.least(F.col(high), F.col(f"b_{high}")) - F.greatest(F.col(low), F.col(f"b_{low}")))
+    area = (F.col("x1") - F.col("x0")) * (F.col("bottom") - F.col("top"))
+    under = F.try_divide(side("x0", "x1") * side("top", "bottom"), area) >= share
+    covered = own.join(other, [*on, "__band"]).filter(under).select(*place).distinct()
+    return lines.join(covered, place, "left_anti").select(*lines.columns)

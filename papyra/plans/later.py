@@ -213,3 +213,34 @@ def flat_files(spark, d):
     content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
     files = docs.filter("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), content.alias("content"))
     return read_lines(files).filter("error is null").select("path", "line_no", "text")
+
+
+def _score_sql(criterion: str) -> str:
+    return f"(('0x' || substr(md5('{criterion}:' || text), 1, 4))::INTEGER % 101)::DOUBLE"
+
+
+_MEAN_SQL = f"(({_score_sql('clarity')} + {_score_sql('depth')}) / 2)"
+
+
+@query(f"""SELECT doc_id, {_score_sql('clarity')} AS clarity, {_score_sql('depth')} AS depth, {_MEAN_SQL} AS mean,
+ CASE WHEN {_MEAN_SQL} >= 80 THEN 'Very High' WHEN {_MEAN_SQL} >= 70 THEN 'High' WHEN {_MEAN_SQL} >= 60 THEN 'Medium' WHEN {_MEAN_SQL} >= 50 THEN 'Low' ELSE 'Very Low' END AS grade FROM documents WHERE text IS NOT NULL""")
+def judged_documents(spark, d):
+    """Documents by two criteria of a scorer that is an argument; here one that needs no model."""
+    from papyra.functions.scoring import judged
+
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    out = judged(docs, "text", ["clarity", "depth"])
+    return out.select("doc_id", F.col("scores")["clarity"].alias("clarity"), F.col("scores")["depth"].alias("depth"), "mean", "grade")
+
+
+@query()
+def positional_ratios(spark, d):
+    """The n-th text of a conversation against the n-th of the next one, by the fuzzy ratio."""
+    from papyra.functions.fuzzy import ratio
+    from papyra.functions.scoring import mean_score
+    from papyra.operators.relational import positional
+
+    t = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    both = positional(t, t.withColumn("conv_id", F.col("conv_id") - 1), ["conv_id"], "turn")
+    scored = both.withColumn("score", ratio("text", "other_text"))
+    return scored.groupBy("conv_id").agg(F.count("*").alias("pairs"), mean_score(F.col("score")).alias("mean"))

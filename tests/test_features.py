@@ -307,3 +307,17 @@ def test_template_search_finds_what_all_pairs_find(spark):
     exact = chunking.match_templates(chunks.drop("embedding"), templates.drop("embedding"), coverage=0.0).collect()
     strong = [x for x in exact if x["doc_id"] in searched]
     assert len(strong) >= 0.9 * len(searched) and Counter(searched[x["doc_id"]] == x["template_id"] for x in strong)[True] >= 0.9 * len(strong)
+
+
+def test_positional_ratios_match_brute_force(spark):
+    from papyra.functions.fuzzy import ratio_of
+    from papyra.plans.catalogue import QUERIES
+
+    of = defaultdict(list)
+    for x in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect():
+        of[x["conv_id"]].append(x["text"])
+    got = {x["conv_id"]: (x["pairs"], x["mean"]) for x in QUERIES["positional_ratios"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == {c for c in of if c + 1 in of}
+    for c, (pairs, mean) in got.items():
+        want = [ratio_of(a, b) for a, b in zip(of[c], of[c + 1])]
+        assert pairs == len(want) and abs(mean - sum(want) / len(want)) < 0.0051
