@@ -54,26 +54,27 @@ def nearest_cells(cells: DataFrame) -> DataFrame:
 
     Cells that have none within half a radius look for one within it, in squares of the radius's side and those around;
     the radius doubles until all have one. Cells that are left are far apart, so a square holds few of them, and a round makes no
-    more pairs than some dozens for each cell, however full a square is.
+    more pairs than some dozens for each cell, however full a square is. Files of cells are far smaller than their rows, so joins are
+    sorted ones: no side goes through the driver.
     """
     spark = cells.sparkSession
     root = shared_folder(spark, "nearest")
     own = cells.select("sheet", "row", "col").distinct()
     alone = own.groupBy("sheet").agg(F.count("*").alias("n")).filter("n = 1").select("sheet")
-    done = own.join(alone, "sheet", "left_semi").withColumn("nearest", F.lit(0))
-    left, radius = own.join(alone, "sheet", "left_anti"), 1
+    done = own.join(alone.hint("merge"), "sheet", "left_semi").withColumn("nearest", F.lit(0))
+    left, radius = own.join(alone.hint("merge"), "sheet", "left_anti"), 1
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     while True:
         square = lambda c, r=radius: F.floor(F.col(c) / r)
         seek = left.withColumn("o", F.explode(around)).select("sheet", "row", "col", (square("row") + F.col("o.a")).alias("i"), (square("col") + F.col("o.b")).alias("j"))
         other = own.select("sheet", square("row").alias("i"), square("col").alias("j"), F.col("row").alias("r"), F.col("col").alias("c"))
         distance = F.abs(F.col("row") - F.col("r")) + F.abs(F.col("col") - F.col("c"))
-        met = seek.join(other, ["sheet", "i", "j"]).withColumn("d", distance).filter(F.col("d").between(1, radius))
+        met = seek.join(other.hint("merge"), ["sheet", "i", "j"]).withColumn("d", distance).filter(F.col("d").between(1, radius))
         found = met.groupBy("sheet", "row", "col").agg(F.min("d").cast("int").alias("nearest"))
         found.write.parquet(f"{root}/{radius}")
         found = spark.read.parquet(f"{root}/{radius}")
         done = done.unionByName(found)
-        left.join(found, ["sheet", "row", "col"], "left_anti").write.parquet(f"{root}/left-{radius}")
+        left.join(found.hint("merge"), ["sheet", "row", "col"], "left_anti").write.parquet(f"{root}/left-{radius}")
         left = spark.read.schema(own.schema).parquet(f"{root}/left-{radius}")
         if not left.take(1):
             return done
@@ -92,7 +93,7 @@ def cell_clusters(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
     near = nearest_cells(kept)
     reach = near.groupBy("sheet").agg(F.floor(F.greatest(F.lit(1.0), 1.5 * F.median("nearest"))).cast("int").alias("e"))
     side = F.floor(F.col("e") / 2).cast("int") + 1
-    placed = near.drop("nearest").join(reach, "sheet").withColumns({"i": F.floor(F.col("row") / side), "j": F.floor(F.col("col") / side)})
+    placed = near.drop("nearest").join(reach.hint("merge"), "sheet").withColumns({"i": F.floor(F.col("row") / side), "j": F.floor(F.col("col") / side)})
     by = ["sheet", "e", "i", "j"]
     rows = placed.groupBy(*by, "row").agg(F.min("col").alias("low"), F.max("col").alias("high"))
     cols = placed.groupBy(*by, "col").agg(F.min("row").alias("low"), F.max("row").alias("high"))
@@ -101,18 +102,18 @@ def cell_clusters(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
         step = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets)))
         one = lines.withColumn("o", step).select("sheet", "e", F.col("i").alias("i0"), F.col("j").alias("j0"), (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), F.col(across).alias("x"), F.col("high").alias("end"))
         two = lines.select("sheet", "i", "j", F.col(across).alias("y"), F.col("low").alias("begin"))
-        met = one.join(two, ["sheet", "i", "j"]).filter(F.abs(F.col("x") - F.col("y")) + F.col("begin") - F.col("end") <= F.col("e"))
+        met = one.join(two.hint("merge"), ["sheet", "i", "j"]).filter(F.abs(F.col("x") - F.col("y")) + F.col("begin") - F.col("end") <= F.col("e"))
         return met.select(F.struct("sheet", F.col("i0").alias("i"), F.col("j0").alias("j")).alias("p"), F.struct("sheet", "i", "j").alias("q")).distinct()
 
     beside = edges(rows, "row", [(a, b) for a in range(-2, 3) for b in (1, 2)])
     below = edges(cols, "col", [(1, 0), (2, 0)])
     found = components(beside.unionByName(below).select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")))
     node = F.struct("sheet", "i", "j")
-    named = placed.withColumn("node", node).join(found, "node", "left").select("sheet", "row", "col", F.coalesce("component", "node").alias("component"))
+    named = placed.withColumn("node", node).join(found.hint("merge"), "node", "left").select("sheet", "row", "col", F.coalesce("component", "node").alias("component"))
     firsts = named.groupBy("sheet", "component").agg(F.min(F.struct("row", "col")).alias("first"))
     numbered = firsts.withColumn("cluster", F.row_number().over(Window.partitionBy("sheet").orderBy("first")) - 1).select("component", "cluster")
-    labels = named.join(numbered, "component").select("sheet", "row", "col", "cluster")
-    return kept.join(labels, ["sheet", "row", "col"]).withColumnRenamed("sheet", sheet).select(*cells.columns, F.col("cluster").cast("int").alias("cluster"))
+    labels = named.join(numbered.hint("merge"), "component").select("sheet", "row", "col", "cluster")
+    return kept.join(labels.hint("merge"), ["sheet", "row", "col"]).withColumnRenamed("sheet", sheet).select(*cells.columns, F.col("cluster").cast("int").alias("cluster"))
 
 
 def rows_text(cells: DataFrame, by: list[str]) -> DataFrame:
