@@ -3,11 +3,14 @@
 The automaton is a table of next states, one row a state and one column a character that occurs in the list, and is
 broadcast; its size is checked before it is built. Texts are read side by side, one character of each
 at a time, as array operations; long ones are cut into stretches that overlap by the longest listed text.
-Beyond ``CELLS`` of the table a list is taken in blocks, each of which is one pass.
+Between word bounds a listed text stands only where all its words do, so a list is first joined to the words of the texts: what
+no text can hold is in no automaton, and a list may be far larger than one. Beyond ``CELLS`` of the table what is left is taken in
+blocks, each of which is one pass.
 """
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 
@@ -16,11 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.session import shared_folder
+
 #: Cells of a table of next states, at four bytes: 64 MB.
 CELLS = 1 << 24
 STRETCH = 1024
 #: Characters that are read side by side.
 BATCH = 1 << 22
+#: Runs of what is_word() takes, and how many different ones a task holds before it passes them on.
+WORD, WORDS = re.compile(r"\w+"), 1 << 18
+#: A word is frequent in a list if it stands in more than so many of its texts, and in more than one of ``FREQUENT``: there are that many at most.
+OFTEN, FREQUENT = 16, 10_000
 
 
 def folded(text: str, fold: bool) -> str:
@@ -155,23 +164,72 @@ def apart(found: pd.DataFrame) -> pd.DataFrame:
     return found.iloc[keep]
 
 
-def automata(items: DataFrame, item: str, fold: bool, bounded: bool, cells: int = 0) -> Iterator[Automaton]:
-    """One automaton for each block of the distinct listed texts; a block is what is collected, CELLS at most."""
+def present(docs: DataFrame, texts: list[str], items: DataFrame, item: str, fold: bool, bounded: bool) -> DataFrame:
+    """(item): the distinct listed texts, without those of which a word is no word of any text; a join, so a list may have any size.
+
+    A place between word bounds has whole words of the text only, so nothing that stands anywhere is left out. Of each listed text
+    the longest word is joined that is not frequent in the list. Listed texts without a word stay, and so do all where bounds do not count.
+    """
     own = items.select(F.col(item).alias("item")).filter(F.length(item) > 0).distinct()
+    if bounded:
+
+        def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                yield pd.DataFrame({"word": [w for x in pdf["item"] for w in set(WORD.findall(folded(x, fold)))]}, dtype=object)
+
+        counts = own.mapInPandas(each, "word string").groupBy("word").agg(F.count("*").alias("n"))
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        often = frozenset(r[0] for r in counts.filter(F.col("n") > max(OFTEN, total // FREQUENT)).select("word").collect())
+
+        def longest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                yield pdf.assign(word=[max(WORD.findall(folded(x, fold)), key=lambda w: (w not in often, len(w)), default=None) for x in pdf["item"]])
+
+        def words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            met: set[str] = set()
+            for pdf in parts:
+                for column in texts:
+                    for text in pdf[column]:
+                        if text:
+                            met.update(WORD.findall(folded(text, fold)))
+                        if len(met) >= WORDS:
+                            yield pd.DataFrame({"word": list(met)})
+                            met.clear()
+            yield pd.DataFrame({"word": list(met)}, dtype=object)
+
+        named = own.mapInPandas(longest, "item string, word string")
+        held = docs.select(*texts).mapInPandas(words, "word string").distinct()
+        own = named.join(held.hint("merge"), "word", "left_semi").select("item").unionByName(named.filter("word is null").select("item"))
+    path = shared_folder(docs.sparkSession, "listed")
+    own.write.parquet(path)
+    return docs.sparkSession.read.schema("item string").parquet(path)
+
+
+def needed(own: DataFrame, fold: bool, cells: int = 0) -> int:
+    """How many blocks the listed texts (item) take."""
     total = own.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
     letters = own.select(F.explode(F.split(F.lower("item") if fold else F.col("item"), ""))).distinct().count()
-    blocks = max(1, -(-(total + 1) * (letters + 1) // (cells or CELLS)))
+    return max(1, -(-(total + 1) * (letters + 1) // (cells or CELLS)))
+
+
+def block(own: DataFrame, blocks: int, k: int) -> DataFrame:
+    return own.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+
+
+def automata(own: DataFrame, blocks: int, fold: bool, bounded: bool) -> Iterator[tuple[int, Automaton]]:
+    """The number and the automaton of each block of the listed texts (item); a block is what is collected, CELLS at most."""
     for k in range(blocks):
-        rows = [r[0] for r in own.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).orderBy("item").collect()]
+        rows = [r[0] for r in block(own, blocks, k).orderBy("item").collect()]
         if rows:
-            yield Automaton(rows, fold, bounded)
+            yield k, Automaton(rows, fold, bounded)
 
 
 def mentions(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, fold: bool = True, bounded: bool = True, cells: int = 0) -> DataFrame:
     """(key, item, n): how often each listed text stands in each text, overlapping places too. With ``fold`` items that differ in case only count as the first of them."""
     kinds, out = dict(docs.dtypes), None
     schema = f"`{key}` {kinds[key]}, item string, n long"
-    for automaton in automata(items, item, fold, bounded, cells):
+    own = present(docs, [text], items, item, fold, bounded)
+    for _, automaton in automata(own, needed(own, fold, cells), fold, bounded):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
         def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -190,36 +248,77 @@ def redact_listed(docs: DataFrame, items: DataFrame, texts: list[str], item: str
     """docs with listed items (item, label) in each of the columns ``texts`` as <LABEL>, and ``redactions`` (field, text, placeholder, context).
 
     Columns besides a document's text are its metadata (title, author, file name), masked by the same pass. Longest items go first, case
-    is ignored, at word bounds. A list that needs more than one block is refused, as blocks cannot see each other's places.
+    is ignored, at word bounds. Where what the texts may hold takes more than one block, each block finds its places and a document's
+    places meet before it is masked; with ``cells`` given, such a list is refused.
     """
-    own = items.groupBy(F.lower(item).alias("item")).agg(F.min(label).alias("label"))
-    built = list(automata(own, "item", True, True, cells))
-    if len(built) > 1:
+    listed = items.groupBy(F.lower(item).alias("item")).agg(F.min(label).alias("label"))
+    own = present(docs, texts, listed, "item", True, True)
+    blocks = needed(own, True, cells)
+    if cells and blocks > 1:
         raise ValueError("the list is larger than one automaton; split it or raise cells")
-    kinds, names = dict(docs.dtypes), docs.columns
+    spark, kinds, names = docs.sparkSession, dict(docs.dtypes), docs.columns
+    labelled = own.join(listed, "item").select("item", "label")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", redactions array<struct<field: string, text: string, placeholder: string, context: string>>"
-    if not built:
-        return docs.withColumn("redactions", F.from_json(F.lit("[]"), schema.rsplit("redactions ", 1)[1]))
-    labels = dict(own.collect())  # as large as the automaton at most
-    shared = docs.sparkSession.sparkContext.broadcast((built[0], [f"<{labels[i]}>" for i in built[0].items]))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton, marks = shared.value
+    def masked(pdf: pd.DataFrame, places: dict[str, Iterator[tuple[int, list[tuple[int, int, str]]]]]) -> pd.DataFrame:
+        """A batch with its places, by column and row, as placeholders."""
+        pdf = pdf.copy()
+        log: list[list[dict]] = [[] for _ in range(len(pdf))]
+        for column in texts:
+            values = pdf[column].tolist()
+            new = list(values)
+            for at, found in places[column]:
+                value, out, past = values[at], [], 0
+                for a, b, mark in found:
+                    out += [value[past:a], mark]
+                    past = b
+                    log[at].append({"field": column, "text": value[a:b], "placeholder": mark, "context": value[max(0, a - context) : b + context]})
+                new[at] = "".join([*out, value[past:]])
+            pdf[column] = pd.Series(new, index=pdf.index, dtype=object)
+        pdf["redactions"] = pd.Series(log, index=pdf.index, dtype=object)
+        return pdf
+
+    built = ((a, [f"<{labels[i]}>" for i in a.items]) for k, a in automata(own, blocks, True, True) for labels in (dict(block(labelled, blocks, k).collect()),))
+    if blocks == 1:
+        one = next(built, None)
+        if one is None:
+            return docs.withColumn("redactions", F.from_json(F.lit("[]"), schema.rsplit("redactions ", 1)[1]))
+        shared = spark.sparkContext.broadcast(one)
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            automaton, marks = shared.value
+            for pdf in parts:
+                by = {c: apart(automaton.find(pdf[c].tolist())).groupby("text") for c in texts}
+                yield masked(pdf, {c: ((at, [(a, b, marks[k]) for a, b, k in zip(x["start"].tolist(), x["end"].tolist(), x["item"].tolist(), strict=True)]) for at, x in g) for c, g in by.items()})
+
+        return docs.mapInPandas(run, schema)
+
+    path = shared_folder(spark, "redacted")
+    docs.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path)
+    found = None
+    for one in built:
+        shared = spark.sparkContext.broadcast(one)
+
+        def find(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            automaton, marks = shared.value
+            for pdf in parts:
+                for c in texts:
+                    x = automaton.find(pdf[c].tolist())
+                    yield pd.DataFrame({"__id": pdf["__id"].to_numpy()[x["text"]], "field": c, "start": x["start"], "end": x["end"], "mark": np.array(marks, dtype=object)[x["item"]]})
+
+        part = kept.select("__id", *texts).mapInPandas(find, "__id long, field string, start long, end long, mark string")
+        found = part if found is None else found.unionByName(part)
+    met = found.groupBy("__id").agg(F.collect_list(F.struct("field", "start", "end", "mark")).alias("__places"))
+
+    def together(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            pdf = pdf.copy()
-            log: list[list[dict]] = [[] for _ in range(len(pdf))]
-            for column in texts:
-                values = pdf[column].tolist()
-                new = list(values)
-                for at, own in apart(automaton.find(values)).groupby("text"):
-                    value, out, past = values[at], [], 0
-                    for a, b, k in zip(own["start"].tolist(), own["end"].tolist(), own["item"].tolist(), strict=True):
-                        out += [value[past:a], marks[k]]
-                        past = b
-                        log[at].append({"field": column, "text": value[a:b], "placeholder": marks[k], "context": value[max(0, a - context) : b + context]})
-                    new[at] = "".join([*out, value[past:]])
-                pdf[column] = pd.Series(new, index=pdf.index, dtype=object)
-            pdf["redactions"] = pd.Series(log, index=pdf.index, dtype=object)
-            yield pdf
-
-    return docs.mapInPandas(run, schema)
+            rows = [(x["field"], at, x["start"], x["end"], x["mark"]) for at, own in enumerate(pdf["__places"]) if own is not None for x in own]
+            rows.sort(key=lambda x: (x[0], x[1], x[2], -x[3]))
+            by = {}
+            for c in texts:
+                x = apart(pd.DataFrame([r[1:] for r in rows if r[0] == c], columns=["text", "start", "end", "mark"]))
+                by[c] = ((at, list(zip(g["start"].tolist(), g["end"].tolist(), g["mark"].tolist(), strict=True))) for at, g in x.groupby("text"))
+            yield masked(pdf[names], by)
+
+    return kept.join(met.hint("merge"), "__id", "left").mapInPandas(together, schema)

@@ -19,3 +19,21 @@ def test_clusters_send_no_side_through_the_driver(spark):
     plan = joins_of(out)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted((r["row"], r["col"], r["cluster"]) for r in out.collect()) == [(1, 1, 0), (1, 2, 0), (9, 9, 1)]
+
+
+def test_a_list_far_larger_than_an_automaton_is_taken_whole(spark, monkeypatch):
+    from papyra.operators import dictionary
+
+    docs = spark.createDataFrame([(k, f"Alpha beta, x@y.org #{k} alphabet c++ Customer#{k:03d}.", "alpha" if k % 2 else None) for k in range(40)], "doc_id long, text string, title string")
+    words = [("alpha", "A"), ("alpha beta", "AB"), ("beta", "B"), ("x@y.org", "MAIL"), ("c++", "C"), ("++", "PLUS"), ("org", "O")]
+    listed = spark.createDataFrame(words + [(f"customer#{k:03d}", "NAME") for k in range(20, 900)], "item string, label string")
+    whole = lambda: sorted(dictionary.redact_listed(docs, listed, ["text", "title"]).collect())
+    counts = lambda: sorted(dictionary.mentions(docs, listed, "doc_id", "text", "item").collect())
+    one, n = whole(), counts()
+    assert one[21]["text"] == "<AB>, <MAIL> #21 alphabet <C> <NAME>." and one[21]["title"] == "<A>" and one[19]["text"].endswith("Customer#019.")
+    own = dictionary.present(docs, ["text", "title"], listed, "item", True, True)
+    assert own.count() == len(words) + 20 and dictionary.needed(own, True, 20_000) == 1
+    assert sorted(dictionary.redact_listed(docs, listed, ["text", "title"], cells=20_000).collect()) == one  # the whole list takes more
+    monkeypatch.setattr(dictionary, "CELLS", 300)
+    assert dictionary.needed(own, True) > 3
+    assert whole() == one and counts() == n
