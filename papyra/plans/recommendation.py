@@ -44,7 +44,7 @@ def recommendation(spark, d):
     ratio = relational.ratio(matched, ["template"], F.col("status") == "A", F.lit(True))
     joined = best.join(ratio, "template", "left").withColumn("method", F.when(F.col("status") == "A", "offerbased").otherwise("search"))
     for value, out, default in (("offer_score", "o", 0.0), ("similarity", "s", 0.01), ("ratio", "a", 0.01)):
-        joined = relational.scaled_by_group(joined, ["method"], value, out, default)
+        joined = relational.scaled_by_group(joined, ["method"], value, out, default, few=True)
     weights = spark.createDataFrame(_WEIGHTS, "method string, w_offer double, w_sim double, w_acc double")
     offer = F.when(F.col("method") == "offerbased", F.col("o")).otherwise(0.0)
     score = F.round(scoring.blended([(F.col("w_offer"), offer), (F.col("w_sim"), F.col("s")), (F.col("w_acc"), F.col("a"))], F.col("s"), F.col("a")), 4)
