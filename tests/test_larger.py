@@ -37,3 +37,39 @@ def test_a_list_far_larger_than_an_automaton_is_taken_whole(spark, monkeypatch):
     monkeypatch.setattr(dictionary, "CELLS", 300)
     assert dictionary.needed(own, True) > 3
     assert whole() == one and counts() == n
+
+
+def test_quantiles_by_sketches_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    from papyra.operators import metrics
+
+    rows = [("a", k % 9973 / 7.0) for k in range(60_000)] + [("b", 5.0)] * 30 + [(None, 1.0), (None, 2.0), ("c", None), ("a", None)]
+    calls = spark.createDataFrame(rows, "kind string, value double")
+    stored = metrics.merged(metrics.sketches(calls, ["kind"], "value", k=64), ["kind"], k=64)  # coarse: its bounds miss at first
+    ranks = {"low_": 0.0, "median": 0.5, "most": 0.95, "all": 1.0}
+    got = {r["kind"]: r for r in metrics.exact_quantiles(calls, stored, ["kind"], "value", ranks, margin=0.0005).collect()}
+    want = calls.groupBy("kind").agg(*(F.expr(f"percentile_disc({r}) WITHIN GROUP (ORDER BY value)").alias(n) for n, r in ranks.items())).collect()
+    assert len(got) == 4 and {r["kind"]: tuple(got[r["kind"]][n] for n in ranks) for r in want} == {r["kind"]: tuple(r)[1:] for r in want}
+
+
+def test_references_need_their_semicolon_where_asked(spark):
+    from papyra.sources import documents
+
+    page = b"<p>a &amp;&amp;&amp; b&amp</p><p>&#233;&#xe9; &ampx; &copy 1 &nosuch; &amp;lt;</p>"
+    assert [x for _, x in documents.html_lines(page, loose=False)] == ["a &&& b&amp", "éé &ampx; &copy 1 &nosuch; &lt;"]
+    assert [x for _, x in documents.html_lines(page)][0] == "a &&& b&"
+    files = spark.createDataFrame([("a.html", bytearray(page))], "path string, content binary")
+    assert [r["text"] for r in documents.read_lines(files, loose=False).orderBy("line_no").collect()][0] == "a &&& b&amp"
+
+
+def test_scaling_by_few_groups_shuffles_no_rows(spark):
+    from papyra.operators import relational
+
+    rows = spark.range(1000).selectExpr("id", "case when id % 100 = 0 then 'a' when id % 100 = 1 then null else 'n' end AS g", "id AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in joins_of(relational.scaled_by_group(rows, ["g"], "v", "s"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert relational.scaled_by_group(rows, ["g"], "v", "s").filter("g = 'n' AND id = 999").first()["s"] == 100.0
