@@ -43,7 +43,7 @@ def nearest_of(rows: DataFrame, store: DataFrame, k: int, keys: list[str], store
         size = np.linalg.norm(x, axis=1, keepdims=True)
         return np.where(size > 0, x / np.where(size > 0, size, 1), np.nan)
 
-    out = None
+    out, bound = None, -np.inf if above is None else above
     for n in range(blocks):
         part = own.filter(F.pmod(F.xxhash64(store_key), F.lit(blocks)) == n).orderBy(store_key).collect()  # about ``block`` rows
         if not part:
@@ -59,12 +59,17 @@ def nearest_of(rows: DataFrame, store: DataFrame, k: int, keys: list[str], store
                 s = unit(pdf[vector].tolist()) @ matrix.T
                 s[np.isnan(s)] = -np.inf
                 most = min(k, s.shape[1])
-                order = np.argsort(-s, axis=1, kind="stable")[:, :most]  # equal ones in the order of their keys
-                at = np.repeat(np.arange(len(pdf)), most)
-                got = pdf[keys].iloc[at].reset_index(drop=True)
-                got[store_key], got["similarity"] = ids[order.reshape(-1)], np.take_along_axis(s, order, axis=1).reshape(-1)
-                keep = np.isfinite(got["similarity"]) & (got["similarity"] > (above if above is not None else -np.inf))
-                yield got[keep][names]
+                live = np.flatnonzero(s.max(axis=1) > bound)  # the others have none in this block
+                own = s[live]
+                least = np.partition(own, own.shape[1] - most, axis=1)[:, -most] if len(live) else np.zeros(0)
+                at, place = np.nonzero((own >= least[:, None]) & (own > bound))  # k and those equal to the last: few are sorted
+                value = own[at, place]
+                order = np.lexsort((place, -value, at))  # equal ones in the order of their keys
+                at, place, value = at[order], place[order], value[order]
+                first = np.arange(len(at)) - np.searchsorted(at, at) < most
+                got = pdf[keys].iloc[live[at[first]]].reset_index(drop=True)
+                got[store_key], got["similarity"] = ids[place[first]], value[first]
+                yield got[names]
 
         part = rows.select(*keys, vector).mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
