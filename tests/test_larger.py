@@ -142,3 +142,23 @@ def test_nearest_of_sorts_only_what_may_be_kept(spark, monkeypatch):
             mine.setdefault(x["id"], []).append(x["similarity"])
         assert {a: np.round(sorted(v, reverse=True), 6).tolist() for a, v in mine.items()} == {a: np.round(v, 6).tolist() for a, v in best.items() if v}
         assert len(got) == len(near)
+
+
+def test_ratios_count_to_the_end_only_what_may_reach_the_bound(monkeypatch):
+    import random
+
+    from papyra.functions import fuzzy
+
+    r = random.Random(3)
+    texts = ["", "a", *("".join(r.choices("abc de", k=r.randint(1, 200))) for _ in range(40))]
+    texts += [t[: len(t) // 2] + "x" + t[len(t) // 2 + r.randint(1, 20) :] for t in texts]
+    whole = {(a, b): fuzzy.ratio_of(a, b) for a in texts for b in texts}
+    for least in (0.0, 55.0, 80.0, 100.0):
+        got = {(a, b): v for a, b, v in fuzzy.ratios(sorted(set(texts)), sorted(set(texts)), least)}
+        assert got == {p: v for p, v in whole.items() if v >= least}
+    steps, a, b = [], "ab" * 2000, "cd" * 2000 + "ab" * 300
+    class Seen(dict):  # noqa: E306
+        def get(self, c, other):
+            steps.append(c)
+            return super().get(c, other)
+    assert fuzzy.lcs(a, b, Seen(fuzzy.places(a)), 3600.0) == -1 and len(steps) < 1200
