@@ -287,6 +287,31 @@ def test_archives_by_member(spark, tmp_path):
     assert [office.column_letters(n) for n in (1, 26, 27, 52, 703)] == ["A", "Z", "AA", "AZ", "AAA"]
 
 
+def test_archives_are_written_and_read_in_parts(spark, tmp_path):
+    rows = [(f"n{k % 3}.zip", f"b/{k}.txt", str(k).encode()) for k in range(900)] + [("n0.zip", ".hidden", b"")]
+    root = f"file://{tmp_path}"
+    assert office.write_archives(spark.createDataFrame(rows, "archive string, path string, content binary").repartition(5), root) == 901
+    got = office.archives(spark, root, part_bytes=100).collect()
+    assert sorted((x["archive"], x["path"], bytes(x["content"])) for x in got) == sorted(rows[:-1]) and not any(x["error"] for x in got)
+    own = office.ArchiveReader(root, True, 100).partitions()
+    assert len(own) > 20 and sum(p.n for p in own) == 901 and sum(p.length for p in own) < 901 * 70  # no entry is read by two tasks, and no name goes through the driver
+    table = (tmp_path / "n1.zip").read_bytes()
+    (tmp_path / "n1.zip").write_bytes(b"some program" + table)  # of an archive that unpacks itself
+    (tmp_path / "n2.zip").write_bytes((tmp_path / "n2.zip").read_bytes().replace(b"PK\1\2", b"PK\1\3"))
+    again = office.archives(spark, root, part_bytes=100).collect()
+    assert sorted((x["archive"], x["path"], bytes(x["content"])) for x in again if not x["error"]) == sorted(r for r in rows[:-1] if r[0] != "n2.zip")
+    assert [(x["archive"], x["path"]) for x in again if x["error"]] == [("n2.zip", None)]
+
+
+def test_small_workbooks_share_a_frame(spark):
+    book = office.workbook({"S": [["x", "y"], ["z"]]})
+    frames = office.workbook_cells(spark.createDataFrame([(str(k), book) for k in range(200)], "path string, content binary").coalesce(1))
+    got = [tuple(r) for r in frames.collect()]
+    assert sorted(got) == sorted((str(k), "S", r, c, v, None) for k in range(200) for r, c, v in ((1, 1, "x"), (1, 2, "y"), (2, 1, "z")))
+    many = spark.range(50).select(F.col("id").cast("string").alias("path"), office.sheet_book(F.array(F.array(F.lit("a"), F.lit(None).cast("string")), F.array(F.lit("<b>"))), "T", ["h"]).alias("content"))
+    assert office.workbook_cells(many).groupBy("row", "col", "value").count().orderBy("row").collect() == [(1, 1, "h", 50), (2, 1, "a", 50), (3, 1, "<b>", 50)]
+
+
 def test_lines_of_broken_pages():
     assert [x for _, x in documents.html_lines(b"<nav>no<p>no</nav>a<br>b<p>c &amp; d<nav> open")] == ["a", "b", "c & d open"]
     assert documents.html_lines(b"<script>x</script><aside>y<aside>z</aside>w") == [("body", "w")]
