@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyra.session import shared_folder
+
 SAMPLE, PIVOTS, RINGS = 4096, 64, 16
-#: Queries of a search; more are taken block by block.
-BLOCK = 1024
+#: Queries of a search; more are taken block by block. Vectors that a task compares at once.
+BLOCK, CHUNK = 4096, 2048
 #: For the rounding of angles.
 SLACK = 1e-6
 
@@ -41,6 +43,42 @@ def farthest_first(points: np.ndarray, count: int) -> np.ndarray:
     return points[chosen]
 
 
+class Nearest:
+    """The k best keys of each query so far, by similarity to 12 places, then key; of what comes, only what reaches ``least`` counts."""
+
+    def __init__(self, k: int, least: np.ndarray, keys: np.dtype) -> None:
+        self.k, self.least = k, least
+        self.keys, self.like = np.full((len(least), k), "" if keys == object else 0, keys), np.full((len(least), k), -np.inf)
+
+    def put(self, asked: np.ndarray, keys: np.ndarray, like: np.ndarray) -> None:
+        """Keys in ascending order, and the similarity of each to each query that is asked."""
+        placed = np.round(like, 12)
+        fits = placed >= np.maximum(self.least[asked], np.round(self.like[asked, -1], 12))[:, None]
+        many = np.flatnonzero(fits.sum(axis=1) > 4 * self.k)
+        if len(many):  # equal ones stay in the order of their keys
+            top = np.argsort(-placed[many], axis=1, kind="stable")[:, : self.k]
+            fits[many] = False
+            fits[many[:, None], top] = True
+            fits[many] &= placed[many] >= self.least[asked[many]][:, None]
+        row, col = np.nonzero(fits)
+        if not len(row):
+            return
+        own = np.unique(row)
+        rows = np.concatenate([np.repeat(own, self.k), row])
+        every = np.concatenate([self.keys[asked[own]].ravel(), keys[col]])
+        likes = np.concatenate([self.like[asked[own]].ravel(), like[row, col]])
+        order = np.lexsort((every, -np.round(likes, 12), rows))
+        rows, every, likes = rows[order], every[order], likes[order]
+        begins = np.searchsorted(rows, own)
+        best = (begins[:, None] + np.arange(self.k)).ravel()
+        self.keys[asked[own]] = every[best].reshape(-1, self.k)
+        self.like[asked[own]] = likes[best].reshape(-1, self.k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, col = np.nonzero(self.like > -np.inf)
+        return row, self.keys[row, col], self.like[row, col]
+
+
 class VectorIndex:
     """An index in a folder: ``vectors`` by cell, the cells' bounds, and the pivots."""
 
@@ -54,7 +92,7 @@ class VectorIndex:
         if not len(points):
             raise ValueError("no row has a vector")
         chosen = farthest_first(points, pivots)
-        self.spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(chosen)], "pivot int, at array<double>").write.mode("overwrite").parquet(f"{self.path}/pivots")
+        self.spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(chosen)], "pivot int, at array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/pivots")
         return self.add(rows)
 
     def _pivots(self) -> np.ndarray:
@@ -76,7 +114,8 @@ class VectorIndex:
                 ring = np.minimum((angle * RINGS / np.pi).astype(int), RINGS - 1)
                 yield pd.DataFrame({key: pdf[key].to_numpy()[fit], "unit": list(points), "angle": angle, "cell": (pivot * RINGS + ring).astype("int32")})
 
-        rows.select(key, vector).mapInPandas(run, schema).write.mode("append").partitionBy("cell").parquet(f"{self.path}/vectors")
+        dealt = rows.select(key, vector).mapInPandas(run, schema).hint("rebalance", "cell")  # a file a cell, more for a large one
+        dealt.write.mode("append").partitionBy("cell").parquet(f"{self.path}/vectors")
         bounds = self.spark.read.parquet(f"{self.path}/vectors").groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n"))
         bounds.write.mode("overwrite").parquet(f"{self.path}/cells")
         return self
@@ -103,45 +142,41 @@ class VectorIndex:
         before = np.cumsum(n[order], axis=1) - n[order]
         first = np.zeros(least.shape, bool)
         np.put_along_axis(first, order, before < k, axis=1)
-        found = self._best(first, number, names, q, k, kind).persist()
-        try:
-            worst = np.full(len(names), -2.0)
-            place = {x: i for i, x in enumerate(names)}
-            for r in found.groupBy("query").agg(F.count("*").alias("n"), F.min("similarity").alias("s")).collect():  # a row a query
-                worst[place[r["query"]]] = r["s"] if r["n"] == k else -2.0
-            more = ~first & (np.cos(np.maximum(0, least - SLACK)) >= worst[:, None] - SLACK)
-            self.read["pairs"] += least.size
-            self.read["searched"] += int(first.sum() + more.sum())
-            both = found.unionByName(self._best(more, number, names, q, k, kind))
-            w = Window.partitionBy("query").orderBy(F.col("similarity").desc(), self.key)
-            out = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        finally:
-            found.unpersist()
-        return out
-
-    def _best(self, wanted: np.ndarray, number: np.ndarray, names: list, q: np.ndarray, k: int, kind: str) -> DataFrame:
-        """(query, key, similarity): the k best of each query in its wanted cells; other cells are not read."""
+        w = Window.partitionBy("query").orderBy(F.round("similarity", 12).desc(), self.key)
+        best = lambda df: df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        path = shared_folder(self.spark, "nearest")
+        near = self._best(first, number, names, q, k, kind, np.full(len(names), -np.inf))
+        best(near).drop("rank").write.parquet(path)
+        found = self.spark.read.schema(near.schema).parquet(path)
+        worst = np.full(len(names), -2.0)
+        place = {x: i for i, x in enumerate(names)}
+        for r in found.groupBy("query").agg(F.count("*").alias("n"), F.min("similarity").alias("s")).collect():  # a row a query
+            worst[place[r["query"]]] = r["s"] if r["n"] == k else -2.0
+        more = ~first & (np.cos(np.maximum(0, least - SLACK)) >= worst[:, None] - SLACK)
+        self.read["pairs"] += least.size
+        self.read["searched"] += int(first.sum() + more.sum())
+        return best(found.unionByName(self._best(more, number, names, q, k, kind, worst - SLACK)))
+
+    def _best(self, wanted: np.ndarray, number: np.ndarray, names: list, q: np.ndarray, k: int, kind: str, least: np.ndarray) -> DataFrame:
+        """(query, key, similarity): the k best of each query in its wanted cells, of each task, that reach its least; other cells are not read."""
         key = self.key
         stored = self.spark.read.parquet(f"{self.path}/vectors")
         schema = f"query {kind}, `{key}` {dict(stored.dtypes)[key]}, similarity double"
         of = {int(c): np.flatnonzero(wanted[:, j]) for j, c in enumerate(number) if wanted[:, j].any()}
-        shared = self.spark.sparkContext.broadcast((of, names, q))
+        shared = self.spark.sparkContext.broadcast((of, names, q, least))
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            of, names, q = shared.value
-            kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            of, names, q, least = shared.value
+            kept = None
             for pdf in parts:
+                kept = kept or Nearest(k, least, pdf[key].to_numpy().dtype)
                 for cell, own in pdf.groupby("cell"):
-                    asked, keys = of[int(cell)], own[key].to_numpy()
-                    s = q[asked] @ np.stack(own["unit"].to_list()).T
-                    for row, i in enumerate(asked.tolist()):
-                        a, b = kept.get(i, (np.zeros(0, keys.dtype), np.zeros(0)))
-                        a, b = np.concatenate([a, keys]), np.concatenate([b, s[row]])
-                        top = np.lexsort((a, -b))[:k]
-                        kept[i] = a[top], b[top]
-            for i, (a, b) in kept.items():
-                yield pd.DataFrame({"query": names[i], key: a, "similarity": b})
-
-        near = stored.filter(F.col("cell").isin(*of)).select(key, "unit", "cell").mapInPandas(run, schema)
-        w = Window.partitionBy("query").orderBy(F.col("similarity").desc(), key)
-        return near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+                    asked, own = of[int(cell)], own.sort_values(key)
+                    keys, units = own[key].to_numpy(), np.stack(own["unit"].to_list())
+                    for at in range(0, len(keys), CHUNK):
+                        kept.put(asked, keys[at : at + CHUNK], q[asked] @ units[at : at + CHUNK].T)
+            if kept:
+                row, keys, like = kept.rows()
+                yield pd.DataFrame({"query": pd.Series(names).iloc[row].to_numpy(), key: keys, "similarity": like})
+
+        return stored.filter(F.col("cell").isin(*of)).select(key, "unit", "cell").mapInPandas(run, schema)

@@ -94,6 +94,25 @@ def test_vector_index_reads_few_cells_and_loses_nothing(spark, tmp_path):
     assert 5000 not in got and 0 < index.read["searched"] < 0.3 * index.read["pairs"]
 
 
+def test_vector_index_in_blocks_with_copies_and_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "BLOCK", 9)
+    monkeypatch.setattr(vector_index, "CHUNK", 7)
+    r = np.random.default_rng(2)
+    some = r.normal(0, 1, (30, 8))
+    rows = [(f"k{k:04}", some[k % 30 if k < 200 else 3].tolist()) for k in range(400)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(16)
+    index = vector_index.VectorIndex(spark, f"file://{tmp_path}/index", "id").build(df, pivots=6)
+    folders = list((tmp_path / "index" / "vectors").glob("cell=*"))
+    assert sum(1 for f in folders for _ in f.glob("*.parquet")) <= len(folders) + 4  # not one for each cell and task
+    got = defaultdict(list)
+    for x in index.search(df.filter("id like '%3'"), 5, "id").orderBy("query", "rank").collect():
+        got[x["query"]].append((x["id"], round(x["similarity"], 9)))
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    assert len(got) == 40
+    for q, own in got.items():
+        assert own == sorted(((i, round(float(unit[q] @ u), 9)) for i, u in unit.items()), key=lambda x: (-x[1], x[0]))[:5]
+
+
 def test_best_choices_match_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(choices, "TEXTS", 7)
     monkeypatch.setattr(choices, "CHOICES", 11)
