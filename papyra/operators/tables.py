@@ -184,9 +184,11 @@ def table_records(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
 
 def spread_merged(cells: DataFrame, merged: DataFrame) -> DataFrame:
     """cells with the value of each merged range (sheet, row0, col0, row1, col1) in all its cells."""
-    area = merged.select("sheet", "row0", "col0", F.explode(F.sequence("row0", "row1")).alias("row"), "col1").select("sheet", "row0", "col0", "row", F.explode(F.sequence("col0", "col1")).alias("col"))
+    rows, cols = F.explode(F.sequence("row0", "row1")).alias("row"), F.explode(F.sequence("col0", "col1")).alias("col")
     value = cells.select("sheet", F.col("row").alias("row0"), F.col("col").alias("col0"), "value")
-    filled = area.join(value, ["sheet", "row0", "col0"]).select("sheet", "row", "col", "value")
+    # ranges meet their values before they become cells, so that only one join sorts what they cover
+    filled = merged.join(value, ["sheet", "row0", "col0"]).select("sheet", rows, "col0", "col1", "value").select("sheet", "row", cols, "value")
+    area = merged.select("sheet", rows, "col0", "col1").select("sheet", "row", cols)
     return filled.unionByName(cells.select("sheet", "row", "col", "value").join(area, ["sheet", "row", "col"], "left_anti"))
 
 

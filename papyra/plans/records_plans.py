@@ -9,7 +9,7 @@ from papyra.functions import records as rec
 from papyra.functions import scoring
 from papyra.functions import text as tx
 from papyra.operators import relational, sensitive, tables
-from papyra.plans.registry import query, table
+from papyra.plans.registry import query, stored, table
 
 # --- joins -------------------------------------------------------------------
 
@@ -221,20 +221,25 @@ _SHEET = "SELECT l_orderkey::VARCHAR AS sheet, l_linenumber::INTEGER AS r, (l_pa
 
 
 def _cells(spark, d):
-    own = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("sheet"), F.col("l_linenumber").cast("int").alias("row"), (F.col("l_partkey") % 4 + 1).cast("int").alias("col"))
-    return own.agg(F.min("l_quantity").cast("int").cast("string").alias("value"))
+    own = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("int").alias("row"), (F.col("l_partkey") % 4 + 1).cast("int").alias("col"))
+    return own.agg(F.min("l_quantity").alias("value")).select(F.col("l_orderkey").cast("string").alias("sheet"), "row", "col", F.col("value").cast("int").cast("string").alias("value"))
+
+
+def _stored_cells(spark, d):
+    """Cells that are read more than once, so that no task holds their groups beside the sorts of a join."""
+    return stored(_cells(spark, d), "cells")
 
 
 @query(f"""WITH cells AS ({_SHEET}), s AS (SELECT sheet, max(r) AS mr, max(c) AS mc FROM cells GROUP BY sheet),
 g AS (SELECT sheet, r, unnest(range(1, mc + 1)) AS c FROM (SELECT sheet, mc, unnest(range(1, mr + 1)) AS r FROM s))
 SELECT sheet, r::INTEGER AS row, c::INTEGER AS col, coalesce(value, '') AS value FROM g LEFT JOIN cells USING (sheet, r, c)""")
 def sheet_grid(spark, d):
-    return tables.full_grid(_cells(spark, d)).select("sheet", "row", "col", "value")
+    return tables.full_grid(_stored_cells(spark, d)).select("sheet", "row", "col", "value")
 
 
 @query(f"WITH cells AS ({_SHEET}), m AS (SELECT sheet, r AS r0, c AS c0, value FROM cells WHERE c = 1 AND r % 2 = 1), a AS (SELECT sheet, r0 + i AS r, c0 + j AS c, value FROM m, (VALUES (0), (1)) x(i), (VALUES (0), (1), (2)) y(j)) SELECT sheet, r::INTEGER AS row, c::INTEGER AS col, value FROM a UNION ALL SELECT sheet, r, c, value FROM cells ANTI JOIN a USING (sheet, r, c)")
 def merged_cells(spark, d):
-    cells = _cells(spark, d)
+    cells = _stored_cells(spark, d)
     merged = cells.filter("col = 1 and row % 2 = 1").select("sheet", F.col("row").alias("row0"), F.col("col").alias("col0"), (F.col("row") + 1).alias("row1"), (F.col("col") + 2).alias("col1"))
     return tables.spread_merged(cells, merged).select("sheet", "row", "col", "value")
 
@@ -247,7 +252,7 @@ def sheet_rows(spark, d):
 @query(f"WITH cells AS ({_SHEET}) SELECT sheet, r + 1 AS row, CASE c WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'x' ELSE 'x_dup_1' END AS name, value FROM cells")
 def sheet_records(spark, d):
     """Rows under a header in which a name stands twice."""
-    cells = _cells(spark, d)
+    cells = _stored_cells(spark, d)
     header = cells.select("sheet").distinct().select("sheet", F.lit(1).alias("row"), F.inline(F.array(*(F.struct(F.lit(k + 1).alias("col"), F.lit(n).alias("value")) for k, n in enumerate("abxx")))))
     return tables.table_records(cells.withColumn("row", F.col("row") + 1).unionByName(header))
 

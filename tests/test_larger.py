@@ -162,3 +162,18 @@ def test_ratios_count_to_the_end_only_what_may_reach_the_bound(monkeypatch):
             steps.append(c)
             return super().get(c, other)
     assert fuzzy.lcs(a, b, Seen(fuzzy.places(a)), 3600.0) == -1 and len(steps) < 1200
+
+
+def test_merged_ranges_meet_their_values_before_they_become_cells(spark):
+    from papyra.operators import tables
+    from papyra.plans.catalogue import QUERIES
+
+    cells = spark.createDataFrame([("a", 1, 1, "x"), ("a", 2, 2, "y"), ("a", 5, 5, "z"), ("b", 1, 1, "w"), ("b", 4, 4, "v")], "sheet string, row int, col int, value string")
+    merged = spark.createDataFrame([("a", 1, 1, 2, 2), ("a", 2, 2, 2, 3), ("b", 3, 3, 4, 4)], "sheet string, row0 int, col0 int, row1 int, col1 int")
+    out = tables.spread_merged(cells, merged)
+    want = [("a", r, c, "x") for r in (1, 2) for c in (1, 2)] + [("a", 2, 2, "y"), ("a", 2, 3, "y"), ("a", 5, 5, "z"), ("b", 1, 1, "w")]
+    assert sorted(map(tuple, out.collect())) == sorted(want)  # ranges that overlap give a cell each; one without a value clears its cells
+    filled = joins_of(out).split("LeftAnti")[0]
+    assert filled.index("Generate") < filled.index("Join")
+    plan = joins_of(QUERIES["merged_cells"](spark, "/root/testdata/sf0.001"))
+    assert "Aggregate" not in plan and "lineitem" not in plan  # cells are made once, not in the tasks that join them
