@@ -13,15 +13,9 @@ from papyra.operators import relational
 
 COLUMNS = "request BIGINT, project BIGINT, template BIGINT, offer_score DOUBLE, similarity DOUBLE, acceptance DOUBLE, method STRING, status STRING"
 
-#: What a call with the arguments p_request and p_refine gives. Acceptance is in percent in both branches; a template of which nothing
-#: has been decided keeps what it had.
-BODY = """
-SELECT request, project, template, offer_score, similarity, acceptance, 'offerbased', 'GENERATED'
-FROM {offers} WHERE request = p_request AND NOT p_refine
-UNION ALL
-SELECT s.request, s.project, s.template, s.offer_score, s.similarity, coalesce(d.acceptance, s.acceptance), s.method, s.status
-FROM {stored} s LEFT JOIN {decided} d ON s.template = d.template WHERE s.request = p_request AND p_refine
-"""
+#: What a call with the arguments p_request and p_refine gives: rows of both branches lie in one view, as a call is a plain join only
+#: where it compares columns with its arguments. Calls of a UNION are joined in each branch, and their result with the calls again.
+BODY = "SELECT request, project, template, offer_score, similarity, acceptance, method, status FROM {rows} WHERE request = p_request AND refine = p_refine"
 
 
 def decided(stored: DataFrame) -> DataFrame:
@@ -36,10 +30,13 @@ def define(spark: SparkSession, offers: DataFrame, stored: DataFrame, name: str
     Of a request's offers for a template the best one counts: greatest offer score, then similarity, then smallest project.
     """
     order = [F.col("offer_score").desc_nulls_last(), F.col("similarity").desc_nulls_last(), F.col("project")]
-    views = {"offers": relational.best(offers.distinct(), ["request", "template"], order), "stored": stored, "decided": decided(stored)}
-    for kind, df in views.items():
-        df.createOrReplaceTempView(f"{name}_{kind}")
-    body = BODY.format(**{kind: f"{name}_{kind}" for kind in views})
+    columns = ["request", "project", "template", "offer_score", "similarity", "acceptance", "method", "status"]
+    own = relational.best(offers, ["request", "template"], order).withColumns({"method": F.lit("offerbased"), "status": F.lit("GENERATED")})
+    # acceptance is in percent in both branches; a template of which nothing has been decided keeps what it had
+    known = stored.join(decided(stored).withColumnRenamed("acceptance", "__decided"), "template", "left").withColumn("acceptance", F.coalesce("__decided", "acceptance"))
+    both = own.select(*columns, F.lit(False).alias("refine")).unionByName(known.select(*columns, F.lit(True).alias("refine")))
+    both.createOrReplaceTempView(f"{name}_rows")
+    body = BODY.format(rows=f"{name}_rows")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(p_request BIGINT, p_refine BOOLEAN DEFAULT false) RETURNS TABLE ({COLUMNS}) RETURN {body}")
     return name
 

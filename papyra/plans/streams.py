@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyra.operators import generation
 from papyra.plans.registry import query, table
+from papyra.plans.registry import stored as stored_once
 from papyra.session import shared_folder
 
 
@@ -77,10 +78,10 @@ def generate_recommendation(spark, d):
     part = table(spark, d, "part")
     keys = ["p_brand", "p_type", "p_size"]
     templates = part.select("p_partkey", *keys).join(part.groupBy(*keys).agg(F.min("p_partkey").alias("template")), keys)
-    items = table(spark, d, "lineitem").join(templates, F.col("l_partkey") == F.col("p_partkey"))
-    ratio = items.groupBy("template").agg((F.nullif(F.count_if(F.col("l_linestatus") == "F"), F.lit(0)).cast("double") / F.count("*") * 100).alias("acceptance"))
-    base = items.select(F.col("l_orderkey").alias("request"), F.col("l_suppkey").alias("project"), "template", F.col("l_quantity").alias("offer_score"), F.col("l_extendedprice").alias("similarity"), "l_tax", "l_linenumber", "l_returnflag")
-    offers = base.drop("l_tax", "l_linenumber", "l_returnflag").join(ratio, "template")
+    columns = [F.col("l_orderkey").alias("request"), F.col("l_suppkey").alias("project"), "template", F.col("l_quantity").alias("offer_score"), F.col("l_extendedprice").alias("similarity"), "l_tax", "l_linenumber", "l_returnflag", "l_linestatus"]
+    base = stored_once(table(spark, d, "lineitem").join(templates, F.col("l_partkey") == F.col("p_partkey")).select(*columns), "items")  # read five times
+    ratio = base.groupBy("template").agg((F.nullif(F.count_if(F.col("l_linestatus") == "F"), F.lit(0)).cast("double") / F.count("*") * 100).alias("acceptance"))
+    offers = base.drop("l_tax", "l_linenumber", "l_returnflag", "l_linestatus").join(ratio, "template")
     method = F.when(F.col("l_linenumber") <= 5, "offerbased").otherwise("search")
     status = F.when(F.col("l_returnflag") == "A", "ACCEPTED").when(F.col("l_returnflag") == "R", "REJECTED").otherwise("GENERATED")
     stored = base.select("request", "project", "template", "offer_score", "similarity", (F.col("l_tax") * 100).alias("acceptance"), method.alias("method"), status.alias("status"))

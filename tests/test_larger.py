@@ -177,3 +177,19 @@ def test_merged_ranges_meet_their_values_before_they_become_cells(spark):
     assert filled.index("Generate") < filled.index("Join")
     plan = joins_of(QUERIES["merged_cells"](spark, "/root/testdata/sf0.001"))
     assert "Aggregate" not in plan and "lineitem" not in plan  # cells are made once, not in the tasks that join them
+
+
+def test_calls_for_requests_are_one_join(spark):
+    from papyra.operators import generation
+
+    kind = "request long, project long, template long, offer_score double, similarity double, acceptance double"
+    offers = spark.createDataFrame([(1, 7, 3, 5.0, 2.0, 40.0), (1, 7, 3, 5.0, 2.0, 40.0), (1, 6, 3, 5.0, 2.0, 40.0), (1, 9, 4, 1.0, 1.0, None), (2, 8, 3, 1.0, 1.0, 40.0)], kind)
+    rows = [(1, 7, 3, 5.0, 2.0, 10.0, "offerbased", "ACCEPTED"), (1, 7, 3, 5.0, 2.0, 10.0, "offerbased", "REJECTED"), (2, 5, 9, 1.0, 1.0, 30.0, "search", "GENERATED")]
+    name = generation.define(spark, offers, spark.createDataFrame(rows, f"{kind}, method string, status string"), "one_join")
+    calls = spark.createDataFrame([(1, False), (1, True), (2, True), (2, None), (3, False), (None, True)], "request long, refine boolean")
+    out = generation.generate(calls, name, calls["refine"])
+    assert joins_of(out).count("Join ") == 2  # the calls' and that of the decided templates
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    new = [(False, 1, 6, 3, 5.0, 2.0, 40.0, "offerbased", "GENERATED"), (False, 1, 9, 4, 1.0, 1.0, None, "offerbased", "GENERATED")]
+    old = [(True, *r[:5], 50.0 if r[2] == 3 else 30.0, *r[6:]) for r in rows]
+    assert got == sorted(new + old, key=str)
