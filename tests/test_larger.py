@@ -193,3 +193,38 @@ def test_calls_for_requests_are_one_join(spark):
     new = [(False, 1, 6, 3, 5.0, 2.0, 40.0, "offerbased", "GENERATED"), (False, 1, 9, 4, 1.0, 1.0, None, "offerbased", "GENERATED")]
     old = [(True, *r[:5], 50.0 if r[2] == 3 else 30.0, *r[6:]) for r in rows]
     assert got == sorted(new + old, key=str)
+
+
+def test_unrelated_texts_of_one_alphabet_are_ruled_out_together(spark, monkeypatch):
+    import random
+
+    from papyra.functions import fuzzy
+    from papyra.operators import chunking
+
+    r = random.Random(11)
+    syllables = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 4))) for _ in range(40)]
+    text = lambda n: " ".join("".join(r.choices(syllables, k=r.randint(1, 3))) for _ in range(n))
+
+    def changed(t, share):
+        out = list(t)
+        for k in r.sample(range(len(t)), int(len(t) * share)):
+            out[k] = r.choice(["", "x", "e", out[k] + "n", "\U0001f600"])
+        return "".join(out)
+
+    templates = [text(r.choice([3, 40, 120, 160])) for _ in range(30)]
+    texts = [changed(r.choice(templates), r.choice([0.05, 0.15, 0.2, 0.25, 0.3])) for _ in range(60)] + [text(r.choice([3, 40, 120, 160])) for _ in range(30)] + [templates[0], "", "x" * 300, "漢字" * 90]
+    counted = []
+    lcs = fuzzy.lcs
+    monkeypatch.setattr(fuzzy, "lcs", lambda *a: counted.append(a[:2]) or lcs(*a))
+    got = {(a, b): v for a, b, v in fuzzy.ratios(texts, templates, 80.0)}
+    assert len(counted) < 150  # of 2,820 pairs
+    near = {(a, b): fuzzy.ratio_of(a, b) for a in texts for b in templates}
+    assert got == {p: v for p, v in near.items() if v >= 80} and 30 < len(got) and any(v < 82 for v in got.values())
+    monkeypatch.setattr(fuzzy, "PAIRS", 7)
+    monkeypatch.setattr(fuzzy, "LOOK", 5)
+    assert got == {(a, b): v for a, b, v in fuzzy.ratios(texts, templates, 80.0)}
+    monkeypatch.setattr(chunking, "TEXTS", 8)
+    monkeypatch.setattr(chunking, "TEMPLATES", 8)
+    a, b = (spark.createDataFrame([(x,) for x in sorted(set(t))], "norm string") for t in (texts, templates))
+    out = chunking.rated_pairs(a, b, 80.0)
+    assert "CartesianProduct" in joins_of(out) and {(x["norm"], x["template_norm"]): x["ratio"] for x in out.collect()} == got
