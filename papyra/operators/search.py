@@ -24,11 +24,16 @@ def top_k(store: DataFrame, query: DataFrame, k: int, key: str, vector: str = "e
     return scored(store, query, vector, above).orderBy(F.col("similarity").desc_nulls_last(), key).limit(k)
 
 
-def nearest_of(rows: DataFrame, store: DataFrame, k: int, keys: list[str], store_key: str, vector: str = "embedding", above: float | None = None, block: int = 4096) -> DataFrame:
+#: Rows and columns of the similarities that nearest_of looks at at once; they stay in a core's cache.
+ROWS, COLUMNS = 256, 2048
+
+
+def nearest_of(rows: DataFrame, store: DataFrame, k: int, keys: list[str], store_key: str, vector: str = "embedding", above: float | None = None, block: int = 32_768) -> DataFrame:
     """(keys, store_key, similarity, rank): for each row the k most similar rows of store, a stated set that is taken in blocks.
 
     Each block is one pass over the rows with it broadcast; a row keeps its k best of a block in its task, so
-    nothing is shuffled unless there are several blocks. Rows without a vector, or with one of length zero, have none.
+    nothing is shuffled unless there are several blocks. Similarities are first taken in single precision; what they leave, within
+    their rounding, is compared in double precision, to 12 places, equal ones by key. Rows without a vector, or with one of length zero, have none.
     """
     import numpy as np
     import pandas as pd
@@ -45,31 +50,45 @@ def nearest_of(rows: DataFrame, store: DataFrame, k: int, keys: list[str], store
 
     out, bound = None, -np.inf if above is None else above
     for n in range(blocks):
-        part = own.filter(F.pmod(F.xxhash64(store_key), F.lit(blocks)) == n).orderBy(store_key).collect()  # about ``block`` rows
-        if not part:
+        part = own.filter(F.pmod(F.xxhash64(store_key), F.lit(blocks)) == n).orderBy(store_key).toPandas()  # about ``block`` rows
+        if not len(part):
             continue
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in part], dtype=object), unit([r[1] for r in part])))
+        shared = spark.sparkContext.broadcast((part[store_key].to_numpy(), unit(part[vector].tolist())))
 
         def run(batches, shared=shared):
             ids, matrix = shared.value
+            narrow, slack = matrix.astype(np.float32), (matrix.shape[1] + 8) * 2.0**-22  # of rounding
             for pdf in batches:
                 pdf = pdf[pdf[vector].notna()]
-                if not len(pdf):
-                    continue
-                s = unit(pdf[vector].tolist()) @ matrix.T
-                s[np.isnan(s)] = -np.inf
-                most = min(k, s.shape[1])
-                live = np.flatnonzero(s.max(axis=1) > bound)  # the others have none in this block
-                own = s[live]
-                least = np.partition(own, own.shape[1] - most, axis=1)[:, -most] if len(live) else np.zeros(0)
-                at, place = np.nonzero((own >= least[:, None]) & (own > bound))  # k and those equal to the last: few are sorted
-                value = own[at, place]
-                order = np.lexsort((place, -value, at))  # equal ones in the order of their keys
-                at, place, value = at[order], place[order], value[order]
-                first = np.arange(len(at)) - np.searchsorted(at, at) < most
-                got = pdf[keys].iloc[live[at[first]]].reset_index(drop=True)
-                got[store_key], got["similarity"] = ids[place[first]], value[first]
-                yield got[names]
+                for at in range(0, len(pdf), ROWS):
+                    some = pdf.iloc[at : at + ROWS]
+                    x = unit(some[vector].tolist())
+                    row, place, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                    least, wide = np.full(len(x), bound), x.astype(np.float32)
+                    for c in range(0, len(ids), COLUMNS):
+                        s = wide @ narrow[c : c + COLUMNS].T
+                        fits = s >= (least - slack).astype(np.float32)[:, None]
+                        found = np.count_nonzero(fits)
+                        if not found:
+                            continue
+                        if found > 4 * k * len(x):
+                            many = np.flatnonzero(fits.sum(axis=1) > 4 * k)
+                            part = np.where(np.isnan(s[many]), -np.inf, s[many])
+                            fits[many] &= part >= np.partition(part, part.shape[1] - k, axis=1)[:, [part.shape[1] - k]] - 2 * slack
+                        r, p = np.divmod(np.flatnonzero(fits), fits.shape[1])
+                        v = np.round(np.einsum("ij,ij->i", x[r], matrix[c + p]), 12)
+                        more = v > least[r]  # of equal ones those with the smaller keys have come before
+                        r, p, v = r[more], p[more] + c, v[more]
+                        row, place, value = np.concatenate([row, r]), np.concatenate([place, p]), np.concatenate([value, v])
+                        order = np.lexsort((place, -value, row))  # equal ones in the order of their keys
+                        row, place, value = row[order], place[order], value[order]
+                        nth = np.arange(len(row)) - np.searchsorted(row, row)
+                        last = nth == k - 1
+                        least[row[last]] = value[last]
+                        row, place, value = row[nth < k], place[nth < k], value[nth < k]
+                    got = some[keys].iloc[row].reset_index(drop=True)
+                    got[store_key], got["similarity"] = ids[place], value
+                    yield got[names]
 
         part = rows.select(*keys, vector).mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)

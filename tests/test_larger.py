@@ -228,3 +228,32 @@ def test_unrelated_texts_of_one_alphabet_are_ruled_out_together(spark, monkeypat
     a, b = (spark.createDataFrame([(x,) for x in sorted(set(t))], "norm string") for t in (texts, templates))
     out = chunking.rated_pairs(a, b, 80.0)
     assert "CartesianProduct" in joins_of(out) and {(x["norm"], x["template_norm"]): x["ratio"] for x in out.collect()} == got
+
+
+def test_searched_templates_shuffle_no_text_for_a_pair(spark, monkeypatch):
+    import random
+
+    from papyra.functions import fuzzy
+    from papyra.functions.embedding import hashed
+    from papyra.operators import chunking, search
+
+    r = random.Random(12)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(3, 8))) for _ in range(60)]
+    base = [" ".join(r.choices(words, k=80)) for _ in range(24)]
+    rows = [(20 * k, 0, 1, t) for k, t in enumerate(base)] + [(20 * k + 1, 0, 1, t.replace("e", "", 9)) for k, t in enumerate(base)] + [(2, 0, 2, " ".join(r.choices(words, k=80))), (2, 1, 2, None)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_idx int, tot_chunks int, content string").withColumn("embedding", hashed("content"))
+    templates = chunks.filter("doc_id % 20 = 0")
+    found = lambda: sorted(map(tuple, chunking.search_templates(chunks, templates).collect()))
+    one = found()
+    assert {(d, t) for d, t, *_ in one} >= {(20 * k + 1, 20 * k) for k in range(24)}
+    assert not [x for x in joins_of(chunking.search_templates(chunks, templates)).splitlines() if "Exchange" in x and "t_norm" in x or "Join" in x and "place" in x]
+    monkeypatch.setattr(chunking, "PLACES", 5)
+    assert found() == one
+    counted, lcs = [], fuzzy.lcs
+    monkeypatch.setattr(fuzzy, "lcs", lambda *a: counted.append(a[:2]) or lcs(*a))
+    pairs = [(x[3], y) for x in rows if x[3] for y in base]
+    got = fuzzy.reached(*map(list, zip(*pairs, strict=True)), 80.0)
+    assert len(counted) < 60 and [v if v >= 80 else None for v in (fuzzy.ratio_of(*p) for p in pairs)] == [None if v != v else v for v in got]
+    scaled = spark.createDataFrame([(k, [0.1 * (k + 1), 0.3 * (k + 1), 0.7 * (k + 1)]) for k in range(40)], "k int, embedding array<double>")
+    near = search.nearest_of(scaled, scaled.withColumnRenamed("k", "o"), 3, ["k"], "o").collect()
+    assert {(x["o"], x["rank"]) for x in near} == {(0, 1), (1, 2), (2, 3)}  # equal ones by key, whatever their rounding
