@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -81,15 +83,89 @@ def nearest_cells(cells: DataFrame) -> DataFrame:
         radius *= 2
 
 
+#: Most cells of a sheet that a task takes as one, and distances between cells that it holds at once.
+SHEET, DISTANCES = 1024, 1 << 20
+
+
+def clusters_of_sheets(rows: np.ndarray, cols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """clusters_of for the cells of many sheets, one sheet after the other; sheets of like size are taken together, with the distances of all their cells."""
+    sheet = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((cols, rows, sheet))
+    r, c, s = rows[order], cols[order], sheet[order]
+    new = np.r_[True, (np.diff(r) != 0) | (np.diff(c) != 0) | (np.diff(s) != 0)][: len(r)]  # a cell that repeats counts once
+    own = np.cumsum(new) - 1
+    r, c, s = r[new], c[new], s[new]
+    n = np.bincount(s, minlength=len(sizes))
+    begin, label = np.cumsum(n) - n, np.zeros(len(r), np.int64)
+    by_size = np.argsort(n, kind="stable")
+    at = int(np.searchsorted(n[by_size], 1))
+    while at < len(by_size):
+        some = by_size[at : at + max(1, DISTANCES // int(n[by_size[at]]) ** 2)]
+        most = int(n[some[-1]])
+        some = some[: max(1, DISTANCES // most**2)]
+        most, at = int(n[some[-1]]), at + len(some)
+        there = np.arange(most) < n[some][:, None]
+        place = np.where(there, begin[some][:, None] + np.arange(most), begin[some][:, None])
+        x, y = r[place], c[place]
+        far = np.int64(1) << 40
+        apart = np.abs(x[:, :, None] - x[:, None, :]) + np.abs(y[:, :, None] - y[:, None, :])
+        apart[~(there[:, :, None] & there[:, None, :])] = far
+        apart[:, np.arange(most), np.arange(most)] = far
+        near = apart.min(axis=2)
+        near[(n[some] == 1), 0] = 0
+        ranked = np.sort(near, axis=1)  # what is not there comes last
+        median = (np.take_along_axis(ranked, (n[some][:, None] - 1) // 2, 1) + np.take_along_axis(ranked, n[some][:, None] // 2, 1)) / 2
+        linked = apart <= np.floor(np.maximum(1.0, 1.5 * median))[:, :, None]
+        linked[:, np.arange(most), np.arange(most)] = True
+        first = np.broadcast_to(np.arange(most), place.shape)
+        while True:
+            less = np.where(linked, first[:, None, :], most).min(axis=2)
+            less = np.take_along_axis(less, less, 1)
+            if (less == first).all():
+                break
+            first = less
+        number = np.cumsum((first == np.arange(most)) & there, axis=1) - 1
+        label[place[there]] = np.take_along_axis(number, first, 1)[there]
+    out = np.zeros(len(rows), np.int32)
+    out[order] = label[own]
+    return out
+
+
 def cell_clusters(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
     """cells (sheet, row, col, value, ...) that hold something, with the cluster of each: connected over Manhattan distances of
     at most 1.5 times the sheet's median distance to the nearest cell, 1 at least; numbered in each sheet by first cell.
 
-    A sheet may be as large as a table. Squares so small that their cells are all within the distance are the
+    Sheets of at most SHEET cells are groups of a task each, which are shuffled once, by sheet, and stay so. A sheet may be as large as a
+    table: larger ones are taken cell by cell (``large_clusters``).
+    """
+    spark, root = cells.sparkSession, shared_folder(cells.sparkSession, "cells")
+    held = cells.filter(F.trim(F.coalesce("value", F.lit(""))) != "").withColumnRenamed(sheet, "sheet").filter("sheet is not null and row is not null and col is not null")
+    held.write.parquet(root)  # it is read more than once
+    kept = spark.read.schema(held.schema).parquet(root)
+    sizes = kept.groupBy("sheet").agg(F.count("*").alias("n"))
+
+    def run(rows: pa.Array, cols: pa.Array) -> pa.Array:
+        sizes, flat = rows.value_lengths().to_numpy(zero_copy_only=False), [x.flatten().to_numpy(zero_copy_only=False) for x in (rows, cols)]
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(clusters_of_sheets(*flat, sizes), pa.int32()))
+
+    labels = F.arrow_udf(run, "array<int>")
+    others = [c for c in kept.columns if c != "sheet"]
+    small = kept.join(sizes.filter(F.col("n") <= SHEET).hint("merge"), "sheet", "left_semi").groupBy("sheet").agg(F.collect_list(F.struct(*others)).alias("c"))
+    labelled = small.select("sheet", "c", labels(F.col("c.row").cast("array<bigint>"), F.col("c.col").cast("array<bigint>")).alias("k"))
+    out = labelled.select("sheet", F.inline(F.zip_with("c", "k", lambda c, k: F.struct(*(c[x].alias(x) for x in others), k.alias("cluster")))))
+    large = sizes.filter(F.col("n") > SHEET).select("sheet")
+    if large.take(1):
+        out = out.unionByName(large_clusters(kept.join(large.hint("merge"), "sheet", "left_semi")))
+    return out.withColumnRenamed("sheet", sheet).select(*cells.columns, "cluster")
+
+
+def large_clusters(kept: DataFrame) -> DataFrame:
+    """cell_clusters of sheets of any size: kept (sheet, row, col, ...) with their cluster.
+
+    Squares so small that their cells are all within the distance are the
     nodes of a graph; squares are joined where the ends of their rows, or of their columns where one lies below the other, come near
     enough, which is where any of their cells do.
     """
-    kept = cells.filter(F.trim(F.coalesce("value", F.lit(""))) != "").withColumnRenamed(sheet, "sheet")
     near = nearest_cells(kept)
     reach = near.groupBy("sheet").agg(F.floor(F.greatest(F.lit(1.0), 1.5 * F.median("nearest"))).cast("int").alias("e"))
     side = F.floor(F.col("e") / 2).cast("int") + 1
@@ -113,7 +189,7 @@ def cell_clusters(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
     firsts = named.groupBy("sheet", "component").agg(F.min(F.struct("row", "col")).alias("first"))
     numbered = firsts.withColumn("cluster", F.row_number().over(Window.partitionBy("sheet").orderBy("first")) - 1).select("component", "cluster")
     labels = named.join(numbered.hint("merge"), "component").select("sheet", "row", "col", "cluster")
-    return kept.join(labels.hint("merge"), ["sheet", "row", "col"]).withColumnRenamed("sheet", sheet).select(*cells.columns, F.col("cluster").cast("int").alias("cluster"))
+    return kept.join(labels.hint("merge"), ["sheet", "row", "col"]).select(*kept.columns, F.col("cluster").cast("int").alias("cluster"))
 
 
 def rows_text(cells: DataFrame, by: list[str]) -> DataFrame:

@@ -257,3 +257,42 @@ def test_searched_templates_shuffle_no_text_for_a_pair(spark, monkeypatch):
     scaled = spark.createDataFrame([(k, [0.1 * (k + 1), 0.3 * (k + 1), 0.7 * (k + 1)]) for k in range(40)], "k int, embedding array<double>")
     near = search.nearest_of(scaled, scaled.withColumnRenamed("k", "o"), 3, ["k"], "o").collect()
     assert {(x["o"], x["rank"]) for x in near} == {(0, 1), (1, 2), (2, 3)}  # equal ones by key, whatever their rounding
+
+
+def test_sheets_that_fit_a_task_are_shuffled_once(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from papyra.operators import tables
+
+    def brute(points):
+        apart = lambda p, q: abs(p[0] - q[0]) + abs(p[1] - q[1])
+        near = [min((apart(p, q) for q in points if q != p), default=0) for p in points]
+        reach, label, n = int(max(1, 1.5 * float(np.median(near)))), {}, 0
+        for p in points:
+            if p not in label:
+                todo, label[p] = [p], n
+                while todo:
+                    one = todo.pop()
+                    for q in points:
+                        if q not in label and apart(one, q) <= reach:
+                            label[q] = n
+                            todo.append(q)
+                n += 1
+        return label
+
+    r = random.Random(8)
+    sheets = [[(r.randint(-w, w), r.randint(0, w)) for _ in range(r.choice([1, 2, 3, 30, 120]))] for w in (4, 20, 60) for _ in range(15)]
+    want = {(k, *p): c for k, own in enumerate(sheets) for p, c in brute(sorted(set(own))).items()}
+    rows = [(k, *p, "x") for k, own in enumerate(sheets) for p in own] + [(99, None, 1, "x"), (None, 1, 1, "x"), (0, 900, 900, " ")]
+    cells = spark.createDataFrame(rows, "page long, row int, col int, value string")
+    of = lambda df: {(x["page"], x["row"], x["col"]): x["cluster"] for x in df.collect()}
+    out = tables.cell_clusters(cells, "page")
+    assert joins_of(out).count("Exchange hashpartitioning") == 2  # of the cells, and of the sheets' sizes
+    assert of(out) == want and out.count() == sum(map(len, sheets)) and out.columns == ["page", "row", "col", "value", "cluster"]
+    monkeypatch.setattr(tables, "DISTANCES", 50)
+    flat = [np.array([p[k] for own in sheets for p in own]) for k in (0, 1)]
+    assert tables.clusters_of_sheets(*flat, np.array([len(s) for s in sheets])).tolist() == [want[(k, *p)] for k, own in enumerate(sheets) for p in own]
+    monkeypatch.setattr(tables, "SHEET", 25)  # larger sheets go cell by cell
+    assert of(tables.cell_clusters(cells, "page")) == want
