@@ -31,7 +31,7 @@ def completeness_stream(spark, d):
     parts = e.unionByName(e.filter("event_id % 7 = 0")).drop("event_id")
     out, marks = shared_folder(spark, "complete"), shared_folder(spark, "complete-marks")
     stream = stream_of(spark, parts, 4, each=4)
-    stream = barrier(stream).writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out)
+    stream = barrier(stream, buckets=16_384).writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out)
     stream.awaitTermination()
     return spark.read.schema("request_id long, total long, received long, complete boolean").parquet(out)
 

@@ -296,3 +296,58 @@ def test_sheets_that_fit_a_task_are_shuffled_once(spark, monkeypatch):
     assert tables.clusters_of_sheets(*flat, np.array([len(s) for s in sheets])).tolist() == [want[(k, *p)] for k, own in enumerate(sheets) for p in own]
     monkeypatch.setattr(tables, "SHEET", 25)  # larger sheets go cell by cell
     assert of(tables.cell_clusters(cells, "page")) == want
+
+
+def test_a_bucket_of_requests_is_read_and_written_once_a_batch(spark, tmp_path):
+    import random
+    import time
+
+    import pandas as pd
+    from pyspark.sql import Row
+
+    from papyra.streaming.stateful import Barriers, barrier
+
+    calls, values = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            def run(*args):
+                calls.append((self.name, what))
+                if what == "update":
+                    values[self.name] = args[0]
+                return values.get(self.name) if what == "get" else None
+
+            return run
+
+    class Handle:
+        getMapState = getValueState = staticmethod(lambda name, *_: State(name))
+        registerTimer = staticmethod(lambda at: calls.append(("timer", at)))
+        deleteTimer = staticmethod(lambda at: calls.append(("gone", at)))
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    b = Barriers(75_000, 3_600_000)
+    b.init(Handle)
+    rows = [Row(request_id=k, idx=i, total=2, ts=None, ms=1_000 + k) for k in range(500) for i in ((1, 2) if k % 5 == 0 else (1, 1))]
+    assert {tuple(x) for x in b.handleInputRows((3,), iter(rows), Times)} == {(k, 2, 2, True) for k in range(0, 500, 5)}
+    assert calls == [("requests", "get"), ("timer", 76_001), ("requests", "update")]
+
+    # buckets and single requests report the same, over batches in which requests complete, expire, are forgotten and come again
+    r = random.Random(5)
+    at = lambda s: (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)).to_pydatetime()
+    source = tmp_path / "in"
+    source.mkdir()
+    for k, begin in enumerate((0, 50, 300, 5000, 20_000, 40_000)):
+        parts = [(q, r.randint(1, n + 1), n, at(begin + r.randint(0, 40))) for q in r.sample(range(40), 25) for n in (1 + q % 4,) for _ in range(3)] + [(77, i, 66, at(begin)) for i in range(14 * k + 1, 14 * k + 15)]
+        spark.createDataFrame(parts, "request_id long, idx long, total long, ts timestamp").coalesce(1).write.parquet(f"{source}/{k}")
+        time.sleep(0.05)
+    got = []
+    for buckets in (0, 3):
+        stream = spark.readStream.schema("request_id long, idx long, total long, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
+        barrier(stream, buckets=buckets).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/marks{buckets}").trigger(availableNow=True).start(f"{tmp_path}/out{buckets}").awaitTermination()
+        got.append(sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out{buckets}").collect())))
+    assert got[0] == got[1] and len({x[3] for x in got[0]}) == 2 and len(got[0]) > 40
